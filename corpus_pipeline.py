@@ -6,8 +6,9 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pixelweft.llm import decontam, quality, simhash
+from pixelweft.llm import decontam, line_dedup, quality, simhash
 from pixelweft.llm.common import shared_dir, table
 from pixelweft.llm.queries import bpe_digest
 
@@ -18,6 +19,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.score(docs, machine, out="quality_score").where("quality_score >= 0.3").select(*docs.columns)
 
 
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that repeat a line before them; n_chars follows the text."""
+    left = line_dedup.dedup_lines(docs)
+    return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
     return simhash.keep_one(docs)
@@ -36,6 +43,7 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality", quality_stage),
+    ("line_dedup", line_stage),
     ("simhash", simhash_stage),
     ("decontamination", decontamination_stage),
     ("bpe", bpe_stage),

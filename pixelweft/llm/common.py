@@ -110,7 +110,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
 def chunks(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
     """Slices of ``batch`` of about ``CHUNK`` bytes of text; a longer text is a slice by itself."""
     column = batch.column(text)
-    size = pc.binary_length(column) if pa.types.is_string(column.type) else pc.multiply(pc.list_value_length(column), 4)
+    size = pc.binary_length(column) if pa.types.is_string(column.type) else pc.multiply(pc.list_value_length(column), 8)
     size = pc.fill_null(size, 0).to_numpy(zero_copy_only=False)
     part = np.cumsum(size, dtype=np.int64) // CHUNK
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), batch.num_rows]

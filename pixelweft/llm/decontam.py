@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pixelweft.llm.common import map_texts
+from pixelweft.llm.common import chunks, map_texts
 
 WINDOW, SHINGLE = 13, 3
 #: Bytes of benchmark text, about, that visit the documents at a time.
@@ -86,8 +86,6 @@ def document_frequencies(docs: DataFrame, text: str, block: Block) -> dict[tuple
     """Of each shingle of the block (size, number), over all documents."""
 
     def run(batches):
-        from pixelweft.llm.common import chunks
-
         for batch in batches:
             for piece in chunks(batch, text):
                 ids, starts = block.ids(piece.column(0).to_pylist())

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelweft.llm import bpe, decontam, quality, sharding, simhash, token_counts
-from pixelweft.llm.common import table
+from pixelweft.llm import bpe, decontam, line_dedup, quality, sharding, simhash, suffix_dedup, token_counts
+from pixelweft.llm.common import row_key, table
 
 
 def tokenizer_file(name: str) -> bytes:
@@ -24,6 +24,24 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document that lie in passages of 50 words which occur at another place too, and their stretches."""
+    found = suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["first"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select("doc_id", "n_words", "n_repeated", F.size("spans").cast("long").alias("n_spans"), spans.alias("spans"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of each document, and the places of those that an equal or similar line before them makes redundant."""
+    docs = table(spark, sf_dir, "documents")
+    gone = line_dedup.removed_lines(docs).select("row", "removed")
+    n_lines = F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long")
+    rows = docs.select("doc_id", row_key("doc_id", "text").alias("row"), F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(n_lines).alias("n_lines"))
+    joined = rows.join(gone.hint("merge"), "row", "left")
+    n_removed = F.coalesce(F.when(F.col("removed").isNotNull(), F.size("removed")), F.lit(0)).cast("long")
+    return joined.select("doc_id", "n_lines", n_removed.alias("n_removed"), F.coalesce(F.array_join(F.col("removed").cast("array<string>"), ","), F.lit("")).alias("removed_lines"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     machine = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -62,8 +80,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_suffix_array": op2_suffix_array,
     "op5_quality": op5_quality,
     "op6_sharding": op6_sharding,
+    "op7_line_dedup": op7_line_dedup,
     "op8_token_counts": op8_token_counts,
     "op9_decontamination": op9_decontamination,
     "op10_bpe": op10_bpe,
