@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelweft.llm import bpe, decontam, line_dedup, quality, sharding, simhash, suffix_dedup, token_counts
+from pixelweft.llm import ann, bpe, decontam, license_scan, line_dedup, quality, sharding, simhash, suffix_dedup, token_counts
 from pixelweft.llm.common import row_key, table
 
 
@@ -42,6 +42,11 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("doc_id", "n_lines", n_removed.alias("n_removed"), F.coalesce(F.array_join(F.col("removed").cast("array<string>"), ","), F.lit("")).alias("removed_lines"))
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     machine = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -81,6 +86,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_suffix_array": op2_suffix_array,
+    "op3_neighbours": op3_neighbours,
+    "op4_license_scan": license_scan.op4_license_scan,
     "op5_quality": op5_quality,
     "op6_sharding": op6_sharding,
     "op7_line_dedup": op7_line_dedup,
@@ -116,4 +123,4 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r)
 """
 
-ORACLES: dict[str, str] = {"op9_decontamination": OP9_SQL}
+ORACLES: dict[str, str] = {"op4_license_scan": license_scan.oracle(), "op9_decontamination": OP9_SQL}
