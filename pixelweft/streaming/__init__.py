@@ -1,0 +1 @@
+"""Reserved: every operator of this engine is a bounded batch query."""
