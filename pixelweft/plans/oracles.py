@@ -170,9 +170,93 @@ def oracles() -> dict[str, str]:
             round(1 - (2 * sum(change_prob * target) + 1.0::DOUBLE) / (sum(change_prob) + sum(target) + 1.0::DOUBLE), 6) AS dice_loss
             FROM (SELECT scene_id, CAST(target AS DOUBLE) AS target, change_prob, 20.0::DOUBLE * (abs(ndvi_diff) - 0.2::DOUBLE) AS x FROM masks WHERE change_prob IS NOT NULL) GROUP BY scene_id""",
         "target_fractions": p + "SELECT scene_id, round(avg(target), 6) AS change_fraction FROM px GROUP BY scene_id",
+    } | derived_oracles()
+
+
+DERIVED = """
+o AS (SELECT o_orderkey AS k, o_custkey AS c, CAST(o_orderdate AS DATE) AS d, CAST(o_orderdate AS TIMESTAMP) AS ts, o_orderstatus AS status, o_totalprice AS price FROM orders),
+r0 AS (SELECT *, 70 + (k % 50) / 10.0::DOUBLE AS min_lon, 18 + (k % 30) / 10.0::DOUBLE AS min_lat FROM o),
+requests AS (
+  SELECT k, 'run-' || k AS analysis_id, min_lon, min_lon + (CASE WHEN k % 17 = 0 THEN -1 ELSE 2 END) / 10.0::DOUBLE AS max_lon, min_lat, min_lat + (CASE WHEN k % 19 = 0 THEN -1 ELSE 1 END) / 10.0::DOUBLE AS max_lat,
+    d AS before_date, CAST(d + CAST(CASE WHEN k % 23 = 0 THEN 0 ELSE 30 + k % 100 END AS INTEGER) AS DATE) AS after_date, (k % 13) / 10.0::DOUBLE AS threshold,
+    CASE WHEN k % 29 = 0 THEN 'loose' WHEN k % 2 = 0 THEN 'strict' ELSE 'lenient' END AS policy, CASE WHEN k % 31 = 0 THEN 0 ELSE 10 END AS res FROM r0),
+scenes AS (SELECT k, 'S' || k AS item_id, c % 40 AS aoi, CASE WHEN k % 2 = 0 THEN 'before' ELSE 'after' END AS role, ts, CAST((k * 37) % 101 AS DOUBLE) AS cloud_cover_percent, 'T' || (k % 7) AS tile, c % 90 AS x0, c % 45 AS y0 FROM o),
+parts AS (SELECT 'tile_' || k AS stem, p AS part FROM o, LATERAL (VALUES ('A', k % 5 <> 0), ('B', k % 7 <> 0), ('label', k % 11 <> 0)) v(p, here) WHERE here),
+splits AS (SELECT DISTINCT CASE WHEN status = 'F' THEN 'train' ELSE 'test' END AS split, 'r' || (c % 500) AS region FROM o),
+runs AS (SELECT k, 'run-' || k AS analysis_id, ts AS created_at, CASE WHEN k % 5 = 0 THEN 'failed' ELSE 'complete' END AS status,
+  CASE WHEN k % 5 <> 0 THEN CASE k % 3 WHEN 0 THEN 'LOW' WHEN 1 THEN 'MEDIUM' ELSE 'HIGH' END END AS priority, CASE WHEN k % 5 <> 0 THEN (k % 100) / 100.0::DOUBLE END AS confidence, CASE WHEN k % 5 <> 0 THEN (k % 977) / 10.0::DOUBLE END AS changed_area_ha FROM o),
+yp AS (SELECT CAST(k % 3 AS INTEGER) AS y, CAST((CASE WHEN k % 7 = 0 THEN k + 1 ELSE k END) % 3 AS INTEGER) AS p FROM o)"""
+
+
+def derived_oracles() -> dict[str, str]:
+    w = with_(DERIVED)
+    bands = ("B02", "B03", "B04", "B08")
+    band_list = [f"('band_readable_{b}', true)" for b in bands]
+    band_list += [f"('band_has_variation_{b}', bool_or(band = '{b}' AND usable > 0 AND sd > 0))" for b in bands]
+    band_list += [f"('band_values_in_sensor_range_{b}', bool_or(band = '{b}' AND lo >= 0 AND hi <= 65535))" for b in bands]
+    band_list += ["('bands_present', count(DISTINCT band) = 4)", "('no_non_finite_pixels', true)", "('has_valid_pixels', min(usable::DOUBLE / n) > 0)", "('mostly_valid_pixels', min(round(usable::DOUBLE / n, 6)) >= 0.99)"]
+    columns = ", ".join(f"{v.split(', ', 1)[1][:-1]} AS x{i}" for i, v in enumerate(band_list))
+    values = ", ".join(f"({v.split(', ', 1)[0][1:]}, x{i})" for i, v in enumerate(band_list))
+    processed = ["shared_is_before_and_after", "reflectance_in_range", "ndvi_in_range", "ndvi_difference_in_range", "mostly_valid", "valid_has_usable_class", "usable_in_both", "classes_known"]
+    tests = ["true", "true", "bool_and(coalesce(ndvi_before BETWEEN -1 AND 1, true) AND coalesce(ndvi_after BETWEEN -1 AND 1, true))", "bool_and(coalesce(ndvi_diff BETWEEN -2 AND 2, true))", "count(*) FILTER (valid) / count(*)::DOUBLE > 0.99",
+             "bool_and(NOT valid OR (scl_before IN (4, 5, 6) AND scl_after IN (4, 5, 6)))", "count(*) FILTER (valid) / count(*)::DOUBLE >= 0.5", "bool_and(scl_before BETWEEN 0 AND 11 AND scl_after BETWEEN 0 AND 11)"]
+    checks = f"""checks AS (SELECT scene_id, c AS "check", passed FROM (SELECT scene_id, {", ".join(f"{t} AS x{i}" for i, t in enumerate(tests))} FROM px GROUP BY scene_id), LATERAL (VALUES {", ".join(f"('{n}', x{i})" for i, n in enumerate(processed))}) v(c, passed))"""
+    problems = [("longitude out of range", "NOT (min_lon BETWEEN -180 AND 180 AND max_lon BETWEEN -180 AND 180)"), ("latitude out of range", "NOT (min_lat BETWEEN -90 AND 90 AND max_lat BETWEEN -90 AND 90)"),
+                ("min_lon must be less than max_lon", "min_lon >= max_lon"), ("min_lat must be less than max_lat", "min_lat >= max_lat"), ("before_date must precede after_date", "before_date >= after_date"),
+                ("change_threshold must lie in [0, 1]", "NOT (threshold BETWEEN 0 AND 1)"), ("unknown scl_policy", "policy NOT IN ('strict', 'lenient')"), ("pixel_resolution_m must be positive", "res <= 0")]
+    texts = ", ".join(f"CASE WHEN {t} THEN '{m}' END" for m, t in problems)
+    red = "red AS (SELECT scene_id, row, col, nullif(dn_b_b04, 0) AS v FROM base)"
+    tap = lambda i, dr, dc: f"LEFT JOIN red r{i} ON r{i}.scene_id = t.scene_id AND r{i}.row = t.row + {dr} AND r{i}.col = t.col + {dc}"
+    weights = [(0, 0, 0.42), (0, 1, 0.18), (1, 0, 0.28), (1, 1, 0.12)]
+    num = " + ".join(f"coalesce(r{i}.v * {x}::DOUBLE, 0)" for i, (_, _, x) in enumerate(weights))
+    den = " + ".join(f"CASE WHEN r{i}.v IS NULL THEN 0 ELSE {x}::DOUBLE END" for i, (_, _, x) in enumerate(weights))
+    bilinear = f"SELECT t.scene_id, CAST(t.row AS INTEGER) AS row, CAST(t.col AS INTEGER) AS col, CASE WHEN t.v IS NOT NULL THEN round(({num}) / ({den}), 6) END AS dn FROM red t " + " ".join(tap(i, r, c) for i, (r, c, _) in enumerate(weights))
+    cellsql = lambda h, n: f"cells AS (SELECT scene_id, CAST(r AS INTEGER) AS row, CAST(q AS INTEGER) AS col FROM (SELECT DISTINCT scene_id FROM base), range({h}) a(r), range({n}) b(q))"
+    f1 = [f"coalesce(2.0 * tp{k} / nullif(y{k} + p{k}, 0), 0.0::DOUBLE)" for k in range(3)]
+    sums = ", ".join(f"CAST(count(*) FILTER (y = {k} AND p = {k}) AS DOUBLE) AS tp{k}, CAST(count(*) FILTER (y = {k}) AS DOUBLE) AS y{k}, CAST(count(*) FILTER (p = {k}) AS DOUBLE) AS p{k}" for k in range(3))
+    chance = " + ".join(f"(y{k} / n) * (p{k} / n)" for k in range(3))
+    share = lambda f: f"greatest(1, round(n * {f}::DOUBLE))"
+    return {
+        "band_validation": with_(PIXELS, READINGS) + f"""SELECT scene_id, role, c AS "check", passed FROM (SELECT scene_id, role, {columns} FROM (SELECT scene_id, role, band, count(*) AS n, count(*) FILTER (dn <> 0) AS usable, stddev_pop(dn) FILTER (dn <> 0) AS sd, min(dn) FILTER (dn <> 0) AS lo, max(dn) FILTER (dn <> 0) AS hi FROM readings GROUP BY ALL) GROUP BY scene_id, role), LATERAL (VALUES {values}) v(c, passed)""",
+        "processed_validation": with_(PIXELS, checks) + 'SELECT scene_id, "check", passed FROM checks',
+        "validation_report": with_(PIXELS, checks) + """SELECT scene_id, bool_and(passed) AS passed, coalesce(string_agg("check", ',' ORDER BY "check") FILTER (NOT passed), '') AS problems FROM checks GROUP BY scene_id""",
+        "class_checks": with_(PIXELS) + """SELECT scene_id, role, c AS "check", passed FROM (SELECT scene_id, role, count(scl) > 0 AS a, count(*) FILTER (scl NOT BETWEEN 0 AND 11) = 0 AS b, count(*) FILTER (scl IN (4, 5, 6)) > 0 AS u FROM (SELECT scene_id, 'before' AS role, scl_before AS scl FROM base UNION ALL SELECT scene_id, 'after', scl_after FROM base) GROUP BY ALL), LATERAL (VALUES ('scl_present', a), ('scl_classes_known', b), ('scl_has_usable_pixels', u)) v(c, passed)""",
+        "missing_bands": with_(PIXELS) + "SELECT DISTINCT scene_id, 'after' AS role, 'B08' AS band FROM base WHERE scene_id % 3 = 1",
+        "request_checks": w + f"SELECT analysis_id, len(p) = 0 AS accepted, array_to_string(p, '; ') AS problems FROM (SELECT analysis_id, list_filter([{texts}], lambda x: x IS NOT NULL) AS p FROM requests)",
+        "scene_search": w + "SELECT item_id, cloud_cover_percent, tile FROM scenes WHERE ts BETWEEN TIMESTAMP '1994-01-01' AND TIMESTAMP '1997-12-31' AND cloud_cover_percent < 40 AND k % 9 <> 0 AND x0 <= 40 AND x0 + 10 >= 20 AND y0 <= 30 AND y0 + 10 >= 10",
+        "scene_pick": w + """, b AS (SELECT * FROM scenes WHERE role = 'before' AND cloud_cover_percent < 60 QUALIFY row_number() OVER (PARTITION BY aoi ORDER BY tile <> 'T3', cloud_cover_percent, item_id) = 1),
+          a AS (SELECT s.* FROM scenes s JOIN b USING (aoi) WHERE s.role = 'after' AND s.cloud_cover_percent < 60 QUALIFY row_number() OVER (PARTITION BY s.aoi ORDER BY s.tile <> b.tile, s.cloud_cover_percent, s.item_id) = 1)
+          SELECT aoi, role, item_id, tile, cloud_cover_percent FROM b UNION ALL SELECT aoi, role, item_id, tile, cloud_cover_percent FROM a""",
+        "common_grid": with_(PIXELS) + """, s AS (SELECT DISTINCT scene_id FROM base), g AS (SELECT scene_id, greatest(500000 + 10 * (scene_id % 7), 500050) AS x0, least(501000 + 10 * (scene_id % 7), 501050) AS x1, least(2000000, 1999970 - 3 * (scene_id % 5)) AS y1, greatest(1999850, 1999820 - 3 * (scene_id % 5)) AS y0 FROM s),
+          q AS (SELECT scene_id, floor(x0 / 10.0) * 10 AS x0, ceil(x1 / 10.0) * 10 AS x1, floor(y0 / 10.0) * 10 AS y0, ceil(y1 / 10.0) * 10 AS y1 FROM g)
+          SELECT scene_id, 'EPSG:32643' AS crs, 10.0::DOUBLE AS a, CAST(x0 AS DOUBLE) AS c, -10.0::DOUBLE AS e, CAST(y1 AS DOUBLE) AS f, CAST((x1 - x0) / 10 AS INTEGER) AS width, CAST((y1 - y0) / 10 AS INTEGER) AS height FROM q""",
+        "bounds_checks": with_(PIXELS) + """, s AS (SELECT DISTINCT scene_id FROM base), g AS (SELECT scene_id, CAST(greatest(0, least(501000 + 10 * (scene_id % 7), 501050) - greatest(500000 + 10 * (scene_id % 7), 500050)) * greatest(0, least(2000000, 1999970 - 3 * (scene_id % 5)) - greatest(1999850, 1999820 - 3 * (scene_id % 5))) AS DOUBLE) AS area FROM s)
+          SELECT scene_id, round(area / 1e6::DOUBLE, 3) AS overlap_km2, round(area / 150000.0::DOUBLE, 6) AS overlap_fraction, area > 0 AS bounds_overlap, area / 150000.0::DOUBLE >= 0.25 AS overlap_covers_smaller_footprint FROM g""",
+        "resample_bilinear": with_(PIXELS, red) + bilinear,
+        "resample_nearest": with_(PIXELS, red, cellsql(15, 100)) + "SELECT c.scene_id, c.row, c.col, round(CAST(r.v AS DOUBLE), 6) AS dn FROM cells c LEFT JOIN red r ON r.scene_id = c.scene_id AND r.row = c.row + 3 AND r.col = c.col + 5",
+        "resample_average": with_(PIXELS, red, cellsql(8, 50)) + "SELECT c.scene_id, c.row, c.col, CASE WHEN max(CASE WHEN r.row % 2 = 1 AND r.col % 2 = 1 THEN r.v END) IS NOT NULL THEN round(avg(r.v), 6) END AS dn FROM cells c LEFT JOIN red r ON r.scene_id = c.scene_id AND r.row // 2 = c.row AND r.col // 2 = c.col GROUP BY ALL",
+        "paired_stems": w + "SELECT stem FROM parts GROUP BY stem HAVING count(*) = 3",
+        "orphans": w + "SELECT stem, part FROM parts WHERE stem NOT IN (SELECT stem FROM parts GROUP BY stem HAVING count(*) = 3)",
+        "split_leakage": w + "SELECT region FROM splits WHERE split = 'train' INTERSECT SELECT region FROM splits WHERE split = 'test'",
+        "unresolved_regions": w + "SELECT DISTINCT region FROM splits WHERE region NOT IN (SELECT 'r' || (k % 400) FROM o)",
+        "stratified_split": w + f"SELECT k, status, CASE WHEN r <= {share(0.2)} THEN 'test' WHEN r <= {share(0.2)} + {share(0.2)} THEN 'val' ELSE 'train' END AS split FROM (SELECT k, status, row_number() OVER (PARTITION BY status ORDER BY k * 7919 % 10007, k) AS r, count(*) OVER (PARTITION BY status) AS n FROM o)",
+        "region_split": w + ", g AS (SELECT DISTINCT c % 25 AS region FROM o), v AS (SELECT region FROM g ORDER BY region * 7919 % 10007, region LIMIT (SELECT greatest(1, CAST(round_even(0.2 * count(*), 0) AS BIGINT)) FROM g)) SELECT k, c % 25 AS region, CASE WHEN c % 25 IN (SELECT region FROM v) THEN 'val' ELSE 'train' END AS split FROM o",
+        "best_epoch": w + "SELECT run, epoch, iou FROM (SELECT c % 20 AS run, k AS epoch, (k * 31 % 1000) / 1000.0::DOUBLE AS iou FROM o) QUALIFY row_number() OVER (PARTITION BY run ORDER BY iou DESC, epoch) = 1",
+        "dataset_union": w + "SELECT CASE status WHEN 'F' THEN 'primary' ELSE 'secondary' END AS dataset, count(*) AS n, min(k) AS first_k, max(k) AS last_k FROM o WHERE status IN ('F', 'O') GROUP BY 1",
+        "dataset_summary": with_(PIXELS) + "SELECT dataset, count(*) AS samples, round(min(f), 6) AS min_fraction, round(avg(f), 6) AS mean_fraction, round(max(f), 6) AS max_fraction FROM (SELECT scene_id % 3 AS dataset, scene_id, round(avg(target), 6) AS f FROM base GROUP BY ALL) GROUP BY dataset",
+        "multiclass_metrics": w + f"""SELECT n, round(hits / n, 6) AS accuracy, round(({" + ".join(f"coalesce(tp{k} / nullif(p{k}, 0), 0.0::DOUBLE)" for k in range(3))}) / 3, 6) AS macro_precision, round(({" + ".join(f"coalesce(tp{k} / nullif(y{k}, 0), 0.0::DOUBLE)" for k in range(3))}) / 3, 6) AS macro_recall,
+            round(({" + ".join(f1)}) / 3, 6) AS macro_f1, round({f1[0]}, 6) AS f1_low, round({f1[1]}, 6) AS f1_medium, round({f1[2]}, 6) AS f1_high, round((hits / n - ({chance})) / (1 - ({chance})), 6) AS cohen_kappa
+            FROM (SELECT count(*) AS n, CAST(count(*) FILTER (y = p) AS DOUBLE) AS hits, {sums} FROM yp)""",
+        "multiclass_confusion": w + "SELECT CAST(a AS INTEGER) AS actual, CAST(b AS INTEGER) AS predicted, (SELECT count(*) FROM yp WHERE y = a AND p = b) AS n FROM range(3) x(a), range(3) z(b)",
+        "history_rows": w + "SELECT analysis_id, created_at, status, priority, confidence, changed_area_ha FROM runs",
+        "history_page": w + "SELECT analysis_id, created_at, status, priority, confidence, changed_area_ha FROM runs ORDER BY created_at DESC, analysis_id DESC LIMIT 20 OFFSET 20",
+        "aoi_boxes": w + """, b AS (SELECT analysis_id, min_lon, min_lat, max_lon, max_lat, CAST(round(min_lon, 1) AS VARCHAR) AS a, CAST(round(min_lat, 1) AS VARCHAR) AS s, CAST(round(max_lon, 1) AS VARCHAR) AS e, CAST(round(max_lat, 1) AS VARCHAR) AS n FROM requests)
+          SELECT analysis_id, abs(round((max_lon - min_lon) * 111.32::DOUBLE * cos(radians((min_lat + max_lat) / 2)) * ((max_lat - min_lat) * 110.574::DOUBLE), 4)) AS area_km2, 'POLYGON((' || a || ' ' || s || ', ' || e || ' ' || s || ', ' || e || ' ' || n || ', ' || a || ' ' || n || ', ' || a || ' ' || s || '))' AS wkt FROM b""",
+        "run_states": w + "SELECT analysis_id, CASE WHEN k % 10 = 3 THEN 'no_data' WHEN k % 6 = 5 THEN 'failed' ELSE 'complete' END AS status, CASE WHEN k % 10 <> 3 AND k % 6 = 5 THEN 'failed checks: bands_present' END AS error FROM requests",
     }
 
 
+
 SUMMARY = [
     "total_area_ha", "valid_area_ha", "total_area_km2", "valid_area_km2", "scl_veg_loss_ha", "feature_vector_length",
     "ndvi_before_mean", "ndvi_after_mean", "ndvi_diff_mean", "change_ndvi_diff_mean", "veg_loss_ha_01", "veg_loss_ha_02", "veg_loss_ha_03", "veg_gain_ha_02", "veg_loss_fraction",
