@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,6 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pixelweft.operators.components import components
+from pixelweft.storage import durable, shared_dir
+
+__all__ = ["chunks", "components", "durable", "map_texts", "row_key", "shared_dir", "table"]
+
 #: Bytes of text that a Python task works on at a time.
 CHUNK = 4 << 20
 
@@ -21,34 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only a local master may go without the setting; it gets a temporary folder, and keeps it
-    for the life of the session.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    found = spark.sparkContext.getCheckpointDir()
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    found = tempfile.mkdtemp(prefix="pixelweft-")
-    spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def durable(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: its lineage ends there, and a lost
-    executor costs a reread instead of a recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/pixelweft/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def row_key(*cols: str):
     """A 64-bit key of a row's content; rows that agree in all of ``cols`` share it."""
     parts = []
@@ -57,56 +32,6 @@ def row_key(*cols: str):
     return F.xxhash64(*parts)
 
 
-def _stamp(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-    return row["n"], row["x"]
-
-
-def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
-    """Distributed union-find over links ``(a, b)`` of longs: one row ``(node, component)`` for
-    each node that has a link, where ``component`` is the smallest node that it reaches.
-
-    Alternates the large-star and small-star steps (Kiveris et al., SoCC 2014) until the link
-    set no longer changes. Each round is written to the shared folder. Null ends and loops are
-    ignored; an empty input gives an empty result.
-    """
-    links = (
-        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-        .where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v")))
-        .distinct()
-    )
-    links = durable(links, "links")
-    stamp = _stamp(links)
-    for _ in range(max_rounds):
-        if not stamp[0]:
-            break
-        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = (
-            both.join(low.hint("merge"), "u")
-            .where("v > u and v != m")
-            .select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(low.where("u != m").select("u", F.col("m").alias("v")))
-            .distinct()
-        )
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(low.hint("merge"), "u")
-            .where("v != m")
-            .select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(low.select("u", F.col("m").alias("v")))
-            .distinct()
-        )
-        links = durable(small, "links")
-        before, stamp = stamp, _stamp(links)
-        if stamp == before:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    roots = links.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
-    return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
-
-
 def chunks(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
     """Slices of ``batch`` of about ``CHUNK`` bytes of text; a longer text is a slice by itself."""
     column = batch.column(text)
