@@ -11,6 +11,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pixelweft.functions import spectral as S
 from pixelweft.functions.spectral import ratio
@@ -54,7 +55,7 @@ def score(px: DataFrame, model: PipelineModel) -> DataFrame:
 
 def score_with(px: DataFrame, scorer: Callable[[pd.DataFrame], pd.Series], columns: list[str]) -> DataFrame:
     """change_prob from a caller's function of a batch of pixels."""
-    schema = px.schema.add("change_prob", "double")
+    schema = T.StructType([*px.schema.fields, T.StructField("change_prob", T.DoubleType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
