@@ -44,18 +44,18 @@ def chunks(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
             yield batch.slice(a, b - a)
 
 
-def map_texts(df: DataFrame, text: str, keep: list[str], make: Callable[[], Callable], fields: list[T.StructField]) -> DataFrame:
+def map_texts(df: DataFrame, text: str, keep: list[str], make: Callable[[], Callable], fields: list[T.StructField], uses: tuple[str, ...] = ()) -> DataFrame:
     """The columns ``keep`` of ``df`` and new ``fields``, computed from slices of its rows.
 
     ``make()`` is called once in each task and returns a function from a slice to the arrays of
-    the new columns. A kept column with the name of a new one gives way to it. Rows stay where
+    the new columns, which may look at ``text`` and ``uses`` too. A kept column with the name of a new one gives way to it. Rows stay where
     they are: no shuffle.
     """
     new = {f.name for f in fields}
     keep = [c for c in keep if c not in new]
     schema = T.StructType([*(df.schema[c] for c in keep), *fields])
     names = schema.names
-    need = df.select(*dict.fromkeys([*keep, text]))
+    need = df.select(*dict.fromkeys([*keep, text, *uses]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()

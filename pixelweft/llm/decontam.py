@@ -145,8 +145,7 @@ def find_windows(docs: DataFrame, text: str, keep: list[str], block: Block) -> D
         return work
 
     fields = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("item_ids", T.ArrayType(T.StringType())), T.StructField("mask", T.BinaryType())]
-    carry = [*dict.fromkeys([*keep, text, *(["mask", "item_ids"] if again else [])])]
-    return map_texts(docs, text, carry, make, fields)
+    return map_texts(docs, text, [*dict.fromkeys([*keep, text])], make, fields, ("mask", "item_ids") if again else ())
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", share: float = 0.05, keep: list[str] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
