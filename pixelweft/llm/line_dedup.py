@@ -1,14 +1,15 @@
 """Fuzzy line dedup by MinHash, with DataFrame functions only.
 
 A line's shingles are its windows of ``SHINGLE`` consecutive UTF-8 bytes. Equal lines are one node.
-MinHash signatures (long lines are signed over a content-chosen eighth of their shingles, the
-same eighth in every line) are cut into bands; lines that agree in a band are candidates; the
+MinHash signatures (long lines are signed over a content-chosen share of their shingles, the
+same share in every line) are cut into bands; lines that agree in a band are candidates; the
 exact Jaccard similarity of the whole shingle sets decides; distributed union-find joins the
 links; the first line of each component stays, over all documents.
 
-No band emits all of its pairs. First each member is compared with the least member of its band.
-Pairs between others are needed only where, after union-find over those links, a band still
-holds different components, and only between these.
+No band emits all of its pairs. First each member is compared with two pivots of its band. Pairs
+between others are needed only where, after union-find over those links, a band still holds
+different components, and only between these; bitmaps of the shingle sets rule out, exactly and
+inside the join, those that can't be similar enough.
 """
 
 from __future__ import annotations
@@ -18,12 +19,14 @@ from pyspark.sql import functions as F
 
 from pixelweft.llm.common import components, durable, row_key
 
-SHINGLE, ROWS, BANDS, SIMILARITY = 12, 3, 10, 0.8
-#: Lines under LONG bytes are signed over all shingles, lines of SHORT and more over an eighth;
-#: those between have both signatures, so that similar lines always share a kind.
-SHORT, LONG = 128, 200
+SHINGLE, ROWS, BANDS, SIMILARITY = 12, 2, 7, 0.8
+#: A line is signed over a share of its shingles, 1 in ``rate``, if its bytes lie in [from, to). The ranges
+#: overlap, and lines in two of them have both signatures, so that similar lines always share one.
+KINDS = ((1, 0, 200), (8, 128, 1200), (32, 800, 1 << 31))
 #: Candidate lines up to this number (8 bytes each) are broadcast to fetch their texts.
 BROADCAST_LINES = 500_000
+#: Longs of a line's bitmap.
+WORDS = 32
 
 
 def _lines(docs: DataFrame, text: str) -> DataFrame:
@@ -38,28 +41,45 @@ def _shingles(line: str):
 
 def _bands(lines: DataFrame) -> DataFrame:
     """Rows (key, lid): the band keys of each distinct line."""
-    kinds = F.expr(f"case when octet_length(_line) < {SHORT} then array(0) when octet_length(_line) < {LONG} then array(0, 1) else array(1) end")
+    size = F.octet_length("_line")
+    rates = F.array_compact(F.array(*(F.when((size >= low) & (size < high), rate) for rate, low, high in KINDS)))
     windows = (
-        lines.select(F.col("_lid").alias("lid"), F.col("_line").cast("binary").alias("b"), F.explode(kinds).alias("kind"))
+        lines.select(F.col("_lid").alias("lid"), F.col("_line").cast("binary").alias("b"), F.explode(rates).alias("kind"))
         .select("lid", "kind", "b", F.explode(F.expr(f"sequence(1, greatest(1, octet_length(b) - {SHINGLE - 1}))")).alias("i"))
         .select("lid", "kind", F.expr(f"xxhash64(substring(b, i, {SHINGLE}))").alias("h"))
-        .where("kind = 0 or (h & 7) = 0")
+        .where("(h & (kind - 1)) = 0")
     )
     signed = windows.groupBy("lid", "kind").agg(*(F.min(F.hash("h", F.lit(j))).alias(f"m{j}") for j in range(ROWS * BANDS)))
     keys = F.array(*(F.xxhash64(F.lit(b), F.col("kind"), *(F.col(f"m{ROWS * b + r}") for r in range(ROWS))) for b in range(BANDS)))
     return signed.select("lid", F.explode(keys).alias("key"))
 
 
-def _verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
+def _sketches(texts: DataFrame) -> DataFrame:
+    """Rows (lid, n, w0..): the number of distinct shingles, and a bitmap of their hashes in ``WORDS`` longs.
+
+    Bits that differ come from shingles that only one line has, so two bitmaps differ in no more
+    bits than the sets in shingles.
+    """
+    windows = texts.select("lid", F.col("line").cast("binary").alias("b")).select("lid", "b", F.explode(F.expr(f"sequence(1, greatest(1, octet_length(b) - {SHINGLE - 1}))")).alias("i"))
+    hashed = windows.select("lid", F.expr(f"xxhash64(substring(b, i, {SHINGLE}))").alias("h")).selectExpr("lid", f"(h & {WORDS - 1}) as w", "shiftleft(1L, cast(shiftrightunsigned(h, 32) & 63 as int)) as bit")
+    maps = hashed.groupBy("lid").agg(*(F.bit_or(F.when(F.col("w") == i, F.col("bit")).otherwise(0)).alias(f"w{i}") for i in range(WORDS)))
+    sizes = texts.select("lid", F.size(_shingles("line")).alias("n"))
+    return sizes.join(maps.hint("merge"), "lid")
+
+
+def _near(similarity: float):
+    """Whether sketches a and b allow the similarity: the sets differ in at most a fixed share of their sizes."""
+    apart = F.lit(0)
+    for i in range(WORDS):
+        apart = apart + F.bit_count(F.col(f"a.w{i}").bitwiseXOR(F.col(f"b.w{i}")))
+    return apart <= (1 - similarity) / (1 + similarity) * (F.col("a.n") + F.col("b.n")) + 1e-6
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) of lids whose lines' shingle sets have a Jaccard similarity of at least ``similarity``."""
-    pairs = durable(pairs.distinct(), "line_pairs")
-    wanted = durable(pairs.select(F.col("a").alias("_lid")).unionByName(pairs.select(F.col("b").alias("_lid"))).distinct(), "candidate_lines")
-    few = wanted.count() <= BROADCAST_LINES
-    texts = lines.select("_lid", "_line").join(F.broadcast(wanted) if few else wanted.hint("merge"), "_lid", "left_semi")
-    texts = durable(texts.groupBy("_lid").agg(F.min("_line").alias("line")), "candidate_texts")
     both = (
-        pairs.join(texts.select(F.col("_lid").alias("a"), F.col("line").alias("la")).hint("merge"), "a")
-        .join(texts.select(F.col("_lid").alias("b"), F.col("line").alias("lb")).hint("merge"), "b")
+        pairs.join(texts.select(F.col("lid").alias("a"), F.col("line").alias("la")).hint("merge"), "a")
+        .join(texts.select(F.col("lid").alias("b"), F.col("line").alias("lb")).hint("merge"), "b")
     )
     sized = both.select("a", "b", _shingles("la").alias("sa"), _shingles("lb").alias("sb"))
     shared = sized.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("n"), (F.size("sa") + F.size("sb")).alias("total"))
@@ -69,19 +89,30 @@ def _verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFram
 def line_components(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Rows (lid, component) for the lines that are similar to another line."""
     bands = _bands(lines)
-    shared = bands.groupBy("key").agg(F.min("lid").alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least")
+    shared = bands.groupBy("key").agg(F.min("lid").alias("p0"), F.max("lid").alias("p1")).where("p0 != p1")
     met = durable(bands.join(shared.hint("merge"), "key"), "bands")
-    links = _verified(met.where("lid != least").select(F.col("least").alias("a"), F.col("lid").alias("b")), lines, similarity)
+    wanted = durable(met.select(F.col("lid").alias("_lid")).distinct(), "candidate_lines")
+    few = wanted.count() <= BROADCAST_LINES
+    texts = lines.select("_lid", "_line").join(F.broadcast(wanted) if few else wanted.hint("merge"), "_lid", "left_semi")
+    texts = durable(texts.groupBy(F.col("_lid").alias("lid")).agg(F.min("_line").alias("line")), "candidate_texts")
+    stars = met.select("lid", F.explode(F.array("p0", "p1")).alias("p")).where("lid != p").select(F.least("lid", "p").alias("a"), F.greatest("lid", "p").alias("b")).distinct()
+    links = _verified(stars, texts, similarity)
     first = components(links)
 
-    known = met.join(first.select(F.col("node").alias("lid"), "component").hint("merge"), "lid", "left").select("key", "lid", "least", F.coalesce("component", "lid").alias("c"))
+    known = met.join(first.select(F.col("node").alias("lid"), "component").hint("merge"), "lid", "left").select("key", "lid", F.coalesce("component", "lid").alias("c"))
     known = durable(known, "band_components")
-    apart = known.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 != c1").select("key")
-    rest = known.join(apart.hint("merge"), "key", "left_semi").where("lid != least")
-    a, b = rest.select("key", F.col("lid").alias("a"), F.col("c").alias("ca")), rest.select("key", F.col("lid").alias("b"), F.col("c").alias("cb"))
-    more = a.hint("merge").join(b, "key").where("a < b and ca != cb").select("a", "b")
-    links = links.unionByName(_verified(more, lines, similarity))
-    return components(links).select(F.col("node").alias("lid"), "component")
+    apart = known.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n")).where("c0 != c1 and n > 2").select("key")
+    rest = durable(known.join(apart.hint("merge"), "key", "left_semi"), "open_bands")
+    if rest.isEmpty():
+        return first.select(F.col("node").alias("lid"), "component")
+    sketches = durable(_sketches(texts.join(rest.select("lid").distinct().hint("merge"), "lid", "left_semi")), "sketches")
+    rest = rest.join(sketches.hint("merge"), "lid")
+    # the bitmaps are part of the join's condition: pairs that can't be similar are never made
+    near = (F.col("a.key") == F.col("b.key")) & (F.col("a.lid") < F.col("b.lid")) & (F.col("a.c") != F.col("b.c")) & _near(similarity)
+    more = rest.alias("a").hint("merge").join(rest.alias("b"), near).select(F.col("a.lid").alias("a"), F.col("b.lid").alias("b")).distinct()
+    more = _verified(more, texts, similarity)
+    found = first if more.isEmpty() else components(links.unionByName(more))
+    return found.select(F.col("node").alias("lid"), "component")
 
 
 def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -114,9 +145,9 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sim
     All rows stay; a text may become empty. A null text stays null, with nothing removed. An empty
     table gives an empty result. Other columns pass through; one named removed_lines is replaced.
     """
-    gone = removed_lines(docs, doc_id, text, similarity).select(F.col("doc_id").alias("_gone_id"), F.col("row").alias("_gone_row"), "removed")
-    keyed = docs.drop("removed_lines").withColumn("_row", row_key(doc_id, text))
-    joined = keyed.join(gone.hint("merge"), (F.col("_row") == F.col("_gone_row")) & F.col(doc_id).eqNullSafe(F.col("_gone_id")), "left")
-    left = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda line, i: ~F.array_contains("removed", i)), "\n")
+    gone = removed_lines(docs, doc_id, text, similarity).select(F.col("doc_id").alias("_gone_id"), F.col("row").alias("_gone_row"), F.col("removed").alias("_gone"))
+    keyed = docs.drop("removed_lines").withColumn("_row_key", row_key(doc_id, text))
+    joined = keyed.join(gone.hint("merge"), (F.col("_row_key") == F.col("_gone_row")) & F.col(doc_id).eqNullSafe(F.col("_gone_id")), "left")
+    left = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda line, i: ~F.array_contains("_gone", i)), "\n")
     names = [c for c in docs.columns if c != "removed_lines"]
-    return joined.select(*(F.when(F.col("removed").isNull(), F.col(c)).otherwise(left).alias(c) if c == text else F.col(c) for c in names), F.coalesce("removed", F.array().cast("array<int>")).alias("removed_lines"))
+    return joined.select(*(F.when(F.col("_gone").isNull(), F.col(c)).otherwise(left).alias(c) if c == text else F.col(c) for c in names), F.coalesce("_gone", F.array().cast("array<int>")).alias("removed_lines"))
