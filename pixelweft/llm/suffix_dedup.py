@@ -20,13 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pixelweft.llm.common import chunks, durable, map_texts, row_key
+from pixelweft.llm.common import chunks, durable, map_texts, row_key, small_batches
 
 LENGTH, SEED = 50, 10
 WIDTH = LENGTH - SEED + 1
 #: Bases of two rolling hashes over 64 bits; together 128 bits tell passages apart.
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
-MEMORY = 300_000
+MEMORY = 150_000
 
 
 class WordHashes(dict):
@@ -48,63 +48,80 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-class Rolling:
-    """Hashes of any stretch of a text's words."""
+class Powers:
+    """Powers of the bases and of their inverses, as far as a text needs them."""
 
-    def __init__(self, words: np.ndarray, base: np.uint64):
-        self.words, self.base = words, base
+    def __init__(self):
+        self.n, self.of = 0, []
 
-    def runs(self, n: int) -> np.ndarray:
-        """The hash of the n words from each place."""
-        count = max(0, len(self.words) - n + 1)
-        h = np.zeros(count, np.uint64)
-        for i in range(n):
-            h = h * self.base + self.words[i : i + count]
-        return mixed(h)
+    def upto(self, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        if n > self.n:
+            self.n = max(n, 2 * self.n)
+            inverse = [np.uint64(pow(int(b), -1, 1 << 64)) for b in BASES]
+            start = lambda b: np.cumprod(np.concatenate([[np.uint64(1)], np.full(self.n, b, np.uint64)]))
+            self.of = [(start(b), start(i)) for b, i in zip(BASES, inverse, strict=True)]
+        return self.of
 
 
-def minimisers(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Where suffixes are kept, the seed hashes there, and the first and last passage (by start) of each."""
-    seeds = Rolling(words, BASES[0]).runs(SEED)
-    count = len(words) - LENGTH + 1
-    if count <= 0:
-        none = np.zeros(0, np.int64)
-        return none, none.astype(np.uint64), none, none
-    at = np.empty(count, np.int64)
-    step = 1 << 18
-    for a in range(0, count, step):
-        view = np.lib.stride_tricks.sliding_window_view(seeds[a : min(a + step, count) + WIDTH - 1], WIDTH)
-        # the rightmost of equal least seeds
-        at[a : a + len(view)] = np.arange(a, a + len(view)) + (WIDTH - 1 - view[:, ::-1].argmin(1))
-    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    last = np.concatenate([first[1:] - 1, [count - 1]])
-    return at[first], seeds[at[first]], first, last
+class Stretches:
+    """Hashes of any stretch of a text's words, from running sums."""
+
+    def __init__(self, words: np.ndarray, powers: Powers):
+        n = len(words)
+        self.parts = [(np.concatenate([[np.uint64(0)], np.cumsum(words * up[:n])]), down) for up, down in powers.upto(n)]
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+        return [mixed((sums[ends] - sums[starts]) * down[starts]) for sums, down in self.parts]
+
+    def seeds(self) -> np.ndarray:
+        sums, down = self.parts[0]
+        return mixed((sums[SEED:] - sums[:-SEED]) * down[: len(sums) - SEED])
+
 
+def rightmost_least(x: np.ndarray, width: int) -> np.ndarray:
+    """Where the least value of each ``width`` neighbours is, the rightmost of equal ones."""
+    low, at, span = x, np.arange(len(x)), 1
 
-def stretch_hashes(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
-    """Two hashes of each stretch of at most 2 * LENGTH words."""
-    found, longest = [], int((ends - starts).max()) if len(starts) else 0
-    for base in BASES:
-        h = np.zeros(len(starts), np.uint64)
-        for i in range(longest):
-            on = starts + i < ends
-            h[on] = h[on] * base + words[starts[on] + i]
-        found.append(mixed(h).view(np.int64))
-    return found
+    def joined(shift: int):
+        right, left = low[shift:], low[: len(low) - shift]
+        take = right <= left
+        return np.where(take, right, left), np.where(take, at[shift:], at[: len(at) - shift])
+
+    while 2 * span <= width:
+        low, at = joined(span)
+        span *= 2
+    if span < width:
+        low, at = joined(width - span)
+    return at
+
+
+def minimisers(seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where suffixes are kept, and the first and last passage (by start) of each."""
+    if len(seeds) < WIDTH:
+        none = np.zeros(0, np.int64)
+        return none, none, none
+    at = rightmost_least(seeds, WIDTH)
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    return at[first], first, np.concatenate([first[1:] - 1, [len(at) - 1]])
 
 
 def suffixes(rows: DataFrame) -> DataFrame:
     """Rows (row, first, last, seed, x0, x1): the kept suffixes, the span of their passages, the hash of their first words, those of their extents."""
 
     def run(batches):
-        hashes = WordHashes()
+        hashes, powers = WordHashes(), Powers()
         for batch in batches:
             for piece in chunks(batch, "text"):
                 parts = [[] for _ in range(6)]
                 for row, text in zip(piece.column("row").to_pylist(), piece.column("text").to_pylist(), strict=True):
                     words = hashes.of(text)
-                    at, seed, first, last = minimisers(words)
-                    for part, x in zip(parts, (np.full(len(at), row), first, last, seed.view(np.int64), *stretch_hashes(words, first, last + LENGTH)), strict=True):
+                    if len(words) < LENGTH:
+                        continue
+                    stretches = Stretches(words, powers)
+                    seeds = stretches.seeds()
+                    at, first, last = minimisers(seeds)
+                    extents = [h.view(np.int64) for h in stretches.hashes(first, last + LENGTH)]
+                    for part, x in zip(parts, (np.full(len(at), row), first, last, seeds[at].view(np.int64), *extents), strict=True):
                         part.append(x)
                 kinds = (np.int64, np.int32, np.int32, np.int64, np.int64, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, k), *p]).astype(k)) for p, k in zip(parts, kinds, strict=True)], ["row", "first", "last", "seed", "x0", "x1"])
@@ -118,7 +135,7 @@ def passages(rows: DataFrame, extents: DataFrame) -> DataFrame:
     joined = rows.select("row", "text").join(wanted.hint("merge"), "row").select("text", "spans")
 
     def run(batches):
-        hashes = WordHashes()
+        hashes, powers = WordHashes(), Powers()
         for batch in batches:
             for piece in chunks(batch, "text"):
                 parts = [[np.zeros(0, k)] for k in (np.int64, np.int64, np.int32, np.int64, np.int64)]
@@ -126,7 +143,7 @@ def passages(rows: DataFrame, extents: DataFrame) -> DataFrame:
                     words = hashes.of(text)
                     starts = np.concatenate([np.arange(s["first"], s["last"] + 1) for s in spans])
                     n = np.array([s["last"] - s["first"] + 1 for s in spans])
-                    p0, p1 = stretch_hashes(words, starts, starts + LENGTH)
+                    p0, p1 = (h.view(np.int64) for h in Stretches(words, powers).hashes(starts, starts + LENGTH))
                     for part, x in zip(parts, (np.repeat([s["x0"] for s in spans], n), np.repeat([s["x1"] for s in spans], n), starts.astype(np.int32), p0, p1), strict=True):
                         part.append(x)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p)) for p in parts], ["x0", "x1", "first", "p0", "p1"])
@@ -145,10 +162,12 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     rows = rows.withColumn("row", row_key("doc_id", "text"))
+    small_batches(docs.sparkSession)
     kept = durable(suffixes(rows), "suffixes")
 
     groups = kept.groupBy("seed").agg(F.count("*").alias("n"), ((F.min("x0") == F.max("x0")) & (F.min("x1") == F.max("x1"))).alias("alike")).where("n > 1")
-    neighbours = durable(kept.join(groups.select("seed", "alike").hint("merge"), "seed").drop("seed"), "neighbours")
+    groups = durable(groups.select("seed", "alike"), "seeds")  # a table of its own, so that Spark can split a hot seed in the join
+    neighbours = durable(kept.join(groups.hint("merge"), "seed").drop("seed"), "neighbours")
     whole = neighbours.where("alike").select("row", "first", (F.col("last") + LENGTH).alias("end"))
 
     place = F.struct("row", "first", "last")
