@@ -21,7 +21,7 @@ from pixelweft.llm.common import map_texts
 #: Fixed value: the split pattern of byte-level BPE (public; also public_tokenizers.PATTERN).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words that a task's table holds at most, and the length up to which a word enters it.
-MEMORY, LONGEST = 250_000, 48
+MEMORY, LONGEST = 120_000, 48
 
 
 def load(spec: str):

@@ -16,8 +16,8 @@ from pixelweft.storage import durable, shared_dir
 
 __all__ = ["chunks", "components", "durable", "map_texts", "row_key", "shared_dir", "table"]
 
-#: Bytes of text that a Python task works on at a time.
-CHUNK = 4 << 20
+#: Bytes of text that a Python task works on at a time, and bytes of an Arrow batch that Spark sends it.
+CHUNK, BATCH = 2 << 20, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,17 @@ def row_key(*cols: str):
     return F.xxhash64(*parts)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hold Arrow batches to ``BATCH`` bytes for the rest of the session. Spark's default counts rows, or
+    tens of MB, and every running Python worker holds one in the JVM and one on its own side."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    try:
+        spark.conf.set(name, f"{BATCH}b")
+    except Exception as e:  # a Spark without the setting
+        if "CANNOT_MODIFY_CONFIG" not in str(e):
+            raise
+
+
 def chunks(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
     """Slices of ``batch`` of about ``CHUNK`` bytes of text; a longer text is a slice by itself."""
     column = batch.column(text)
@@ -51,6 +62,7 @@ def map_texts(df: DataFrame, text: str, keep: list[str], make: Callable[[], Call
     the new columns, which may look at ``text`` and ``uses`` too. A kept column with the name of a new one gives way to it. Rows stay where
     they are: no shuffle.
     """
+    small_batches(df.sparkSession)
     new = {f.name for f in fields}
     keep = [c for c in keep if c not in new]
     schema = T.StructType([*(df.schema[c] for c in keep), *fields])

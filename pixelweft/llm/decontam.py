@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pixelweft.llm.common import chunks, map_texts
+from pixelweft.llm.common import chunks, map_texts, small_batches
 
 WINDOW, SHINGLE = 13, 3
 #: Bytes of benchmark text, about, that visit the documents at a time.
@@ -158,6 +158,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     names of results are replaced.
     """
     keep = [c for c in keep or docs.columns if c not in ("n_words", "n_hit", "item_ids", "mask", "contaminated")]
+    small_batches(docs.sparkSession)
     items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null")
     size = items.agg(F.sum(F.octet_length("t")).alias("s")).first()["s"] or 0
     blocks = max(1, -(-size // block_bytes))

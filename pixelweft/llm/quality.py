@@ -22,7 +22,7 @@ WORDS, STATS, BINS, FACTORS = 1 << 15, 16, 24, 8
 FEATURES = WORDS + STATS * BINS
 #: Labelled rows that a fit takes at most.
 SAMPLE = 6000
-MEMORY = 300_000
+MEMORY = 150_000
 UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]")
 KINDS = {1: b"!", 2: b"|", 3: b"$#%&*", 4: b"0123456789", 5: b".", 6: b",;:", 7: b"?\"'()[]{}<>", 8: b"@/\\_=+-", 9: b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
 

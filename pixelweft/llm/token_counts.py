@@ -20,7 +20,7 @@ from pixelweft.llm.common import map_texts
 SPACE = "▁"
 PRETOKEN = re.compile(f"{SPACE}+[^{SPACE}]*")
 #: Merged pre-tokens that a task remembers, and the length up to which it does.
-MEMORY, LONGEST = 200_000, 48
+MEMORY, LONGEST = 150_000, 48
 
 
 def load(model: bytes):
