@@ -81,16 +81,18 @@ def scan(files: DataFrame, path: str, text: str, templates: list[tuple[str, str]
     cosine is at least ``similarity``; ties go to the first template. licence is the header, else that of
     the nearest licence file in the file's directory or one above it (basis 'inherited'), else null
     (basis 'none'). Among the licence files of a directory the most similar decides, then the first
-    path. Document frequencies are counted over all files. A word that no template holds
-    weighs as one that no file holds. Null texts have no words; a null path is in no directory.
+    path. Document frequencies of all words are counted over all files. Null texts have no words; a null
+    path is in no directory.
     """
     spark = files.sparkSession
     templates = templates or TEMPLATES
     rows = files.select(F.col(path).alias("path"), F.col(text).alias("text")).withColumn("row", row_key("path", "text"))
 
     vocabulary = sorted({w for _, t in templates for w in template_words(t)})
-    seen = rows.select(F.explode(F.array_append(F.array_intersect(F.split(F.lower(F.coalesce("text", F.lit(""))), WORD), F.lit(vocabulary)), F.lit("*"))).alias("term"))
-    df = {r["term"]: r["count"] for r in seen.groupBy("term").count().collect()}  # a row for each template word
+    terms = F.array_append(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), WORD)), F.lit("*"))
+    seen = rows.select(F.explode(terms).alias("term")).where("term != ''")
+    frequencies = durable(seen.groupBy("term").agg(F.count("*").alias("df")), "document_frequencies")
+    df = {r["term"]: r["df"] for r in frequencies.where(F.col("term").isin([*vocabulary, "*"])).collect()}  # a row for each template word
     n_docs = df.pop("*", 0)
     weights = vectors(templates, df, n_docs)
 
@@ -99,8 +101,9 @@ def scan(files: DataFrame, path: str, text: str, templates: list[tuple[str, str]
     lines = hits.select("row", F.posexplode(F.split("text", "\n")).alias("unit", "text")).where(marked)
     units = lines.unionByName(hits.select("row", F.lit(-1).alias("unit"), "text"))
     counts = units.select("row", "unit", F.explode(tokens(F.col("text"))).alias("term")).groupBy("row", "unit", "term").agg(F.count("*").alias("tf"))
-    known = F.create_map(*(x for w in vocabulary for x in (F.lit(w), F.lit(idf(df.get(w, 0), n_docs)))))
-    weighed = durable(counts.select("row", "unit", "term", (F.col("tf") * F.coalesce(known[F.col("term")], F.lit(idf(0, n_docs)))).alias("w")), "file_terms")
+    idfs = frequencies.select("term", (F.log((1 + F.lit(n_docs)) / (1 + F.col("df"))) + 1).alias("idf"))
+    weighed = counts.join(idfs.hint("merge"), "term").select("row", "unit", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    weighed = durable(weighed, "file_terms")
 
     norms = weighed.groupBy("row", "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     table_ = spark.createDataFrame([(i, lic, t, x) for i, lic, w in weights for t, x in w.items()], "template int, licence string, term string, x double")

@@ -237,6 +237,25 @@ def test_license_scan(spark, odd):
     assert a.fillna("~").astype(str).equals(b.fillna("~").astype(str))
 
 
+def licence_cosine(corpus, text, notice):
+    """TF-IDF cosine of a text and a notice, with document frequencies of all words over the corpus."""
+    words = lambda s: [w for w in license_scan.re.split(license_scan.WORD, (s or "").lower()) if w]
+    df = collections.Counter(w for t in corpus for w in set(words(t)))
+    vector = lambda s: {w: n * (np.log((1 + len(corpus)) / (1 + df[w])) + 1) for w, n in collections.Counter(words(s)).items()}
+    a, b = vector(text), vector(notice)
+    return sum(x * b.get(w, 0) for w, x in a.items()) / np.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
+
+
+def test_license_frequencies_of_all_words(spark):
+    """Common words beside a notice weigh little, though no template holds them."""
+    line = "Released under the MIT License. en on be er"
+    texts = [*(f"en on be er w{i} and more" for i in range(300)), f"first words of its own\n{line}\nlast words", None, ""]
+    f = spark.createDataFrame([(f"d/{i}", t) for i, t in enumerate(texts)], "path string, text string")
+    got = license_scan.scan(f, "path", "text").where("path = 'd/300'").first()
+    want = licence_cosine(texts, line, "Released under the MIT License")
+    assert want > 0.9 and (got["header"], got["basis"]) == ("MIT", "header") and np.isclose(got["header_score"], want, atol=1e-6)
+
+
 def test_quality(spark, odd, clash):
     x = queries.op5_quality(spark, "/root/testdata/sf0.01").toPandas()
     y = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").toPandas().merge(x, on="doc_id")
