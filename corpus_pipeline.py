@@ -21,7 +21,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that repeat a line before them; n_chars follows the text."""
-    left = line_dedup.dedup_lines(docs)
+    left = line_dedup.dedup_lines(docs, chars=line_dedup.CHARS)
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

@@ -1,8 +1,8 @@
 """Fuzzy line dedup by MinHash, with DataFrame functions only.
 
-A line's shingles are its windows of ``SHINGLE`` consecutive UTF-8 bytes. Equal lines are one node.
-MinHash signatures (long lines are signed over a content-chosen share of their shingles, the
-same share in every line) are cut into bands; lines that agree in a band are candidates; the
+A line's shingles are its windows of ``chars`` consecutive characters, or, without that number, of
+``SHINGLE`` UTF-8 bytes. Equal lines are one node. MinHash signatures (lines of many shingles are
+signed over a content-chosen share of them, the same share in every line) are cut into bands; lines that agree in a band are candidates; the
 exact Jaccard similarity of the whole shingle sets decides; distributed union-find joins the
 links; the first line of each component stays, over all documents.
 
@@ -14,15 +14,18 @@ inside the join, those that can't be similar enough.
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelweft.llm.common import components, durable, row_key
 
-SHINGLE, ROWS, BANDS, SIMILARITY = 12, 2, 7, 0.8
-#: A line is signed over a share of its shingles, 1 in ``rate``, if its bytes lie in [from, to). The ranges
-#: overlap, and lines in two of them have both signatures, so that similar lines always share one.
-KINDS = ((1, 0, 200), (8, 128, 1200), (32, 800, 1 << 31))
+SHINGLE, CHARS, ROWS, BANDS, SIMILARITY = 12, 5, 4, 14, 0.8
+#: A line is signed over a share of its distinct shingles, 1 in ``rate``, if it has fewer than so many.
+#: The ranges overlap: each starts at the similarity times the end of the one before, and lines in two have both
+#: signatures. Similar sets differ in size by no more than that factor, so they always share a kind.
+KINDS = ((1, 400), (4, 1600), (16, 1 << 31))
 #: Candidate lines up to this number (8 bytes each) are broadcast to fetch their texts.
 BROADCAST_LINES = 500_000
 #: Longs of a line's bitmap.
@@ -34,37 +37,49 @@ def _lines(docs: DataFrame, text: str) -> DataFrame:
     return docs.select("*", F.posexplode(F.split(F.col(text), "\n")).alias("_at", "_line")).where(F.col("_line").rlike(r"\S")).withColumn("_lid", F.xxhash64("_line"))
 
 
-def _shingles(line: str):
-    """The distinct shingle hashes of a line; a line shorter than a shingle is one itself."""
-    return F.expr(f"array_distinct(transform(sequence(1, greatest(1, octet_length({line}) - {SHINGLE - 1})), i -> xxhash64(substring(cast({line} as binary), i, {SHINGLE}))))")
+def _shingles(line: str, chars: int | None) -> str:
+    """SQL of the distinct shingle hashes of a line; a line shorter than a shingle is one itself.
+
+    Characters are cut from UTF-32, where each has four bytes. The line's bytes are a variable, so
+    that the planner can't put their encoding into the loop over the windows.
+    """
+    unit, k = (4, chars) if chars else (1, SHINGLE)
+    data = f"encode({line}, 'UTF-32')" if chars else f"cast({line} as binary)"
+    windows = f"transform(sequence(1, greatest(1, octet_length(b) div {unit} - {k - 1})), i -> xxhash64(substring(b, {unit} * i - {unit - 1}, {unit * k})))"
+    return f"transform(array({data}), b -> array_distinct({windows}))[0]"
+
+
+def _kinds(similarity: float):
+    """The kinds of a line of n shingles."""
+    low, found = 0, []
+    for rate, high in KINDS:
+        found.append(F.when((F.col("n") >= low) & (F.col("n") < high), rate))
+        low = int(similarity * high)
+    return F.array_compact(F.array(*found))
 
 
-def _bands(lines: DataFrame) -> DataFrame:
+def _bands(lines: DataFrame, similarity: float, chars: int | None) -> DataFrame:
     """Rows (key, lid): the band keys of each distinct line."""
-    size = F.octet_length("_line")
-    rates = F.array_compact(F.array(*(F.when((size >= low) & (size < high), rate) for rate, low, high in KINDS)))
-    windows = (
-        lines.select(F.col("_lid").alias("lid"), F.col("_line").cast("binary").alias("b"), F.explode(rates).alias("kind"))
-        .select("lid", "kind", "b", F.explode(F.expr(f"sequence(1, greatest(1, octet_length(b) - {SHINGLE - 1}))")).alias("i"))
-        .select("lid", "kind", F.expr(f"xxhash64(substring(b, i, {SHINGLE}))").alias("h"))
-        .where("(h & (kind - 1)) = 0")
-    )
-    signed = windows.groupBy("lid", "kind").agg(*(F.min(F.hash("h", F.lit(j))).alias(f"m{j}") for j in range(ROWS * BANDS)))
+    # dealt by line: the signatures of 56 numbers, longer than most lines, are not
+    distinct = lines.groupBy(F.col("_lid").alias("lid")).agg(F.min("_line").alias("line"))
+    hashed = distinct.select("lid", F.expr(_shingles("line", chars)).alias("hs")).withColumn("n", F.size("hs"))
+    kinds = hashed.select("lid", "hs", F.explode(_kinds(similarity)).alias("kind")).withColumn("some", F.expr("filter(hs, h -> (h & (kind - 1)) = 0)"))
+    taken = kinds.select("lid", "kind", F.explode("some").alias("h"))
+    # the least of the hashes after a change of bits is an unbiased choice among them, like that of another hash
+    seeds = random.Random(7)
+    signed = taken.groupBy("lid", "kind").agg(*(F.min(F.col("h").bitwiseXOR(F.lit(seeds.getrandbits(64) - (1 << 63)))).alias(f"m{j}") for j in range(ROWS * BANDS)))
     keys = F.array(*(F.xxhash64(F.lit(b), F.col("kind"), *(F.col(f"m{ROWS * b + r}") for r in range(ROWS))) for b in range(BANDS)))
     return signed.select("lid", F.explode(keys).alias("key"))
 
 
-def _sketches(texts: DataFrame) -> DataFrame:
+def _sketches(texts: DataFrame, chars: int | None) -> DataFrame:
     """Rows (lid, n, w0..): the number of distinct shingles, and a bitmap of their hashes in ``WORDS`` longs.
 
     Bits that differ come from shingles that only one line has, so two bitmaps differ in no more
     bits than the sets in shingles.
     """
-    windows = texts.select("lid", F.col("line").cast("binary").alias("b")).select("lid", "b", F.explode(F.expr(f"sequence(1, greatest(1, octet_length(b) - {SHINGLE - 1}))")).alias("i"))
-    hashed = windows.select("lid", F.expr(f"xxhash64(substring(b, i, {SHINGLE}))").alias("h")).selectExpr("lid", f"(h & {WORDS - 1}) as w", "shiftleft(1L, cast(shiftrightunsigned(h, 32) & 63 as int)) as bit")
-    maps = hashed.groupBy("lid").agg(*(F.bit_or(F.when(F.col("w") == i, F.col("bit")).otherwise(0)).alias(f"w{i}") for i in range(WORDS)))
-    sizes = texts.select("lid", F.size(_shingles("line")).alias("n"))
-    return sizes.join(maps.hint("merge"), "lid")
+    hashed = texts.select("lid", F.explode(F.expr(_shingles("line", chars))).alias("h")).selectExpr("lid", f"(h & {WORDS - 1}) as w", "shiftleft(1L, cast(shiftrightunsigned(h, 32) & 63 as int)) as bit")
+    return hashed.groupBy("lid").agg(F.count("*").alias("n"), *(F.bit_or(F.when(F.col("w") == i, F.col("bit")).otherwise(0)).alias(f"w{i}") for i in range(WORDS)))
 
 
 def _near(similarity: float):
@@ -75,20 +90,21 @@ def _near(similarity: float):
     return apart <= (1 - similarity) / (1 + similarity) * (F.col("a.n") + F.col("b.n")) + 1e-6
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, chars: int | None) -> DataFrame:
     """The pairs (a, b) of lids whose lines' shingle sets have a Jaccard similarity of at least ``similarity``."""
     both = (
         pairs.join(texts.select(F.col("lid").alias("a"), F.col("line").alias("la")).hint("merge"), "a")
         .join(texts.select(F.col("lid").alias("b"), F.col("line").alias("lb")).hint("merge"), "b")
     )
-    sized = both.select("a", "b", _shingles("la").alias("sa"), _shingles("lb").alias("sb"))
-    shared = sized.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("n"), (F.size("sa") + F.size("sb")).alias("total"))
-    return durable(shared.where(F.col("n") >= similarity * (F.col("total") - F.col("n"))).select("a", "b"), "line_links")
+    # one expression with variables: a filter on columns would be planned with the sets worked out for each mention
+    sets = f"array(struct({_shingles('la', chars)} as a, {_shingles('lb', chars)} as b))"
+    similar = f"exists({sets}, s -> exists(array(size(array_intersect(s.a, s.b))), n -> n >= {similarity}D * (size(s.a) + size(s.b) - n)))"
+    return durable(both.where(similar).select("a", "b"), "line_links")
 
 
-def line_components(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def line_components(lines: DataFrame, similarity: float = SIMILARITY, chars: int | None = None) -> DataFrame:
     """Rows (lid, component) for the lines that are similar to another line."""
-    bands = _bands(lines)
+    bands = durable(_bands(lines, similarity, chars), "band_keys")
     shared = bands.groupBy("key").agg(F.min("lid").alias("p0"), F.max("lid").alias("p1")).where("p0 != p1")
     met = durable(bands.join(shared.hint("merge"), "key"), "bands")
     wanted = durable(met.select(F.col("lid").alias("_lid")).distinct(), "candidate_lines")
@@ -96,7 +112,7 @@ def line_components(lines: DataFrame, similarity: float = SIMILARITY) -> DataFra
     texts = lines.select("_lid", "_line").join(F.broadcast(wanted) if few else wanted.hint("merge"), "_lid", "left_semi")
     texts = durable(texts.groupBy(F.col("_lid").alias("lid")).agg(F.min("_line").alias("line")), "candidate_texts")
     stars = met.select("lid", F.explode(F.array("p0", "p1")).alias("p")).where("lid != p").select(F.least("lid", "p").alias("a"), F.greatest("lid", "p").alias("b")).distinct()
-    links = _verified(stars, texts, similarity)
+    links = _verified(stars, texts, similarity, chars)
     first = components(links)
 
     known = met.join(first.select(F.col("node").alias("lid"), "component").hint("merge"), "lid", "left").select("key", "lid", F.coalesce("component", "lid").alias("c"))
@@ -105,29 +121,30 @@ def line_components(lines: DataFrame, similarity: float = SIMILARITY) -> DataFra
     rest = durable(known.join(apart.hint("merge"), "key", "left_semi"), "open_bands")
     if rest.isEmpty():
         return first.select(F.col("node").alias("lid"), "component")
-    sketches = durable(_sketches(texts.join(rest.select("lid").distinct().hint("merge"), "lid", "left_semi")), "sketches")
+    sketches = durable(_sketches(texts.join(rest.select("lid").distinct().hint("merge"), "lid", "left_semi"), chars), "sketches")
     rest = rest.join(sketches.hint("merge"), "lid")
     # the bitmaps are part of the join's condition: pairs that can't be similar are never made
     near = (F.col("a.key") == F.col("b.key")) & (F.col("a.lid") < F.col("b.lid")) & (F.col("a.c") != F.col("b.c")) & _near(similarity)
     more = rest.alias("a").hint("merge").join(rest.alias("b"), near).select(F.col("a.lid").alias("a"), F.col("b.lid").alias("b")).distinct()
-    more = _verified(more, texts, similarity)
+    more = _verified(more, texts, similarity, chars)
     found = first if more.isEmpty() else components(links.unionByName(more))
     return found.select(F.col("node").alias("lid"), "component")
 
 
-def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, chars: int | None = None) -> DataFrame:
     """Rows (doc_id, row, removed) for each document that loses lines.
 
     ``row`` is the key of (doc_id, text); ``removed`` the places, from 0, of lines that are equal or
     similar, over links, to a line that comes before in the order (doc_id, row, place). Blank lines
     always stay. A null doc_id comes before all others. Rows that repeat both id and text are one
-    document: what its first copy keeps, all keep.
+    document: what its first copy keeps, all keep. Shingles are ``chars`` characters, or ``SHINGLE`` bytes
+    where it is None.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     rows = rows.withColumn("row", row_key("doc_id", "text"))
     lines = _lines(rows.select("doc_id", "row", "text"), "text").drop("text")
     at = durable(lines.select("doc_id", "row", F.col("_at").alias("at"), F.col("_lid").alias("lid")), "line_places")
-    similar = durable(line_components(lines, similarity), "line_components")
+    similar = durable(line_components(lines, similarity, chars), "line_components")
 
     place = F.struct("doc_id", "row", "at")
     firsts = at.groupBy("lid").agg(F.min(place).alias("first"))
@@ -139,13 +156,13 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     return lost.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set("at")).alias("removed"))
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, chars: int | None = None) -> DataFrame:
     """``docs`` with the text that is left, and with removed_lines, an array of the places of the lines that went.
 
     All rows stay; a text may become empty. A null text stays null, with nothing removed. An empty
     table gives an empty result. Other columns pass through; one named removed_lines is replaced.
     """
-    gone = removed_lines(docs, doc_id, text, similarity).select(F.col("doc_id").alias("_gone_id"), F.col("row").alias("_gone_row"), F.col("removed").alias("_gone"))
+    gone = removed_lines(docs, doc_id, text, similarity, chars).select(F.col("doc_id").alias("_gone_id"), F.col("row").alias("_gone_row"), F.col("removed").alias("_gone"))
     keyed = docs.drop("removed_lines").withColumn("_row_key", row_key(doc_id, text))
     joined = keyed.join(gone.hint("merge"), (F.col("_row_key") == F.col("_gone_row")) & F.col(doc_id).eqNullSafe(F.col("_gone_id")), "left")
     left = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda line, i: ~F.array_contains("_gone", i)), "\n")

@@ -34,7 +34,7 @@ def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of each document, and the places of those that an equal or similar line before them makes redundant."""
     docs = table(spark, sf_dir, "documents")
-    gone = line_dedup.removed_lines(docs).select("row", "removed")
+    gone = line_dedup.removed_lines(docs, chars=line_dedup.CHARS).select("row", "removed")
     n_lines = F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long")
     rows = docs.select("doc_id", row_key("doc_id", "text").alias("row"), F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(n_lines).alias("n_lines"))
     joined = rows.join(gone.hint("merge"), "row", "left")

@@ -193,6 +193,42 @@ def test_line_dedup(spark, odd, clash):
     assert (1, None) in left and (2, "") in left and (5, "same text twice over here") in left and (3, " \n\t ") in left
 
 
+
+def removed_by_characters(docs, k=5, similarity=0.8):
+    """Places of lines that are equal or similar, over links, to one before them, by shingles of k characters."""
+    places = [(d, i, s) for d, t in docs for i, s in enumerate(t.split("\n")) if s.strip()]
+    distinct = list(dict.fromkeys(s for *_, s in places))
+    sets = [frozenset(s[i : i + k] for i in range(max(1, len(s) - k + 1))) for s in distinct]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j])]
+    comp = dict(zip(distinct, components_of(len(sets), links), strict=True))
+    seen, gone = set(), collections.defaultdict(list)
+    for d, i, s in places:
+        gone[d] += [i] if comp[s] in seen else []
+        seen.add(comp[s])
+    return {d: g for d, g in gone.items() if g}
+
+
+def of_query(spark, tmp_path, docs):
+    """Places that op7_line_dedup gives for documents (doc_id, text)."""
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    return {q["doc_id"]: [int(i) for i in q["removed_lines"].split(",")] for q in queries.op7_line_dedup(spark, str(tmp_path)).where("n_removed > 0").collect()}
+
+
+def test_line_dedup_of_short_lines(spark, tmp_path):
+    """One edit in a line of 60 to 110 characters, Latin, Chinese or outside the BMP, is found."""
+    r = random.Random(16)
+    docs = []
+    for alphabet in ("abcdefghijklmnopqrstuvwxyz", [chr(0x4E00 + i) for i in range(900)], [chr(0x1D400 + i) for i in range(80)]):
+        for _ in range(25):
+            line = [r.choice(alphabet) for _ in range(r.randint(60, 110))]
+            docs.append((len(docs), "".join(line)))
+            line[r.randrange(len(line))] = r.choice(alphabet)
+            docs.append((len(docs), "".join(line) + "\na line of its own " + "".join(r.choices(alphabet, k=40))))
+    got = of_query(spark, tmp_path, docs)
+    assert got == removed_by_characters(docs) and len(got) == 75
+
+
+
 def test_suffix_dedup(spark, odd, clash):
     r = random.Random(8)
     words = [f"w{i}" for i in range(900)]
