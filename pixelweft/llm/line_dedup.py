@@ -26,6 +26,8 @@ SHINGLE, CHARS, ROWS, BANDS, SIMILARITY = 12, 5, 4, 14, 0.8
 #: The ranges overlap: each starts at the similarity times the end of the one before, and lines in two have both
 #: signatures. Similar sets differ in size by no more than that factor, so they always share a kind.
 KINDS = ((1, 400), (4, 1600), (16, 1 << 31))
+#: Lines of which a kind takes fewer shingles than this are signed over all shingles too.
+LEAST = 16
 #: Candidate lines up to this number (8 bytes each) are broadcast to fetch their texts.
 BROADCAST_LINES = 500_000
 #: Longs of a line's bitmap.
@@ -64,11 +66,14 @@ def _bands(lines: DataFrame, similarity: float, chars: int | None) -> DataFrame:
     distinct = lines.groupBy(F.col("_lid").alias("lid")).agg(F.min("_line").alias("line"))
     hashed = distinct.select("lid", F.expr(_shingles("line", chars)).alias("hs")).withColumn("n", F.size("hs"))
     kinds = hashed.select("lid", "hs", F.explode(_kinds(similarity)).alias("kind")).withColumn("some", F.expr("filter(hs, h -> (h & (kind - 1)) = 0)"))
-    taken = kinds.select("lid", "kind", F.explode("some").alias("h"))
+    # all shingles are a signature beside that of a small share: a line never has none
+    sets = F.array(F.struct(F.col("kind"), F.col("some").alias("hs")), F.struct(F.lit(0).alias("kind"), F.when((F.col("kind") > 1) & (F.size("some") < LEAST), F.col("hs")).alias("hs")))
+    taken = kinds.select("lid", F.explode(sets).alias("s")).select("lid", "s.kind", F.explode("s.hs").alias("h"))
     # the least of the hashes after a change of bits is an unbiased choice among them, like that of another hash
     seeds = random.Random(7)
     signed = taken.groupBy("lid", "kind").agg(*(F.min(F.col("h").bitwiseXOR(F.lit(seeds.getrandbits(64) - (1 << 63)))).alias(f"m{j}") for j in range(ROWS * BANDS)))
-    keys = F.array(*(F.xxhash64(F.lit(b), F.col("kind"), *(F.col(f"m{ROWS * b + r}") for r in range(ROWS))) for b in range(BANDS)))
+    one = F.when(F.col("kind") > 1, F.col("kind")).otherwise(1)  # all shingles of a line, whatever its kind
+    keys = F.array(*(F.xxhash64(F.lit(b), one, *(F.col(f"m{ROWS * b + r}") for r in range(ROWS))) for b in range(BANDS)))
     return signed.select("lid", F.explode(keys).alias("key"))
 
 

@@ -229,6 +229,19 @@ def test_line_dedup_of_short_lines(spark, tmp_path):
 
 
 
+def test_line_dedup_of_repeated_patterns(spark, tmp_path):
+    """Lines of few distinct shingles meet, whatever their lengths."""
+    r = random.Random(26)
+    docs = []
+    for n in (1, 2, 4, 9, 30, 70, 120):
+        for _ in range(6):
+            pattern = "".join(r.choices("abcdefghijklmnop ", k=n)) + "."
+            for size in (150, 250, 1500, 6000):
+                docs.append((len(docs), pattern * (size // len(pattern) + 1)))
+    got = of_query(spark, tmp_path, docs)
+    assert got == removed_by_characters(docs) and len(got) > 100
+
+
 def test_suffix_dedup(spark, odd, clash):
     r = random.Random(8)
     words = [f"w{i}" for i in range(900)]
