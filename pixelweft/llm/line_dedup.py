@@ -1,104 +1,102 @@
 """Fuzzy line dedup by MinHash, with DataFrame functions only.
 
-A line's shingles are its windows of ``chars`` consecutive characters, or, without that number, of
-``SHINGLE`` UTF-8 bytes. Equal lines are one node. MinHash signatures (lines of many shingles are
-signed over a content-chosen share of them, the same share in every line) are cut into bands; lines that agree in a band are candidates; the
-exact Jaccard similarity of the whole shingle sets decides; distributed union-find joins the
-links; the first line of each component stays, over all documents.
-
-No band emits all of its pairs. First each member is compared with two pivots of its band. Pairs
-between others are needed only where, after union-find over those links, a band still holds
-different components, and only between these; bitmaps of the shingle sets rule out, exactly and
-inside the join, those that can't be similar enough.
+A line's shingles are its windows of ``CHARS`` characters. Lines that are equal are one node. A
+signature has ``FUNCTIONS`` hash functions, each with a minimum in every eighth of the hash space, over
+all shingles of the line; a band is four such minima. Lines that share a band are candidates;
+a sketch of the signature puts off those that can hardly be similar; the exact Jaccard similarity
+of the whole shingle sets decides; distributed union-find joins the links; the first line of each
+component stays, over all documents.
+
+No band emits all of its pairs. In a few rounds each member is compared with two pivots of its band,
+other ones in each round, and only where both are not in one component yet. What is then
+still apart in a band is compared under the sketch's condition, inside the join.
 """
 
 from __future__ import annotations
 
 import random
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixelweft.llm.common import components, durable, row_key
+from pixelweft.llm.common import components, durable
 
-SHINGLE, CHARS, ROWS, BANDS, SIMILARITY = 12, 5, 4, 14, 0.8
-#: A line is signed over a share of its distinct shingles, 1 in ``rate``, if it has fewer than so many.
-#: The ranges overlap: each starts at the similarity times the end of the one before, and lines in two have both
-#: signatures. Similar sets differ in size by no more than that factor, so they always share a kind.
-KINDS = ((1, 400), (4, 1600), (16, 1 << 31))
-#: Lines of which a kind takes fewer shingles than this are signed over all shingles too.
-LEAST = 16
-#: Candidate lines up to this number (8 bytes each) are broadcast to fetch their texts.
-BROADCAST_LINES = 500_000
-#: Longs of a line's bitmap.
-WORDS = 32
+CHARS, SIMILARITY = 5, 0.8
+#: Hash functions, and parts of the hash space that each has a minimum in. Two bands of four parts each.
+FUNCTIONS, PARTS = 7, 8
+#: Of the FUNCTIONS x PARTS minima, those that candidates must share. At similarity 0.8 44.8 are expected,
+#: with a standard deviation of 3.
+AGREE = 32
+#: Rounds of comparing with pivots.
+ROUNDS = 3
+_SEEDS = [random.Random(j).getrandbits(31) for j in range(FUNCTIONS)]
 
 
-def _lines(docs: DataFrame, text: str) -> DataFrame:
-    """One row for each line that isn't blank."""
-    return docs.select("*", F.posexplode(F.split(F.col(text), "\n")).alias("_at", "_line")).where(F.col("_line").rlike(r"\S")).withColumn("_lid", F.xxhash64("_line"))
+def _keys(line: str | Column) -> list[Column]:
+    """Two 64-bit hashes of a line: 128 bits tell different lines apart."""
+    return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2")]
 
 
-def _shingles(line: str, chars: int | None) -> str:
-    """SQL of the distinct shingle hashes of a line; a line shorter than a shingle is one itself.
+def row_keys(doc_id: str, text: str) -> list[Column]:
+    """Two 64-bit hashes of (doc_id, text), nulls told from values."""
+    parts = [F.col(doc_id).isNull(), F.col(doc_id), F.col(text).isNull(), F.col(text)]
+    return [F.xxhash64(*parts).alias("r1"), F.xxhash64(F.lit(1), *parts).alias("r2")]
 
-    Characters are cut from UTF-32, where each has four bytes. The line's bytes are a variable, so
-    that the planner can't put their encoding into the loop over the windows.
-    """
-    unit, k = (4, chars) if chars else (1, SHINGLE)
-    data = f"encode({line}, 'UTF-32')" if chars else f"cast({line} as binary)"
-    windows = f"transform(sequence(1, greatest(1, octet_length(b) div {unit} - {k - 1})), i -> xxhash64(substring(b, {unit} * i - {unit - 1}, {unit * k})))"
-    return f"transform(array({data}), b -> array_distinct({windows}))[0]"
-
-
-def _kinds(similarity: float):
-    """The kinds of a line of n shingles."""
-    low, found = 0, []
-    for rate, high in KINDS:
-        found.append(F.when((F.col("n") >= low) & (F.col("n") < high), rate))
-        low = int(similarity * high)
-    return F.array_compact(F.array(*found))
-
-
-def _bands(lines: DataFrame, similarity: float, chars: int | None) -> DataFrame:
-    """Rows (key, lid): the band keys of each distinct line."""
-    # dealt by line: the signatures of 56 numbers, longer than most lines, are not
-    distinct = lines.groupBy(F.col("_lid").alias("lid")).agg(F.min("_line").alias("line"))
-    hashed = distinct.select("lid", F.expr(_shingles("line", chars)).alias("hs")).withColumn("n", F.size("hs"))
-    kinds = hashed.select("lid", "hs", F.explode(_kinds(similarity)).alias("kind")).withColumn("some", F.expr("filter(hs, h -> (h & (kind - 1)) = 0)"))
-    # all shingles are a signature beside that of a small share: a line never has none
-    sets = F.array(F.struct(F.col("kind"), F.col("some").alias("hs")), F.struct(F.lit(0).alias("kind"), F.when((F.col("kind") > 1) & (F.size("some") < LEAST), F.col("hs")).alias("hs")))
-    taken = kinds.select("lid", F.explode(sets).alias("s")).select("lid", "s.kind", F.explode("s.hs").alias("h"))
-    # the least of the hashes after a change of bits is an unbiased choice among them, like that of another hash
-    seeds = random.Random(7)
-    signed = taken.groupBy("lid", "kind").agg(*(F.min(F.col("h").bitwiseXOR(F.lit(seeds.getrandbits(64) - (1 << 63)))).alias(f"m{j}") for j in range(ROWS * BANDS)))
-    one = F.when(F.col("kind") > 1, F.col("kind")).otherwise(1)  # all shingles of a line, whatever its kind
-    keys = F.array(*(F.xxhash64(F.lit(b), one, *(F.col(f"m{ROWS * b + r}") for r in range(ROWS))) for b in range(BANDS)))
-    return signed.select("lid", F.explode(keys).alias("key"))
 
+def _lines(rows: DataFrame, *keep: str) -> DataFrame:
+    """One row for each line that isn't blank, with its place ``at``."""
+    return rows.select(*keep, F.posexplode(F.split("text", "\n")).alias("at", "line")).where(F.col("line").rlike(r"\S"))
 
-def _sketches(texts: DataFrame, chars: int | None) -> DataFrame:
-    """Rows (lid, n, w0..): the number of distinct shingles, and a bitmap of their hashes in ``WORDS`` longs.
-
-    Bits that differ come from shingles that only one line has, so two bitmaps differ in no more
-    bits than the sets in shingles.
-    """
-    hashed = texts.select("lid", F.explode(F.expr(_shingles("line", chars))).alias("h")).selectExpr("lid", f"(h & {WORDS - 1}) as w", "shiftleft(1L, cast(shiftrightunsigned(h, 32) & 63 as int)) as bit")
-    return hashed.groupBy("lid").agg(F.count("*").alias("n"), *(F.bit_or(F.when(F.col("w") == i, F.col("bit")).otherwise(0)).alias(f"w{i}") for i in range(WORDS)))
 
+def _signatures(distinct: DataFrame, chars: int) -> DataFrame:
+    """Rows (lid, keys, s0..): the band keys of each line, and a byte of each of its minima.
 
-def _near(similarity: float):
-    """Whether sketches a and b allow the similarity: the sets differ in at most a fixed share of their sizes."""
-    apart = F.lit(0)
-    for i in range(WORDS):
-        apart = apart + F.bit_count(F.col(f"a.w{i}").bitwiseXOR(F.col(f"b.w{i}")))
-    return apart <= (1 - similarity) / (1 + similarity) * (F.col("a.n") + F.col("b.n")) + 1e-6
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, chars: int | None) -> DataFrame:
-    """The pairs (a, b) of lids whose lines' shingle sets have a Jaccard similarity of at least ``similarity``."""
+    Characters are cut from UTF-32, where each has four bytes; a line shorter than a shingle is one itself.
+    """
+    # dealt by line first: the minima are as many bytes as most lines
+    data = distinct.select("lid", F.encode("line", "UTF-32").alias("b")).repartition("lid")
+    places = data.select("lid", "b", F.explode(F.expr(f"sequence(1, greatest(1, octet_length(b) div 4 - {chars - 1}))")).alias("i"))
+    hashed = places.select("lid", F.expr(f"xxhash64(substring(b, 4 * i - 3, {4 * chars}))").alias("h"))
+    value = F.expr("cast(shiftright(h, 32) as int)")
+    part = F.col("h").bitwiseAND(PARTS - 1).cast("int").alias("q")
+    # the least of the hashes after a change of bits is an unbiased choice among them, like that of another hash
+    least = hashed.groupBy("lid", part).agg(*(F.min(value.bitwiseXOR(F.lit(s))).alias(f"m{j}") for j, s in enumerate(_SEEDS)))
+    half = PARTS // 2
+    sums = [F.expr(f"bit_xor(if(q div {half} = {h}, xxhash64(q, m{j}), 0L))").alias(f"x{j}_{h}") for j in range(FUNCTIONS) for h in (0, 1)]
+    bytes_ = [F.expr(f"bit_or(shiftleft(cast(m{j} & 255 as bigint), 8 * q))").alias(f"s{j}") for j in range(FUNCTIONS)]
+    signed = least.groupBy("lid").agg(*sums, *bytes_)
+    # a half without any shingle says nothing
+    keys = [F.when(F.col(f"x{j}_{h}") != 0, F.xxhash64(F.lit(2 * j + h), f"x{j}_{h}")) for j in range(FUNCTIONS) for h in (0, 1)]
+    return signed.select("lid", F.array_compact(F.array(*keys)).alias("keys"), *(f"s{j}" for j in range(FUNCTIONS)))
+
+
+def _agree(a: str, b: str) -> Column:
+    """Whether two sketches share ``AGREE`` bytes."""
+    unlike = []
+    for j in range(FUNCTIONS):
+        x = f"({a}.s{j} ^ {b}.s{j})"
+        for shift in (4, 2, 1):  # the low bit of each byte becomes 1 if any of its bits is
+            x = f"({x} | shiftrightunsigned({x}, {shift}))"
+        unlike.append(f"bit_count({x} & {0x0101010101010101}L)")
+    return F.expr(f"{' + '.join(unlike)} <= {FUNCTIONS * PARTS - AGREE}")
+
+
+def _shingles(line: str, chars: int) -> str:
+    """SQL of the distinct shingle hashes of a line. The line's characters are a variable, so that the
+    planner can't put their encoding into the loop over the windows."""
+    windows = f"transform(sequence(1, greatest(1, octet_length(b) div 4 - {chars - 1})), i -> xxhash64(substring(b, 4 * i - 3, {4 * chars})))"
+    return f"transform(array(encode({line}, 'UTF-32')), b -> array_distinct({windows}))[0]"
+
+
+def _verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, similarity: float, chars: int) -> DataFrame:
+    """The pairs (a, b) of lids whose sketches agree and whose shingle sets have a Jaccard similarity of at least ``similarity``."""
+    names = sketches.columns
+    a, b = sketches.alias("x"), sketches.alias("y")
+    likely = pairs.join(a.hint("merge"), F.col("a") == F.col("x.lid")).select("a", "b", F.struct(*(f"x.{c}" for c in names)).alias("sa"))
+    likely = likely.join(b.hint("merge"), F.col("b") == F.col("y.lid")).select("a", "b", "sa", F.struct(*(f"y.{c}" for c in names)).alias("sb"))
+    likely = durable(likely.where(_agree("sa", "sb")).select("a", "b"), "likely_pairs")
     both = (
-        pairs.join(texts.select(F.col("lid").alias("a"), F.col("line").alias("la")).hint("merge"), "a")
+        likely.join(texts.select(F.col("lid").alias("a"), F.col("line").alias("la")).hint("merge"), "a")
         .join(texts.select(F.col("lid").alias("b"), F.col("line").alias("lb")).hint("merge"), "b")
     )
     # one expression with variables: a filter on columns would be planned with the sets worked out for each mention
@@ -107,69 +105,113 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, chars: int
     return durable(both.where(similar).select("a", "b"), "line_links")
 
 
-def line_components(lines: DataFrame, similarity: float = SIMILARITY, chars: int | None = None) -> DataFrame:
-    """Rows (lid, component) for the lines that are similar to another line."""
-    bands = durable(_bands(lines, similarity, chars), "band_keys")
-    shared = bands.groupBy("key").agg(F.min("lid").alias("p0"), F.max("lid").alias("p1")).where("p0 != p1")
+def line_components(distinct: DataFrame, similarity: float = SIMILARITY, chars: int = CHARS) -> DataFrame:
+    """Rows (lid, component) for the lines (lid, line) that are similar to another line."""
+    signed = durable(_signatures(distinct, chars), "line_signatures")
+    bands = signed.select("lid", F.explode("keys").alias("key"))
+    shared = bands.groupBy("key").agg(F.min("lid").alias("p0"), F.max("lid").alias("p1")).where("p0 != p1").select("key")
     met = durable(bands.join(shared.hint("merge"), "key"), "bands")
-    wanted = durable(met.select(F.col("lid").alias("_lid")).distinct(), "candidate_lines")
-    few = wanted.count() <= BROADCAST_LINES
-    texts = lines.select("_lid", "_line").join(F.broadcast(wanted) if few else wanted.hint("merge"), "_lid", "left_semi")
-    texts = durable(texts.groupBy(F.col("_lid").alias("lid")).agg(F.min("_line").alias("line")), "candidate_texts")
-    stars = met.select("lid", F.explode(F.array("p0", "p1")).alias("p")).where("lid != p").select(F.least("lid", "p").alias("a"), F.greatest("lid", "p").alias("b")).distinct()
-    links = _verified(stars, texts, similarity, chars)
-    first = components(links)
-
-    known = met.join(first.select(F.col("node").alias("lid"), "component").hint("merge"), "lid", "left").select("key", "lid", F.coalesce("component", "lid").alias("c"))
-    known = durable(known, "band_components")
-    apart = known.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n")).where("c0 != c1 and n > 2").select("key")
-    rest = durable(known.join(apart.hint("merge"), "key", "left_semi"), "open_bands")
-    if rest.isEmpty():
-        return first.select(F.col("node").alias("lid"), "component")
-    sketches = durable(_sketches(texts.join(rest.select("lid").distinct().hint("merge"), "lid", "left_semi"), chars), "sketches")
-    rest = rest.join(sketches.hint("merge"), "lid")
-    # the bitmaps are part of the join's condition: pairs that can't be similar are never made
-    near = (F.col("a.key") == F.col("b.key")) & (F.col("a.lid") < F.col("b.lid")) & (F.col("a.c") != F.col("b.c")) & _near(similarity)
-    more = rest.alias("a").hint("merge").join(rest.alias("b"), near).select(F.col("a.lid").alias("a"), F.col("b.lid").alias("b")).distinct()
-    more = _verified(more, texts, similarity, chars)
-    found = first if more.isEmpty() else components(links.unionByName(more))
-    return found.select(F.col("node").alias("lid"), "component")
-
-
-def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, chars: int | None = None) -> DataFrame:
-    """Rows (doc_id, row, removed) for each document that loses lines.
-
-    ``row`` is the key of (doc_id, text); ``removed`` the places, from 0, of lines that are equal or
-    similar, over links, to a line that comes before in the order (doc_id, row, place). Blank lines
-    always stay. A null doc_id comes before all others. Rows that repeat both id and text are one
-    document: what its first copy keeps, all keep. Shingles are ``chars`` characters, or ``SHINGLE`` bytes
-    where it is None.
+    wanted = durable(met.select("lid").distinct(), "candidate_lines")
+    sketches = durable(signed.drop("keys").join(wanted.hint("merge"), "lid"), "sketches")
+    texts = durable(distinct.select("lid", "line").join(wanted.hint("merge"), "lid"), "candidate_texts")
+
+    known, found, links = met.withColumn("c", F.col("lid")), None, None
+    for n in range(ROUNDS):
+        at = F.xxhash64(F.lit(n), "lid")
+        pivots = known.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min_by("lid", at).alias("p"), F.min_by("c", at).alias("pc"), F.max_by("lid", at).alias("q"), F.max_by("c", at).alias("qc"))
+        pivots = pivots.where("c0 != c1").select("key", F.array(F.struct("p", "pc"), F.struct(F.col("q").alias("p"), F.col("qc").alias("pc"))).alias("pivots"))
+        stars = known.join(pivots.hint("merge"), "key").select("lid", "c", F.inline("pivots")).where("c != pc")
+        pairs = stars.select(F.least("lid", "p").alias("a"), F.greatest("lid", "p").alias("b")).distinct()
+        more = _verified(pairs, sketches, texts, similarity, chars)
+        if more.isEmpty():
+            break
+        links = more if links is None else links.unionByName(more)
+        found = durable(components(links), "line_components").select(F.col("node").alias("lid"), "component")
+        known = durable(met.join(found.hint("merge"), "lid", "left").select("key", "lid", F.coalesce("component", "lid").alias("c")), "band_components")
+
+    # two pivots settle a band of three
+    apart = known.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n")).where("c0 != c1 and n > 3").select("key")
+    rest = durable(known.join(apart.hint("merge"), "key").join(sketches.hint("merge"), "lid"), "open_bands")
+    # the sketches are part of the join's condition: pairs that are hardly similar are never made
+    near = (F.col("x.key") == F.col("y.key")) & (F.col("x.lid") < F.col("y.lid")) & (F.col("x.c") != F.col("y.c")) & _agree("x", "y")
+    pairs = rest.alias("x").hint("merge").join(rest.alias("y"), near).select(F.col("x.lid").alias("a"), F.col("y.lid").alias("b")).distinct()
+    more = _verified(durable(pairs, "open_pairs"), sketches, texts, similarity, chars)
+    if not more.isEmpty():
+        links = more if links is None else links.unionByName(more)
+        found = components(links).select(F.col("node").alias("lid"), "component")
+    return wanted.limit(0).withColumn("component", F.col("lid")) if found is None else found
+
+
+def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, chars: int = CHARS) -> DataFrame:
+    """Rows (r1, r2, removed) for each document that loses lines.
+
+    r1 and r2 are the ``row_keys`` of (doc_id, text); ``removed`` the places, from 0, of lines that are equal or
+    similar, over links, to a line that comes before in the order (doc_id, r1, r2, place). Blank lines
+    always stay. A null doc_id comes before all others. Rows that repeat both id and text have the same keys.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    rows = rows.withColumn("row", row_key("doc_id", "text"))
-    lines = _lines(rows.select("doc_id", "row", "text"), "text").drop("text")
-    at = durable(lines.select("doc_id", "row", F.col("_at").alias("at"), F.col("_lid").alias("lid")), "line_places")
-    similar = durable(line_components(lines, similarity, chars), "line_components")
-
-    place = F.struct("doc_id", "row", "at")
-    firsts = at.groupBy("lid").agg(F.min(place).alias("first"))
-    members = similar.join(firsts.hint("merge"), "lid")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).select("doc_id", "text", *row_keys("doc_id", "text"))
+    lines = _lines(rows, "doc_id", "r1", "r2")
+    places = durable(lines.select("doc_id", "r1", "r2", "at", *_keys("line")), "line_places")
+    distinct = _lines(rows).groupBy("line").agg(F.count("*").alias("n"))
+    # numbers, since two lines of a large corpus may share a 64-bit hash
+    distinct = durable(distinct.select(F.monotonically_increasing_id().alias("lid"), *_keys("line"), "line"), "distinct_lines")
+    similar = line_components(distinct, similarity, chars)
+
+    place = F.struct("doc_id", "r1", "r2", "at")
+    firsts = places.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+    firsts = durable(firsts, "first_places")
+    members = distinct.select("lid", "h1", "h2").join(similar.hint("merge"), "lid").join(firsts.hint("merge"), ["h1", "h2"])
+    members = durable(members.select("h1", "h2", "component", "first"), "members")
     heads = members.groupBy("component").agg(F.min("first").alias("head"))
-    heads = members.join(heads.hint("merge"), "component").select("lid", "head")
-    decided = at.join(firsts.hint("merge"), "lid").join(heads.hint("merge"), "lid", "left")
-    lost = decided.where(~place.eqNullSafe(F.coalesce("head", "first")))
-    return lost.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set("at")).alias("removed"))
-
-
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, chars: int | None = None) -> DataFrame:
-    """``docs`` with the text that is left, and with removed_lines, an array of the places of the lines that went.
-
-    All rows stay; a text may become empty. A null text stays null, with nothing removed. An empty
-    table gives an empty result. Other columns pass through; one named removed_lines is replaced.
+    heads = members.join(heads.hint("merge"), "component").select("h1", "h2", "head")
+    alone = firsts.where("n > 1").join(members.select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti").select("h1", "h2", F.col("first").alias("head"))
+    # a table, so that Spark can split a very common line in the join
+    heads = durable(heads.unionByName(alone), "kept_places")
+    lost = places.join(heads.hint("merge"), ["h1", "h2"]).where(~place.eqNullSafe(F.col("head")))
+    return lost.groupBy("r1", "r2").agg(F.sort_array(F.collect_set("at")).alias("removed"))
+
+
+def _copies(keyed: DataFrame) -> DataFrame | None:
+    """``keyed`` rows (doc, text, r1, r2) whose keys repeat, with ``later``: whether another copy stands for this one. None if there are none."""
+    repeated = durable(keyed.groupBy("r1", "r2").agg(F.count("*").alias("n")).where("n > 1").select("r1", "r2"), "repeated_rows")
+    if repeated.isEmpty():
+        return None
+    rows = durable(keyed.join(repeated.hint("merge"), ["r1", "r2"]).withColumn("task", F.spark_partition_id()), "copies")
+    first = rows.groupBy("r1", "r2").agg(F.min("task").alias("first"))
+    # numbered by task, so that many copies of a row don't meet in one
+    order = Window.partitionBy("r1", "r2", "task").orderBy("r1")
+    numbered = rows.withColumn("k", F.row_number().over(order)).join(durable(first, "first_tasks").hint("merge"), ["r1", "r2"])
+    return numbered.select("doc", "text", "r1", "r2", (~((F.col("task") == F.col("first")) & (F.col("k") == 1))).alias("later"))
+
+
+def mark_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, chars: int = CHARS) -> DataFrame:
+    """``docs`` with removed_lines, an array of the places, from 0, of the lines that go.
+
+    Of all equal or similar lines, over links, the first stays, in the order (doc_id, hash of the row, place). A
+    null doc_id comes first; blank lines always stay; a null text has no lines. Of rows that repeat both id and text
+    one, any, stands for all: the others lose all their lines that aren't blank. An empty table
+    gives an empty result. Other columns pass through, whatever their names; one named removed_lines is replaced.
+    """
+    gone = removed_lines(docs, doc_id, text, similarity, chars)
+    names = [c for c in docs.columns if c != "removed_lines"]
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("doc"), F.col(text).alias("text"), *row_keys(doc_id, text))
+    copies = _copies(keyed)
+    places = F.transform(F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: s["x"].rlike(r"\S")), lambda s: s["i"])
+    if copies is None:
+        joined = keyed.withColumn("later", F.lit(False)).join(gone.hint("merge"), ["r1", "r2"], "left")
+    else:
+        once = keyed.join(copies.select("r1", "r2").distinct().hint("merge"), ["r1", "r2"], "left_anti").withColumn("later", F.lit(False))
+        joined = once.unionByName(copies).join(gone.hint("merge"), ["r1", "r2"], "left")
+    none = F.array().cast("array<int>")
+    return joined.select("doc.*", F.when(F.col("later"), F.coalesce(places, none)).otherwise(F.coalesce("removed", none)).alias("removed_lines"))
+
+
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, chars: int = CHARS) -> DataFrame:
+    """``docs`` with the text that ``mark_lines`` leaves, and with removed_lines.
+
+    All rows stay; a text may become empty; a null text stays null.
     """
-    gone = removed_lines(docs, doc_id, text, similarity, chars).select(F.col("doc_id").alias("_gone_id"), F.col("row").alias("_gone_row"), F.col("removed").alias("_gone"))
-    keyed = docs.drop("removed_lines").withColumn("_row_key", row_key(doc_id, text))
-    joined = keyed.join(gone.hint("merge"), (F.col("_row_key") == F.col("_gone_row")) & F.col(doc_id).eqNullSafe(F.col("_gone_id")), "left")
-    left = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda line, i: ~F.array_contains("_gone", i)), "\n")
+    marked = mark_lines(docs, doc_id, text, similarity, chars)
+    left = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda line, i: ~F.array_contains("removed_lines", i)), "\n")
     names = [c for c in docs.columns if c != "removed_lines"]
-    return joined.select(*(F.when(F.col("_gone").isNull(), F.col(c)).otherwise(left).alias(c) if c == text else F.col(c) for c in names), F.coalesce("_gone", F.array().cast("array<int>")).alias("removed_lines"))
+    return marked.select(*(F.when(F.size("removed_lines") > 0, left).otherwise(F.col(f"`{c}`")).alias(c) if c == text else F.col(f"`{c}`") for c in names), "removed_lines")

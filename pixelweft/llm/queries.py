@@ -33,13 +33,10 @@ def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of each document, and the places of those that an equal or similar line before them makes redundant."""
-    docs = table(spark, sf_dir, "documents")
-    gone = line_dedup.removed_lines(docs, chars=line_dedup.CHARS).select("row", "removed")
-    n_lines = F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long")
-    rows = docs.select("doc_id", row_key("doc_id", "text").alias("row"), F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(n_lines).alias("n_lines"))
-    joined = rows.join(gone.hint("merge"), "row", "left")
-    n_removed = F.coalesce(F.when(F.col("removed").isNotNull(), F.size("removed")), F.lit(0)).cast("long")
-    return joined.select("doc_id", "n_lines", n_removed.alias("n_removed"), F.coalesce(F.array_join(F.col("removed").cast("array<string>"), ","), F.lit("")).alias("removed_lines"))
+    marked = line_dedup.mark_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
+    places = F.array_join(F.col("removed_lines").cast("array<string>"), ",")
+    return marked.select("doc_id", n_lines.alias("n_lines"), F.size("removed_lines").cast("long").alias("n_removed"), places.alias("removed_lines"))
 
 
 def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
