@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelweft.storage import durable
+from pixelweft.storage import discard, durable
 
 
 def _stamp(edges: DataFrame) -> tuple:
@@ -32,7 +32,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         if not stamp[0]:
             break
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # a table, so that Spark can split a node with very many links in the join
+        low = durable(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = (
             both.join(low.hint("merge"), "u")
             .where("v > u and v != m")
@@ -40,16 +41,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
             .unionByName(low.where("u != m").select("u", F.col("m").alias("v")))
             .distinct()
         )
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        high = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
-            large.join(low.hint("merge"), "u")
+            large.join(high.hint("merge"), "u")
             .where("v != m")
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(low.select("u", F.col("m").alias("v")))
+            .unionByName(high.select("u", F.col("m").alias("v")))
             .distinct()
         )
-        links = durable(small, "links")
+        last, links = links, durable(small, "links")
         before, stamp = stamp, _stamp(links)
+        discard(last, low)
         if stamp == before:
             break
     else:

@@ -27,10 +27,34 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Spark setting: remove the shuffle files of a query when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def durable(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: its lineage ends there, and a lost
-    executor costs a reread instead of a recomputation."""
+    executor costs a reread instead of a recomputation. What was shuffled to make it is not needed
+    again, so those files go at once (where Spark has the setting). ``discard`` removes the table."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/pixelweft/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    if before is not None:
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is not None:
+            spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._durable_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``durable`` wrote and nothing will read any more. Others are left alone."""
+    for df in tables:
+        path = getattr(df, "_durable_path", None)
+        if path:
+            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+            folder = jvm.org.apache.hadoop.fs.Path(path).getParent()
+            folder.getFileSystem(conf).delete(folder, True)
