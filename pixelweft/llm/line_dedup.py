@@ -1,15 +1,16 @@
 """Fuzzy line dedup by MinHash, with DataFrame functions only.
 
 A line's shingles are its windows of ``CHARS`` characters. Lines that are equal are one node. A
-signature has ``FUNCTIONS`` hash functions, each with a minimum in every eighth of the hash space, over
-all shingles of the line; a band is four such minima. Lines that share a band are candidates;
-a sketch of the signature puts off those that can hardly be similar; the exact Jaccard similarity
-of the whole shingle sets decides; distributed union-find joins the links; the first line of each
-component stays, over all documents.
-
-No band emits all of its pairs. In a few rounds each member is compared with two pivots of its band,
-other ones in each round, and only where both are not in one component yet. What is then
-still apart in a band is compared under the sketch's condition, inside the join.
+signature has ``FUNCTIONS`` hash functions, each with a minimum in every eighth of the hash space; a
+band is four such minima. Lines that share a band are candidates; a sketch of the signature puts
+off those that can hardly be similar; the exact Jaccard similarity of the whole shingle sets decides;
+distributed union-find joins the links; the first line of each component stays, over all documents.
+
+No band emits all of its pairs. First each member is compared with two pivots of its band. Other pairs are
+needed only where a band still holds different components, and only between these: in a band of up to
+``SMALL`` members where the sketches agree; in a larger one after two more rounds of pivots, in which those near the
+middle of a group come first, and where bitmaps of the shingle sets, compared inside the join, don't rule out
+the similarity exactly.
 """
 
 from __future__ import annotations
@@ -19,16 +20,18 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixelweft.llm.common import components, durable
+from pixelweft.llm.common import components, discard, durable
 
 CHARS, SIMILARITY = 5, 0.8
 #: Hash functions, and parts of the hash space that each has a minimum in. Two bands of four parts each.
 FUNCTIONS, PARTS = 7, 8
-#: Of the FUNCTIONS x PARTS minima, those that candidates must share. At similarity 0.8 44.8 are expected,
-#: with a standard deviation of 3.
-AGREE = 32
-#: Rounds of comparing with pivots.
-ROUNDS = 3
+#: Bits in which the sketches of candidates may differ. A minimum that differs changes 4 of its 8 bits, about: at similarity
+#: 0.8 45 bits are expected, with a standard deviation of 13.
+APART = 86
+#: Members of a band whose pairs may be compared by sketches: work for each member is bounded by this.
+SMALL = 32
+#: Longs of a line's bitmap.
+WORDS = 64
 _SEEDS = [random.Random(j).getrandbits(31) for j in range(FUNCTIONS)]
 
 
@@ -54,11 +57,11 @@ def _signatures(distinct: DataFrame, chars: int) -> DataFrame:
     Characters are cut from UTF-32, where each has four bytes; a line shorter than a shingle is one itself.
     """
     # dealt by line first: the minima are as many bytes as most lines
-    data = distinct.select("lid", F.encode("line", "UTF-32").alias("b")).repartition("lid")
+    data = distinct.select("lid", "line").repartition("lid").select("lid", F.encode("line", "UTF-32").alias("b"))
     places = data.select("lid", "b", F.explode(F.expr(f"sequence(1, greatest(1, octet_length(b) div 4 - {chars - 1}))")).alias("i"))
     hashed = places.select("lid", F.expr(f"xxhash64(substring(b, 4 * i - 3, {4 * chars}))").alias("h"))
     value = F.expr("cast(shiftright(h, 32) as int)")
-    part = F.col("h").bitwiseAND(PARTS - 1).cast("int").alias("q")
+    part = F.expr(f"cast(h & {PARTS - 1} as int)").alias("q")
     # the least of the hashes after a change of bits is an unbiased choice among them, like that of another hash
     least = hashed.groupBy("lid", part).agg(*(F.min(value.bitwiseXOR(F.lit(s))).alias(f"m{j}") for j, s in enumerate(_SEEDS)))
     half = PARTS // 2
@@ -71,14 +74,8 @@ def _signatures(distinct: DataFrame, chars: int) -> DataFrame:
 
 
 def _agree(a: str, b: str) -> Column:
-    """Whether two sketches share ``AGREE`` bytes."""
-    unlike = []
-    for j in range(FUNCTIONS):
-        x = f"({a}.s{j} ^ {b}.s{j})"
-        for shift in (4, 2, 1):  # the low bit of each byte becomes 1 if any of its bits is
-            x = f"({x} | shiftrightunsigned({x}, {shift}))"
-        unlike.append(f"bit_count({x} & {0x0101010101010101}L)")
-    return F.expr(f"{' + '.join(unlike)} <= {FUNCTIONS * PARTS - AGREE}")
+    """Whether two sketches differ in few bits."""
+    return F.expr(f"{' + '.join(f'bit_count({a}.s{j} ^ {b}.s{j})' for j in range(FUNCTIONS))} <= {APART}")
 
 
 def _shingles(line: str, chars: int) -> str:
@@ -88,15 +85,10 @@ def _shingles(line: str, chars: int) -> str:
     return f"transform(array(encode({line}, 'UTF-32')), b -> array_distinct({windows}))[0]"
 
 
-def _verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, similarity: float, chars: int) -> DataFrame:
-    """The pairs (a, b) of lids whose sketches agree and whose shingle sets have a Jaccard similarity of at least ``similarity``."""
-    names = sketches.columns
-    a, b = sketches.alias("x"), sketches.alias("y")
-    likely = pairs.join(a.hint("merge"), F.col("a") == F.col("x.lid")).select("a", "b", F.struct(*(f"x.{c}" for c in names)).alias("sa"))
-    likely = likely.join(b.hint("merge"), F.col("b") == F.col("y.lid")).select("a", "b", "sa", F.struct(*(f"y.{c}" for c in names)).alias("sb"))
-    likely = durable(likely.where(_agree("sa", "sb")).select("a", "b"), "likely_pairs")
+def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, chars: int) -> DataFrame:
+    """The pairs (a, b) of lids whose shingle sets have a Jaccard similarity of at least ``similarity``."""
     both = (
-        likely.join(texts.select(F.col("lid").alias("a"), F.col("line").alias("la")).hint("merge"), "a")
+        pairs.join(texts.select(F.col("lid").alias("a"), F.col("line").alias("la")).hint("merge"), "a")
         .join(texts.select(F.col("lid").alias("b"), F.col("line").alias("lb")).hint("merge"), "b")
     )
     # one expression with variables: a filter on columns would be planned with the sets worked out for each mention
@@ -105,41 +97,91 @@ def _verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, similarit
     return durable(both.where(similar).select("a", "b"), "line_links")
 
 
+def _bitmaps(texts: DataFrame, chars: int) -> DataFrame:
+    """Rows (lid, n, w0..): the number of distinct shingles, and a bitmap of their hashes in ``WORDS`` longs.
+
+    Bits that differ come from shingles that only one line has, so two bitmaps differ in no more
+    bits than the sets in shingles.
+    """
+    hashed = texts.select("lid", F.explode(F.expr(_shingles("line", chars))).alias("h"))
+    bits = hashed.selectExpr("lid", f"(h & {WORDS - 1}) as w", "shiftleft(1L, cast(shiftrightunsigned(h, 32) & 63 as int)) as bit")
+    words = bits.groupBy("lid", "w").agg(F.count("*").alias("n"), F.bit_or("bit").alias("bits"))
+    return words.groupBy("lid").agg(F.sum("n").alias("n"), *(F.max(F.when(F.col("w") == i, F.col("bits"))).alias(f"w{i}") for i in range(WORDS))).na.fill(0)
+
+
+def _near(similarity: float) -> Column:
+    """Whether bitmaps x and y allow the similarity: the sets differ in at most a fixed share of their sizes."""
+    apart = " + ".join(f"bit_count(x.w{i} ^ y.w{i})" for i in range(WORDS))
+    return F.expr(f"{apart} <= {(1 - similarity) / (1 + similarity)!r}D * (x.n + y.n) + 1e-6D")
+
+
+def _stars(known: DataFrame, first: Column, second: Column) -> DataFrame:
+    """Pairs (a, b) of the rows (key, lid, c, s0..) and two pivots of their bands, those with the most ``first`` and ``second``, where
+    components differ and sketches agree."""
+    sketch = [f"s{j}" for j in range(FUNCTIONS)]
+    pivots = known.groupBy("key").agg(F.max_by("lid", first).alias("p"), F.max_by("lid", second).alias("q"))
+    pivots = pivots.select("key", F.explode(F.array_distinct(F.array("p", "q"))).alias("lid")).join(known.hint("merge"), ["key", "lid"])
+    pivots = durable(pivots.select("key", F.col("lid").alias("p"), F.col("c").alias("pc"), F.struct(*sketch).alias("sp")), "pivots")
+    stars = known.select("key", "lid", "c", F.struct(*sketch).alias("sl")).join(pivots.hint("merge"), "key").where("c != pc").where(_agree("sl", "sp"))
+    return durable(stars.select(F.least("lid", "p").alias("a"), F.greatest("lid", "p").alias("b")).distinct(), "star_pairs")
+
+
+def _between(known: DataFrame, more: Column) -> DataFrame:
+    """Pairs (a, b) of one band and different components for which the condition on rows x and y holds."""
+    # all conditions are inside the join: other pairs are never made
+    meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.lid") < F.col("y.lid")) & (F.col("x.c") != F.col("y.c")) & more
+    return known.alias("x").hint("merge").join(known.alias("y"), meet).select(F.col("x.lid").alias("a"), F.col("y.lid").alias("b"))
+
+
+def _named(known: DataFrame, links: DataFrame) -> DataFrame:
+    """``known`` with c, the component over the links."""
+    found = durable(components(links), "components_so_far").select(F.col("node").alias("lid"), "component")
+    return durable(known.drop("c").join(found.hint("merge"), "lid", "left").withColumn("c", F.coalesce("component", "lid")).drop("component"), "known")
+
+
+def _apart(known: DataFrame, most: str) -> DataFrame:
+    """The rows of bands that hold different components."""
+    keys = known.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n")).where(f"c0 != c1 and {most}").select("key")
+    return durable(known.join(keys.hint("merge"), "key"), "open_bands")
+
+
 def line_components(distinct: DataFrame, similarity: float = SIMILARITY, chars: int = CHARS) -> DataFrame:
     """Rows (lid, component) for the lines (lid, line) that are similar to another line."""
     signed = durable(_signatures(distinct, chars), "line_signatures")
     bands = signed.select("lid", F.explode("keys").alias("key"))
-    shared = bands.groupBy("key").agg(F.min("lid").alias("p0"), F.max("lid").alias("p1")).where("p0 != p1").select("key")
+    shared = bands.groupBy("key").agg(F.min("lid").alias("p"), F.max("lid").alias("q"), F.count("*").alias("n")).where("n > 1")
     met = durable(bands.join(shared.hint("merge"), "key"), "bands")
     wanted = durable(met.select("lid").distinct(), "candidate_lines")
     sketches = durable(signed.drop("keys").join(wanted.hint("merge"), "lid"), "sketches")
     texts = durable(distinct.select("lid", "line").join(wanted.hint("merge"), "lid"), "candidate_texts")
+    discard(signed)
 
-    known, found, links = met.withColumn("c", F.col("lid")), None, None
-    for n in range(ROUNDS):
-        at = F.xxhash64(F.lit(n), "lid")
-        pivots = known.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min_by("lid", at).alias("p"), F.min_by("c", at).alias("pc"), F.max_by("lid", at).alias("q"), F.max_by("c", at).alias("qc"))
-        pivots = pivots.where("c0 != c1").select("key", F.array(F.struct("p", "pc"), F.struct(F.col("q").alias("p"), F.col("qc").alias("pc"))).alias("pivots"))
-        stars = known.join(pivots.hint("merge"), "key").select("lid", "c", F.inline("pivots")).where("c != pc")
-        pairs = stars.select(F.least("lid", "p").alias("a"), F.greatest("lid", "p").alias("b")).distinct()
-        more = _verified(pairs, sketches, texts, similarity, chars)
-        if more.isEmpty():
-            break
-        links = more if links is None else links.unionByName(more)
-        found = durable(components(links), "line_components").select(F.col("node").alias("lid"), "component")
-        known = durable(met.join(found.hint("merge"), "lid", "left").select("key", "lid", F.coalesce("component", "lid").alias("c")), "band_components")
-
+    stars = met.select("lid", F.explode(F.array("p", "q")).alias("p")).where("lid != p").select(F.least("lid", "p").alias("a"), F.greatest("lid", "p").alias("b")).distinct()
+    likely = stars.join(sketches.alias("x").hint("merge"), F.col("a") == F.col("x.lid")).join(sketches.alias("y").hint("merge"), F.col("b") == F.col("y.lid")).where(_agree("x", "y")).select("a", "b")
+    links = _verified(durable(likely, "star_pairs"), texts, similarity, chars)
     # two pivots settle a band of three
-    apart = known.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n")).where("c0 != c1 and n > 3").select("key")
-    rest = durable(known.join(apart.hint("merge"), "key").join(sketches.hint("merge"), "lid"), "open_bands")
-    # the sketches are part of the join's condition: pairs that are hardly similar are never made
-    near = (F.col("x.key") == F.col("y.key")) & (F.col("x.lid") < F.col("y.lid")) & (F.col("x.c") != F.col("y.c")) & _agree("x", "y")
-    pairs = rest.alias("x").hint("merge").join(rest.alias("y"), near).select(F.col("x.lid").alias("a"), F.col("y.lid").alias("b")).distinct()
-    more = _verified(durable(pairs, "open_pairs"), sketches, texts, similarity, chars)
-    if not more.isEmpty():
-        links = more if links is None else links.unionByName(more)
-        found = components(links).select(F.col("node").alias("lid"), "component")
-    return wanted.limit(0).withColumn("component", F.col("lid")) if found is None else found
+    known = _apart(_named(met.where("n > 3").select("key", "lid", "n", F.col("lid").alias("c")), links), "true").join(sketches.hint("merge"), "lid")
+    known = durable(known, "open_sketches")
+    pairs = durable(_between(known.where(F.col("n") <= SMALL), _agree("x", "y")).distinct(), "open_pairs")
+    links = links.unionByName(_verified(pairs, texts, similarity, chars))
+
+    large = known.where(F.col("n") > SMALL)
+    weights = large.groupBy("lid").agg(F.sum("n").alias("weight"))
+    large = durable(large.join(weights.hint("merge"), "lid"), "large_bands")
+    if not large.isEmpty():
+        # a line that is in the largest bands is near the middle of a group
+        for first in (F.col("weight"), F.xxhash64(F.lit(1), "lid")):
+            large = _named(large, links)
+            links = links.unionByName(_verified(_stars(large, first, F.xxhash64("lid")), texts, similarity, chars))
+        large = _apart(_named(large, links), f"n > {SMALL}")
+        keys = large.groupBy("lid").agg(F.sort_array(F.collect_set("key")).alias("keys"))  # as many as a line has bands
+        lines = durable(large.select("lid").distinct(), "open_lines")
+        maps = durable(_bitmaps(texts.join(lines.hint("merge"), "lid"), chars).join(keys.hint("merge"), "lid"), "bitmaps")
+        open_ = durable(large.drop("n").join(maps.hint("merge"), "lid").withColumn("before", F.array_position("keys", F.col("key")).cast("int") - 1), "open_bitmaps")
+        # a pair that shares an earlier band is made there
+        pairs = durable(_between(open_, _agree("x", "y") & _near(similarity) & F.expr("not arrays_overlap(slice(x.keys, 1, x.before), y.keys)")), "large_pairs")
+        links = links.unionByName(_verified(pairs, texts, similarity, chars))
+    return components(links).select(F.col("node").alias("lid"), "component")
 
 
 def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, chars: int = CHARS) -> DataFrame:
@@ -154,20 +196,16 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     places = durable(lines.select("doc_id", "r1", "r2", "at", *_keys("line")), "line_places")
     distinct = _lines(rows).groupBy("line").agg(F.count("*").alias("n"))
     # numbers, since two lines of a large corpus may share a 64-bit hash
-    distinct = durable(distinct.select(F.monotonically_increasing_id().alias("lid"), *_keys("line"), "line"), "distinct_lines")
-    similar = line_components(distinct, similarity, chars)
+    distinct = durable(distinct.select(F.monotonically_increasing_id().alias("lid"), "n", "line"), "distinct_lines")
+    similar = durable(line_components(distinct.select("lid", "line"), similarity, chars), "similar_lines")
 
+    group = F.coalesce("component", "lid").alias("group")
+    open_ = distinct.join(similar.hint("merge"), "lid", "left").where("n > 1 or component is not null").select(group, *_keys("line"))
+    # tables, so that Spark can split a very common line or group in the joins
+    at = durable(places.join(durable(open_, "open_groups").hint("merge"), ["h1", "h2"]).drop("h1", "h2"), "open_places")
     place = F.struct("doc_id", "r1", "r2", "at")
-    firsts = places.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"))
-    firsts = durable(firsts, "first_places")
-    members = distinct.select("lid", "h1", "h2").join(similar.hint("merge"), "lid").join(firsts.hint("merge"), ["h1", "h2"])
-    members = durable(members.select("h1", "h2", "component", "first"), "members")
-    heads = members.groupBy("component").agg(F.min("first").alias("head"))
-    heads = members.join(heads.hint("merge"), "component").select("h1", "h2", "head")
-    alone = firsts.where("n > 1").join(members.select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti").select("h1", "h2", F.col("first").alias("head"))
-    # a table, so that Spark can split a very common line in the join
-    heads = durable(heads.unionByName(alone), "kept_places")
-    lost = places.join(heads.hint("merge"), ["h1", "h2"]).where(~place.eqNullSafe(F.col("head")))
+    heads = durable(at.groupBy("group").agg(F.min(place).alias("head")), "kept_places")
+    lost = at.join(heads.hint("merge"), "group").where(~place.eqNullSafe(F.col("head")))
     return lost.groupBy("r1", "r2").agg(F.sort_array(F.collect_set("at")).alias("removed"))
 
 
