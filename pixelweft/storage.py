@@ -41,7 +41,7 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     if before is not None:
         spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
         if before is not None:
             spark.conf.set(_CLEANUP, before)
