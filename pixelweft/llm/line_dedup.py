@@ -24,10 +24,10 @@ from pixelweft.llm.common import components, discard, durable
 
 CHARS, SIMILARITY = 5, 0.8
 #: Hash functions, and parts of the hash space that each has a minimum in. Two bands of four parts each.
-FUNCTIONS, PARTS = 7, 8
+FUNCTIONS, PARTS = 6, 8
 #: Bits in which the sketches of candidates may differ. A minimum that differs changes 4 of its 8 bits, about: at similarity
-#: 0.8 45 bits are expected, with a standard deviation of 13.
-APART = 86
+#: 0.8 38 bits are expected, with a standard deviation of 12.
+APART = 74
 #: Members of a band whose pairs may be compared by sketches: work for each member is bounded by this.
 SMALL = 32
 #: Longs of a line's bitmap.
@@ -149,8 +149,11 @@ def line_components(distinct: DataFrame, similarity: float = SIMILARITY, chars:
     """Rows (lid, component) for the lines (lid, line) that are similar to another line."""
     signed = durable(_signatures(distinct, chars), "line_signatures")
     bands = signed.select("lid", F.explode("keys").alias("key"))
-    shared = bands.groupBy("key").agg(F.min("lid").alias("p"), F.max("lid").alias("q"), F.count("*").alias("n")).where("n > 1")
-    met = durable(bands.join(shared.hint("merge"), "key"), "bands")
+    shared = durable(bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared_bands")
+    members = durable(bands.join(shared.hint("merge"), "key"), "band_members")
+    pivots = members.groupBy("key").agg(F.min("lid").alias("p"), F.max("lid").alias("q"))
+    met = durable(members.join(pivots.hint("merge"), "key"), "bands")
+    discard(members, shared)
     wanted = durable(met.select("lid").distinct(), "candidate_lines")
     sketches = durable(signed.drop("keys").join(wanted.hint("merge"), "lid"), "sketches")
     texts = durable(distinct.select("lid", "line").join(wanted.hint("merge"), "lid"), "candidate_texts")
