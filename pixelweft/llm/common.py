@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from pixelweft.operators.components import components
 from pixelweft.storage import discard, durable, shared_dir
 
-__all__ = ["chunks", "components", "discard", "durable", "map_texts", "row_key", "shared_dir", "table"]
+__all__ = ["WordHashes", "mixed", "chunks", "components", "discard", "durable", "map_texts", "row_key", "shared_dir", "table"]
 
 #: Bytes of text that a Python task works on at a time, and bytes of an Arrow batch that Spark sends it.
 CHUNK, BATCH = 2 << 20, 8 << 20
@@ -76,3 +76,39 @@ def map_texts(df: DataFrame, text: str, keep: list[str], make: Callable[[], Call
                 yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in keep), *work(piece)], names)
 
     return need.mapInArrow(run, schema)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A change of 64 bits in which every bit of the input counts."""
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    return x ^ (x >> np.uint64(33))
+
+
+def plain_words(text: str | None) -> list[bytes]:
+    """Words ``[^\\x20\\x09-\\x0D]+`` of a text, with A-Z lower-cased."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+class WordHashes(dict):
+    """64-bit hashes of words; up to ``MEMORY`` words are remembered."""
+
+    MEMORY, LONGEST = 150_000, 48
+
+    def __init__(self, words: Callable[[str | None], list[bytes]] = plain_words):
+        super().__init__()
+        self.words = words
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        h = xxhash.xxh64_intdigest(word, 42)
+        if len(self) < self.MEMORY and len(word) <= self.LONGEST:
+            self[word] = h
+        return h
+
+    def words_of(self, text: str | None) -> tuple[list[bytes], np.ndarray]:
+        words = self.words(text)
+        return words, np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+    def of(self, text: str | None) -> np.ndarray:
+        return self.words_of(text)[1]

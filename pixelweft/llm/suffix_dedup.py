@@ -20,32 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pixelweft.llm.common import chunks, durable, map_texts, row_key, small_batches
+from pixelweft.llm.common import WordHashes, chunks, durable, map_texts, mixed, row_key, small_batches
 
 LENGTH, SEED = 50, 10
 WIDTH = LENGTH - SEED + 1
 #: Bases of two rolling hashes over 64 bits; together 128 bits tell passages apart.
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
-MEMORY = 150_000
-
-
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        h = xxhash.xxh64_intdigest(word, 42)
-        if len(self) < MEMORY and len(word) <= 48:
-            self[word] = h
-        return h
-
-    def of(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    return x ^ (x >> np.uint64(33))
 
 
 class Powers:

@@ -85,14 +85,16 @@ def test_sharding(spark, odd, clash):
     assert sharding.histogram_shards(same).groupBy("shard").count().agg(F.max("count") - F.min("count")).first()[0] <= 4
 
 
-def test_decontamination(spark, odd, clash):
+def test_decontamination(spark, odd, clash, monkeypatch):
     items = [(1, " ".join(f"w{i}" for i in range(20))), (2, "short item"), (2, "short item"), (3, ""), (None, "no id here"), (4, None), (5, "One, TWO; three four five six seven eight nine ten eleven twelve thirteen")]
     b = spark.createDataFrame(items, "item_id long, text string")
     docs = [(0, "x " * 10 + " ".join(f"W{i}" for i in range(3, 18)) + " y"), (1, "a short item b"), (2, "one two three four five six seven eight nine ten eleven twelve THIRTEEN"), (3, " ".join(f"w{i}" for i in range(12))), (4, "no id here"), (5, "short-item " + "z " * 100)]
     d = spark.createDataFrame(docs, "doc_id long, text string")
     want = {0: (26, 15, ["1"], True), 1: (4, 2, ["2"], True), 2: (13, 13, ["5"], True), 3: (12, 0, [], False), 4: (3, 0, [], False), 5: (102, 2, ["2"], False)}
-    for block in (1 << 20, 40):  # one block, many blocks
-        got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["item_ids"], r["contaminated"]) for r in decontam.decontaminate(d, b, block_bytes=block).collect()}
+    for bits in (decontam.LEAST_BITS, 6):  # a bitmap that tells shingles apart, one that lets nearly all through
+        monkeypatch.setattr(decontam, "LEAST_BITS", bits)
+        monkeypatch.setattr(decontam, "MOST_BITS", max(bits, 6))
+        got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["item_ids"], r["contaminated"]) for r in decontam.decontaminate(d, b).collect()}
         assert got == want
     out = decontam.decontaminate(clash, b)
     assert out.count() == len(ODD) and out.where("contaminated").count() == 0
