@@ -1,10 +1,13 @@
 """Byte-level BPE encoding and decoding through a table of distinct words.
 
-Spark deals out the texts. Each task splits its texts into words (pre-tokens), keeps a table of
-the distinct words with their ids, encodes a word when it first meets it, and joins the ids back by
-the words' positions. Decoding joins ids to pieces. The table is held by task and not for the whole
-corpus: joining ids back by position across tasks would shuffle a row for every word, many times
-the input, while the table of a task is bounded by ``MEMORY``.
+Texts are split into words (pre-tokens) block by block; a block is about ``CHUNK`` bytes of text and keeps its
+documents as positions in the list of its distinct words. The words of all blocks, made distinct,
+are one table, in which every word is encoded once. Its ids are joined with the words of the blocks, gathered for each block and
+put back by position. So what moves is a row for each distinct word of a block, not one for each word of
+the corpus, and nothing is gathered beyond a block.
+
+Decoding joins ids with the table of pieces. The table has a row for each id of the vocabulary and is sent to every task; ids
+find their pieces in it by position.
 """
 
 from __future__ import annotations
@@ -13,15 +16,17 @@ import json
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pixelweft.llm.common import map_texts
+from pixelweft.llm.common import chunks, durable, map_texts, small_batches
 
 #: Fixed value: the split pattern of byte-level BPE (public; also public_tokenizers.PATTERN).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words that a task's table holds at most, and the length up to which a word enters it.
-MEMORY, LONGEST = 120_000, 48
+#: Stands before a special string among the words. No word of the pattern has a letter after it.
+SPECIAL = "\0S"
 
 
 def load(spec: str):
@@ -52,53 +57,107 @@ def check_spec(spec: str) -> list[str]:
     return [t["content"] for t in j["added_tokens"]]
 
 
-class WordIds(dict):
-    """Word to its ids, as the bytes of int32; encodes a word that isn't in the table."""
+class Splitter:
+    """Words of texts; special strings are words of their own."""
 
-    def __init__(self, spec: str):
+    def __init__(self, special: list[str]):
         import regex
 
-        super().__init__()
-        self.t, self.left = load(spec), MEMORY
+        special = sorted(special, key=len, reverse=True)
         self.words = regex.compile(PATTERN).findall
-        special = sorted(check_spec(spec), key=len, reverse=True)
-        self.special = {s: np.int32(self.t.token_to_id(s)).tobytes() for s in special}
+        self.special = {s: [SPECIAL + s] for s in special}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, special)) + ")").split if special else None
 
-    def __missing__(self, word: str) -> bytes:
-        ids = np.asarray(self.t.encode(word, add_special_tokens=False).ids, dtype=np.int32).tobytes()
-        if self.left and len(word) <= LONGEST:
-            self[word] = ids
-            self.left -= 1
-        return ids
-
-    def encode(self, text: str | None) -> bytes:
+    def __call__(self, text: str | None) -> list[str]:
         if not text:
-            return b""
+            return []
         if not any(s in text for s in self.special):
-            return b"".join(map(self.__getitem__, self.words(text)))
-        return b"".join(self.special.get(x) or b"".join(map(self.__getitem__, self.words(x))) for x in self.cut(text))
-
-
-def as_lists(parts: list[bytes]) -> pa.Array:
-    ends = np.cumsum([0, *(len(p) // 4 for p in parts)], dtype=np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), dtype=np.int32)))
+            return self.words(text)
+        return [w for x in self.cut(text) for w in self.special.get(x) or self.words(x)]
+
+
+def blocks(docs: DataFrame, special: list[str]) -> DataFrame:
+    """``docs`` (doc, text) as rows (block, docs, wide, codes, words): the documents, and for each the number of its words; the words of all as
+    places in the list of the block's distinct words, 4 bytes each if ``wide``, else 2."""
+    doc = docs.schema["doc"].dataType
+    schema = T.StructType([
+        T.StructField("block", T.LongType()), T.StructField("docs", T.ArrayType(doc)), T.StructField("n", T.ArrayType(T.IntegerType())),
+        T.StructField("wide", T.BooleanType()), T.StructField("codes", T.BinaryType()), T.StructField("words", T.ArrayType(T.StringType())),
+    ])
+
+    def run(batches):
+        split, made = Splitter(special), TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for piece in chunks(batch, "text"):
+                each = [split(t) for t in piece.column("text").to_pylist()]
+                place: dict[str, int] = {}
+                codes = np.fromiter((place.setdefault(w, len(place)) for words in each for w in words), np.uint32, sum(map(len, each)))
+                wide = len(place) > 1 << 16
+                codes = (codes if wide else codes.astype(np.uint16)).tobytes()
+                rows = [pa.ListArray.from_arrays(pa.array([0, piece.num_rows], pa.int32()), piece.column("doc"))]
+                names = ["block", "docs", "n", "wide", "codes", "words"]
+                yield pa.RecordBatch.from_arrays([pa.array([made], pa.int64()), *rows, pa.array([list(map(len, each))], pa.list_(pa.int32())), pa.array([wide]), pa.array([codes], pa.binary()), pa.array([list(place)], pa.list_(pa.string()))], names)
+                made += 1
+
+    return docs.select("doc", "text").mapInArrow(run, schema)
+
+
+def word_ids(words: DataFrame, spec: str) -> DataFrame:
+    """Rows (word, ids) of distinct ``words``: the ids as the bytes of int32."""
+
+    def run(batches):
+        t = load(spec)
+        for batch in batches:
+            words = batch.column("word").to_pylist()
+            plain = t.encode_batch([w for w in words if not w.startswith(SPECIAL)], add_special_tokens=False)
+            each = iter(plain)
+            ids = [[t.token_to_id(w[len(SPECIAL) :])] if w.startswith(SPECIAL) else next(each).ids for w in words]
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array([np.asarray(i, np.int32).tobytes() for i in ids], pa.binary())], ["word", "ids"])
+
+    return words.select("word").mapInArrow(run, "word string, ids binary")
+
+
+def ragged(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of ``values`` that are ``wanted``, one after another, and where each ends."""
+    n = lengths[wanted]
+    ends = np.cumsum(n)
+    shift = np.repeat(starts[wanted] - (ends - n), n)
+    return values[shift + np.arange(len(shift))], ends
 
 
 def encode(docs: DataFrame, spec: str, text: str = "text", out: str = "ids", keep: list[str] | None = None) -> DataFrame:
     """``docs`` (its columns ``keep``, or all) with ``out``, an array of int: the ids of each whole text.
 
-    ``spec`` is the tokenizer's JSON. Null and empty texts have an empty array. Special strings
-    inside a text become their single ids, as the library does. No shuffle; texts of any length;
-    repeated rows are encoded alike; a column already named ``out`` is replaced.
+    ``spec`` is the tokenizer's JSON. Null and empty texts have an empty array; an empty table gives an empty result. Special strings
+    inside a text become their single ids, as the library does. Texts of any length; repeated rows are encoded alike; a
+    column already named ``out`` is replaced, other names don't matter.
     """
-    check_spec(spec)
-
-    def make():
-        words = WordIds(spec)
-        return lambda piece: [as_lists([words.encode(t) for t in piece.column(text).to_pylist()])]
-
-    return map_texts(docs, text, keep or docs.columns, make, [T.StructField(out, T.ArrayType(T.IntegerType()))])
+    special = check_spec(spec)
+    small_batches(docs.sparkSession)
+    keep = [c for c in keep or docs.columns if c != out]
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("doc"), F.col(text).alias("text"))
+    table = durable(blocks(packed, special), "blocks")
+    words = table.select("block", F.posexplode("words").alias("place", "word"))
+    encoded = durable(word_ids(words.select("word").distinct(), spec), "word_ids")
+    # a list for each block, as long as its list of words
+    found = words.join(encoded.hint("merge"), "word").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("place", "ids"))).alias("found"))
+    found = durable(found.select("block", "found.ids"), "block_ids")
+    joined = table.drop("words").join(found.hint("merge"), "block", "left")
+    schema = T.StructType([T.StructField("doc", packed.schema["doc"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+
+    def run(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                lists = batch.column("ids")[row].as_py() or []
+                lengths = np.array([len(x) // 4 for x in lists], np.int64)
+                codes = np.frombuffer(batch.column("codes")[row].as_py(), np.uint32 if batch.column("wide")[row].as_py() else np.uint16)
+                values, ends = ragged(np.frombuffer(b"".join(lists), np.int32), np.cumsum(lengths) - lengths, lengths, codes)
+                n = np.cumsum([0, *batch.column("n")[row].as_py()])
+                cuts = np.concatenate([[0], ends])[n].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column("docs")[row].values, pa.ListArray.from_arrays(pa.array(cuts), pa.array(values))], ["doc", "ids"])
+
+    ids = joined.select("docs", "n", "wide", "codes", "ids").mapInArrow(run, schema)
+    return ids.select("doc.*", F.col("ids").alias(out))
 
 
 def pieces(spec: str) -> list[bytes]:
@@ -119,15 +178,21 @@ def decode(docs: DataFrame, spec: str, ids: str = "ids", out: str = "decoded", k
     Bytes that form no character become U+FFFD. A null array gives an empty text.
     """
     check_spec(spec)
+    table = pieces(spec)
+    lengths = np.array([len(p) for p in table], np.int64)
+    # as large as the vocabulary
+    shared = docs.sparkSession.sparkContext.broadcast((np.frombuffer(b"".join(table), np.uint8), np.cumsum(lengths) - lengths, lengths))
 
     def make():
-        piece = pieces(spec).__getitem__
+        bytes_, starts, sizes = shared.value
 
         def texts(batch):
             lists = batch.column(ids)
-            values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
-            found = [b"".join(map(piece, values[a:b].tolist())).decode("utf-8", "replace") for a, b in zip(ends, ends[1:], strict=False)]
-            return [pa.array(found, pa.string())]
+            offsets = lists.offsets.to_numpy()
+            values = lists.values.to_numpy()[offsets[0] : offsets[-1]]
+            joined, ends = ragged(bytes_, starts, sizes, values)
+            joined, cuts = joined.tobytes(), np.concatenate([[0], ends])[offsets - offsets[0]].tolist()
+            return [pa.array([joined[a:b].decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:], strict=False)], pa.string())]
 
         return texts
 
