@@ -120,4 +120,19 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r)
 """
 
-ORACLES: dict[str, str] = {"op4_license_scan": license_scan.oracle(), "op9_decontamination": OP9_SQL}
+OP2_SQL = """
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r,
+         list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+windows AS (SELECT r, i, array_to_string(w[i + 1 : i + 50], ' ') AS win FROM (SELECT r, w, unnest(range(0, len(w) - 49)) AS i FROM d WHERE len(w) >= 50)),
+again AS (SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY win) > 1),
+marked AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM again),
+numbered AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS island FROM marked),
+spans AS (SELECT r, min(i) AS first, max(i) + 50 AS fin FROM numbered GROUP BY r, island),
+found AS (SELECT r, sum(fin - first) AS n, count(*) AS k, string_agg(first || '-' || fin, ',' ORDER BY first) AS s FROM spans GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_repeated, CAST(coalesce(k, 0) AS BIGINT) AS n_spans, coalesce(s, '') AS spans
+FROM d LEFT JOIN found USING (r)
+"""
+
+ORACLES: dict[str, str] = {"op2_suffix_array": OP2_SQL, "op4_license_scan": license_scan.oracle(), "op9_decontamination": OP9_SQL}

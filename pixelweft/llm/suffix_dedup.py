@@ -2,14 +2,17 @@
 
 A passage of ``LENGTH`` words that occurs twice holds, in both places, a suffix that starts at the
 same word: the minimiser of its ``WIDTH`` runs of ``SEED`` words. Only suffixes at minimisers are
-kept, about one in twenty. Sorted by their first words, equal suffixes are neighbours; a suffix
-whose neighbours differ is unique and goes.
+kept, about one in twenty. They are sorted, over the whole corpus, by their first words and then by their extents, and each is
+compared with its neighbours; one whose neighbours differ is unique and goes.
 
 A kept suffix stands for the passages of ``LENGTH`` words that have it as their minimiser. Together
 they span its extent, the widest stretch to which a match at it may be extended left and right
-before another minimiser takes over. Where all extents around equal suffixes agree, the whole extent
-is a match. Elsewhere one extent of each kind is extended word by word: its passages are hashed, and
-those that another kind of extent has too are matches.
+before another minimiser takes over. Where a neighbour's extent is the same, the whole extent
+is a match. Where the first words agree and the extents differ, one of each kind is extended word by word: its passages are
+those that begin up to so many words to the left, and those that another kind of extent has too are matches.
+
+Words, extents and passages are compared by two rolling hashes, 128 bits together; order is that of the hashes,
+in which equal suffixes are neighbours as in any other order.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pixelweft.llm.common import WordHashes, chunks, durable, map_texts, mixed, row_key, small_batches
+from pixelweft.llm.common import WordHashes, chunks, discard, durable, map_texts, mixed, row_key, small_batches
 
 LENGTH, SEED = 50, 10
 WIDTH = LENGTH - SEED + 1
@@ -109,26 +112,68 @@ def suffixes(rows: DataFrame) -> DataFrame:
     return rows.select("row", "text").mapInArrow(run, "row long, first int, last int, seed long, x0 long, x1 long")
 
 
+def neighbours(kept: DataFrame) -> DataFrame:
+    """The rows of ``kept``, sorted, that resemble a neighbour: ``whole`` if its extent is the same, ``turn`` where the extent changes between neighbours
+    with the same first words. The first and last row of a partition may have neighbours elsewhere; they count as turns."""
+    ordered = kept.repartitionByRange("seed", "x0", "x1").sortWithinPartitions("seed", "x0", "x1")
+
+    def judged(part: pa.Table, before: pa.Table | None, after: pa.Table | None):
+        """The rows of ``part``, between the row before and the row after."""
+        n = part.num_rows
+        around = [t for t in (before, part, after) if t is not None]
+        seed, x0, x1 = (np.concatenate([t.column(c).to_numpy() for t in around]) for c in ("seed", "x0", "x1"))
+        alike = seed[1:] == seed[:-1]
+        equal = alike & (x0[1:] == x0[:-1]) & (x1[1:] == x1[:-1])
+        whole, turn = np.zeros(n, bool), np.zeros(n, bool)
+        lead = 0 if before is None else 1
+        for flags, out in ((equal, whole), (alike & ~equal, turn)):
+            out[1 - lead :] |= flags[: n - 1 + lead]  # with the row before
+            out[: len(flags) - lead] |= flags[lead : lead + n]  # with the row after
+        turn[0] |= before is None
+        turn[-1] |= after is None
+        return whole, turn
+
+    def run(batches):
+        waiting, before = None, None
+        names = ["row", "first", "last", "x0", "x1"]
+
+        def made(after):
+            whole, turn = judged(waiting, before, after)
+            out = waiting.select(names).append_column("whole", pa.array(whole)).append_column("turn", pa.array(turn))
+            yield from out.filter(pa.array(whole | turn)).to_batches()
+
+        for batch in batches:
+            if batch.num_rows:
+                table = pa.Table.from_batches([batch])
+                if waiting is not None:
+                    yield from made(table.slice(0, 1))
+                    before = waiting.slice(waiting.num_rows - 1)
+                waiting = table
+        if waiting is not None:
+            yield from made(None)
+
+    return ordered.mapInArrow(run, "row long, first int, last int, x0 long, x1 long, whole boolean, turn boolean")
+
+
 def passages(rows: DataFrame, extents: DataFrame) -> DataFrame:
-    """Rows (x0, x1, first, p0, p1): the passages of each extent, by start, with their hashes."""
-    wanted = extents.groupBy("row").agg(F.collect_list(F.struct("first", "last", "x0", "x1")).alias("spans"))
-    joined = rows.select("row", "text").join(wanted.hint("merge"), "row").select("text", "spans")
+    """Rows (row, first, p0, p1): the passages of each extent (row, first, last), by start, with their hashes."""
+    wanted = extents.groupBy("row").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+    joined = rows.select("row", "text").join(wanted.hint("merge"), "row").select("row", "text", "spans")
 
     def run(batches):
         hashes, powers = WordHashes(), Powers()
         for batch in batches:
             for piece in chunks(batch, "text"):
-                parts = [[np.zeros(0, k)] for k in (np.int64, np.int64, np.int32, np.int64, np.int64)]
-                for text, spans in zip(piece.column("text").to_pylist(), piece.column("spans").to_pylist(), strict=True):
+                parts = [[np.zeros(0, k)] for k in (np.int64, np.int32, np.int64, np.int64)]
+                for row, text, spans in zip(piece.column("row").to_pylist(), piece.column("text").to_pylist(), piece.column("spans").to_pylist(), strict=True):
                     words = hashes.of(text)
-                    starts = np.concatenate([np.arange(s["first"], s["last"] + 1) for s in spans])
-                    n = np.array([s["last"] - s["first"] + 1 for s in spans])
+                    starts = np.unique(np.concatenate([np.arange(s["first"], s["last"] + 1) for s in spans]))
                     p0, p1 = (h.view(np.int64) for h in Stretches(words, powers).hashes(starts, starts + LENGTH))
-                    for part, x in zip(parts, (np.repeat([s["x0"] for s in spans], n), np.repeat([s["x1"] for s in spans], n), starts.astype(np.int32), p0, p1), strict=True):
+                    for part, x in zip(parts, (np.full(len(starts), row), starts.astype(np.int32), p0, p1), strict=True):
                         part.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p)) for p in parts], ["x0", "x1", "first", "p0", "p1"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p)) for p in parts], ["row", "first", "p0", "p1"])
 
-    return joined.mapInArrow(run, "x0 long, x1 long, first int, p0 long, p1 long")
+    return joined.mapInArrow(run, "row long, first int, p0 long, p1 long")
 
 
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -145,23 +190,14 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     small_batches(docs.sparkSession)
     kept = durable(suffixes(rows), "suffixes")
 
-    groups = kept.groupBy("seed").agg(F.count("*").alias("n"), ((F.min("x0") == F.max("x0")) & (F.min("x1") == F.max("x1"))).alias("alike")).where("n > 1")
-    groups = durable(groups.select("seed", "alike"), "seeds")  # a table of its own, so that Spark can split a hot seed in the join
-    neighbours = durable(kept.join(groups.hint("merge"), "seed").drop("seed"), "neighbours")
-    whole = neighbours.where("alike").select("row", "first", (F.col("last") + LENGTH).alias("end"))
-
-    place = F.struct("row", "first", "last")
-    mixed_ = neighbours.where("not alike")
-    extents = durable(mixed_.groupBy("x0", "x1").agg(F.count("*").alias("n"), F.min(place).alias("p")).select("x0", "x1", "n", "p.*"), "extents")
-    often = mixed_.join(extents.where("n > 1").select("x0", "x1").hint("merge"), ["x0", "x1"], "left_semi").select("row", "first", (F.col("last") + LENGTH).alias("end"))
-
-    # A row that is there twice would give its passages twice; its extents have n > 1 and need none.
-    found = durable(passages(rows, extents.select("row", "first", "last", "x0", "x1")).distinct(), "passages")
+    near = durable(neighbours(kept), "neighbours")
+    discard(kept)
+    whole = near.where("whole").select("row", "first", (F.col("last") + LENGTH).alias("end"))
+    # a turn whose extent occurs again has whole copies beside it; it is there as a partner for others
+    found = durable(passages(rows, near.where("turn").select("row", "first", "last")), "passages")
     again = found.groupBy("p0", "p1").agg(F.count("*").alias("n")).where("n > 1").select("p0", "p1")
-    single = extents.where("n = 1").select("x0", "x1", "row")
-    grown = found.join(again.hint("merge"), ["p0", "p1"], "left_semi").join(single.hint("merge"), ["x0", "x1"]).select("row", "first", (F.col("first") + LENGTH).alias("end"))
-
-    stretches = whole.unionByName(often).unionByName(grown).distinct()
+    grown = found.join(durable(again, "repeated").hint("merge"), ["p0", "p1"], "left_semi").select("row", "first", (F.col("first") + LENGTH).alias("end"))
+    stretches = whole.unionByName(grown).distinct()
     by_row = stretches.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("first", "end"))).alias("parts"))
     ids = rows.select("doc_id", "row").distinct()
     return ids.join(merged(by_row).hint("merge"), "row").select("doc_id", "row", "spans")
