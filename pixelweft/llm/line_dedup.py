@@ -25,9 +25,10 @@ from pixelweft.llm.common import components, discard, durable
 CHARS, SIMILARITY = 5, 0.8
 #: Hash functions, and parts of the hash space that each has a minimum in. Two bands of four parts each.
 FUNCTIONS, PARTS = 6, 8
-#: Bits in which the sketches of candidates may differ. A minimum that differs changes 4 of its 8 bits, about: at similarity
-#: 0.8 38 bits are expected, with a standard deviation of 12.
-APART = 74
+BANDS = 2 * FUNCTIONS
+#: Bits in which the signatures of candidates may differ. A minimum that differs changes 8 of its 16 bits, about: at similarity
+#: 0.8 77 bits are expected, with a standard deviation of 23.
+APART = 148
 #: Members of a band whose pairs may be compared by sketches: work for each member is bounded by this.
 SMALL = 32
 #: Longs of a line's bitmap.
@@ -52,7 +53,7 @@ def _lines(rows: DataFrame, *keep: str) -> DataFrame:
 
 
 def _signatures(distinct: DataFrame, chars: int) -> DataFrame:
-    """Rows (lid, keys, s0..): the band keys of each line, and a byte of each of its minima.
+    """Rows (lid, s0..): the bands of each line. A band is four minima of 16 bits; 0 if it has no shingle.
 
     Characters are cut from UTF-32, where each has four bytes; a line shorter than a shingle is one itself.
     """
@@ -65,17 +66,14 @@ def _signatures(distinct: DataFrame, chars: int) -> DataFrame:
     # the least of the hashes after a change of bits is an unbiased choice among them, like that of another hash
     least = hashed.groupBy("lid", part).agg(*(F.min(value.bitwiseXOR(F.lit(s))).alias(f"m{j}") for j, s in enumerate(_SEEDS)))
     half = PARTS // 2
-    sums = [F.expr(f"bit_xor(if(q div {half} = {h}, xxhash64(q, m{j}), 0L))").alias(f"x{j}_{h}") for j in range(FUNCTIONS) for h in (0, 1)]
-    bytes_ = [F.expr(f"bit_or(shiftleft(cast(m{j} & 255 as bigint), 8 * q))").alias(f"s{j}") for j in range(FUNCTIONS)]
-    signed = least.groupBy("lid").agg(*sums, *bytes_)
-    # a half without any shingle says nothing
-    keys = [F.when(F.col(f"x{j}_{h}") != 0, F.xxhash64(F.lit(2 * j + h), f"x{j}_{h}")) for j in range(FUNCTIONS) for h in (0, 1)]
-    return signed.select("lid", F.array_compact(F.array(*keys)).alias("keys"), *(f"s{j}" for j in range(FUNCTIONS)))
+    # the last 16 bits of a minimum, which the choice leaves uniform
+    band = "bit_or(if(q div {half} = {h}, shiftleft(cast(m{j} & 65535 as bigint), 16 * (q % {half})), 0L))"
+    return least.groupBy("lid").agg(*(F.expr(band.format(half=half, h=n % 2, j=n // 2)).alias(f"s{n}") for n in range(BANDS)))
 
 
 def _agree(a: str, b: str) -> Column:
-    """Whether two sketches differ in few bits."""
-    return F.expr(f"{' + '.join(f'bit_count({a}.s{j} ^ {b}.s{j})' for j in range(FUNCTIONS))} <= {APART}")
+    """Whether two signatures differ in few bits."""
+    return F.expr(f"{' + '.join(f'bit_count({a}.s{j} ^ {b}.s{j})' for j in range(BANDS))} <= {APART}")
 
 
 def _shingles(line: str, chars: int) -> str:
@@ -118,7 +116,7 @@ def _near(similarity: float) -> Column:
 def _stars(known: DataFrame, first: Column, second: Column) -> DataFrame:
     """Pairs (a, b) of the rows (key, lid, c, s0..) and two pivots of their bands, those with the most ``first`` and ``second``, where
     components differ and sketches agree."""
-    sketch = [f"s{j}" for j in range(FUNCTIONS)]
+    sketch = [f"s{j}" for j in range(BANDS)]
     pivots = known.groupBy("key").agg(F.max_by("lid", first).alias("p"), F.max_by("lid", second).alias("q"))
     pivots = pivots.select("key", F.explode(F.array_distinct(F.array("p", "q"))).alias("lid")).join(known.hint("merge"), ["key", "lid"])
     pivots = durable(pivots.select("key", F.col("lid").alias("p"), F.col("c").alias("pc"), F.struct(*sketch).alias("sp")), "pivots")
@@ -148,14 +146,15 @@ def _apart(known: DataFrame, most: str) -> DataFrame:
 def line_components(distinct: DataFrame, similarity: float = SIMILARITY, chars: int = CHARS) -> DataFrame:
     """Rows (lid, component) for the lines (lid, line) that are similar to another line."""
     signed = durable(_signatures(distinct, chars), "line_signatures")
-    bands = signed.select("lid", F.explode("keys").alias("key"))
+    keys = F.array_compact(F.array(*(F.when(F.col(f"s{j}") != 0, F.xxhash64(F.lit(j), f"s{j}")) for j in range(BANDS))))
+    bands = signed.select("lid", F.explode(keys).alias("key"))
     shared = durable(bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared_bands")
     members = durable(bands.join(shared.hint("merge"), "key"), "band_members")
     pivots = members.groupBy("key").agg(F.min("lid").alias("p"), F.max("lid").alias("q"))
     met = durable(members.join(pivots.hint("merge"), "key"), "bands")
     discard(members, shared)
     wanted = durable(met.select("lid").distinct(), "candidate_lines")
-    sketches = durable(signed.drop("keys").join(wanted.hint("merge"), "lid"), "sketches")
+    sketches = durable(signed.join(wanted.hint("merge"), "lid"), "sketches")
     texts = durable(distinct.select("lid", "line").join(wanted.hint("merge"), "lid"), "candidate_texts")
     discard(signed)
 
@@ -195,13 +194,13 @@ def removed_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     always stay. A null doc_id comes before all others. Rows that repeat both id and text have the same keys.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).select("doc_id", "text", *row_keys("doc_id", "text"))
-    lines = _lines(rows, "doc_id", "r1", "r2")
-    places = durable(lines.select("doc_id", "r1", "r2", "at", *_keys("line")), "line_places")
     distinct = _lines(rows).groupBy("line").agg(F.count("*").alias("n"))
     # numbers, since two lines of a large corpus may share a 64-bit hash
     distinct = durable(distinct.select(F.monotonically_increasing_id().alias("lid"), "n", "line"), "distinct_lines")
     similar = durable(line_components(distinct.select("lid", "line"), similarity, chars), "similar_lines")
 
+    lines = _lines(rows, "doc_id", "r1", "r2")
+    places = lines.select("doc_id", "r1", "r2", "at", *_keys("line"))
     group = F.coalesce("component", "lid").alias("group")
     open_ = distinct.join(similar.hint("merge"), "lid", "left").where("n > 1 or component is not null").select(group, *_keys("line"))
     # tables, so that Spark can split a very common line or group in the joins

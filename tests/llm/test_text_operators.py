@@ -160,20 +160,6 @@ def test_simhash_links(spark, monkeypatch, long_list):
     assert all(len({name.get(f, f) for f in g}) == 1 for g in groups.values()) and len({name.get(f, f) for f in signed}) == len(groups)
 
 
-def lines_by_brute_force(docs, similarity=0.8):
-    shingles = lambda s: frozenset(s.encode()[i : i + 12] for i in range(max(1, len(s.encode()) - 11)))
-    places = [(d, i, s) for d, t in docs for i, s in enumerate((t or "").split("\n")) if s.strip()]
-    distinct = list(dict.fromkeys(s for *_, s in places))
-    sets = [shingles(s) for s in distinct]
-    near = lambda a, b: len(a & b) >= similarity * len(a | b)
-    comp = dict(zip(distinct, components_of(len(sets), [(i, j) for i in range(len(sets)) for j in range(i) if near(sets[i], sets[j])]), strict=True))
-    seen, gone = set(), collections.defaultdict(list)
-    for d, i, s in places:
-        gone[d] += [i] if comp[s] in seen else []
-        seen.add(comp[s])
-    return {d: tuple(g) for d, g in gone.items() if g}
-
-
 def test_line_dedup(spark, odd, clash):
     r = random.Random(6)
     words = ["".join(r.choices("abcdefgh", k=6)) for _ in range(400)]
@@ -187,14 +173,38 @@ def test_line_dedup(spark, odd, clash):
             text.append(" ".join(w))
         docs.append((d, "\n".join([*text, "", "kept once", " "])))
     x = spark.createDataFrame(docs, "doc_id long, text string")
-    got = {q["doc_id"]: tuple(q["removed"]) for q in line_dedup.removed_lines(x).collect()}
-    assert got == lines_by_brute_force(docs)
+    got = {q["doc_id"]: q["removed_lines"] for q in line_dedup.mark_lines(x).where("size(removed_lines) > 0").collect()}
+    assert got == removed_by_characters(docs)
     out = line_dedup.dedup_lines(clash)
     assert out.count() == len(ODD) and line_dedup.dedup_lines(odd.limit(0)).count() == 0
     left = {(q["doc_id"], q["text"]) for q in line_dedup.dedup_lines(odd).collect()}
     assert (1, None) in left and (2, "") in left and (5, "same text twice over here") in left and (3, " \n\t ") in left
 
 
+def test_line_dedup_of_repeated_rows(spark):
+    """Of rows that are alike one keeps its lines; blank lines and other columns stay."""
+    rows = [(7, "a line\n\nanother line", "x"), (7, "a line\n\nanother line", "y"), (7, "a line\n\nanother line", "y"), (8, "another line\nmine", "z")]
+    x = spark.createDataFrame(rows * 3, "doc_id long, text string, doc string").repartition(5)
+    out = line_dedup.dedup_lines(x).collect()
+    assert collections.Counter(r["text"] for r in out) == {"a line\n\nanother line": 1, "": 8 + 2, "mine": 1} and collections.Counter(r["doc"] for r in out) == {"x": 3, "y": 6, "z": 3}
+
+
+def test_line_dedup_of_a_large_group(spark, monkeypatch):
+    """Many near copies of one line share bands; those between which only pairs decide are found too."""
+    monkeypatch.setattr(line_dedup, "SMALL", 6)
+    r = random.Random(36)
+    words = ["".join(r.choices("abcdefghijkl", k=6)) for _ in range(60)]
+    docs = []
+    for d in range(120):
+        w = list(words)
+        for _ in range(r.randrange(1, 7)):
+            w[r.randrange(60)] = "".join(r.choices("abcdefghijkl", k=6))
+        docs.append((d, " ".join(w)))
+    x = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {q["doc_id"]: q["removed_lines"] for q in line_dedup.mark_lines(x).where("size(removed_lines) > 0").collect()}
+    assert got == removed_by_characters(docs)
+
+
 
 def removed_by_characters(docs, k=5, similarity=0.8):
     """Places of lines that are equal or similar, over links, to one before them, by shingles of k characters."""
