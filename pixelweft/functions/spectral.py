@@ -111,6 +111,6 @@ def bbox_wkt(minx: Column | str, miny: Column | str, maxx: Column | str, maxy: C
 
 
 def bbox_area_km2(minx: Column | str, miny: Column | str, maxx: Column | str, maxy: Column | str) -> Column:
-    """Equirectangular area of a box in degrees."""
+    """Equirectangular area of a box in degrees, whatever the order of its corners."""
     a, b, c, d = (col(x) for x in (minx, miny, maxx, maxy))
-    return F.round((c - a) * 111.32 * F.cos(F.radians((b + d) / 2)) * ((d - b) * 110.574), 4)
+    return F.round(F.abs((c - a) * 111.32 * F.cos(F.radians((b + d) / 2)) * ((d - b) * 110.574)), 4)

@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 from pixelweft.schemas import BAND_ORDER
 
 
-def search(scenes: DataFrame, start, end, max_cloud: float, box: tuple[float, float, float, float] | None = None, required=BAND_ORDER) -> DataFrame:
-    """Scenes that overlap the box, within the dates, under the cloud limit, with all required assets; least cloud first."""
+def search(scenes: DataFrame, start, end, max_cloud: float, box: tuple[float, float, float, float] | None = None, required=BAND_ORDER, limit: int | None = None) -> DataFrame:
+    """Scenes that overlap the box, within the dates, under the cloud limit, with all required assets; least cloud first, the first ``limit`` if given."""
     ok = F.col("ts").between(F.lit(start), F.lit(end)) & (F.col("cloud_cover_percent") < max_cloud)
     if box:
         ok = ok & (F.col("bbox.minx") <= box[2]) & (F.col("bbox.maxx") >= box[0]) & (F.col("bbox.miny") <= box[3]) & (F.col("bbox.maxy") >= box[1])
     if required:
         ok = ok & F.forall(F.lit(list(required)), lambda a: F.col("assets")[a].isNotNull())
-    return scenes.where(ok).orderBy("cloud_cover_percent", "item_id")
+    found = scenes.where(ok).orderBy("cloud_cover_percent", "item_id")
+    return found.limit(limit) if limit else found
 
 
 def ranked(candidates: DataFrame, keys: list[str], preferred: Column) -> DataFrame:

@@ -79,7 +79,7 @@ def attribute(x: np.ndarray, forest) -> tuple[np.ndarray, np.ndarray]:
 
 
 def attributions(scored: DataFrame, model: PipelineModel, keys: list[str]) -> DataFrame:
-    """Rows (keys, predicted_int, feature, feature_value, shap_value, base): the attribution of each feature to the predicted class."""
+    """Rows (keys, predicted_int, class_int, feature, feature_value, shap_value, base): the attribution of each feature to each class."""
     forest = leaves(model)
     schema = scored.select(*keys, "predicted_int").schema
     names = list(FEATURE_NAMES)
@@ -88,20 +88,21 @@ def attributions(scored: DataFrame, model: PipelineModel, keys: list[str]) -> Da
         for b in batches:
             x = b[names].to_numpy(float)
             phi, base = attribute(x, forest)
-            k = b["predicted_int"].to_numpy(int)
-            own = phi[np.arange(len(x)), :, k]
-            out = b.loc[b.index.repeat(len(names)), [*keys, "predicted_int"]].reset_index(drop=True)
-            out["feature"], out["feature_value"], out["shap_value"] = names * len(x), x.ravel(), own.ravel()
-            out["base"] = np.repeat(base[k], len(names))
+            classes = len(base)
+            out = b.loc[b.index.repeat(classes * len(names)), [*keys, "predicted_int"]].reset_index(drop=True)
+            out["class_int"] = np.tile(np.repeat(np.arange(classes), len(names)), len(x))
+            out["feature"], out["feature_value"] = names * (classes * len(x)), np.repeat(x, classes, axis=0).ravel()
+            out["shap_value"], out["base"] = phi.transpose(0, 2, 1).ravel(), np.tile(np.repeat(base, len(names)), len(x))
             yield out
 
-    for name, kind in (("feature", "string"), ("feature_value", "double"), ("shap_value", "double"), ("base", "double")):
+    for name, kind in (("class_int", "int"), ("feature", "string"), ("feature_value", "double"), ("shap_value", "double"), ("base", "double")):
         schema = schema.add(name, kind)
     return scored.select(*keys, "predicted_int", *names).mapInPandas(run, schema)
 
 
 def drivers(attributed: DataFrame, keys: list[str], top: int = 4, order: str = "positive") -> DataFrame:
-    """Rows (keys, rank, feature, feature_value, shap_value, direction, description): the first ``top`` by positive, negative or absolute attribution."""
+    """Rows (keys, rank, feature, feature_value, shap_value, direction, description): the first ``top`` by positive, negative or absolute attribution to the predicted class."""
+    attributed = attributed.where("class_int = predicted_int")
     v = F.col("shap_value")
     rows = {"positive": attributed.where(v > 0), "negative": attributed.where(v < 0), "absolute": attributed}[order]
     by = {"positive": F.desc("shap_value"), "negative": F.asc("shap_value"), "absolute": F.desc(F.abs("shap_value"))}[order]
@@ -110,20 +111,18 @@ def drivers(attributed: DataFrame, keys: list[str], top: int = 4, order: str = "
 
 
 def global_importance(attributed: DataFrame) -> DataFrame:
+    """Rows (feature, mean_abs): the mean size of its attributions over all rows and all classes."""
     return attributed.groupBy("feature").agg(F.round(F.avg(F.abs("shap_value")), 9).alias("mean_abs")).orderBy(F.desc("mean_abs"), "feature")
 
 
 def insight(names: Column) -> Column:
     """A sentence on predicted, confidence and three features; ``names`` holds the driver descriptions, the first first."""
     two = F.slice(names, 1, 2)
-    text = F.when(F.size(two) == 0, "overall environmental indicators").otherwise(F.array_join(two, " and "))
-    n = F.col("large_patch_count").cast("int")
-    changed, lost, sure = F.col("changed_area_ha"), F.col("veg_loss_ha_02"), F.col("confidence") * 100
-    across = F.when(n > 0, F.format_string(" across %d large contiguous cluster(s) (≥1.0 ha).", n)).otherwise(".")
-    high = F.concat(F.format_string("HIGH PRIORITY: Urgent review recommended. Detected %.2f ha of change with %.2f ha of severe vegetation loss (ΔNDVI ≤ -0.2)", changed, lost), across, F.format_string(" Assessment driven by %s (confidence %.1f%%).", text, sure))
-    medium = F.format_string("MEDIUM PRIORITY: Monitoring advised. Detected %.2f ha of localized change (%.2f ha severe vegetation loss). Driven primarily by %s (confidence %.1f%%).", changed, lost, text, sure)
-    low = F.format_string("LOW PRIORITY: Normal environmental variance. Minimal severe vegetation disturbance (%.2f ha) and no large contiguous change clusters. Baseline landscape stability verified (confidence %.1f%%).", lost, sure)
-    return F.when(F.col("predicted") == PRIORITIES[2], high).when(F.col("predicted") == PRIORITIES[1], medium).otherwise(low)
+    text = F.when(F.size(two) == 0, "no single indicator").otherwise(F.array_join(two, ", "))
+    changed, lost, n = F.col("changed_area_ha"), F.col("veg_loss_ha_02"), F.col("large_patch_count").cast("int")
+    facts = F.format_string("%.2f ha changed, %.2f ha of it with strong vegetation loss, %d large patches", changed, lost, n)
+    advice = F.when(F.col("predicted") == PRIORITIES[2], "review now").when(F.col("predicted") == PRIORITIES[1], "keep watching").otherwise("nothing to do")
+    return F.concat(F.col("predicted"), F.lit(": "), advice, F.lit("; "), facts, F.lit("; because of: "), text, F.format_string(" (certainty %.1f%%)", F.col("confidence") * 100))
 
 
 def assess(vectors: DataFrame, model: PipelineModel, keys: list[str], top: int = 4) -> DataFrame:

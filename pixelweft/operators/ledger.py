@@ -112,6 +112,11 @@ def page(rows: DataFrame, limit: int = 20, offset: int = 0) -> DataFrame:
     return rows.orderBy(F.desc("created_at"), F.desc("analysis_id")).offset(offset).limit(limit)
 
 
+def total(rows: DataFrame) -> DataFrame:
+    """How many rows a history has, whatever the page."""
+    return rows.agg(F.count("*").alias("total"))
+
+
 def documents(tables: dict[str, DataFrame]) -> DataFrame:
     """One nested row for each run: 1:N tables become ordered arrays before the join."""
     x = latest(tables["runs"])

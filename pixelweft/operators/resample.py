@@ -62,15 +62,15 @@ def resample(pixels: DataFrame, source: DataFrame, target: DataFrame, keys: list
     src = source.select(*keys, *(F.col(c).alias(f"s_{c}") for c in GRID))
     tgt = target.select(*target_keys, *GRID)
     # one row a raster on both sides
-    both = src.join(tgt, target_keys)
+    both = src.join(tgt.hint("merge"), target_keys)
     frac_col = ((F.col("x") - F.col("s_c")) / F.col("s_a") - 0.5).alias("fc")
     frac_row = ((F.col("y") - F.col("s_f")) / F.col("s_e") - 0.5).alias("fr")
-    at = cells(both.select(*keys, *GRID), keys).join(both.select(*keys, *(f"s_{c}" for c in GRID), F.col("a").alias("t_a"), F.col("e").alias("t_e")), keys)
+    at = cells(both.select(*keys, *GRID), keys).join(both.select(*keys, *(f"s_{c}" for c in GRID), F.col("a").alias("t_a"), F.col("e").alias("t_e")).hint("merge"), keys)
     at = at.select(*keys, "row", "col", frac_col, frac_row, F.greatest(F.lit(1.0), F.col("t_a") / F.col("s_a")).alias("zc"), F.greatest(F.lit(1.0), F.col("t_e") / F.col("s_e")).alias("zr"))
     px = pixels.select(*keys, F.col("row").alias("sr"), F.col("col").alias("sc"), F.col(value).cast("double").alias("v"))
     # the nearest pixel: halves go to the right and down
     near = at.withColumns({"sr": F.floor(F.col("fr") + 0.5).cast("int"), "sc": F.floor(F.col("fc") + 0.5).cast("int")})
-    nearest = near.join(px, [*keys, "sr", "sc"], "left").select(*keys, "row", "col", F.col("v").alias(value))
+    nearest = near.join(px.hint("merge"), [*keys, "sr", "sc"], "left").select(*keys, "row", "col", F.col("v").alias(value))
     if kernel == "nearest":
         return nearest
     if kernel == "average":
@@ -83,12 +83,12 @@ def resample(pixels: DataFrame, source: DataFrame, target: DataFrame, keys: list
         weight = w((F.col("sc") - F.col("fc")) / F.col("zc")) * w((F.col("sr") - F.col("fr")) / F.col("zr"))
     taps = at.select("*", F.explode(span("fr", "zr")).alias("sr")).select("*", F.explode(span("fc", "zc")).alias("sc"))
     taps = taps.select(*keys, "row", "col", "sr", "sc", weight.alias("w")).where("w != 0")
-    mixed = taps.join(px.where("v is not null"), [*keys, "sr", "sc"]).groupBy(*keys, "row", "col").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("m"))
+    mixed = taps.join(px.where("v is not null").hint("merge"), [*keys, "sr", "sc"]).groupBy(*keys, "row", "col").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("m"))
     covered = nearest.withColumnRenamed(value, "n")
-    return covered.join(mixed, [*keys, "row", "col"], "left").select(*keys, "row", "col", F.when(F.col("n").isNotNull(), F.col("m")).alias(value))
+    return covered.join(mixed.hint("merge"), [*keys, "row", "col"], "left").select(*keys, "row", "col", F.when(F.col("n").isNotNull(), F.col("m")).alias(value))
 
 
 def resample_classes(pixels: DataFrame, source: DataFrame, target: DataFrame, keys: list[str], target_keys: list[str], value: str = "scl", missing: int = 0) -> DataFrame:
     """Class codes: nearest only; cells that no source pixel covers get ``missing``."""
     x = resample(pixels, source, target, keys, target_keys, "nearest", value)
-    return x.withColumn(value, F.coalesce(F.greatest(F.lit(0), F.least(F.lit(255), F.rint(value))).cast("int"), F.lit(missing)))
+    return x.withColumn(value, F.when(F.col(value).isNull(), missing).otherwise(F.greatest(F.lit(0), F.least(F.lit(255), F.rint(value)))).cast("int"))

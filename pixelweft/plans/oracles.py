@@ -128,6 +128,8 @@ def feature_select() -> str:
 
 
 def oracles() -> dict[str, str]:
+    from pixelweft.plans import prepared
+
     p = with_(PIXELS)
     feats = with_(PIXELS, RUNS, FEATURES, recursive=True)
     areas = ", ".join(f"{n_if(f'ndvi_diff {op} {s}{t}')} AS {w}_{g}_pixels, {ratio(n_if(f'ndvi_diff {op} {s}{t}'), 'count(ndvi_diff)')} AS {w}_{g}_fraction" for t, g in ((0.1, "01"), (0.2, "02"), (0.3, "03")) for w, op, s in (("loss", "<=", "-"), ("gain", ">=", "")))
@@ -170,7 +172,7 @@ def oracles() -> dict[str, str]:
             round(1 - (2 * sum(change_prob * target) + 1.0::DOUBLE) / (sum(change_prob) + sum(target) + 1.0::DOUBLE), 6) AS dice_loss
             FROM (SELECT scene_id, CAST(target AS DOUBLE) AS target, change_prob, 20.0::DOUBLE * (abs(ndvi_diff) - 0.2::DOUBLE) AS x FROM masks WHERE change_prob IS NOT NULL) GROUP BY scene_id""",
         "target_fractions": p + "SELECT scene_id, round(avg(target), 6) AS change_fraction FROM px GROUP BY scene_id",
-    } | derived_oracles()
+    } | derived_oracles() | prepared.ORACLES
 
 
 DERIVED = """

@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelweft.operators import catalog, change, datasets, explain, features, grid, ledger, masking, patches, priority, resample, stats, validate
-from pixelweft.plans import derived
-from pixelweft.schemas import FEATURE_NAMES, LENIENT, PRIORITIES
+from pixelweft.plans import derived, prepared
+from pixelweft.schemas import FEATURE_NAMES, LENIENT
 from pixelweft.sources import pixels
 
 Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
+QUERIES: dict[str, Query] = dict(prepared.QUERIES)
 
 
 def query(f: Query) -> Query:
@@ -144,9 +144,7 @@ def rule_priority(spark, sf_dir):
 
 @query
 def class_counts(spark, sf_dir):
-    names = spark.createDataFrame([(p,) for p in PRIORITIES], "priority_label string")
-    counts = ruled(spark, sf_dir).groupBy("priority_label").agg(F.count("*").alias("n"))
-    return names.join(counts.hint("merge"), "priority_label", "left").fillna({"n": 0})
+    return priority.class_counts(ruled(spark, sf_dir))
 
 
 @query
@@ -361,7 +359,7 @@ def aoi_boxes(spark, sf_dir):
 
     r = derived.requests(spark, sf_dir)
     box = ("min_lon", "min_lat", "max_lon", "max_lat")
-    return r.select("analysis_id", F.abs(S.bbox_area_km2(*box)).alias("area_km2"), S.bbox_wkt(*(F.round(c, 1) for c in box)).alias("wkt"))
+    return r.select("analysis_id", S.bbox_area_km2(*box).alias("area_km2"), S.bbox_wkt(*(F.round(c, 1) for c in box)).alias("wkt"))
 
 
 @query

@@ -203,10 +203,10 @@ def test_priority_model(spark, labelled, tmp_path):
     assert s.select("sample_id", "predicted", "confidence").exceptAll(again.select("sample_id", "predicted", "confidence")).count() == 0
     a = explain.attributions(s, model, ["sample_id"])
     p = s.select("sample_id", F.array_max("probs").alias("p"))
-    off = a.groupBy("sample_id").agg((F.sum("shap_value") + F.first("base")).alias("total")).join(p, "sample_id").agg(F.max(F.abs(F.col("total") - F.col("p")))).first()[0]
+    off = a.where("class_int = predicted_int").groupBy("sample_id").agg((F.sum("shap_value") + F.first("base")).alias("total")).join(p, "sample_id").agg(F.max(F.abs(F.col("total") - F.col("p")))).first()[0]
     assert off < 1e-6
     r = explain.assess(labelled, model, ["sample_id"]).where("predicted = 'HIGH'").first()
-    assert r["action_insight"].startswith("HIGH PRIORITY") and 1 <= len(r["top_drivers"]) <= 4 and r["top_drivers"][0]["direction"] == "increases"
+    assert r["action_insight"].startswith("HIGH: review now") and 1 <= len(r["top_drivers"]) <= 4 and r["top_drivers"][0]["direction"] == "increases"
     assert {r["priority_label"] for r in priority.class_counts(labelled).collect()} == {"LOW", "MEDIUM", "HIGH"}
     assert priority.importances(model).count() == 25
 
