@@ -23,8 +23,7 @@ PARTS = ("k0", "k1", "k2")
 #: Candidate boundaries around each open boundary in a round.
 PROBES = 256
 MOST_ROUNDS = 40
-#: Rows that one task numbers, about, and the most pieces that a shard is numbered in.
-PIECE, MOST_PIECES = 50_000, 1024
+
 
 
 def _key(*values: Column) -> Column:
@@ -107,17 +106,13 @@ def histogram_shards(docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", t
     keys = durable(rows, "shard_keys")
     cuts = splitters(keys, shards, tolerance)
     shard = functools.reduce(lambda a, b: a + b, [F.when(_below(c), 0).otherwise(1) for c in cuts], F.lit(0))
-    n = keys.count()
-    pieces = max(1, min(MOST_PIECES, -(-n // (PIECE * shards))))
-    # The third part has a value for each row, so that no group of copies fills a piece.
-    placed = keys.withColumn("shard", shard.cast("int")).withColumn("piece", F.pmod(F.col("k2"), F.lit(pieces)).cast("int"))
-    counts = placed.groupBy("shard", "piece").agg(F.count("*").alias("n"))
+    # the exchange: range partitions in key order, whose rows are numbered where they lie
+    ordered = keys.withColumn("shard", shard.cast("int")).repartitionByRange(*PARTS).sortWithinPartitions(*PARTS)
+    numbered = durable(ordered.select("doc_id", "size", "text_crc32", "shard", F.monotonically_increasing_id().alias("m")), "ordered_rows")
+    numbered = numbered.withColumn("piece", F.shiftright("m", 33))
+    counts = numbered.groupBy("shard", "piece").agg(F.count("*").alias("n"), F.min("m").alias("first"))
     before = Window.partitionBy("shard").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("shard", "piece", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    in_piece = Window.partitionBy("shard", "piece").orderBy(*PARTS)
-    return (
-        placed.withColumn("at", F.row_number().over(in_piece) - 1)
-        # at most shards * MOST_PIECES rows
-        .join(F.broadcast(offsets), ["shard", "piece"])
-        .select("doc_id", "size", "text_crc32", "shard", (F.col("offset") + F.col("at")).cast("long").alias("slot"))
-    )
+    offsets = counts.select("shard", "piece", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    # a row for each partition, and one more for each shard that begins inside one
+    joined = numbered.join(F.broadcast(offsets), ["shard", "piece"])
+    return joined.select("doc_id", "size", "text_crc32", "shard", (F.col("offset") + F.col("m") - F.col("first")).cast("long").alias("slot"))
