@@ -54,8 +54,8 @@ def whole_tokens(sp) -> dict[str, int]:
 class Counts(dict):
     """Pre-token to its number of tokens; holds the proved ones and a bounded number of others."""
 
-    def __init__(self, sp):
-        super().__init__(whole_tokens(sp))
+    def __init__(self, sp, proved: dict[str, int]):
+        super().__init__(proved)
         self.sp, self.left = sp, MEMORY
         # A lone space mark at the end of a text: "a " less "a".
         self[""] = len(sp.encode("a ")) - len(sp.encode("a"))
@@ -85,10 +85,12 @@ def token_counts(docs: DataFrame, model: bytes, text: str = "text", out: str = "
     that repeat are counted alike. No shuffle. Other columns pass through, whatever their names;
     a column already named ``out`` is replaced.
     """
-    check_model(load(model))
+    sp = load(model)
+    check_model(sp)
+    proved = whole_tokens(sp)  # once; as large as the vocabulary, it travels with the function
 
     def make():
-        counts = Counts(load(model))
+        counts = Counts(load(model), proved)
         return lambda piece: [pa.array([counts.count(t) for t in piece.column(text).to_pylist()], pa.int64())]
 
     return map_texts(docs, text, keep or docs.columns, make, [T.StructField(out, T.LongType())])
