@@ -103,26 +103,29 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     and is never a component_id while the component has another; repeated rows stay. An empty table
     gives an empty result. Other columns are not read.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    fps = durable(fingerprints(rows, keep=["doc_id"]), "fingerprints")
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    found = durable(components(links(distinct.select("fp"))), "fp_components")
-    # A fingerprint without a link is its own component.
-    classes = distinct.join(found.select(F.col("node").alias("fp"), "component").hint("merge"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    ids = classes.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = classes.join(ids.hint("merge"), "component").select("fp", "component_id")
+    fps = durable(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), keep=["doc_id"]), "fingerprints")
+    classes = classified(fps)
+    ids = fps.groupBy("fp").agg(F.min("doc_id").alias("least")).join(classes.hint("merge"), "fp").groupBy("component").agg(F.min("least").alias("component_id"))
+    named = durable(classes.join(ids.hint("merge"), "component").select("fp", "component_id"), "named_fingerprints")
     return fps.join(named.hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of each component: that with the smallest doc_id.
+def classified(fps: DataFrame) -> DataFrame:
+    """Rows (fp, component) of the distinct fingerprints; one without a link is its own component."""
+    distinct = fps.select("fp").distinct()
+    found = durable(components(links(distinct)), "fp_components")
+    return distinct.join(found.select(F.col("node").alias("fp"), "component").hint("merge"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"))
 
-    Of rows that repeat a kept doc_id one stays. Rows without a doc_id can't be told apart and
-    stay all.
-    """
-    kept = near_duplicates(docs, doc_id, text).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    from pyspark.sql import Window
 
-    once = Window.partitionBy("_kept").orderBy("_kept")
-    found = docs.join(kept.hint("merge"), F.col(doc_id) == F.col("_kept")).withColumn("_row", F.row_number().over(once)).where("_row = 1")
-    return found.select(*docs.columns).unionByName(docs.where(F.col(doc_id).isNull()))
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each component: that with the smallest doc_id, and of rows that repeat
+    it the one whose text has the least hash. Rows that repeat both are one. A row without a doc_id stays only
+    where its component has none with one. All columns pass through, whatever their names.
+    """
+    parts = [F.col(doc_id).isNull(), F.col(doc_id), F.col(text).isNull(), F.col(text)]
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(*parts).alias("r1"), F.xxhash64(F.lit(1), *parts).alias("r2"))
+    fps = durable(fingerprints(keyed.select("doc_id", "text", "r1", "r2"), keep=["doc_id", "r1", "r2"]), "fingerprints")
+    classes = durable(classified(fps), "classes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "r1", "r2")).alias("first")
+    kept = fps.join(classes.hint("merge"), "fp").groupBy("component").agg(first).select("first.r1", "first.r2")
+    return keyed.join(kept.hint("merge"), ["r1", "r2"]).select("doc", "r1", "r2").dropDuplicates(["r1", "r2"]).select("doc.*")
