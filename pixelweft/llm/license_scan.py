@@ -1,6 +1,6 @@
 """Licence scan, with DataFrame functions only.
 
-Every line of a text is a possible header, and a whole text a possible licence file; both are
+Every line and every paragraph of a text is a possible header, and a whole text a possible licence file; they are
 compared with templates by the cosine of sparse TF-IDF vectors. Files without a header of their own
 inherit the licence of the nearest directory above them that holds a licence file, by joins on
 directory paths.
@@ -16,7 +16,47 @@ from pyspark.sql import functions as F
 
 from pixelweft.llm.common import durable, row_key, table
 
-#: Licence and notice. More rows may be given to ``scan``.
+# Public notices, header paragraphs and licence texts.
+_PERMISSION = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, "
+    "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
+    "subject to the following conditions:"
+)
+_AS_IS = (
+    "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. "
+    "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE "
+    "OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_BSD_START = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+_BSD_TWO = (
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+)
+_BSD_THIRD = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_AS_IS = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE "
+    "ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS "
+    "OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF "
+    "THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+_ISC_AS_IS = (
+    "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, "
+    "INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR "
+    "PERFORMANCE OF THIS SOFTWARE."
+)
+_GPL = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version. "
+    "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."
+)
+_APACHE = (
+    "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 "
+    "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. "
+    "See the License for the specific language governing permissions and limitations under the License."
+)
+_MPL = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+
+#: Licence and notice: what a line or a paragraph of a file is compared with. A whole text is compared with these too.
 TEMPLATES: list[tuple[str, str]] = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("MIT", "Released under the MIT License"),
@@ -31,9 +71,25 @@ TEMPLATES: list[tuple[str, str]] = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0"),
     ("Proprietary", "All rights reserved"),
+    ("MIT", _PERMISSION),
+    ("Apache-2.0", _APACHE),
+    ("GPL-3.0", _GPL.format(3)),
+    ("GPL-2.0", _GPL.format(2)),
+    ("MPL-2.0", _MPL),
+    ("ISC", _ISC),
+    *((x, f"SPDX-License-Identifier: {x}") for x in ("Apache-2.0", "MIT", "GPL-3.0-only", "GPL-2.0-only", "LGPL-2.1-only", "BSD-3-Clause", "BSD-2-Clause", "MPL-2.0", "ISC", "CC0-1.0")),
+]
+#: Licence and text: what only a whole text is compared with. Longer licences may be given to ``scan``.
+FILE_TEMPLATES: list[tuple[str, str]] = [
+    ("MIT", f"MIT License Copyright (c) {_PERMISSION} The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. {_AS_IS}"),
+    ("BSD-2-Clause", f"BSD 2-Clause License Copyright (c) All rights reserved. {_BSD_START} {_BSD_TWO} {_BSD_AS_IS}"),
+    ("BSD-3-Clause", f"BSD 3-Clause License Copyright (c) All rights reserved. {_BSD_START} {_BSD_TWO} {_BSD_THIRD} {_BSD_AS_IS}"),
+    ("ISC", f"ISC License Copyright (c) {_ISC} {_ISC_AS_IS}"),
 ]
 SIMILARITY = 0.6
 WORD = "[^a-z0-9]+"
+#: What stands between paragraphs: a line that is blank.
+PARAGRAPH = "\n[ \\t\\r]*\n"
 
 
 def template_words(text: str) -> list[str]:
@@ -73,11 +129,11 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), WORD), lambda w: w != "")
 
 
-def scan(files: DataFrame, path: str, text: str, templates: list[tuple[str, str]] | None = None, similarity: float = SIMILARITY) -> DataFrame:
+def scan(files: DataFrame, path: str, text: str, templates: list[tuple[str, str]] | None = None, similarity: float = SIMILARITY, file_templates: list[tuple[str, str]] | None = None) -> DataFrame:
     """Rows (row, path, header, header_score, file_licence, file_score, licence, basis, inherited_from) for
     each row.
 
-    header is the licence of the most similar line, file_licence that of the whole text, where the
+    header is the licence of the line or paragraph that is most similar to a template, file_licence that of the whole text, to a template or file template, where the
     cosine is at least ``similarity``; ties go to the first template. licence is the header, else that of
     the nearest licence file in the file's directory or one above it (basis 'inherited'), else null
     (basis 'none'). Among the licence files of a directory the most similar decides, then the first
@@ -85,7 +141,8 @@ def scan(files: DataFrame, path: str, text: str, templates: list[tuple[str, str]
     path is in no directory.
     """
     spark = files.sparkSession
-    templates = templates or TEMPLATES
+    headers = len(TEMPLATES if templates is None else templates)
+    templates = [*(TEMPLATES if templates is None else templates), *((FILE_TEMPLATES if templates is None else []) if file_templates is None else file_templates)]
     rows = files.select(F.col(path).alias("path"), F.col(text).alias("text")).withColumn("row", row_key("path", "text"))
 
     vocabulary = sorted({w for _, t in templates for w in template_words(t)})
@@ -99,7 +156,9 @@ def scan(files: DataFrame, path: str, text: str, templates: list[tuple[str, str]
     marked = F.lower("text").rlike(f"(?:^|[^a-z0-9])(?:{'|'.join(markers(weights, similarity))})(?:[^a-z0-9]|$)")
     hits = durable(rows.where(marked).dropDuplicates(["row"]), "marked_files")
     lines = hits.select("row", F.posexplode(F.split("text", "\n")).alias("unit", "text")).where(marked)
-    units = lines.unionByName(hits.select("row", F.lit(-1).alias("unit"), "text"))
+    # paragraphs of one line are lines
+    whole = hits.select("row", F.posexplode(F.split("text", PARAGRAPH)).alias("unit", "text")).where(F.col("text").contains("\n")).where(marked)
+    units = lines.unionByName(whole.withColumn("unit", -2 - F.col("unit"))).unionByName(hits.select("row", F.lit(-1).alias("unit"), "text"))
     counts = units.select("row", "unit", F.explode(tokens(F.col("text"))).alias("term")).groupBy("row", "unit", "term").agg(F.count("*").alias("tf"))
     idfs = frequencies.select("term", (F.log((1 + F.lit(n_docs)) / (1 + F.col("df"))) + 1).alias("idf"))
     weighed = counts.join(idfs.hint("merge"), "term").select("row", "unit", "term", (F.col("tf") * F.col("idf")).alias("w"))
@@ -109,9 +168,9 @@ def scan(files: DataFrame, path: str, text: str, templates: list[tuple[str, str]
     table_ = spark.createDataFrame([(i, lic, t, x) for i, lic, w in weights for t, x in w.items()], "template int, licence string, term string, x double")
     # the templates' words: as many rows as the caller's templates have
     dots = weighed.join(F.broadcast(table_), "term").groupBy("row", "unit", "template", "licence").agg(F.sum(F.col("w") * F.col("x")).alias("dot"))
-    near = dots.join(norms.hint("merge"), ["row", "unit"]).select("row", "unit", "template", "licence", (F.col("dot") / F.col("norm")).alias("cos")).where(F.col("cos") >= similarity)
+    near = dots.join(norms.hint("merge"), ["row", "unit"]).select("row", "unit", "template", "licence", (F.col("dot") / F.col("norm")).alias("cos")).where(F.col("cos") >= similarity).where((F.col("unit") == -1) | (F.col("template") < headers))
     first = F.min(F.struct((-F.round("cos", 9)).alias("c"), "template", "licence"))
-    best = near.groupBy("row", (F.col("unit") < 0).alias("whole")).agg(first.alias("b"))
+    best = near.groupBy("row", (F.col("unit") == -1).alias("whole")).agg(first.alias("b"))
     found = durable(best.groupBy("row").agg(F.max(F.when(~F.col("whole"), F.col("b"))).alias("h"), F.max(F.when(F.col("whole"), F.col("b"))).alias("f")), "licences")
 
     directory = F.when(F.col("path").contains("/"), F.regexp_extract("path", "^(.*)/[^/]*$", 1)).otherwise("")
@@ -157,12 +216,13 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle() -> str:
-    values = ", ".join(f"({i}, '{lic}', '{t}')" for i, (lic, t) in enumerate(TEMPLATES))
+    quoted = lambda t: t.replace("'", "''")
+    values = ", ".join(f"({i}, '{lic}', '{quoted(t)}')" for i, (lic, t) in enumerate([*TEMPLATES, *FILE_TEMPLATES]))
     return f"""
 WITH files AS (
   SELECT doc_id, coalesce(text, '') AS text,
-         CASE doc_id % 10 WHEN 0 THEN source WHEN 1 THEN source || '/' || lang
-              ELSE source || '/' || lang || '/' || CAST(doc_id // 100 AS VARCHAR) END AS dir
+         CASE doc_id % 10 WHEN 0 THEN coalesce(source, 'none') WHEN 1 THEN coalesce(source, 'none') || '/' || coalesce(lang, 'none')
+              ELSE coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/' || CAST(doc_id // 100 AS VARCHAR) END AS dir
   FROM documents),
 f AS (SELECT *, dir || '/' || CAST(doc_id AS VARCHAR) AS path FROM files),
 t AS (SELECT * FROM (VALUES {values}) v(template, licence, notice)),
@@ -171,20 +231,21 @@ tc AS (SELECT template, licence, term, count(*) AS tf FROM tw WHERE term <> '' G
 vocab AS (SELECT DISTINCT term FROM tc),
 units AS (
   SELECT doc_id, -1 AS unit, text FROM f
+  UNION ALL SELECT doc_id, -2 - i, p FROM (SELECT doc_id, unnest(range(len(ps))) AS i, unnest(ps) AS p FROM (SELECT doc_id, regexp_split_to_array(text, '\\n[ \\t\\r]*\\n') AS ps FROM f)) WHERE contains(p, chr(10))
   UNION ALL SELECT doc_id, unnest(range(len(string_split(text, chr(10))))), unnest(string_split(text, chr(10))) FROM f),
 uw AS (SELECT doc_id, unit, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS term FROM units),
 uc AS (SELECT doc_id, unit, term, count(*) AS tf FROM uw WHERE term <> '' GROUP BY ALL),
 n AS (SELECT count(*) AS n FROM f),
 idf AS (SELECT term, ln((1 + (SELECT n FROM n)) / (1.0 + count(doc_id))) + 1 AS idf
-        FROM vocab LEFT JOIN (SELECT DISTINCT doc_id, term FROM uc WHERE unit = -1) USING (term) GROUP BY term),
+        FROM (SELECT term FROM vocab UNION SELECT term FROM uc) LEFT JOIN (SELECT DISTINCT doc_id, term FROM uc WHERE unit = -1) USING (term) GROUP BY term),
 tx AS (SELECT template, licence, term, tf * idf AS x FROM tc JOIN idf USING (term)),
 tn AS (SELECT template, licence, term, x / sqrt(sum(x * x) OVER (PARTITION BY template)) AS x FROM tx),
-ux AS (SELECT doc_id, unit, uc.term, tf * coalesce(idf, ln(1 + (SELECT n FROM n)) + 1) AS w FROM uc LEFT JOIN idf USING (term)),
+ux AS (SELECT doc_id, unit, uc.term, tf * idf AS w FROM uc JOIN idf USING (term)),
 norm AS (SELECT doc_id, unit, sqrt(sum(w * w)) AS norm FROM ux GROUP BY ALL),
 dots AS (SELECT doc_id, unit, template, licence, sum(w * x) AS dot FROM ux JOIN tn USING (term) GROUP BY ALL),
-near AS (SELECT doc_id, unit, template, licence, round(dot / norm, 9) AS c FROM dots JOIN norm USING (doc_id, unit) WHERE dot / norm >= {SIMILARITY}),
-h AS (SELECT doc_id, licence, c FROM near WHERE unit >= 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY c DESC, template) = 1),
-w AS (SELECT doc_id, licence, c FROM near WHERE unit < 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY c DESC, template) = 1),
+near AS (SELECT doc_id, unit, template, licence, round(dot / norm, 9) AS c FROM dots JOIN norm USING (doc_id, unit) WHERE dot / norm >= {SIMILARITY} AND (unit = -1 OR template < {len(TEMPLATES)})),
+h AS (SELECT doc_id, licence, c FROM near WHERE unit <> -1 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY c DESC, template) = 1),
+w AS (SELECT doc_id, licence, c FROM near WHERE unit = -1 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY c DESC, template) = 1),
 d AS (SELECT dir, w.licence, path FROM w JOIN f USING (doc_id) QUALIFY row_number() OVER (PARTITION BY dir ORDER BY c DESC, path) = 1),
 dirs AS (SELECT DISTINCT dir AS start FROM f),
 near_dir AS (SELECT start, licence, path FROM dirs JOIN d ON start = d.dir OR starts_with(start, d.dir || '/')

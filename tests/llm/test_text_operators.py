@@ -345,3 +345,23 @@ def test_digests(spark):
     r = queries.op10_bpe(spark, DATA).where("doc_id = 0").first()
     text = spark.read.parquet(f"{DATA}/documents.parquet").where("doc_id = 0").first()["text"]
     assert r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest() and r["n_tokens"] > 0
+
+
+def test_license_files_are_inherited(spark):
+    """Full licence files, wrapped and with a name filled in, decide for files at and below their directory; headers come first."""
+    import textwrap
+
+    mit, bsd = (next(t for x, t in license_scan.FILE_TEMPLATES if x == name) for name in ("MIT", "BSD-3-Clause"))
+    body = lambda t: "\n\n".join(textwrap.fill(p, 70) for p in t.replace("(c)", "(c) 2031 Some Person and others", 1).split(". "))
+    apache = "# " + "\n# ".join(textwrap.wrap(next(t for x, t in license_scan.TEMPLATES if x == "Apache-2.0" and len(t) > 100), 60))
+    rows = [
+        ("p/LICENSE", body(mit)), ("p/a.py", "import os\nprint(os)"), ("p/q/b.py", "x = 1"), ("p/q/lib/LICENSE", body(bsd)), ("p/q/lib/c.py", "y = 2"), ("p/q/lib/deep/d.py", "z"),
+        ("p/q/lib/own.py", apache + "\n\nimport sys\n"), ("p/spdx.c", "// SPDX-License-Identifier: GPL-2.0-only\nint main;"), ("r/e.py", "alone"), ("top.py", "at the root"), ("p/none.py", None), (None, "no place"),
+    ]
+    f = spark.createDataFrame(rows * 1, "path string, text string")
+    got = {r["path"]: (r["licence"], r["basis"], r["inherited_from"]) for r in license_scan.scan(f, "path", "text").collect()}
+    assert got["p/LICENSE"][0] == "MIT" and got["p/q/lib/LICENSE"][0] == "BSD-3-Clause"
+    assert all(got[k] == ("MIT", "inherited", "p/LICENSE") for k in ("p/a.py", "p/q/b.py", "p/none.py"))
+    assert all(got[k] == ("BSD-3-Clause", "inherited", "p/q/lib/LICENSE") for k in ("p/q/lib/c.py", "p/q/lib/deep/d.py"))
+    assert got["p/q/lib/own.py"][:2] == ("Apache-2.0", "header") and got["p/spdx.c"][:2] == ("GPL-2.0-only", "header")
+    assert got["r/e.py"][:2] == got["top.py"][:2] == got[None][:2] == (None, "none")
