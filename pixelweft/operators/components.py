@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelweft.storage import discard, durable
+from pixelweft.storage import discard, durable, scratch
 
 
 def _stamp(edges: DataFrame) -> tuple:
@@ -21,6 +21,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     set no longer changes. Each round is written to the shared folder. Null ends and loops are
     ignored; an empty input gives an empty result.
     """
+    with scratch() as keep:
+        links = keep(_settled(edges, a, b, max_rounds))
+    roots = links.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
+    return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+
+
+def _settled(edges: DataFrame, a: str, b: str, max_rounds: int) -> DataFrame:
+    """The links when they no longer change: each node to the least of its component."""
     links = (
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
         .where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v")))
@@ -56,5 +64,4 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
             break
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    roots = links.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
-    return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    return links

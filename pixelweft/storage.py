@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +30,8 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: The tables that the innermost ``scratch`` has seen.
+_MADE: contextvars.ContextVar[list[DataFrame] | None] = contextvars.ContextVar("made", default=None)
 #: Spark setting: remove the shuffle files of a query when it ends.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -47,6 +52,9 @@ def durable(df: DataFrame, name: str) -> DataFrame:
             spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._durable_path = path
+    made = _MADE.get()
+    if made is not None:
+        made.append(out)
     return out
 
 
@@ -58,3 +66,26 @@ def discard(*tables: DataFrame) -> None:
             jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
             folder = jvm.org.apache.hadoop.fs.Path(path).getParent()
             folder.getFileSystem(conf).delete(folder, True)
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that ``durable`` writes inside go at the end, but for those passed to the function that is given: what
+    the result still has to read."""
+    made: list[DataFrame] = []
+    outer = _MADE.get()
+    token = _MADE.set(made)
+    kept: list[DataFrame] = []
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.append(table)
+        return table
+
+    try:
+        yield keep
+    finally:
+        _MADE.reset(token)
+        paths = {t._durable_path for t in kept}
+        discard(*(t for t in made if t._durable_path not in paths))
+        if outer is not None:
+            outer.extend(kept)
