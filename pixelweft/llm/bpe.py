@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pixelweft.llm.common import chunks, durable, map_texts, small_batches
+from pixelweft.llm.common import chunks, durable, map_texts, scratch, small_batches
 
 #: Fixed value: the split pattern of byte-level BPE (public; also public_tokenizers.PATTERN).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -136,12 +136,13 @@ def encode(docs: DataFrame, spec: str, text: str = "text", out: str = "ids", kee
     small_batches(docs.sparkSession)
     keep = [c for c in keep or docs.columns if c != out]
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("doc"), F.col(text).alias("text"))
-    table = durable(blocks(packed, special), "blocks")
-    words = table.select("block", F.posexplode("words").alias("place", "word"))
-    encoded = durable(word_ids(words.select("word").distinct(), spec), "word_ids")
-    # a list for each block, as long as its list of words
-    found = words.join(encoded.hint("merge"), "word").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("place", "ids"))).alias("found"))
-    found = durable(found.select("block", "found.ids"), "block_ids")
+    with scratch() as hold:
+        table = hold(durable(blocks(packed, special), "blocks"))
+        words = table.select("block", F.posexplode("words").alias("place", "word"))
+        encoded = durable(word_ids(words.select("word").distinct(), spec), "word_ids")
+        # a list for each block, as long as its list of words
+        found = words.join(encoded.hint("merge"), "word").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("place", "ids"))).alias("found"))
+        found = hold(durable(found.select("block", "found.ids"), "block_ids"))
     joined = table.drop("words").join(found.hint("merge"), "block", "left")
     schema = T.StructType([T.StructField("doc", packed.schema["doc"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 

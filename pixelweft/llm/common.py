@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pixelweft.operators.components import components
-from pixelweft.storage import discard, durable, shared_dir
+from pixelweft.storage import discard, durable, scratch, shared_dir
 
-__all__ = ["WordHashes", "mixed", "chunks", "components", "discard", "durable", "map_texts", "row_key", "shared_dir", "table"]
+__all__ = ["WordHashes", "mixed", "chunks", "components", "discard", "durable", "map_texts", "row_key", "scratch", "shared_dir", "table"]
 
 #: Bytes of text that a Python task works on at a time, and bytes of an Arrow batch that Spark sends it.
 CHUNK, BATCH = 2 << 20, 8 << 20

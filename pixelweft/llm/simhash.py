@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pixelweft.llm.common import components, durable, map_texts
+from pixelweft.llm.common import components, durable, map_texts, scratch
 
 SHINGLE, BITS = 3, 2
 #: Bytes that a pair shares at least.
@@ -103,11 +103,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     and is never a component_id while the component has another; repeated rows stay. An empty table
     gives an empty result. Other columns are not read.
     """
-    fps = durable(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), keep=["doc_id"]), "fingerprints")
-    classes = classified(fps)
-    ids = fps.groupBy("fp").agg(F.min("doc_id").alias("least")).join(classes.hint("merge"), "fp").groupBy("component").agg(F.min("least").alias("component_id"))
-    named = durable(classes.join(ids.hint("merge"), "component").select("fp", "component_id"), "named_fingerprints")
-    return fps.join(named.hint("merge"), "fp").select("doc_id", "fp", "component_id")
+    with scratch() as keep:
+        fps = keep(durable(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), keep=["doc_id"]), "fingerprints"))
+        classes = classified(fps)
+        ids = fps.groupBy("fp").agg(F.min("doc_id").alias("least")).join(classes.hint("merge"), "fp").groupBy("component").agg(F.min("least").alias("component_id"))
+        named = keep(durable(classes.join(ids.hint("merge"), "component").select("fp", "component_id"), "named_fingerprints"))
+        return fps.join(named.hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
 def classified(fps: DataFrame) -> DataFrame:
@@ -124,8 +125,9 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     """
     parts = [F.col(doc_id).isNull(), F.col(doc_id), F.col(text).isNull(), F.col(text)]
     keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(*parts).alias("r1"), F.xxhash64(F.lit(1), *parts).alias("r2"))
-    fps = durable(fingerprints(keyed.select("doc_id", "text", "r1", "r2"), keep=["doc_id", "r1", "r2"]), "fingerprints")
-    classes = durable(classified(fps), "classes")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "r1", "r2")).alias("first")
-    kept = fps.join(classes.hint("merge"), "fp").groupBy("component").agg(first).select("first.r1", "first.r2")
+    with scratch() as keep:
+        fps = durable(fingerprints(keyed.select("doc_id", "text", "r1", "r2"), keep=["doc_id", "r1", "r2"]), "fingerprints")
+        classes = durable(classified(fps), "classes")
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "r1", "r2")).alias("first")
+        kept = keep(durable(fps.join(classes.hint("merge"), "fp").groupBy("component").agg(first).select("first.r1", "first.r2"), "kept_rows"))
     return keyed.join(kept.hint("merge"), ["r1", "r2"]).select("doc", "r1", "r2").dropDuplicates(["r1", "r2"]).select("doc.*")

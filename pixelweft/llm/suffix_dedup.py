@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pixelweft.llm.common import WordHashes, chunks, discard, durable, map_texts, mixed, row_key, small_batches
+from pixelweft.llm.common import WordHashes, chunks, discard, durable, map_texts, mixed, row_key, scratch, small_batches
 
 LENGTH, SEED = 50, 10
 WIDTH = LENGTH - SEED + 1
@@ -188,19 +188,21 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     rows = rows.withColumn("row", row_key("doc_id", "text"))
     small_batches(docs.sparkSession)
-    kept = durable(suffixes(rows), "suffixes")
-
-    near = durable(neighbours(kept), "neighbours")
-    discard(kept)
-    whole = near.where("whole").select("row", "first", (F.col("last") + LENGTH).alias("end"))
-    # a turn whose extent occurs again has whole copies beside it; it is there as a partner for others
-    found = durable(passages(rows, near.where("turn").select("row", "first", "last")), "passages")
-    again = found.groupBy("p0", "p1").agg(F.count("*").alias("n")).where("n > 1").select("p0", "p1")
-    grown = found.join(durable(again, "repeated").hint("merge"), ["p0", "p1"], "left_semi").select("row", "first", (F.col("first") + LENGTH).alias("end"))
-    stretches = whole.unionByName(grown).distinct()
-    by_row = stretches.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("first", "end"))).alias("parts"))
-    ids = rows.select("doc_id", "row").distinct()
-    return ids.join(merged(by_row).hint("merge"), "row").select("doc_id", "row", "spans")
+    with scratch() as hold:
+        kept = durable(suffixes(rows), "suffixes")
+
+        near = durable(neighbours(kept), "neighbours")
+        discard(kept)
+        whole = near.where("whole").select("row", "first", (F.col("last") + LENGTH).alias("end"))
+        # a turn whose extent occurs again has whole copies beside it; it is there as a partner for others
+        found = durable(passages(rows, near.where("turn").select("row", "first", "last")), "passages")
+        again = found.groupBy("p0", "p1").agg(F.count("*").alias("n")).where("n > 1").select("p0", "p1")
+        grown = found.join(durable(again, "repeated").hint("merge"), ["p0", "p1"], "left_semi").select("row", "first", (F.col("first") + LENGTH).alias("end"))
+        stretches = whole.unionByName(grown).distinct()
+        by_row = stretches.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("first", "end"))).alias("parts"))
+        spans = hold(durable(merged(by_row), "spans"))
+        ids = rows.select("doc_id", "row").distinct()
+        return ids.join(spans.hint("merge"), "row").select("doc_id", "row", "spans")
 
 
 def merged(by_row: DataFrame) -> DataFrame:
