@@ -1,6 +1,6 @@
 """Byte-level BPE encoding and decoding through a table of distinct words.
 
-Texts are split into words (pre-tokens) block by block; a block is about ``CHUNK`` bytes of text and keeps its
+Texts are split into words (pre-tokens) block by block; a block is about ``BLOCK`` bytes of text and keeps its
 documents as positions in the list of its distinct words. The words of all blocks, made distinct,
 are one table, in which every word is encoded once. Its ids are joined with the words of the blocks, gathered for each block and
 put back by position. So what moves is a row for each distinct word of a block, not one for each word of
@@ -12,6 +12,7 @@ find their pieces in it by position.
 
 from __future__ import annotations
 
+import collections
 import json
 
 import numpy as np
@@ -25,11 +26,18 @@ from pixelweft.llm.common import chunks, durable, map_texts, scratch, small_batc
 
 #: Fixed value: the split pattern of byte-level BPE (public; also public_tokenizers.PATTERN).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Bytes of text of a block, about.
+BLOCK = 16 << 20
+#: Words that are replaced by their ids at a time.
+WORDS_AT_A_TIME = 1 << 19
 #: Stands before a special string among the words. No word of the pattern has a letter after it.
 SPECIAL = "\0S"
 
 
 def load(spec: str):
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_str(spec)
@@ -85,19 +93,39 @@ def blocks(docs: DataFrame, special: list[str]) -> DataFrame:
         T.StructField("wide", T.BooleanType()), T.StructField("codes", T.BinaryType()), T.StructField("words", T.ArrayType(T.StringType())),
     ])
 
+    names = schema.names
+
+    class Open:
+        """A block that is being filled."""
+
+        def __init__(self):
+            self.place = collections.defaultdict()
+            self.place.default_factory = self.place.__len__  # the next number
+            self.docs, self.n, self.codes, self.bytes = [], [], [], 0
+
+        def add(self, piece, each: list[list[str]]) -> None:
+            self.docs.append(piece.column("doc"))
+            self.n.extend(map(len, each))
+            self.codes.extend(np.fromiter(map(self.place.__getitem__, words), np.uint32, len(words)) for words in each)
+            self.bytes += piece.column("text").nbytes
+
+        def closed(self, number: int) -> pa.RecordBatch:
+            wide = len(self.place) > 1 << 16
+            codes = np.concatenate(self.codes).astype(np.uint32 if wide else np.uint16).tobytes()
+            docs = pa.concat_arrays(self.docs)
+            row = [pa.array([number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs), pa.array([self.n], pa.list_(pa.int32()))]
+            return pa.RecordBatch.from_arrays([*row, pa.array([wide]), pa.array([codes], pa.binary()), pa.array([list(self.place)], pa.list_(pa.string()))], names)
+
     def run(batches):
-        split, made = Splitter(special), TaskContext.get().partitionId() << 32
+        split, number, block = Splitter(special), TaskContext.get().partitionId() << 32, Open()
         for batch in batches:
             for piece in chunks(batch, "text"):
-                each = [split(t) for t in piece.column("text").to_pylist()]
-                place: dict[str, int] = {}
-                codes = np.fromiter((place.setdefault(w, len(place)) for words in each for w in words), np.uint32, sum(map(len, each)))
-                wide = len(place) > 1 << 16
-                codes = (codes if wide else codes.astype(np.uint16)).tobytes()
-                rows = [pa.ListArray.from_arrays(pa.array([0, piece.num_rows], pa.int32()), piece.column("doc"))]
-                names = ["block", "docs", "n", "wide", "codes", "words"]
-                yield pa.RecordBatch.from_arrays([pa.array([made], pa.int64()), *rows, pa.array([list(map(len, each))], pa.list_(pa.int32())), pa.array([wide]), pa.array([codes], pa.binary()), pa.array([list(place)], pa.list_(pa.string()))], names)
-                made += 1
+                block.add(piece, [split(t) for t in piece.column("text").to_pylist()])
+                if block.bytes >= BLOCK:
+                    yield block.closed(number)
+                    number, block = number + 1, Open()
+        if block.docs:
+            yield block.closed(number)
 
     return docs.select("doc", "text").mapInArrow(run, schema)
 
@@ -152,10 +180,16 @@ def encode(docs: DataFrame, spec: str, text: str = "text", out: str = "ids", kee
                 lists = batch.column("ids")[row].as_py() or []
                 lengths = np.array([len(x) // 4 for x in lists], np.int64)
                 codes = np.frombuffer(batch.column("codes")[row].as_py(), np.uint32 if batch.column("wide")[row].as_py() else np.uint16)
-                values, ends = ragged(np.frombuffer(b"".join(lists), np.int32), np.cumsum(lengths) - lengths, lengths, codes)
+                flat, starts = np.frombuffer(b"".join(lists), np.int32), np.cumsum(lengths) - lengths
+                docs = batch.column("docs")[row].values
                 n = np.cumsum([0, *batch.column("n")[row].as_py()])
-                cuts = np.concatenate([[0], ends])[n].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column("docs")[row].values, pa.ListArray.from_arrays(pa.array(cuts), pa.array(values))], ["doc", "ids"])
+                # some documents at a time
+                part = n[1:] // WORDS_AT_A_TIME
+                cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), len(docs)]
+                for a, b in zip(cuts, cuts[1:], strict=False):
+                    values, ends = ragged(flat, starts, lengths, codes[n[a] : n[b]])
+                    at = np.concatenate([[0], ends])[n[a : b + 1] - n[a]].astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([docs.slice(a, b - a), pa.ListArray.from_arrays(pa.array(at), pa.array(values))], ["doc", "ids"])
 
     ids = joined.select("docs", "n", "wide", "codes", "ids").mapInArrow(run, schema)
     return ids.select("doc.*", F.col("ids").alias(out))
