@@ -2,15 +2,14 @@
 
 A line's shingles are its windows of ``CHARS`` characters. Lines that are equal are one node. A
 signature has ``FUNCTIONS`` hash functions, each with a minimum in every eighth of the hash space; a
-band is four such minima. Lines that share a band are candidates; a sketch of the signature puts
+band is four such minima. Lines that share a band are candidates; the whole signature puts
 off those that can hardly be similar; the exact Jaccard similarity of the whole shingle sets decides;
 distributed union-find joins the links; the first line of each component stays, over all documents.
 
 No band emits all of its pairs. First each member is compared with two pivots of its band. Other pairs are
 needed only where a band still holds different components, and only between these: in a band of up to
-``SMALL`` members where the sketches agree; in a larger one after two more rounds of pivots, in which those near the
-middle of a group come first, and where bitmaps of the shingle sets, compared inside the join, don't rule out
-the similarity exactly.
+``SMALL`` members where the signatures agree; in a larger one where bitmaps of the shingle sets too, compared inside the join,
+don't rule out the similarity, exactly.
 """
 
 from __future__ import annotations
@@ -30,7 +29,7 @@ BANDS = 2 * FUNCTIONS
 #: 0.8 77 bits are expected, with a standard deviation of 23.
 APART = 148
 #: Members of a band whose pairs may be compared by sketches: work for each member is bounded by this.
-SMALL = 32
+SMALL = 64
 #: Longs of a line's bitmap.
 WORDS = 64
 _SEEDS = [random.Random(j).getrandbits(31) for j in range(FUNCTIONS)]
@@ -113,17 +112,6 @@ def _near(similarity: float) -> Column:
     return F.expr(f"{apart} <= {(1 - similarity) / (1 + similarity)!r}D * (x.n + y.n) + 1e-6D")
 
 
-def _stars(known: DataFrame, first: Column, second: Column) -> DataFrame:
-    """Pairs (a, b) of the rows (key, lid, c, s0..) and two pivots of their bands, those with the most ``first`` and ``second``, where
-    components differ and sketches agree."""
-    sketch = [f"s{j}" for j in range(BANDS)]
-    pivots = known.groupBy("key").agg(F.max_by("lid", first).alias("p"), F.max_by("lid", second).alias("q"))
-    pivots = pivots.select("key", F.explode(F.array_distinct(F.array("p", "q"))).alias("lid")).join(known.hint("merge"), ["key", "lid"])
-    pivots = durable(pivots.select("key", F.col("lid").alias("p"), F.col("c").alias("pc"), F.struct(*sketch).alias("sp")), "pivots")
-    stars = known.select("key", "lid", "c", F.struct(*sketch).alias("sl")).join(pivots.hint("merge"), "key").where("c != pc").where(_agree("sl", "sp"))
-    return durable(stars.select(F.least("lid", "p").alias("a"), F.greatest("lid", "p").alias("b")).distinct(), "star_pairs")
-
-
 def _between(known: DataFrame, more: Column) -> DataFrame:
     """Pairs (a, b) of one band and different components for which the condition on rows x and y holds."""
     # all conditions are inside the join: other pairs are never made
@@ -168,15 +156,8 @@ def line_components(distinct: DataFrame, similarity: float = SIMILARITY, chars:
         pairs = durable(_between(known.where(F.col("n") <= SMALL), _agree("x", "y")).distinct(), "open_pairs")
         links = links.unionByName(_verified(pairs, texts, similarity, chars))
 
-        large = known.where(F.col("n") > SMALL)
-        weights = large.groupBy("lid").agg(F.sum("n").alias("weight"))
-        large = durable(large.join(weights.hint("merge"), "lid"), "large_bands")
+        large = _apart(_named(known.where(F.col("n") > SMALL), links), f"n > {SMALL}")
         if not large.isEmpty():
-            # a line that is in the largest bands is near the middle of a group
-            for first in (F.col("weight"), F.xxhash64(F.lit(1), "lid")):
-                large = _named(large, links)
-                links = links.unionByName(_verified(_stars(large, first, F.xxhash64("lid")), texts, similarity, chars))
-            large = _apart(_named(large, links), f"n > {SMALL}")
             keys = large.groupBy("lid").agg(F.sort_array(F.collect_set("key")).alias("keys"))  # as many as a line has bands
             lines = durable(large.select("lid").distinct(), "open_lines")
             maps = durable(_bitmaps(texts.join(lines.hint("merge"), "lid"), chars).join(keys.hint("merge"), "lid"), "bitmaps")
