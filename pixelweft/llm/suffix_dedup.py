@@ -115,7 +115,8 @@ def suffixes(rows: DataFrame) -> DataFrame:
 def neighbours(kept: DataFrame) -> DataFrame:
     """The rows of ``kept``, sorted, that resemble a neighbour: ``whole`` if its extent is the same, ``turn`` where the extent changes between neighbours
     with the same first words. The first and last row of a partition may have neighbours elsewhere; they count as turns."""
-    ordered = kept.repartitionByRange("seed", "x0", "x1").sortWithinPartitions("seed", "x0", "x1")
+    order = ("seed", "x0", "x1", "row", "first")  # with the place, so that many copies of an extent are dealt to several partitions
+    ordered = kept.repartitionByRange(*order).sortWithinPartitions(*order)
 
     def judged(part: pa.Table, before: pa.Table | None, after: pa.Table | None):
         """The rows of ``part``, between the row before and the row after."""
