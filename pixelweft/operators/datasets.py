@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelweft.functions import spectral as S
+from pixelweft.operators.ranking import ranked
 
 
 def seeded(key: str, seed: int) -> Column:
@@ -18,8 +19,7 @@ def stratified_split(rows: DataFrame, label: str, key: str, val: float = 0.2, te
         raise ValueError("fractions must be positive and sum to less than 1")
     order = seeded(key, seed) if order is None else order
     counts = rows.groupBy(label).agg(F.count("*").alias("_n"))
-    # as many rows as there are labels
-    x = rows.join(F.broadcast(counts), label).withColumn("_r", F.row_number().over(Window.partitionBy(label).orderBy(order, key)))
+    x = ranked(rows, [label], [order, F.col(key)], "_r").join(counts.hint("merge"), label)
     share = lambda f: F.greatest(F.lit(1), F.round(F.col("_n") * f))
     x = x.withColumn("split", F.when(F.col("_r") <= share(test), "test").when(F.col("_r") <= share(test) + share(val), "val").otherwise("train"))
     return x.drop("_n", "_r")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelweft.operators.components import components
+from pixelweft.storage import durable
 
 #: Runs of a scene up to which one task labels it.
 SCENE_RUNS = 2_000_000
@@ -52,16 +53,21 @@ def _label_scene(scene: pd.DataFrame) -> pd.DataFrame:
 
 
 def label(found: DataFrame, scene_runs: int = SCENE_RUNS) -> DataFrame:
-    """Rows (scene_id, run, len, patch): the patch of each run."""
-    most = found.groupBy("scene_id").count().agg(F.max("count").alias("n")).first()["n"] or 0
-    if most <= scene_runs:
-        scene_type = found.schema["scene_id"].dataType.simpleString()
-        return found.groupBy("scene_id").applyInPandas(_label_scene, f"scene_id {scene_type}, run long, len long, patch long")
-    a, b = found.alias("a"), found.alias("b")
+    """Rows (scene_id, run, len, patch): the patch of each run. A scene of up to ``scene_runs`` runs is labelled in one task;
+    larger ones, each for itself, by distributed union-find."""
+    found = durable(found, "runs")
+    large = durable(found.groupBy("scene_id").agg(F.count("*").alias("n")).where(F.col("n") > scene_runs).select("scene_id"), "large_scenes")
+    scene_type = found.schema["scene_id"].dataType.simpleString()
+    few = found.join(large.hint("merge"), "scene_id", "left_anti")
+    small = few.groupBy("scene_id").applyInPandas(_label_scene, f"scene_id {scene_type}, run long, len long, patch long")
+    if large.isEmpty():
+        return small
+    many = found.join(large.hint("merge"), "scene_id", "left_semi")
+    a, b = many.alias("a"), many.alias("b")
     touch = (F.col("a.scene_id") == F.col("b.scene_id")) & (F.col("a.row") == F.col("b.row") - 1)
-    links = a.join(b, touch & (F.col("a.c0") <= F.col("b.c1") + 1) & (F.col("b.c0") <= F.col("a.c1") + 1)).select(F.col("a.run").alias("a"), F.col("b.run").alias("b"))
-    known = components(links)
-    return found.join(known.withColumnRenamed("node", "run"), "run", "left").select("scene_id", "run", "len", F.coalesce("component", "run").alias("patch"))
+    links = a.hint("merge").join(b, touch & (F.col("a.c0") <= F.col("b.c1") + 1) & (F.col("b.c0") <= F.col("a.c1") + 1)).select(F.col("a.run").alias("a"), F.col("b.run").alias("b"))
+    known = components(links).withColumnRenamed("node", "run")
+    return small.unionByName(many.join(known.hint("merge"), "run", "left").select("scene_id", "run", "len", F.coalesce("component", "run").alias("patch")))
 
 
 def patch_sizes(labelled: DataFrame, pixel_m2: float = 100.0, min_pixels: int = MIN_PIXELS) -> DataFrame:

@@ -84,13 +84,19 @@ def with_indexes(px: DataFrame, policy_classes=None, threshold: float = 0.2) ->
 _STORES: dict[tuple, str] = {}
 
 
+def modified(spark: SparkSession, file: str) -> int:
+    """When a file was written, in milliseconds."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(file)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getModificationTime()
+
+
 def pixel_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pair pixels of a folder as a Parquet table, written once in a session and then scanned, so
     that column pruning and pushed filters reach reflectance and classes like any other columns."""
     from pixelweft.storage import durable
 
     readings = wide(order_pixels(spark, sf_dir))
-    key = (spark.sparkContext.applicationId, sf_dir, tuple(sorted(readings.inputFiles())))
+    key = (spark.sparkContext.applicationId, sf_dir, tuple(sorted((f, modified(spark, f)) for f in readings.inputFiles())))
     if key not in _STORES:
         _STORES[key] = durable(readings, "pixels").inputFiles()[0].rsplit("/", 1)[0]
     return spark.read.schema(readings.schema).parquet(_STORES[key])
