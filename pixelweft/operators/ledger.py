@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,20 +24,31 @@ SCHEMAS = {
 STATUSES, DIRECTIONS = ("pending", "running", "complete", "failed", "no_data"), ("increases", "decreases")
 
 
-def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A ledger table; one that was never written is empty."""
+def _stored(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table with the batch that each row came in; one that was never written is empty."""
     from pyspark.errors import AnalysisException
 
+    schema = SCHEMAS[name] + ", batch string"
     try:
-        return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}")
+        return spark.read.schema(schema).parquet(f"{folder}/{name}")
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        return spark.createDataFrame([], SCHEMAS[name])
+        return spark.createDataFrame([], schema)
+
+
+def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A ledger table. Rows below a run count once the run's own row says that their batch is finished: what a
+    crashed finish left behind is never seen."""
+    x = _stored(spark, folder, name)
+    if name != "runs":
+        finished = _stored(spark, folder, "runs").where("batch != 'created'").select("batch").distinct()
+        x = x.join(finished.hint("merge"), "batch", "left_semi")
+    return x.drop("batch")
 
 
-def append(rows: DataFrame, folder: str, name: str) -> None:
-    rows.to(rows.sparkSession.createDataFrame([], SCHEMAS[name]).schema).write.mode("append").parquet(f"{folder}/{name}")
+def append(rows: DataFrame, folder: str, name: str, batch: str) -> None:
+    rows.to(rows.sparkSession.createDataFrame([], SCHEMAS[name]).schema).withColumn("batch", F.lit(batch)).write.mode("append").partitionBy("batch").parquet(f"{folder}/{name}")
 
 
 def latest(runs: DataFrame) -> DataFrame:
@@ -47,7 +60,7 @@ def latest(runs: DataFrame) -> DataFrame:
 def create_runs(requests: DataFrame, folder: str) -> None:
     """A running row for each request (analysis_id, created_at, parameters struct)."""
     rows = requests.select("analysis_id", "created_at", F.lit("running").alias("status"), F.to_json("parameters").alias("parameters"), F.col("created_at").alias("started_at"), F.lit(None).cast("timestamp").alias("finished_at"), F.lit(None).cast("string").alias("error"))
-    append(rows, folder, "runs")
+    append(rows, folder, "runs", "created")
 
 
 def results_tables(results: DataFrame) -> dict[str, DataFrame]:
@@ -82,10 +95,11 @@ def finish_runs(results: DataFrame, folder: str) -> None:
     bad = x.agg(F.count_if(F.col("s").isNull()).alias("unknown"), F.count_if(F.col("s").isNotNull() & (F.col("s") != "running")).alias("finished"), (F.count(F.lit(1)) - F.count_distinct("analysis_id")).alias("twice")).first()
     if bad["unknown"] or bad["finished"] or bad["twice"]:
         raise ValueError(f"unknown runs: {bad['unknown']}, finished already: {bad['finished']}, given twice: {bad['twice']}")
+    batch = f"b{uuid.uuid4().hex}"
     for name, rows in results_tables(results).items():
-        append(rows, folder, name)
+        append(rows, folder, name, batch)
     rows = results.select("analysis_id", "status", "finished_at", "error").join(state.drop("status", "finished_at", "error").hint("merge"), "analysis_id")
-    append(rows, folder, "runs")
+    append(rows, folder, "runs", batch)  # last: with this one write the batch is finished
 
 
 def violations(tables: dict[str, DataFrame]) -> DataFrame:

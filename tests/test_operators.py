@@ -269,6 +269,8 @@ def test_ledger(spark, tmp_path):
         ledger.finish_runs(x, folder)
     with pytest.raises(ValueError):
         ledger.finish_runs(x.withColumn("analysis_id", F.concat(F.lit("z"), "analysis_id")), folder)
+    ledger.append(ledger.results_tables(x)["observations"], folder, "observations", "bcrashed")  # a finish that stopped half way
+    assert ledger.read(spark, folder, "observations").count() == 2
     assert ledger.violations(tables).count() == 0
     assert ledger.history(ledger.latest(tables["runs"]), tables["priority_assessments"], tables["change_detections"]).count() == 2
     with pytest.raises(ValueError):
