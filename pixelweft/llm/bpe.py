@@ -1,9 +1,9 @@
 """Byte-level BPE encoding and decoding through a table of distinct words.
 
 Texts are split into words (pre-tokens) block by block; a block is about ``BLOCK`` bytes of text and keeps its
-documents as positions in the list of its distinct words. The words of all blocks, made distinct,
-are one table, in which every word is encoded once. Its ids are joined with the words of the blocks, gathered for each block and
-put back by position. So what moves is a row for each distinct word of a block, not one for each word of
+documents as positions in the list of its distinct words. The lists of all blocks are one table, sorted by word, in which
+every distinct word is encoded once, for all blocks that have it. Its ids are gathered for each block and joined back to the documents
+by position. So what moves is a row for each distinct word of a block, not one for each word of
 the corpus, and nothing is gathered beyond a block.
 
 Decoding joins ids with the table of pieces. The table has a row for each id of the vocabulary and is sent to every task; ids
@@ -131,18 +131,29 @@ def blocks(docs: DataFrame, special: list[str]) -> DataFrame:
 
 
 def word_ids(words: DataFrame, spec: str) -> DataFrame:
-    """Rows (word, ids) of distinct ``words``: the ids as the bytes of int32."""
+    """Rows (block, place, ids) of ``words`` (block, place, word): the ids as the bytes of int32.
+
+    All rows of a word meet, sorted, in one partition, at most one for each block; the word is encoded at the first of them.
+    """
+    ordered = words.repartition("word").sortWithinPartitions("word")
 
     def run(batches):
         t = load(spec)
+        last, known = None, b""
         for batch in batches:
-            words = batch.column("word").to_pylist()
-            plain = t.encode_batch([w for w in words if not w.startswith(SPECIAL)], add_special_tokens=False)
-            each = iter(plain)
-            ids = [[t.token_to_id(w[len(SPECIAL) :])] if w.startswith(SPECIAL) else next(each).ids for w in words]
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array([np.asarray(i, np.int32).tobytes() for i in ids], pa.binary())], ["word", "ids"])
+            coded = batch.column("word").dictionary_encode()
+            distinct = coded.dictionary.to_pylist()
+            new = [w for w in distinct if w != last]
+            each = iter(t.encode_batch([w for w in new if not w.startswith(SPECIAL)], add_special_tokens=False))
+            ids = []
+            for w in distinct:
+                if w != last:
+                    known = np.asarray([t.token_to_id(w[len(SPECIAL) :])] if w.startswith(SPECIAL) else next(each).ids, np.int32).tobytes()
+                    last = w
+                ids.append(known)
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("place"), pa.array(ids, pa.binary()).take(coded.indices)], ["block", "place", "ids"])
 
-    return words.select("word").mapInArrow(run, "word string, ids binary")
+    return ordered.select("block", "place", "word").mapInArrow(run, "block long, place int, ids binary")
 
 
 def ragged(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -167,9 +178,8 @@ def encode(docs: DataFrame, spec: str, text: str = "text", out: str = "ids", kee
     with scratch() as hold:
         table = hold(durable(blocks(packed, special), "blocks"))
         words = table.select("block", F.posexplode("words").alias("place", "word"))
-        encoded = durable(word_ids(words.select("word").distinct(), spec), "word_ids")
         # a list for each block, as long as its list of words
-        found = words.join(encoded.hint("merge"), "word").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("place", "ids"))).alias("found"))
+        found = word_ids(words, spec).groupBy("block").agg(F.sort_array(F.collect_list(F.struct("place", "ids"))).alias("found"))
         found = hold(durable(found.select("block", "found.ids"), "block_ids"))
     joined = table.drop("words").join(found.hint("merge"), "block", "left")
     schema = T.StructType([T.StructField("doc", packed.schema["doc"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
