@@ -156,13 +156,13 @@ def crs_checks(spark, sf_dir):
 
 
 @query(P + """, have AS (SELECT scene_id, row, col, scl_before AS scl FROM base WHERE scene_id % 2 = 0 AND k % 10 <> 0), s AS (SELECT DISTINCT scene_id FROM have)
-SELECT b.scene_id, b.row, b.col, s.scene_id IS NOT NULL AS scl_available, CASE WHEN s.scene_id IS NOT NULL THEN coalesce(h.scl, 0) END AS scl, CASE WHEN s.scene_id IS NULL THEN true ELSE coalesce(h.scl, 0) IN (4, 5, 6) END AS scl_valid
+SELECT b.scene_id, b.row, b.col, s.scene_id IS NOT NULL AS scl_available, CASE WHEN s.scene_id IS NOT NULL THEN coalesce(h.scl, 0) ELSE -1 END AS scl, CASE WHEN s.scene_id IS NULL THEN true ELSE coalesce(h.scl, 0) IN (4, 5, 6) END AS scl_valid
 FROM base b LEFT JOIN have h USING (scene_id, row, col) LEFT JOIN s ON s.scene_id = b.scene_id""")
 def observation_masks(spark, sf_dir):
     """Scenes with odd numbers have no class data; the others miss it for a tenth of their pixels."""
     px = pixels.order_pixels(spark, sf_dir)
     have = px.where("scene_id % 2 = 0 and k % 10 != 0").selectExpr("scene_id", "row", "col", "scl_before as scl")
-    return masking.observation_mask(px.select("scene_id", "row", "col"), have, ["scene_id", "row", "col"], ["scene_id"]).select("scene_id", "row", "col", "scl_available", "scl", "scl_valid")
+    return masking.observation_mask(px.select("scene_id", "row", "col"), have, ["scene_id", "row", "col"], ["scene_id"]).select("scene_id", "row", "col", "scl_available", F.coalesce("scl", F.lit(-1)).alias("scl"), "scl_valid")
 
 
 def _source(spark: SparkSession, sf_dir: str, x: str, y: str) -> DataFrame:
