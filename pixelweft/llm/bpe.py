@@ -27,7 +27,7 @@ from pixelweft.llm.common import chunks, durable, map_texts, scratch, small_batc
 #: Fixed value: the split pattern of byte-level BPE (public; also public_tokenizers.PATTERN).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes of text of a block, about.
-BLOCK = 2 << 20
+BLOCK = 8 << 20
 #: Words that are replaced by their ids at a time.
 WORDS_AT_A_TIME = 1 << 19
 #: Stands before a special string among the words. No word of the pattern has a letter after it.
