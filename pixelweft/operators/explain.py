@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pixelweft.operators.features import description
 from pixelweft.schemas import FEATURE_NAMES, PRIORITIES
@@ -95,7 +96,7 @@ def attributions(scored: DataFrame, model: PipelineModel, keys: list[str]) -> Da
             out["shap_value"], out["base"] = phi.transpose(0, 2, 1).ravel(), np.tile(np.repeat(base, len(names)), len(x))
             yield out
 
-    for name, kind in (("class_int", "int"), ("feature", "string"), ("feature_value", "double"), ("shap_value", "double"), ("base", "double")):
+    for name, kind in (("class_int", T.IntegerType()), ("feature", T.StringType()), ("feature_value", T.DoubleType()), ("shap_value", T.DoubleType()), ("base", T.DoubleType())):
         schema = schema.add(name, kind)
     return scored.select(*keys, "predicted_int", *names).mapInPandas(run, schema)
 
