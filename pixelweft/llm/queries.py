@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelweft.llm import ann, bpe, decontam, license_scan, line_dedup, quality, sharding, simhash, suffix_dedup, token_counts
+from pixelweft.llm import ann, bpe, conversations, decontam, lexical, license_scan, line_dedup, quality, sharding, simhash, suffix_dedup, token_counts
 from pixelweft.llm.common import row_key, table
 
 
@@ -80,6 +80,33 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of each benchmark item. Null texts have no terms; repeated ids are documents of their own."""
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with a fault in about a quarter of their rows, by the checksum of ``conv_id:turn`` modulo 20; nulls count as one space."""
+    space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    x = rows.select("conv_id", "turn", space("role").alias("role"), space("text").alias("text"), (F.crc32(F.concat(space("conv_id"), F.lit(":"), space("turn"))) % 20).alias("_x"))
+    x = x.where("_x != 0").withColumns({
+        "text": F.when(F.col("_x") == 1, "").when(F.col("_x") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text")),
+        "role": F.when(F.col("_x") == 4, "user").otherwise(F.col("role")),
+    })
+    times = F.when(F.col("_x") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return x.select("conv_id", "turn", "role", "text", F.explode(times)).drop("col")
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest repair of each damaged conversation. One row for each conv_id of the table, a missing one included; those that lost all rows have zeros."""
+    rows = table(spark, sf_dir, "conversations")
+    report, audits, faulty = conversations.repair_conversations(damaged(rows))
+    a, b, c = rows.select("conv_id").distinct().alias("a"), report.alias("b"), conversations.digests(faulty, audits).alias("c")
+    x = a.join(b.hint("merge"), F.col("a.conv_id").eqNullSafe(F.col("b.conv")), "left").join(c.hint("merge"), F.col("a.conv_id").eqNullSafe(F.col("c.conv")), "left")
+    zero = [F.coalesce(F.col(n), F.lit(0)).cast("long").alias(n) for n in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return x.select("a.conv_id", *zero, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_suffix_array": op2_suffix_array,
@@ -91,6 +118,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_decontamination": op9_decontamination,
     "op10_bpe": op10_bpe,
+    "op12_search": op12_search,
+    "op13_repair": op13_repair,
 }
 
 OP9_SQL = """
@@ -135,4 +164,25 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT)
 FROM d LEFT JOIN found USING (r)
 """
 
-ORACLES: dict[str, str] = {"op2_suffix_array": OP2_SQL, "op4_license_scan": license_scan.oracle(), "op9_decontamination": OP9_SQL}
+OP12_SQL = """
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r,
+         list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                     '[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w
+  FROM documents),
+i AS (
+  SELECT DISTINCT item_id, unnest(list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                     '[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')) AS term
+  FROM benchmark WHERE item_id IS NOT NULL),
+s AS (SELECT CAST(count(*) FILTER (len(w) > 0) AS BIGINT) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM d),
+t AS (SELECT r, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT r, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM i) GROUP BY r, term),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM t GROUP BY term), s),
+lengths AS (SELECT r, doc_id, 100 - 50 + ((50 * len(w) * n_docs) // n_terms) AS m FROM d, s WHERE len(w) > 0),
+scores AS (
+  SELECT item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+  FROM i JOIN t USING (term) JOIN weights USING (term) JOIN lengths USING (r) GROUP BY item_id, r, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 50
+"""
+
+ORACLES: dict[str, str] = {"op12_search": OP12_SQL, "op2_suffix_array": OP2_SQL, "op4_license_scan": license_scan.oracle(), "op9_decontamination": OP9_SQL}
