@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelweft.llm import ann, bpe, conversations, decontam, lexical, license_scan, line_dedup, quality, sharding, simhash, suffix_dedup, token_counts
+from pixelweft.llm import ann, bpe, conversations, decontam, lexical, license_scan, line_dedup, pii, quality, sharding, simhash, suffix_dedup, token_counts
 from pixelweft.llm.common import row_key, table
 
 
@@ -80,6 +80,17 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in each document: counts and digest of the patterns' spans, and all spans, the tagger's (``n_added`` of them) included. Null texts are empty."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.fit(docs), keep=["doc_id"])
+    place = lambda s: F.array_position(F.lit(list(pii.KINDS)), s["kind"])
+    said = lambda spans: F.array_join(F.transform(F.sort_array(F.transform(spans, lambda s: F.struct(s["start"], place(s).alias("k"), s["end"], s["kind"]))), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    is_a = lambda kind: lambda s: s["kind"] == kind
+    n = [F.size(F.filter("base", is_a(k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *n, F.sha2(said(F.col("base")), 256).alias("base_sha256"), said(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"))
+
+
 def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 50 best documents of each benchmark item. Null texts have no terms; repeated ids are documents of their own."""
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
@@ -118,6 +129,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_decontamination": op9_decontamination,
     "op10_bpe": op10_bpe,
+    "op11_pii": op11_pii,
     "op12_search": op12_search,
     "op13_repair": op13_repair,
 }
