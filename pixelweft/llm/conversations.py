@@ -171,7 +171,9 @@ def audits(faulty: DataFrame, span: int = SPAN) -> DataFrame:
     """One row for each conversation of ``faults``: conv, illegal, cost, audit."""
     small_batches(faulty.sparkSession)
     key = faulty.schema["conv"].dataType.simpleString()
-    parts = faulty.groupBy("conv", F.expr(f"(at - 1) div {span}").alias("part")).agg(F.sort_array(F.collect_list(F.struct("at", (F.col("kind") * 4 + F.col("fault")).alias("code")))).alias("c"))
+    # few bytes and much to do: a number of partitions, so that they aren't put together by size
+    n = int(faulty.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = faulty.select("conv", "at", "kind", "fault", F.expr(f"(at - 1) div {span}").alias("part")).repartition(n, "conv", "part").groupBy("conv", "part").agg(F.sort_array(F.collect_list(F.struct("at", (F.col("kind") * 4 + F.col("fault")).alias("code")))).alias("c"))
     schema = f"conv {key}, part long, illegal long, first int, last int, costs array<long>, audits array<string>"
     x = durable(parts.select("conv", "part", F.col("c.code").alias("codes")).mapInArrow(_search(span), schema), "stretches")
     done = x.where("size(costs) = 1").select("conv", "illegal", F.col("costs")[0].alias("cost"), F.col("audits")[0].alias("audit"))
