@@ -17,22 +17,22 @@ CELL = ["scene_id", "row", "col"]
 def on_grid(pixels: DataFrame, meta: DataFrame, target: DataFrame, kernel: str = "bilinear") -> DataFrame:
     """Readings on the target grid of their scene. Rasters that are on it already are not resampled."""
     m, t = meta.alias("m"), target.alias("t")
-    same = m.join(t, F.col("m.scene_id") == F.col("t.scene_id")).where(grid.same_grid("m", "t")).select("m.scene_id", "m.role", "m.band")
-    as_is = pixels.join(same, RASTER, "left_semi").select(*RASTER, "row", "col", F.col("dn").cast("double").alias("dn"))
-    moved = meta.join(same, RASTER, "left_anti")
-    others = resample.resample(pixels.join(moved.select(*RASTER), RASTER, "left_semi"), moved, target, RASTER, ["scene_id"], kernel)
+    same = m.join(t.hint("merge"), F.col("m.scene_id") == F.col("t.scene_id")).where(grid.same_grid("m", "t")).select("m.scene_id", "m.role", "m.band")
+    as_is = pixels.join(same.hint("merge"), RASTER, "left_semi").select(*RASTER, "row", "col", F.col("dn").cast("double").alias("dn"))
+    moved = meta.join(same.hint("merge"), RASTER, "left_anti")
+    others = resample.resample(pixels.join(moved.select(*RASTER).hint("merge"), RASTER, "left_semi"), moved, target, RASTER, ["scene_id"], kernel)
     return as_is.unionByName(others.select(*RASTER, "row", "col", "dn"))
 
 
 def prepare_pairs(pixels: DataFrame, meta: DataFrame, classes: DataFrame | None = None, class_meta: DataFrame | None = None, kernel: str = "bilinear", resolution: float | None = None, usable=STRICT) -> tuple[DataFrame, DataFrame]:
     """Pair pixels with reflectance, masks and NDVI, and the grids that they are on.
 
-    ``pixels``: scene_id, role, band, row, col, dn; ``meta``: a grid and nodata for each raster.
+    ``pixels``: scene_id, role, band, row, col, dn; ``meta``: a grid and nodata for each raster. The dates may be in different reference systems.
     ``classes`` (scene_id, role, row, col, scl) and their grids are optional: without them all
     pixels are usable.
     """
     grids = grid.common_grid(meta, ["scene_id"], resolution)
-    cleaned = pixels.join(meta.select(*RASTER, "nodata"), RASTER).withColumn("dn", S.clean_dn("dn", F.col("nodata"))).drop("nodata")
+    cleaned = pixels.join(meta.select(*RASTER, "nodata").hint("merge"), RASTER).withColumn("dn", S.clean_dn("dn", F.col("nodata"))).drop("nodata")
     aligned = on_grid(cleaned, meta, grids, kernel)
     x = S.reflectance("dn")
     cells = [F.max(F.when((F.col("role") == r) & (F.col("band") == b), x)).alias(f"{r[0]}_{b.lower()}") for r in ("before", "after") for b in BAND_ORDER]

@@ -59,16 +59,39 @@ def lonlat_from_utm(x: Column | str, y: Column | str, zone: Column, south: Colum
     return F.degrees(F.atan2(F.sinh(eta1), F.cos(xi1))) + (zone * 6 - 183), F.degrees(phi)
 
 
-def utm_bounds(boxes: DataFrame, target: str = "crs", keys: list[str] | None = None, steps: int = 21) -> DataFrame:
-    """Boxes in lon/lat (keys, minx, miny, maxx, maxy, ``target``) to the bounds of their edges in the UTM zone of ``target``."""
-    keys = keys or [c for c in boxes.columns if c not in ("minx", "miny", "maxx", "maxy")]
+def is_lonlat(crs: Column | str) -> Column:
+    return col(crs) == "EPSG:4326"
+
+
+def projected(points: DataFrame, x: str, y: str, source: str, target: str, to: tuple[str, str] = ("px", "py")) -> DataFrame:
+    """``points`` with the columns ``to``: (x, y) of the reference system in column ``source``, in that of ``target``.
+
+    Systems are lon/lat (EPSG:4326) and the UTM zones; any other gives NULL, unless both are the same, when (x, y) stay as they are.
+    By way of lon/lat, each step a projection of its own, so that no series is written out within another.
+    """
+    same = F.col(source).eqNullSafe(F.col(target))
+    lon, lat = lonlat_from_utm(x, y, utm_zone(source), is_south(source))
+    step = points.withColumns({"_lon": F.when(~same, F.when(is_lonlat(source), F.col(x)).otherwise(lon)), "_lat": F.when(~same, F.when(is_lonlat(source), F.col(y)).otherwise(lat))})
+    e, n = utm_from_lonlat("_lon", "_lat", utm_zone(target), is_south(target))
+    out = {to[0]: F.when(same, F.col(x)).when(is_lonlat(target), F.col("_lon")).otherwise(e), to[1]: F.when(same, F.col(y)).when(is_lonlat(target), F.col("_lat")).otherwise(n)}
+    return step.withColumns(out).drop("_lon", "_lat")
+
+
+def bounds_in(boxes: DataFrame, source: str, target: str, keys: list[str], steps: int = 21) -> DataFrame:
+    """Boxes (keys, minx, miny, maxx, maxy) of the system ``source`` to the bounds of their edges in that of ``target``, ``steps`` stretches an edge."""
     share = F.explode(F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda i: i / steps)).alias("s")
     s, w, h = F.col("s"), F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny")
-    edge = lambda x, y: F.struct(x.alias("lon"), y.alias("lat"))
+    edge = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
     sides = F.array(edge(F.col("minx") + w * s, F.col("miny")), edge(F.col("minx") + w * s, F.col("maxy")), edge(F.col("minx"), F.col("miny") + h * s), edge(F.col("maxx"), F.col("miny") + h * s))
-    points = boxes.select("*", share).select(*keys, F.explode(sides).alias("p")).select(*keys, "p.*")
-    x, y = utm_from_lonlat("lon", "lat", utm_zone(target), is_south(target))
-    return points.select(*keys, x.alias("x"), y.alias("y")).groupBy(*keys).agg(F.min("x").alias("minx"), F.min("y").alias("miny"), F.max("x").alias("maxx"), F.max("y").alias("maxy"))
+    named = list(dict.fromkeys([*keys, source, target]))
+    points = boxes.select("*", share).select(*named, F.explode(sides).alias("p")).select(*named, "p.*")
+    return projected(points, "x", "y", source, target).groupBy(*keys).agg(F.min("px").alias("minx"), F.min("py").alias("miny"), F.max("px").alias("maxx"), F.max("py").alias("maxy"))
+
+
+def utm_bounds(boxes: DataFrame, target: str = "crs", keys: list[str] | None = None, steps: int = 21) -> DataFrame:
+    """Boxes in lon/lat (keys, minx, miny, maxx, maxy, ``target``) to the bounds of their edges in the UTM zone of ``target``."""
+    keys = keys or [c for c in boxes.columns if c not in ("minx", "miny", "maxx", "maxy")]
+    return bounds_in(boxes.withColumn("_from", F.lit("EPSG:4326")), "_from", target, keys, steps)
 
 
 def intersection(a: str, b: str) -> dict[str, Column]:
@@ -91,17 +114,27 @@ def snapped(boxes: DataFrame, res: str = "res") -> DataFrame:
     }).drop("_x0", "_y0", "_x1", "_y1", "minx", "miny", "maxx", "maxy")
 
 
-def common_grid(meta: DataFrame, by: list[str], resolution: float | None = None) -> DataFrame:
-    """One grid for each group of rasters: the intersection of their bounds, at the finest resolution unless one is given.
+def common_grid(meta: DataFrame, by: list[str], resolution: float | None = None, crs: str | None = None) -> DataFrame:
+    """One grid for each group of rasters: the intersection of their bounds, at the finest resolution of those in its system unless one is given.
 
-    Rasters must share a reference system; groups that don't, or don't overlap, give no row.
+    The grid is in the system ``crs``, else in that of the group's first raster: the before date first, then by band, then by name of the system.
+    Rasters in another system have their bounds brought over, by the points of their edges. Groups that don't overlap, or have a
+    raster in a system that is neither lon/lat nor UTM beside others, give no row.
     """
-    p = properties(meta)
-    g = p.groupBy(*by).agg(
+    order = [F.when(F.col("role") == "before", 0).otherwise(1)] if "role" in meta.columns else []
+    first = F.min_by("crs", F.struct(*order, *([F.col("band")] if "band" in meta.columns else []), F.col("crs")))
+    # one row for each geometry: the bands of a date mostly share theirs
+    shapes = properties(meta).groupBy(*by, "crs", "minx", "miny", "maxx", "maxy").agg(F.min(F.least("xres", "yres")).alias("res"))
+    chosen = meta.select(*by).distinct().withColumn("to", F.lit(crs)) if crs else meta.groupBy(*by).agg(first.alias("to"))
+    shapes = shapes.join(chosen.hint("merge"), by)
+    moved = bounds_in(shapes.where("crs != to"), "crs", "to", [*by, "crs", "to", "res"]).withColumn("res", F.lit(None).cast("double"))
+    sides = ("minx", "miny", "maxx", "maxy")
+    x = shapes.where("crs = to").select(*by, "to", "res", *sides).unionByName(moved.select(*by, "to", "res", *sides))
+    g = x.groupBy(*by).agg(
         F.max("minx").alias("minx"), F.max("miny").alias("miny"), F.min("maxx").alias("maxx"), F.min("maxy").alias("maxy"),
-        (F.lit(float(resolution)) if resolution else F.min(F.least("xres", "yres"))).alias("res"), F.min("crs").alias("crs"), F.count_distinct("crs").alias("_n"),
+        (F.lit(float(resolution)) if resolution else F.min("res")).alias("res"), F.min("to").alias("crs"), F.count_if(F.col("minx").isNull()).alias("_lost"),
     )
-    return snapped(g.where("_n = 1").drop("_n")).drop("res")
+    return snapped(g.where("_lost = 0").drop("_lost")).drop("res")
 
 
 def same_grid(a: str, b: str) -> Column:

@@ -7,14 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-GRID = ("a", "c", "e", "f", "width", "height")
-
+from pixelweft.operators import grid
 
-def cells(grids: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows (keys, row, col, x, y): the centre of each cell of each grid."""
-    rows = grids.select(*keys, *GRID, F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("row"))
-    g = rows.select(*keys, *GRID, "row", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("col"))
-    return g.select(*keys, "row", "col", (F.col("c") + F.col("a") * (F.col("col") + 0.5)).alias("x"), (F.col("f") + F.col("e") * (F.col("row") + 0.5)).alias("y"))
+GRID = ("a", "c", "e", "f", "width", "height")
 
 
 def _cubic(a: float) -> Callable[[Column], Column]:
@@ -51,28 +46,46 @@ KERNELS: dict[str, tuple[int, Callable[[Column], Column]]] = {
 }
 
 
+def _places(source: DataFrame, target: DataFrame, keys: list[str], target_keys: list[str]) -> DataFrame:
+    """Rows (keys, row, col, fc, fr, zc, zr) for each cell of each target grid: where its centre lies among the source's pixels, and how many of these a cell is wide and high.
+
+    With a column ``crs`` on both sides the centre is brought into the source's system, and with it the points half a cell around it, which give the size.
+    """
+    warped = "crs" in source.columns and "crs" in target.columns
+    grid_ = (*GRID, "crs") if warped else GRID
+    src = source.select(*keys, *(F.col(c).alias(f"s_{c}") for c in grid_))
+    # one row a raster on both sides
+    both = src.join(target.select(*target_keys, *grid_).hint("merge"), target_keys)
+    at = both.select("*", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("row")).select("*", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("col"))
+    at = at.withColumns({"x": F.col("c") + F.col("a") * (F.col("col") + 0.5), "y": F.col("f") + F.col("e") * (F.col("row") + 0.5)})
+    size = {"zc": F.col("a") / F.col("s_a"), "zr": F.col("e") / F.col("s_e")}
+    if warped:
+        at = at.withColumns({"x1": F.col("x") + F.col("a") / 2, "y1": F.col("y") + F.col("e") / 2})
+        at = grid.projected(at, "x1", "y1", "crs", "s_crs", ("x1", "y1"))
+        at = grid.projected(at, "x", "y", "crs", "s_crs", ("x", "y"))
+        other = ~F.col("crs").eqNullSafe(F.col("s_crs"))
+        size = {"zc": F.when(other, F.abs(2 * (F.col("x1") - F.col("x")) / F.col("s_a"))).otherwise(size["zc"]), "zr": F.when(other, F.abs(2 * (F.col("y1") - F.col("y")) / F.col("s_e"))).otherwise(size["zr"])}
+    frac = {"fc": (F.col("x") - F.col("s_c")) / F.col("s_a") - 0.5, "fr": (F.col("y") - F.col("s_f")) / F.col("s_e") - 0.5}
+    return at.select(*keys, "row", "col", *(c.alias(n) for n, c in frac.items()), *(F.greatest(F.lit(1.0), c).alias(n) for n, c in size.items()))
+
+
 def resample(pixels: DataFrame, source: DataFrame, target: DataFrame, keys: list[str], target_keys: list[str], kernel: str = "bilinear", value: str = "dn") -> DataFrame:
     """Rows (keys, row, col, value) on the target grids: every cell, NULL where no valid source pixel counts.
 
     ``pixels`` has (keys, row, col, value), NULL for invalid; ``source`` and ``target`` hold one grid for
     each keys and target_keys (a subset of keys). Weights are renormalised over the valid pixels; a cell
     is valid where its nearest source pixel is. Kernels widen when the target is coarser. 'average'
-    takes the mean of the source pixels whose centres lie in the cell.
+    takes the mean of the source pixels whose centres lie in the cell. Grids with a column ``crs`` may be in different reference systems (lon/lat and UTM).
+
+    A cell's nearest pixel and the pixels under its kernel are looked up in one join, and brought together in one aggregation.
     """
-    src = source.select(*keys, *(F.col(c).alias(f"s_{c}") for c in GRID))
-    tgt = target.select(*target_keys, *GRID)
-    # one row a raster on both sides
-    both = src.join(tgt.hint("merge"), target_keys)
-    frac_col = ((F.col("x") - F.col("s_c")) / F.col("s_a") - 0.5).alias("fc")
-    frac_row = ((F.col("y") - F.col("s_f")) / F.col("s_e") - 0.5).alias("fr")
-    at = cells(both.select(*keys, *GRID), keys).join(both.select(*keys, *(f"s_{c}" for c in GRID), F.col("a").alias("t_a"), F.col("e").alias("t_e")).hint("merge"), keys)
-    at = at.select(*keys, "row", "col", frac_col, frac_row, F.greatest(F.lit(1.0), F.col("t_a") / F.col("s_a")).alias("zc"), F.greatest(F.lit(1.0), F.col("t_e") / F.col("s_e")).alias("zr"))
+    at = _places(source, target, keys, target_keys)
     px = pixels.select(*keys, F.col("row").alias("sr"), F.col("col").alias("sc"), F.col(value).cast("double").alias("v"))
     # the nearest pixel: halves go to the right and down
-    near = at.withColumns({"sr": F.floor(F.col("fr") + 0.5).cast("int"), "sc": F.floor(F.col("fc") + 0.5).cast("int")})
-    nearest = near.join(px.hint("merge"), [*keys, "sr", "sc"], "left").select(*keys, "row", "col", F.col("v").alias(value))
+    near = F.struct(F.floor(F.col("fr") + 0.5).cast("int").alias("sr"), F.floor(F.col("fc") + 0.5).cast("int").alias("sc"))
     if kernel == "nearest":
-        return nearest
+        nearest = at.select(*keys, "row", "col", near.alias("t")).select(*keys, "row", "col", "t.*")
+        return nearest.join(px.hint("merge"), [*keys, "sr", "sc"], "left").select(*keys, "row", "col", F.col("v").alias(value))
     if kernel == "average":
         half = lambda z: F.col(z) / 2
         span = lambda f, z: F.sequence(F.ceil(F.round(F.col(f) - half(z), 6)).cast("int"), F.greatest(F.ceil(F.round(F.col(f) - half(z), 6)), F.ceil(F.round(F.col(f) + half(z), 6)) - 1).cast("int"))
@@ -81,11 +94,20 @@ def resample(pixels: DataFrame, source: DataFrame, target: DataFrame, keys: list
         radius, w = KERNELS[kernel]
         span = lambda f, z: F.sequence(F.ceil(F.col(f) - radius * F.col(z)).cast("int"), F.floor(F.col(f) + radius * F.col(z)).cast("int"))
         weight = w((F.col("sc") - F.col("fc")) / F.col("zc")) * w((F.col("sr") - F.col("fr")) / F.col("zr"))
-    taps = at.select("*", F.explode(span("fr", "zr")).alias("sr")).select("*", F.explode(span("fc", "zc")).alias("sc"))
-    taps = taps.select(*keys, "row", "col", "sr", "sc", weight.alias("w")).where("w != 0")
-    mixed = taps.join(px.where("v is not null").hint("merge"), [*keys, "sr", "sc"]).groupBy(*keys, "row", "col").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("m"))
-    covered = nearest.withColumnRenamed(value, "n")
-    return covered.join(mixed.hint("merge"), [*keys, "row", "col"], "left").select(*keys, "row", "col", F.when(F.col("n").isNotNull(), F.col("m")).alias(value))
+    somewhere = F.col("fr").isNotNull() & F.col("fc").isNotNull()
+    at = at.withColumn("near", F.when(somewhere, near))
+    taps = at.select("*", F.explode_outer(F.when(somewhere, span("fr", "zr"))).alias("sr")).select("*", F.explode_outer(F.when(somewhere, span("fc", "zc"))).alias("sc"))
+    taps = taps.select(*keys, "row", "col", "sr", "sc", weight.alias("w"), ((F.col("sr") == F.col("near.sr")) & (F.col("sc") == F.col("near.sc"))).alias("is_near"))
+    # where the kernel leaves out the nearest pixel (average, half way), it comes in by a tap of its own, without weight; a cell whose place isn't known has one empty tap
+    first = taps.where("w != 0 or is_near or sr is null")
+    if kernel == "average":
+        own = at.where(somewhere).select(*keys, "row", "col", F.col("near.sr").alias("sr"), F.col("near.sc").alias("sc"), F.lit(0.0).alias("w"), F.lit(True).alias("is_near"))
+        first = first.withColumn("is_near", F.lit(False)).unionByName(own)
+    met = first.join(px.hint("merge"), [*keys, "sr", "sc"], "left")
+    sums = met.groupBy(*keys, "row", "col").agg(
+        (F.sum(F.col("w") * F.col("v")) / F.sum(F.when(F.col("v").isNotNull() & (F.col("w") != 0), F.col("w")))).alias("m"), F.max(F.when(F.col("is_near"), F.col("v"))).alias("n"),
+    )
+    return sums.select(*keys, "row", "col", F.when(F.col("n").isNotNull(), F.col("m")).alias(value))
 
 
 def resample_classes(pixels: DataFrame, source: DataFrame, target: DataFrame, keys: list[str], target_keys: list[str], value: str = "scl", missing: int = 0) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelweft.operators import catalog, change, datasets, explain, features, grid, ledger, masking, patches, priority, resample, stats, validate
-from pixelweft.plans import derived, prepared
+from pixelweft.plans import derived, prepared, warped  # noqa: F401  (warped registers its queries with prepared)
 from pixelweft.schemas import FEATURE_NAMES, LENIENT
 from pixelweft.sources import pixels
 

@@ -123,6 +123,41 @@ def test_shifted_pair_coregisters(spark, dx, dy, size):
     assert r["n"] == size[0] * size[1] and r["i"] > 0.95 and r["o"] < 0.01
 
 
+def test_pair_in_two_reference_systems(spark):
+    """The after date in lon/lat: what it lost lies where it would in UTM."""
+    n = 64
+    box = spark.createDataFrame([(1, 500000.0, 2000000.0 - 640, 500640.0, 2000000.0, "EPSG:32643", "EPSG:4326")], "k int, minx double, miny double, maxx double, maxy double, crs string, to string")
+    b = grid.bounds_in(box, "crs", "to", ["k"]).first()
+    a, e = (b["maxx"] - b["minx"]) / n, (b["maxy"] - b["miny"]) / n
+    metas = [(1, "before", band, "EPSG:32643", 10.0, 0.0, 500000.0, 0.0, -10.0, 2000000.0, n, n, 0) for band in ("B02", "B03", "B04", "B08")]
+    metas += [(1, "after", band, "EPSG:4326", a, 0.0, b["minx"], 0.0, -e, b["maxy"], n, n, 0) for band in ("B02", "B03", "B04", "B08")]
+    cells = spark.range(n * n).select(F.lit(1).alias("scene_id"), F.floor(F.col("id") / n).cast("int").alias("row"), (F.col("id") % n).cast("int").alias("col"))
+    cells = cells.withColumns({"lon": b["minx"] + a * (F.col("col") + 0.5), "lat": b["maxy"] - e * (F.col("row") + 0.5), "ll": F.lit("EPSG:4326"), "utm": F.lit("EPSG:32643")})
+    after = grid.projected(cells, "lon", "lat", "ll", "utm", ("gx", "gy")).withColumn("lost", F.col("gx").between(500200, 500320) & F.col("gy").between(1999680, 1999800))
+    before = cells.withColumn("lost", F.lit(False))
+    bands = F.explode(F.array(*(F.struct(F.lit(n_).alias("band"), F.lit(v).alias("v")) for n_, v in (("B02", 300), ("B03", 400), ("B04", 500), ("B08", 3000))))).alias("p")
+    rows = after.select("scene_id", F.lit("after").alias("role"), "row", "col", "lost", bands).unionByName(before.select("scene_id", F.lit("before").alias("role"), "row", "col", "lost", bands))
+    value = F.when(F.col("lost") & (F.col("p.band") == "B08"), 800).when(F.col("lost") & (F.col("p.band") == "B04"), 1200).otherwise(F.col("p.v")) + F.col("row") + F.col("col")
+    px, grids = align.prepare_pairs(rows.select("scene_id", "role", "p.band", "row", "col", value.alias("dn")), meta(spark, metas), resolution=10.0)
+    g = grids.first()
+    assert g["crs"] == "EPSG:32643" and g["a"] == 10.0
+    x, y = F.lit(g["c"]) + 10 * (F.col("col") + 0.5), F.lit(g["f"]) - 10 * (F.col("row") + 0.5)
+    inside = (x >= 500200) & (x < 500320) & (y > 1999680) & (y <= 1999800)
+    r = px.agg(F.avg(F.when(inside, (F.col("ndvi_diff") <= -0.2).cast("int"))).alias("i"), F.avg(F.when(~inside, (F.col("ndvi_diff") <= -0.2).cast("int"))).alias("o"), F.count("ndvi_diff").alias("n")).first()
+    edge = (x >= 500180) & (x < 500340) & (y > 1999660) & (y <= 1999820)
+    far = px.agg(F.max(F.when(~edge, F.abs("ndvi_diff"))).alias("far")).first()["far"]
+    assert r["i"] > 0.8 and r["o"] < 0.05 and far < 0.15 and r["n"] > 3500
+
+
+def test_systems_that_cannot_be_brought_together(spark):
+    metas = [(1, "before", "B02", "EPSG:32643", 10.0, 0.0, 500000.0, 0.0, -10.0, 2000000.0, 9, 9, 0), (1, "after", "B02", "EPSG:3857", 10.0, 0.0, 500000.0, 0.0, -10.0, 2000000.0, 9, 9, 0)]
+    metas += [(2, r, "B02", "EPSG:3857", 10.0, 0.0, 0.0, 0.0, -10.0, 0.0, 9, 9, 0) for r in ("before", "after")]
+    assert [(r["scene_id"], r["crs"], r["width"]) for r in grid.common_grid(meta(spark, metas), ["scene_id"]).collect()] == [(2, "EPSG:3857", 9)]
+    zones = [(1, "before", "B02", "EPSG:32643", 10.0, 0.0, 805000.0, 0.0, -10.0, 2000000.0, 900, 900, 0), (1, "after", "B02", "EPSG:32644", 10.0, 0.0, 170000.0, 0.0, -10.0, 2002000.0, 2000, 2000, 0)]
+    g = grid.common_grid(meta(spark, zones), ["scene_id"]).collect()
+    assert len(g) == 1 and g[0]["crs"] == "EPSG:32643" and g[0]["width"] > 0
+
+
 def test_clouds_are_not_change(spark):
     px, m = synthetic_pair(spark)
     cells = spark.range(32 * 32).select(F.lit(1).cast("long").alias("scene_id"), F.floor(F.col("id") / 32).cast("int").alias("row"), (F.col("id") % 32).cast("int").alias("col"))
