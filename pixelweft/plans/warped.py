@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelweft.operators import grid, resample
-from pixelweft.plans.oracles import PIXELS, with_
+from pixelweft.operators import catalog, grid, resample
+from pixelweft.plans import derived
+from pixelweft.plans.oracles import DERIVED, PIXELS, with_
 from pixelweft.plans.prepared import _utm_sql, query
 from pixelweft.sources import pixels
 
@@ -79,3 +80,39 @@ GROUP BY t.scene_id, t.row, t.col""")
 def warped_bilinear(spark, sf_dir):
     """A lon/lat raster on a UTM grid: centres are brought into the raster's system and weighed there."""
     return _warped(spark, sf_dir, "bilinear")
+
+
+# Footprints: quadrangles that lean by the key, so that some miss a corner of the area; the box of an area is 4 by 3.
+FOOTPRINTS = """
+prints AS (SELECT 'S' || k AS item_id, c % 40 AS aoi, CASE WHEN k % 2 = 0 THEN 'before' ELSE 'after' END AS role, (k * 37) % 101 AS cloud, 'T' || (k % 7) AS tile,
+    c % 40 AS x0, c % 40 + 4 AS x1, c % 20 AS y0, c % 20 + 3 AS y1,
+    c % 40 - 1 + (k % 5) / 2.0::DOUBLE AS x_a, c % 20 - 1.0::DOUBLE AS y_a, c % 40 + 6.0::DOUBLE AS x_b, c % 20 - (k % 3) / 2.0::DOUBLE AS y_b, c % 40 + 5 - (k % 4) / 2.0::DOUBLE AS x_c, c % 20 + 4.0::DOUBLE AS y_c, c % 40 - (k % 6) / 3.0::DOUBLE AS x_d, c % 20 + 3 + (k % 2) AS y_d FROM o),
+edges AS (SELECT item_id, u.* FROM prints, LATERAL (VALUES (x_a, y_a, x_b, y_b), (x_b, y_b, x_c, y_c), (x_c, y_c, x_d, y_d), (x_d, y_d, x_a, y_a)) u(x1, y1, x2, y2)),
+corners AS (SELECT item_id, v.* FROM prints, LATERAL (VALUES (1, x0, y0), (2, x0, y1), (3, x1, y0), (4, x1, y1)) v(n, x, y)),
+holds AS (SELECT item_id, bool_and(inside) AS holds FROM (
+    SELECT item_id, n, bool_or(on_edge) OR count(*) FILTER (met) % 2 = 1 AS inside FROM (
+      SELECT p.item_id, n, (x2 - x1) * (y - y1) = (y2 - y1) * (x - x1) AND x BETWEEN least(x1, x2) AND greatest(x1, x2) AND y BETWEEN least(y1, y2) AND greatest(y1, y2) AS on_edge,
+             (y1 > y) <> (y2 > y) AND x < x1 + (x2 - x1) * (y - y1) / nullif(y2 - y1, 0) AS met
+      FROM corners p JOIN edges e ON p.item_id = e.item_id) GROUP BY item_id, n) GROUP BY item_id)"""
+
+
+def footprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = "named_struct('x', cast({} as double), 'y', cast({} as double))".format
+    ring = ", ".join((p("c % 40 - 1 + (k % 5) / 2.0D", "c % 20 - 1"), p("c % 40 + 6", "c % 20 - (k % 3) / 2.0D"), p("c % 40 + 5 - (k % 4) / 2.0D", "c % 20 + 4"), p("c % 40 - (k % 6) / 3.0D", "c % 20 + 3 + (k % 2)")))
+    return derived.orders(spark, sf_dir).selectExpr(
+        "concat('S', k) as item_id", "c % 40 as aoi", "if(k % 2 = 0, 'before', 'after') as role", "cast((k * 37) % 101 as double) as cloud_cover_percent", "concat('T', k % 7) as tile", f"array({ring}) as footprint",
+        "named_struct('minx', cast(c % 40 as double), 'miny', cast(c % 20 as double), 'maxx', cast(c % 40 + 4 as double), 'maxy', cast(c % 20 + 3 as double)) as aoi_box",
+    )
+
+
+@query(with_(DERIVED, FOOTPRINTS) + "SELECT item_id, holds FROM holds")
+def scene_containment(spark, sf_dir):
+    """Scenes whose footprint holds all corners of the area."""
+    b = [F.col(f"aoi_box.{k}") for k in ("minx", "miny", "maxx", "maxy")]
+    return footprints(spark, sf_dir).select("item_id", catalog.contains_box("footprint", *b).alias("holds"))
+
+
+@query(with_(DERIVED, FOOTPRINTS, "ranks AS (SELECT *, CAST(row_number() OVER (PARTITION BY aoi, role ORDER BY CASE WHEN tile = 'T3' THEN 0 ELSE 1 END, cloud, item_id) AS INTEGER) AS rank FROM prints)") + "SELECT aoi, role, item_id, rank FROM ranks JOIN holds USING (item_id) WHERE holds QUALIFY row_number() OVER (PARTITION BY aoi, role ORDER BY rank) = 1")
+def scene_pick_containing(spark, sf_dir):
+    """The first scene of each ranking that holds the whole area, and its place: better ones that miss a corner are passed over."""
+    return catalog.pick_containing(footprints(spark, sf_dir), ["aoi", "role"], F.lit("T3")).select("aoi", "role", "item_id", "rank")

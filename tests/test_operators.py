@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pixelweft.operators import align, change, datasets, explain, features, grid, ledger, masking, patches, priority, resample, stats, validate
+from pixelweft.operators import align, catalog, change, datasets, explain, features, grid, ledger, masking, patches, priority, resample, stats, validate
 from pixelweft.schemas import FEATURE_NAMES
 from pixelweft.sources import pixels, readers, sinks
 
@@ -330,3 +330,21 @@ def test_long_to_wide(spark):
     w = pixels.from_long(px, m)
     assert w.count() == 64 * 64 and w.where("b_b08 is null").count() == 0
     assert stats.raw_band_stats(px, ["role", "band"]).count() == 8
+
+
+def test_footprints(spark):
+    """Ray casting at corners, edges and outside; a better scene that misses a corner is passed over."""
+    ring = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (2.0, 1.0), (0.0, 4.0)]  # a notch from above
+    points = {(0.0, 0.0): True, (2.0, 0.0): True, (2.0, 1.0): True, (2.0, 2.0): False, (1.0, 1.0): True, (3.0, 2.5): True, (0.5, 3.9): False, (4.0, 3.9): True, (4.1, 1.0): False, (-1.0, 0.0): False, (-1.0, 4.0): False, (2.0, 4.0): False, (5.0, 0.0): False}
+    for closed in (ring, [*ring, ring[0]]):
+        x = spark.createDataFrame([(px, py, closed) for px, py in points], "px double, py double, ring array<struct<x:double,y:double>>")
+        assert {(r["px"], r["py"]): r["inside"] for r in x.select("px", "py", catalog.contains("ring", F.col("px"), F.col("py")).alias("inside")).collect()} == points
+    box = (0.0, 0.0, 1.0, 1.0)
+    square = lambda d: [(-1.0, -1.0), (2.0, -1.0), (2.0, d), (-1.0, 2.0)]
+    rows = [("best", 1.0, "T1", square(0.4), box), ("second", 2.0, "T1", square(2.0), box), ("third", 0.0, "T2", square(2.0), box), ("none", 0.0, "T1", None, box)]
+    s = spark.createDataFrame([(1, *r) for r in rows], "aoi int, item_id string, cloud_cover_percent double, tile string, footprint array<struct<x:double,y:double>>, aoi_box struct<minx:double,miny:double,maxx:double,maxy:double>")
+    got = catalog.pick_containing(s, ["aoi"], F.lit("T1")).first()
+    assert (got["item_id"], got["rank"]) == ("second", 3)
+    assert catalog.pick_containing(s.where("item_id in ('best', 'none')"), ["aoi"], F.lit("T1")).count() == 0
+    roles = s.withColumn("role", F.explode(F.array(F.lit("before"), F.lit("after"))))
+    assert {r["item_id"] for r in catalog.pick_pair(roles, ["aoi"], F.lit("T1"), footprint="footprint").collect()} == {"second"}
