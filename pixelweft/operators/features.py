@@ -15,7 +15,7 @@ def extract(px: DataFrame, pixel_m2: float = 100.0) -> DataFrame:
     rows = px.groupBy("scene_id").agg(*columns)
     found = patches.runs(px.where("change").select("scene_id", "row", "col"))
     sizes = patches.patch_stats(patches.patch_sizes(patches.label(found), pixel_m2), pixel_m2)
-    x = rows.join(sizes, "scene_id", "left")
+    x = rows.join(sizes.hint("merge"), "scene_id", "left")
     zero = {"patch_count": 0, "mean_patch_area_ha": 0.0, "max_patch_area_ha": 0.0, "large_patch_count": 0}
     x = x.fillna(zero).withColumn("patch_sizes_ha", F.coalesce("patch_sizes_ha", F.array().cast("array<double>")))
     # the unrounded area: density is not part of the rounding chain
@@ -29,6 +29,7 @@ def vector(features: DataFrame, keep: list[str]) -> DataFrame:
     return features.select(*keep, *(F.coalesce(F.col(n).cast("double"), F.lit(0.0)).alias(n) for n in FEATURE_NAMES))
 
 
+# The weights and caps of the score, and below it the thresholds of the label.
 def rule_score() -> Column:
     """0 to 100 from six capped terms."""
     c = F.col

@@ -39,6 +39,6 @@ def observation_mask(px: DataFrame, classes_table: DataFrame | None, keys: list[
     if classes_table is None:
         return px.withColumn("scl", F.lit(None).cast("int")).withColumn("scl_available", F.lit(False)).withColumn("scl_valid", F.lit(True))
     have = classes_table.select(*scene).distinct().withColumn("scl_available", F.lit(True))
-    x = px.join(classes_table.select(*keys, "scl"), keys, "left").join(have, scene, "left")
+    x = px.join(classes_table.select(*keys, "scl").hint("merge"), keys, "left").join(have.hint("merge"), scene, "left")
     x = x.withColumn("scl_available", F.coalesce("scl_available", F.lit(False))).withColumn("scl", F.when(F.col("scl_available"), F.coalesce("scl", F.lit(0))))
     return x.withColumn("scl_valid", F.when(~F.col("scl_available"), True).otherwise(usable_class("scl", classes)))

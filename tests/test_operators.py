@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pixelweft.operators import align, catalog, change, datasets, explain, features, grid, ledger, masking, patches, priority, resample, stats, validate
+from pixelweft.operators import align, catalog, change, datasets, explain, features, grid, ledger, masking, patches, priority, ranking, resample, stats, validate
 from pixelweft.schemas import FEATURE_NAMES
 from pixelweft.sources import pixels, readers, sinks
 
@@ -26,22 +26,51 @@ def test_loss_signal(spark):
     assert (r["patch_count"], r["max_patch_area_ha"], r["patch_sizes_ha"], r["patch_density_per_km2"]) == (1, 4.0, [4.0], 1.0)
 
 
-@pytest.mark.parametrize("scene_runs", [1_000_000, 0])
-def test_patches(spark, scene_runs):
+@pytest.mark.parametrize("tile", [patches.TILE, (16, 16), (1, 1)])
+def test_patches(spark, tile):
     cells = [(r, c) for r in range(10, 20) for c in range(10, 20)] + [(r, c) for r in range(40, 60) for c in range(40, 60)] + [(80, 80), (81, 81)]
     x = spark.createDataFrame([("s", r, c) for r, c in cells], "scene_id string, row int, col int")
-    labelled = patches.label(patches.runs(x), scene_runs)
+    labelled = patches.label(patches.runs(x), tile)
     r = patches.patch_stats(patches.patch_sizes(labelled)).first()
     assert (r["patch_count"], r["mean_patch_area_ha"], r["max_patch_area_ha"], r["large_patch_count"], r["patch_sizes_ha"]) == (2, 2.5, 4.0, 2, [4.0, 1.0])
     assert labelled.select("patch").distinct().count() == 3  # diagonal neighbours are one
 
 
-def test_patches_agree_on_noise(spark):
+@pytest.mark.parametrize("tile", [patches.TILE, (4, 7), (1, 64), (64, 1)])
+def test_patches_of_noise(spark, tile):
+    """Tiles of any shape, down to a row or a column, against a flood over the cells."""
     rng = np.random.default_rng(3)
     cells = [(s, int(r), int(c)) for s in range(3) for r, c in zip(*np.nonzero(rng.random((40, 40)) < 0.4), strict=True)]
+    todo, want = set(cells), []
+    while todo:
+        stack, n = [todo.pop()], 0
+        scene = stack[0][0]
+        while stack:
+            s, r, c = stack.pop()
+            n += 1
+            near = {(s, r + i, c + j) for i in (-1, 0, 1) for j in (-1, 0, 1)} & todo
+            todo -= near
+            stack += near
+        want.append((scene, n))
     found = patches.runs(spark.createDataFrame(cells, "scene_id int, row int, col int"))
-    sizes = lambda n: sorted((r["scene_id"], r["pixels"]) for r in patches.patch_sizes(patches.label(found, n)).collect())
-    assert sizes(1_000_000) == sizes(0)
+    labelled = patches.label(found, tile)
+    got = labelled.groupBy("scene_id", "patch").agg(F.sum("len").alias("n"))
+    assert sorted((r["scene_id"], r["n"]) for r in got.collect()) == sorted(want) and labelled.count() == found.count()
+    assert patches.label(found.limit(0), tile).count() == 0
+
+
+@pytest.mark.parametrize(("bins", "sort"), [(ranking.BINS, ranking.SORTED), (4, 3), (2, 0)])
+def test_medians(spark, bins, sort):
+    """Even and odd groups, ties, one value, infinite and missing values, far outliers, a null group; bins so few that many passes are needed."""
+    rng = np.random.default_rng(8)
+    inf = float("inf")
+    groups = {"even": rng.normal(0, 1, 400), "odd": rng.normal(5, 0.001, 301), "ties": rng.integers(0, 3, 100).astype(float), "one": [7.0], "two": [1.0, 4.0], None: [2.0, 2.0, 9.0], "inf": [-inf, -inf, 1.0, inf, inf], "tail": [*rng.random(50), 1e300], "low": [-inf, 3.0, 5.0, 6.0]}
+    rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("even", None), ("nothing", None), ("odd", float("nan"))]
+    x = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    got = {r["g"]: r["median"] for r in ranking.medians(x, ["g"], "v", bins=bins, sort=sort).collect()}
+    assert got == {g: float(np.median(np.array(vs))) for g, vs in groups.items()}
+    assert ranking.medians(x.limit(0), ["g"], "v").count() == 0
+    assert ranking.medians(x.where("g = 'two'"), [], "v").first()["median"] == 2.5
 
 
 def test_no_change(spark):
