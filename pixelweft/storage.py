@@ -58,6 +58,26 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def durable_split(df: DataFrame, by: str, values: list[int], name: str) -> list[DataFrame]:
+    """``df`` written once, as a table for each of the ``values`` of the int column ``by``, which they lose. Each can be discarded by itself."""
+    spark = df.sparkSession
+    root = f"{shared_dir(spark)}/pixelweft/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").partitionBy(by).parquet(root)
+    schema, out = df.drop(by).schema, []
+    files = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = files.getFileSystem(spark._jsc.hadoopConfiguration())
+    for v in values:
+        path = f"{root}/{by}={v}"
+        fs.mkdirs(spark._jvm.org.apache.hadoop.fs.Path(path))  # no rows, no folder
+        x = spark.read.schema(schema).parquet(path)
+        x._durable_path = f"{path}/{name}"
+        out.append(x)
+        made = _MADE.get()
+        if made is not None:
+            made.append(x)
+    return out
+
+
 def discard(*tables: DataFrame) -> None:
     """Remove tables that ``durable`` wrote and nothing will read any more. Others are left alone."""
     for df in tables:
