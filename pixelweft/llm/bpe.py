@@ -1,10 +1,10 @@
 """Byte-level BPE encoding and decoding through a table of distinct words.
 
 Texts are split into words (pre-tokens) block by block; a block is about ``BLOCK`` bytes of text and keeps its
-documents as positions in the list of its distinct words. The lists of all blocks are one table, sorted by word, in which
-every distinct word is encoded once, for all blocks that have it. Its ids are gathered for each block and joined back to the documents
-by position. So what moves is a row for each distinct word of a block, not one for each word of
-the corpus, and nothing is gathered beyond a block.
+documents as positions in the list of its distinct words. That list is dealt out by the hash of the word: all blocks' shares with one hash
+meet in one partition, where every distinct word is encoded once. The ids of each share go back to its block and are joined to the
+documents by position. So what moves is each distinct word of a block, packed with others of its share, not each word of
+the corpus; a word that every block has costs its partition no more than any other, and nothing is gathered beyond a block.
 
 Decoding joins ids with the table of pieces. The table has a row for each id of the vocabulary and is sent to every task; ids
 find their pieces in it by position.
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import collections
 import json
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -22,14 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pixelweft.llm.common import chunks, durable, map_texts, scratch, small_batches
+from pixelweft.llm.common import chunks, discard, durable, map_texts, scratch, small_batches
+from pixelweft.storage import durable_split
 
 #: Fixed value: the split pattern of byte-level BPE (public; also public_tokenizers.PATTERN).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes of text of a block, about.
 BLOCK = 8 << 20
-#: Words that are replaced by their ids at a time.
-WORDS_AT_A_TIME = 1 << 19
+#: Words that are replaced by their ids at a time, and words whose ids a task remembers at most: beyond it, it begins anew and may encode a word again.
+WORDS_AT_A_TIME, MEMORY = 1 << 19, 2_000_000
 #: Stands before a special string among the words. No word of the pattern has a letter after it.
 SPECIAL = "\0S"
 
@@ -84,15 +86,44 @@ class Splitter:
         return [w for x in self.cut(text) for w in self.special.get(x) or self.words(x)]
 
 
-def blocks(docs: DataFrame, special: list[str]) -> DataFrame:
-    """``docs`` (doc, text) as rows (block, docs, wide, codes, words): the documents, and for each the number of its words; the words of all as
-    places in the list of the block's distinct words, 4 bytes each if ``wide``, else 2."""
+def packed(items: list[bytes]) -> bytes:
+    """Byte strings in one, compressed."""
+    lengths = np.fromiter(map(len, items), np.int64, len(items))
+    small = bool(len(items) == 0 or lengths.max() < 256)
+    raw = b"\1" * small + b"\4" * (not small) + len(items).to_bytes(4, "little") + lengths.astype(np.uint8 if small else np.uint32).tobytes() + b"".join(items)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, bytes]:
+    """The lengths of the byte strings, and all of them, one after the other."""
+    raw = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+    n = int.from_bytes(raw[1:5], "little")
+    lengths = np.frombuffer(raw, np.uint8 if raw[0] == 1 else np.uint32, n, 5).astype(np.int64)
+    return lengths, raw[5 + n * raw[0] :]
+
+
+def _planes(numbers: np.ndarray) -> bytes:
+    """Numbers below 2^32 by first, second, third and fourth bytes, compressed: the high ones are mostly zero."""
+    raw = numbers.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _numbers(data: bytes) -> np.ndarray:
+    raw = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+
+
+def blocks(docs: DataFrame, special: list[str], shares: int) -> tuple[DataFrame, DataFrame]:
+    """``docs`` (doc, text) as two tables, written in one pass.
+
+    One row for each block (block, docs, n, codes, shares): the documents, and the number of words of each; the words of all, 0 where a word comes for the first time in the
+    block, else 1 + its place in the order of first times; the share of each place. And rows (block, share, words): the words of a share in that order, packed.
+    """
     doc = docs.schema["doc"].dataType
     schema = T.StructType([
-        T.StructField("block", T.LongType()), T.StructField("docs", T.ArrayType(doc)), T.StructField("n", T.ArrayType(T.IntegerType())),
-        T.StructField("wide", T.BooleanType()), T.StructField("codes", T.BinaryType()), T.StructField("words", T.ArrayType(T.StringType())),
+        T.StructField("kind", T.IntegerType()), T.StructField("block", T.LongType()), T.StructField("docs", T.ArrayType(doc)), T.StructField("n", T.ArrayType(T.IntegerType())),
+        T.StructField("codes", T.BinaryType()), T.StructField("shares", T.BinaryType()), T.StructField("share", T.IntegerType()), T.StructField("words", T.BinaryType()),
     ])
-
     names = schema.names
 
     class Open:
@@ -109,12 +140,22 @@ def blocks(docs: DataFrame, special: list[str]) -> DataFrame:
             self.codes.extend(np.fromiter(map(self.place.__getitem__, words), np.uint32, len(words)) for words in each)
             self.bytes += piece.column("text").nbytes
 
-        def closed(self, number: int) -> pa.RecordBatch:
-            wide = len(self.place) > 1 << 16
-            codes = np.concatenate(self.codes).astype(np.uint32 if wide else np.uint16).tobytes()
+        def closed(self, number: int):
+            codes = np.concatenate(self.codes)
+            known = np.maximum.accumulate(np.concatenate([[-1], codes.astype(np.int64)]))[:-1]
+            codes = np.where(codes > known, 0, codes + 1)  # a number that is higher than all before is new
             docs = pa.concat_arrays(self.docs)
-            row = [pa.array([number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs), pa.array([self.n], pa.list_(pa.int32()))]
-            return pa.RecordBatch.from_arrays([*row, pa.array([wide]), pa.array([codes], pa.binary()), pa.array([list(self.place)], pa.list_(pa.string()))], names)
+            words = [w.encode("utf-8", "surrogatepass") for w in self.place]
+            share = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % shares
+            none = lambda kind: pa.nulls(1, kind)
+            row = [pa.array([0], pa.int32()), pa.array([number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs), pa.array([self.n], pa.list_(pa.int32())), pa.array([_planes(codes)], pa.binary()), pa.array([_planes(share)], pa.binary()), none(pa.int32()), none(pa.binary())]
+            yield pa.RecordBatch.from_arrays(row, names)
+            order = np.argsort(share, kind="stable")
+            have, begins = np.unique(share[order], return_index=True)
+            lists = [packed([words[i] for i in part]) for part in np.split(order, begins[1:])] if len(words) else []
+            k = len(lists)
+            if k:
+                yield pa.RecordBatch.from_arrays([pa.array([1] * k, pa.int32()), pa.array([number] * k, pa.int64()), pa.nulls(k, row[2].type), pa.nulls(k, row[3].type), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()), pa.array(have, pa.int32()), pa.array(lists, pa.binary())], names)
 
     def run(batches):
         split, number, block = Splitter(special), TaskContext.get().partitionId() << 32, Open()
@@ -122,38 +163,45 @@ def blocks(docs: DataFrame, special: list[str]) -> DataFrame:
             for piece in chunks(batch, "text"):
                 block.add(piece, [split(t) for t in piece.column("text").to_pylist()])
                 if block.bytes >= BLOCK:
-                    yield block.closed(number)
+                    yield from block.closed(number)
                     number, block = number + 1, Open()
         if block.docs:
-            yield block.closed(number)
+            yield from block.closed(number)
 
-    return docs.select("doc", "text").mapInArrow(run, schema)
+    whole, lists = durable_split(docs.select("doc", "text").mapInArrow(run, schema), "kind", [0, 1], "blocks")
+    return whole, lists
 
 
-def word_ids(words: DataFrame, spec: str) -> DataFrame:
-    """Rows (block, place, ids) of ``words`` (block, place, word): the ids as the bytes of int32.
+def word_ids(lists: DataFrame, spec: str) -> DataFrame:
+    """Rows (block, share, counts, ids) of ``lists`` (block, share, words): how many ids each word has, and all of these, packed.
 
-    All rows of a word meet, sorted, in one partition, at most one for each block; the word is encoded at the first of them.
+    All lists of a share meet in one partition; a word is encoded when the first of them has it.
     """
-    ordered = words.repartition("word").sortWithinPartitions("word")
+    n = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
-        t = load(spec)
-        last, known = None, b""
+        t, known = load(spec), {}
         for batch in batches:
-            coded = batch.column("word").dictionary_encode()
-            distinct = coded.dictionary.to_pylist()
-            new = [w for w in distinct if w != last]
-            each = iter(t.encode_batch([w for w in new if not w.startswith(SPECIAL)], add_special_tokens=False))
-            ids = []
-            for w in distinct:
-                if w != last:
-                    known = np.asarray([t.token_to_id(w[len(SPECIAL) :])] if w.startswith(SPECIAL) else next(each).ids, np.int32).tobytes()
-                    last = w
-                ids.append(known)
-            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("place"), pa.array(ids, pa.binary()).take(coded.indices)], ["block", "place", "ids"])
-
-    return ordered.select("block", "place", "word").mapInArrow(run, "block long, place int, ids binary")
+            out = []
+            for data in batch.column("words").to_pylist():
+                lengths, body = unpacked(data)
+                ends = np.cumsum(lengths).tolist()
+                words = [body[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+                new = [w for w in words if w not in known]
+                if len(known) + len(new) > MEMORY:
+                    known, new = {}, words
+                plain = [w for w in new if not w.startswith(SPECIAL.encode())]
+                for w, e in zip(plain, t.encode_batch([w.decode("utf-8", "surrogatepass") for w in plain], add_special_tokens=False), strict=True):
+                    known[w] = np.asarray(e.ids, np.int32).tobytes()
+                for w in new:
+                    if w.startswith(SPECIAL.encode()):
+                        known[w] = np.asarray([t.token_to_id(w[len(SPECIAL) :].decode())], np.int32).tobytes()
+                ids = [known[w] for w in words]
+                counts = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+                out.append((_planes(counts), _planes(np.frombuffer(b"".join(ids), np.uint32))))
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("share"), *(pa.array([o[k] for o in out], pa.binary()) for k in range(2))], ["block", "share", "counts", "ids"])
+
+    return lists.select("block", "share", "words").repartition(n, "share").mapInArrow(run, "block long, share int, counts binary, ids binary")
 
 
 def ragged(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -174,23 +222,31 @@ def encode(docs: DataFrame, spec: str, text: str = "text", out: str = "ids", kee
     special = check_spec(spec)
     small_batches(docs.sparkSession)
     keep = [c for c in keep or docs.columns if c != out]
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("doc"), F.col(text).alias("text"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("doc"), F.col(text).alias("text"))
+    # more shares than partitions, so that these are alike
+    shares = min(1024, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     with scratch() as hold:
-        table = hold(durable(blocks(packed, special), "blocks"))
-        words = table.select("block", F.posexplode("words").alias("place", "word"))
-        # a list for each block, as long as its list of words
-        found = word_ids(words, spec).groupBy("block").agg(F.sort_array(F.collect_list(F.struct("place", "ids"))).alias("found"))
-        found = hold(durable(found.select("block", "found.ids"), "block_ids"))
-    joined = table.drop("words").join(found.hint("merge"), "block", "left")
-    schema = T.StructType([T.StructField("doc", packed.schema["doc"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+        whole, lists = blocks(rows, special, shares)
+        # an entry for each share of a block
+        found = word_ids(lists, spec).groupBy("block").agg(F.sort_array(F.collect_list(F.struct("share", "counts", "ids"))).alias("found"))
+        found = hold(durable(found, "block_ids"))
+        hold(whole)
+        discard(lists)
+    joined = whole.drop("share", "words").join(found.hint("merge"), "block", "left")
+    schema = T.StructType([T.StructField("doc", rows.schema["doc"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def run(batches):
         for batch in batches:
             for row in range(batch.num_rows):
-                lists = batch.column("ids")[row].as_py() or []
-                lengths = np.array([len(x) // 4 for x in lists], np.int64)
-                codes = np.frombuffer(batch.column("codes")[row].as_py(), np.uint32 if batch.column("wide")[row].as_py() else np.uint16)
-                flat, starts = np.frombuffer(b"".join(lists), np.int32), np.cumsum(lengths) - lengths
+                found = batch.column("found")[row].as_py() or []
+                counts = np.concatenate([np.zeros(0, np.int64), *(_numbers(x["counts"]).astype(np.int64) for x in found)])
+                flat = np.concatenate([np.zeros(0, np.int32), *(_numbers(x["ids"]).view(np.int32) for x in found)])
+                # from the order of shares to that of places
+                order = np.argsort(_numbers(batch.column("shares")[row].as_py()), kind="stable")
+                lengths, starts = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+                lengths[order], starts[order] = counts, np.cumsum(counts) - counts
+                codes = _numbers(batch.column("codes")[row].as_py()).astype(np.int64)
+                codes = np.where(codes == 0, np.cumsum(codes == 0) - 1, codes - 1)
                 docs = batch.column("docs")[row].values
                 n = np.cumsum([0, *batch.column("n")[row].as_py()])
                 # some documents at a time
@@ -201,7 +257,7 @@ def encode(docs: DataFrame, spec: str, text: str = "text", out: str = "ids", kee
                     at = np.concatenate([[0], ends])[n[a : b + 1] - n[a]].astype(np.int32)
                     yield pa.RecordBatch.from_arrays([docs.slice(a, b - a), pa.ListArray.from_arrays(pa.array(at), pa.array(values))], ["doc", "ids"])
 
-    ids = joined.select("docs", "n", "wide", "codes", "ids").mapInArrow(run, schema)
+    ids = joined.select("docs", "n", "codes", "shares", "found").mapInArrow(run, schema)
     return ids.select("doc.*", F.col("ids").alias(out))
 
 

@@ -365,3 +365,12 @@ def test_license_files_are_inherited(spark):
     assert all(got[k] == ("BSD-3-Clause", "inherited", "p/q/lib/LICENSE") for k in ("p/q/lib/c.py", "p/q/lib/deep/d.py"))
     assert got["p/q/lib/own.py"][:2] == ("Apache-2.0", "header") and got["p/spdx.c"][:2] == ("GPL-2.0-only", "header")
     assert got["r/e.py"][:2] == got["top.py"][:2] == got[None][:2] == (None, "none")
+
+
+def test_packed_words_and_numbers():
+    """What is packed is what is unpacked, nothing and long words included."""
+    for items in ([], [b""], [b"a", b"", b"x" * 300], [b"\0S<|endoftext|>"] * 3):
+        lengths, body = bpe.unpacked(bpe.packed(items))
+        assert lengths.tolist() == [len(i) for i in items] and body == b"".join(items)
+    for numbers in ([], [0], [1, 2**32 - 1, 70_000]):
+        assert bpe._numbers(bpe._planes(np.array(numbers, np.int64))).tolist() == numbers
