@@ -8,7 +8,8 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelweft.operators import change, datasets, explain, features, grid, ledger, stats, validate
+from pixelweft.operators import change, datasets, evaluation, explain, features, grid, ledger, stats, validate
+from pixelweft.storage import durable
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -27,14 +28,15 @@ def infer(px: DataFrame, scorer: Scorer = change.spectral_score, threshold: floa
 
 
 def train(px: DataFrame, region: str = "scene_id", grid_: list[dict] | None = None, metric: str = "iou", val: float = 0.2, seed: int = 42) -> tuple[PipelineModel, DataFrame]:
-    """The best of several scorers by a metric on whole regions kept apart, and the history of all."""
+    """The best of several scorers by a metric on whole regions kept apart, and the history of all.
+
+    The validation pixels are read once: all scorers are columns of one pass."""
     rows = datasets.location_split(px, region, val, seed)
-    fitted, history = [], None
-    for epoch, setting in enumerate(grid_ or [{"reg": 0.1}, {"reg": 0.01}, {"reg": 0.001}]):
-        model = change.fit_scorer(rows.where("split = 'train'"), **setting)
-        found = change.confusion(change.with_mask(change.score(rows.where("split = 'val'"), model)), []).withColumn("epoch", F.lit(epoch))
-        history = found if history is None else history.unionByName(found)
-        fitted.append(model)
+    settings = grid_ or [{"reg": 0.1}, {"reg": 0.01}, {"reg": 0.001}]
+    fitted = change.fit_scorers(rows.where("split = 'train'"), settings)
+    held, _ = change.pixel_inputs(rows.where("split = 'val'"))
+    found = evaluation.compared(held, {str(i): change.linear_score(m) for i, m in enumerate(fitted)})
+    history = durable(found.withColumn("epoch", F.col("setting").cast("int")).drop("setting"), "history")  # a row for each setting
     best = datasets.best_epoch(history, metric).first()
     return fitted[best["epoch"]], history
 

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from pixelweft.functions import spectral as S
 from pixelweft.functions.spectral import ratio
+from pixelweft.storage import discard, durable
 
 BANDS = ("b02", "b03", "b04", "b08")
 INPUTS = [f"{r}_{b}" for r in ("b", "a") for b in BANDS]
@@ -44,6 +45,27 @@ def fit_scorer(px: DataFrame, label: str = "target", reg: float = 0.01, max_iter
     return Pipeline(stages=stages).fit(x.where(S.all_present(*INPUTS) & F.col("valid")))
 
 
+def fit_scorers(px: DataFrame, settings: list[dict], label: str = "target") -> list[PipelineModel]:
+    """A scorer for each setting (``reg``, ``max_iter``). The inputs are put together and written once, for all of them."""
+    x, inputs = pixel_inputs(px)
+    assembler = VectorAssembler(inputCols=inputs, outputCol="_inputs")
+    rows = durable(assembler.transform(x.where(S.all_present(*INPUTS) & F.col("valid"))).select("_inputs", label), "scorer_inputs")
+    lr = LogisticRegression(featuresCol="_inputs", labelCol=label, rawPredictionCol="_raw", probabilityCol="_prob", predictionCol="_pred")
+    maps = [{lr.regParam: s.get("reg", 0.01), lr.maxIter: s.get("max_iter", 30)} for s in settings]
+    fitted = dict(lr.fitMultiple(rows, maps))
+    discard(rows)
+    return [PipelineModel([assembler, fitted[i]]) for i in range(len(settings))]
+
+
+def linear_score(model: PipelineModel) -> Column:
+    """change_prob of a fitted scorer as a column of its twelve inputs (``pixel_inputs``), so that several can be worked out in one pass; NULL where an input is missing or the pair is not valid."""
+    fitted, inputs = model.stages[-1], model.stages[0].getInputCols()
+    logit = F.lit(float(fitted.intercept))
+    for w, c in zip(fitted.coefficients.toArray(), inputs, strict=True):
+        logit = logit + float(w) * F.col(c)
+    return F.when(F.col("valid") & S.all_present(*INPUTS), S.sigmoid(logit))
+
+
 def score(px: DataFrame, model: PipelineModel) -> DataFrame:
     """change_prob from a fitted scorer; NULL where an input is missing or the pair is not valid."""
     x, inputs = pixel_inputs(px)

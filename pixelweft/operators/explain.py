@@ -79,9 +79,11 @@ def attribute(x: np.ndarray, forest) -> tuple[np.ndarray, np.ndarray]:
     return phi, base
 
 
-def attributions(scored: DataFrame, model: PipelineModel, keys: list[str]) -> DataFrame:
-    """Rows (keys, predicted_int, class_int, feature, feature_value, shap_value, base): the attribution of each feature to each class."""
-    forest = leaves(model)
+def attributions(scored: DataFrame, model: PipelineModel | list, keys: list[str]) -> DataFrame:
+    """Rows (keys, predicted_int, class_int, feature, feature_value, shap_value, base): the attribution of each feature to each class.
+
+    ``model``: a fitted forest, or leaves as ``leaves`` gives them."""
+    forest = model if isinstance(model, list) else leaves(model)
     schema = scored.select(*keys, "predicted_int").schema
     names = list(FEATURE_NAMES)
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelweft.operators import catalog, change, datasets, explain, features, grid, ledger, masking, patches, priority, resample, stats, validate
-from pixelweft.plans import derived, prepared, warped  # noqa: F401  (warped registers its queries with prepared)
+from pixelweft.plans import derived, prepared, reports, warped  # noqa: F401  (reports and warped register their queries with prepared)
 from pixelweft.schemas import FEATURE_NAMES, LENIENT
 from pixelweft.sources import pixels
 
@@ -372,14 +372,15 @@ def run_states(spark, sf_dir):
 
 
 def _assessed(spark, sf_dir):
+    """All scenes, and a model fitted on three quarters of them."""
     rows = ruled(spark, sf_dir)
-    return rows, priority.fit(rows)
+    return rows, priority.fit(rows.where("scene_id % 4 != 3"))
 
 
 @query
 def priority_scores(spark, sf_dir):
     rows, model = _assessed(spark, sf_dir)
-    return priority.scored(rows, model).select("scene_id", "predicted", "confidence", "priority_label")
+    return priority.scored(rows, model).select("scene_id", (F.col("scene_id") % 4 == 3).alias("held_out"), "predicted", "confidence", "priority_label")
 
 
 @query

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelweft.functions.spectral import class_name
 from pixelweft.schemas import BAND_ORDER, FEATURE_NAMES
+from pixelweft.storage import shared_dir
 
 
 def layer(rows: DataFrame, path: str, partition: str = "scene_id", tile: int = 256) -> None:
@@ -32,6 +35,17 @@ def change_layers(scored: DataFrame, path: str) -> None:
     layer(scored.select("scene_id", "row", "col", F.col("change_prob").cast("float").alias("change_prob"), F.coalesce("change_mask", F.lit(255)).cast("short").alias("change_mask")), path)
 
 
+def bucketed(rows: DataFrame, name: str, keys: list[str], buckets: int = 32) -> DataFrame:
+    """A table in the shared folder, bucketed and sorted by ``keys``, as which it is read back: joins of such tables on the keys need no exchange.
+
+    ``buckets`` must be the same for tables that are to meet; at 128 MB a bucket, one for each 128 MB of the largest.
+    """
+    spark, table = rows.sparkSession, f"pixelweft_{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/pixelweft/{uuid.uuid4().hex}/{name}"
+    rows.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).format("parquet").saveAsTable(table)
+    return spark.table(table)
+
+
 def raw_bands(pixels: DataFrame, path: str) -> None:
     layer(pixels, path)
 
