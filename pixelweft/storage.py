@@ -58,18 +58,35 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def durable_split(df: DataFrame, by: str, values: list[int], name: str) -> list[DataFrame]:
-    """``df`` written once, as a table for each of the ``values`` of the int column ``by``, which they lose. Each can be discarded by itself."""
+def durable_split(df: DataFrame, by: str, values: list[int], name: str, bucket: tuple[str, int] | None = None) -> list[DataFrame]:
+    """``df`` written once, as a table for each of the ``values`` of the int column ``by``, which they lose. Each can be discarded by itself.
+
+    With ``bucket`` (column, number) rows are dealt out by the column and written so: a join on it moves the other side only, if that has as many partitions.
+    """
     spark = df.sparkSession
-    root = f"{shared_dir(spark)}/pixelweft/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").partitionBy(by).parquet(root)
+    key = uuid.uuid4().hex
+    root = f"{shared_dir(spark)}/pixelweft/{key}"
+    before = spark.conf.get(_CLEANUP, None)
+    if before is not None:
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        if bucket:
+            column, n = bucket
+            df.repartition(n, column).write.option("compression", "zstd").option("path", root).partitionBy(by).bucketBy(n, column).format("parquet").saveAsTable(f"pixelweft_{key}")
+        else:
+            df.write.option("compression", "zstd").partitionBy(by).parquet(root)
+    finally:
+        if before is not None:
+            spark.conf.set(_CLEANUP, before)
     schema, out = df.drop(by).schema, []
-    files = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = files.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs = spark._jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
     for v in values:
         path = f"{root}/{by}={v}"
-        fs.mkdirs(spark._jvm.org.apache.hadoop.fs.Path(path))  # no rows, no folder
-        x = spark.read.schema(schema).parquet(path)
+        if bucket:
+            x = spark.table(f"pixelweft_{key}").where(f"{by} = {v}").drop(by)
+        else:
+            fs.mkdirs(spark._jvm.org.apache.hadoop.fs.Path(path))  # no rows, no folder
+            x = spark.read.schema(schema).parquet(path)
         x._durable_path = f"{path}/{name}"
         out.append(x)
         made = _MADE.get()
