@@ -114,7 +114,7 @@ def _numbers(data: bytes) -> np.ndarray:
 
 
 def blocks(docs: DataFrame, special: list[str], shares: int) -> tuple[DataFrame, DataFrame]:
-    """``docs`` (doc, text) as two tables, written in one pass.
+    """``docs`` (doc, text) as two tables, written in one pass and bucketed by block, so that the ids come to the blocks and these stay where they are.
 
     One row for each block (block, docs, n, codes, shares): the documents, and the number of words of each; the words of all, 0 where a word comes for the first time in the
     block, else 1 + its place in the order of first times; the share of each place. And rows (block, share, words): the words of a share in that order, packed.
@@ -168,7 +168,8 @@ def blocks(docs: DataFrame, special: list[str], shares: int) -> tuple[DataFrame,
         if block.docs:
             yield from block.closed(number)
 
-    whole, lists = durable_split(docs.select("doc", "text").mapInArrow(run, schema), "kind", [0, 1], "blocks")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    whole, lists = durable_split(docs.select("doc", "text").mapInArrow(run, schema), "kind", [0, 1], "blocks", ("block", n))
     return whole, lists
 
 
