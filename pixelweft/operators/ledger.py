@@ -1,4 +1,8 @@
-"""The ledger of runs: eight append-only Parquet tables in a folder, and the queries on them."""
+"""The ledger of runs: eight append-only Parquet tables in a folder, a log of what is finished, and the queries on them.
+
+A finish writes its rows as a batch, and then one entry of the log. Entries are numbered and each number can be taken once: of two finishes that run at the same
+time one takes it, and the other looks again at what is finished before it tries the next. Rows count once the log has their batch.
+"""
 
 from __future__ import annotations
 
@@ -37,18 +41,51 @@ def _stored(spark: SparkSession, folder: str, name: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+def _log(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows (batch, version) of the log."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        x = spark.read.text(f"{folder}/log")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], "batch string, version long")
+    return x.select(F.col("value").alias("batch"), F.regexp_extract(F.col("_metadata.file_name"), "^v([0-9]+)$", 1).cast("long").alias("version"))
+
+
+def _take(spark: SparkSession, folder: str, version: int, batch: str) -> bool:
+    """Write entry ``version`` of the log, whole or not at all; False if it is taken. On a file system whose renames are not atomic and exclusive (some object stores), use one writer."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    draft, entry = path(f"{folder}/drafts/{batch}"), path(f"{folder}/log/v{version}")
+    fs.mkdirs(path(f"{folder}/log"))
+    out = fs.create(draft, True)
+    out.write(bytearray(f"{batch}\n".encode()))
+    out.close()
+    if fs.getScheme() != "file":
+        return not fs.exists(entry) and fs.rename(draft, entry)
+    # a local rename replaces what is there; a link doesn't
+    files, paths = spark._jvm.java.nio.file.Files, spark._jvm.java.nio.file.Paths
+    try:
+        files.createLink(paths.get(fs.makeQualified(entry).toUri()), paths.get(fs.makeQualified(draft).toUri()))
+    except Exception as e:
+        if "FileAlreadyExistsException" not in str(e):
+            raise
+        return False
+    return True
+
+
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A ledger table. Rows below a run count once the run's own row says that their batch is finished: what a
-    crashed finish left behind is never seen."""
+    """A ledger table. Rows of a finish count once the log has it: what a crashed finish left behind, or one that lost to another, is never seen."""
     x = _stored(spark, folder, name)
-    if name != "runs":
-        finished = _stored(spark, folder, "runs").where("batch != 'created'").select("batch").distinct()
-        x = x.join(finished.hint("merge"), "batch", "left_semi")
-    return x.drop("batch")
+    finished = x.join(_log(spark, folder).select("batch").hint("merge"), "batch", "left_semi")
+    return (finished.unionByName(x.where(F.col("batch").startswith("created"))) if name == "runs" else finished).drop("batch")
 
 
 def append(rows: DataFrame, folder: str, name: str, batch: str) -> None:
-    rows.to(rows.sparkSession.createDataFrame([], SCHEMAS[name]).schema).withColumn("batch", F.lit(batch)).write.mode("append").partitionBy("batch").parquet(f"{folder}/{name}")
+    """Each batch is a folder of its own, so that writers at the same time don't meet."""
+    rows.to(rows.sparkSession.createDataFrame([], SCHEMAS[name]).schema).write.mode("append").parquet(f"{folder}/{name}/batch={batch}")
 
 
 def latest(runs: DataFrame) -> DataFrame:
@@ -60,7 +97,7 @@ def latest(runs: DataFrame) -> DataFrame:
 def create_runs(requests: DataFrame, folder: str) -> None:
     """A running row for each request (analysis_id, created_at, parameters struct)."""
     rows = requests.select("analysis_id", "created_at", F.lit("running").alias("status"), F.to_json("parameters").alias("parameters"), F.col("created_at").alias("started_at"), F.lit(None).cast("timestamp").alias("finished_at"), F.lit(None).cast("string").alias("error"))
-    append(rows, folder, "runs", "created")
+    append(rows, folder, "runs", f"created{uuid.uuid4().hex}")
 
 
 def results_tables(results: DataFrame) -> dict[str, DataFrame]:
@@ -84,22 +121,32 @@ def results_tables(results: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def _refuse(results: DataFrame, folder: str) -> DataFrame:
+    """The state of all runs; raises if one of ``results`` is unknown, finished or given twice."""
+    state = latest(read(results.sparkSession, folder, "runs"))
+    x = results.select("analysis_id").join(state.select("analysis_id", F.col("status").alias("s")).hint("merge"), "analysis_id", "left")
+    bad = x.agg(F.count_if(F.col("s").isNull()).alias("unknown"), F.count_if(F.col("s").isNotNull() & (F.col("s") != "running")).alias("finished"), (F.count(F.lit(1)) - F.count_distinct("analysis_id")).alias("twice")).first()
+    if bad["unknown"] or bad["finished"] or bad["twice"]:
+        raise ValueError(f"unknown runs: {bad['unknown']}, finished already: {bad['finished']}, given twice: {bad['twice']}")
+    return state
+
+
 def finish_runs(results: DataFrame, folder: str) -> None:
-    """Finish runs once: an unknown run, or one that is finished, is an error and writes nothing.
+    """Finish runs once: an unknown run, or one that is finished, is an error and nothing of the call counts. That holds for calls that run at the same time too: the first to enter the log has its runs.
 
     ``results``: analysis_id, status, finished_at, error, aoi, observations, change, summary, priority, artifacts.
     """
     spark = results.sparkSession
-    state = latest(read(spark, folder, "runs"))
-    x = results.select("analysis_id").join(state.select("analysis_id", F.col("status").alias("s")).hint("merge"), "analysis_id", "left")
-    bad = x.agg(F.count_if(F.col("s").isNull()).alias("unknown"), F.count_if(F.col("s").isNotNull() & (F.col("s") != "running")).alias("finished"), (F.count(F.lit(1)) - F.count_distinct("analysis_id")).alias("twice")).first()
-    if bad["unknown"] or bad["finished"] or bad["twice"]:
-        raise ValueError(f"unknown runs: {bad['unknown']}, finished already: {bad['finished']}, given twice: {bad['twice']}")
+    state = _refuse(results, folder)
+    seen = _log(spark, folder).agg(F.max("version")).first()[0] or 0
     batch = f"b{uuid.uuid4().hex}"
     for name, rows in results_tables(results).items():
         append(rows, folder, name, batch)
     rows = results.select("analysis_id", "status", "finished_at", "error").join(state.drop("status", "finished_at", "error").hint("merge"), "analysis_id")
-    append(rows, folder, "runs", batch)  # last: with this one write the batch is finished
+    append(rows, folder, "runs", batch)
+    while not _take(spark, folder, seen + 1, batch):
+        seen += 1
+        _refuse(results, folder)  # another finish came first: it may have had one of these runs
 
 
 def violations(tables: dict[str, DataFrame]) -> DataFrame:

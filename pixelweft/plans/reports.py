@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pixelweft.functions import spectral as S
 from pixelweft.operators import analysis, change, datasets, evaluation, explain
 from pixelweft.plans import derived
-from pixelweft.plans.oracles import DERIVED, PIXELS, SCORED, ratio, with_
+from pixelweft.plans.oracles import DERIVED, PIXELS, READINGS, SCORED, ratio, with_
 from pixelweft.plans.prepared import query
 from pixelweft.sources import pixels, sinks
 
@@ -147,3 +147,136 @@ def game_drivers(spark, sf_dir):
     """The ranking of the three features for each row's own class."""
     x = _game(spark, sf_dir).withColumn("shap_value", F.round("shap_value", 7))
     return explain.drivers(x, ["k"], order="absolute").select("k", "rank", "feature")
+
+
+# --- from requests to the ledger
+
+
+def _scene_requests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A request for each scene, some of them refused and some without an observation; the catalogue's scenes; and the pixels."""
+    px = pixels.pairs(spark, sf_dir)
+    s = px.select("scene_id").distinct()
+    requests = s.selectExpr(
+        "concat('a', scene_id) as analysis_id", "70.0D as min_lon", "if(scene_id % 5 = 4, 69.0D, 70.5D) as max_lon", "18.0D as min_lat", "18.25D as max_lat", "date'2024-01-01' as before_date", "date'2024-05-01' as after_date",
+        "(30 + scene_id % 4 * 20) / 100.0D as change_threshold", "if(scene_id % 7 = 6, 'loose', 'strict') as scl_policy", "10.0D as pixel_resolution_m",
+    )
+    roles = F.explode(F.when(F.col("scene_id") % 5 == 3, F.array(F.lit("before"))).otherwise(F.array(F.lit("before"), F.lit("after")))).alias("role")
+    scenes = s.select("scene_id", roles).selectExpr("concat('a', scene_id) as analysis_id", "role", "concat(role, '-', scene_id) as item_id", "date'2024-01-03' as acquired", "scene_id / 4.0D as cloud_cover_percent", "'EPSG:32643' as crs")
+    return requests, scenes, px.withColumn("scene_id", F.concat(F.lit("a"), F.col("scene_id").cast("string")))
+
+
+LEDGER = f"""
+asked AS (SELECT DISTINCT scene_id, 'a' || scene_id AS analysis_id, (30 + scene_id % 4 * 20) / 100.0::DOUBLE AS threshold, concat_ws('; ', CASE WHEN scene_id % 5 = 4 THEN 'min_lon must be less than max_lon' END, CASE WHEN scene_id % 7 = 6 THEN 'unknown scl_policy' END) AS problems FROM px),
+states AS (SELECT *, CASE WHEN problems <> '' THEN 'failed' WHEN scene_id % 5 = 3 THEN 'no_data' ELSE 'complete' END AS status, CASE WHEN problems <> '' THEN 'refused: ' || problems WHEN scene_id % 5 = 3 THEN 'observations are missing' END AS error FROM asked),
+found AS (SELECT scene_id, count(*) AS total_pixels, count(*) FILTER (valid AND change_prob > threshold) AS changed_pixels FROM scored JOIN asked USING (scene_id) GROUP BY scene_id)"""
+
+
+@query(with_(PIXELS, SCORED, LEDGER) + """SELECT analysis_id, status, error, 70.0::DOUBLE AS min_lon, CASE WHEN done THEN 'before-' || scene_id || ',after-' || scene_id END AS observations, CASE WHEN done THEN 20 ELSE 0 END AS features, CASE WHEN done THEN 3 ELSE 0 END AS artifacts,
+CASE WHEN done THEN total_pixels END AS total_pixels, CASE WHEN done THEN changed_pixels END AS changed_pixels, CASE WHEN done THEN round(changed_pixels / 100.0::DOUBLE, 4) END AS changed_area_ha, CASE WHEN done THEN threshold END AS threshold FROM (SELECT *, status = 'complete' AS done FROM states LEFT JOIN found USING (scene_id))""")
+def analysed_requests(spark, sf_dir):
+    """Requests are created as runs, analysed, finished, and read back as documents: each has its row, refused ones too."""
+    import datetime as dt
+
+    from pixelweft.operators import ledger
+    from pixelweft.plans.prepared import _folder
+
+    requests, scenes, px = _scene_requests(spark, sf_dir)
+    folder, now = _folder(spark, "ledger"), dt.datetime(2024, 6, 1)
+    ledger.create_runs(requests.select("analysis_id", F.lit(now).alias("created_at"), F.struct("before_date", "after_date", "change_threshold").alias("parameters")), folder)
+    ledger.finish_runs(analysis.analyse(requests, scenes, px, finished_at=now), folder)
+    x = ledger.documents({name: ledger.read(spark, folder, name) for name in ledger.SCHEMAS})
+    n = lambda c: F.when(F.col(c).isNotNull(), F.size(c)).otherwise(0)
+    items = F.array_join(F.transform(F.sort_array("observations", asc=False), lambda o: o["item_id"]), ",")
+    return x.select("analysis_id", "status", "error", "aoi.min_lon", F.when(F.col("observations").isNotNull(), items).alias("observations"), n("features").alias("features"), n("artifacts").alias("artifacts"), "change.total_pixels", "change.changed_pixels", "change.changed_area_ha", "change.threshold")
+
+
+# --- documents
+
+
+def _grids_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pixels.order_pixels(spark, sf_dir).select("scene_id").distinct().selectExpr("scene_id", "'EPSG:32643' as crs", "10.0D as a", "0.0D as b", "500000.0D as c", "0.0D as d", "-10.0D as e", "2000000.0D as f", "100 as width", "15 as height")
+
+
+_files = "string_agg(output, ',' ORDER BY output) AS outputs"
+
+
+@query(with_(PIXELS) + f"""SELECT scene_id, 'EPSG:32643' AS crs, 100 AS width, {ratio('count(*) FILTER (valid)', 'count(*)')} AS shared, count(*) FILTER (NOT valid) AS masked_pixels, count(*) FILTER (scl_after IN (8, 9)) AS after_cloud_pixels, round(avg(ndvi_diff), 6) AS ndvi_mean, round(median(ndvi_diff), 6) AS ndvi_median,
+count(*) FILTER (ndvi_diff <= -0.2) AS loss_02_pixels, 8 AS checks, 'after,before,ndvi_difference,scl_after,scl_before' AS outputs, true AS hashed FROM px GROUP BY scene_id""")
+def pair_documents(spark, sf_dir):
+    """Documents of prepared pairs, with the records of the files that hold their layers."""
+    from pixelweft.operators import documents
+    from pixelweft.plans.prepared import _folder
+
+    px = pixels.pairs(spark, sf_dir)
+    seen = px.select("scene_id").distinct().select("scene_id", F.explode(F.array(F.lit("before"), F.lit("after"))).alias("role"))
+    folder = _folder(spark, "pair")
+    sinks.document(documents.pair_documents(px, _grids_of(spark, sf_dir), seen, folder), f"{folder}/metadata")
+    x = spark.read.json(f"{folder}/metadata")
+    report = F.filter("cloud_mask.reports", lambda r: r["role"] == "after")[0]
+    whole = F.forall("outputs", lambda o: (F.length(o["sha256"]) == 64) & (o["bytes"] > 0))
+    return x.select(
+        F.col("scene_id").cast("long").alias("scene_id"), "grid.crs", F.col("grid.width").cast("int").alias("width"), F.col("nodata_policy.shared_valid_fraction").alias("shared"), "cloud_mask.masked_pixels", report["cloud_pixels"].alias("after_cloud_pixels"),
+        F.col("ndvi.difference.mean").alias("ndvi_mean"), F.col("ndvi.difference.median").alias("ndvi_median"), "ndvi.change_areas.loss_02_pixels", F.size("validation").alias("checks"), F.array_join(F.array_distinct(F.transform("outputs", lambda o: o["output"])), ",").alias("outputs"), whole.alias("hashed"),
+    )
+
+
+@query(with_(PIXELS, SCORED, BATCH) + f"SELECT scene_id, 'spectral' AS model, 0.7::DOUBLE AS threshold, '15,100' AS shape, count(*) FILTER (m = 1) AS change_pixels, {ratio('count(*) FILTER (m = 1)', 'count(*) FILTER (m <> 255)')} AS change_fraction, 1 AS outputs FROM m GROUP BY scene_id")
+def inference_documents(spark, sf_dir):
+    """Documents of a batch inference."""
+    from pixelweft.operators import documents
+    from pixelweft.plans.prepared import _folder
+
+    folder = _folder(spark, "inference")
+    scored, _ = analysis.infer(pixels.pairs(spark, sf_dir), threshold=0.7)
+    sinks.document(documents.inference_documents(scored, _grids_of(spark, sf_dir), folder, 0.7, "spectral"), f"{folder}/summary")
+    x = spark.read.json(f"{folder}/summary")
+    return x.select(F.col("scene_id").cast("long").alias("scene_id"), "model", "threshold", F.array_join(F.col("shape").cast("array<string>"), ",").alias("shape"), "statistics.change_pixels", "statistics.change_fraction", F.size("outputs").alias("outputs"))
+
+
+@query(with_(DERIVED, "best AS (SELECT *, c % 40 AS area, CASE WHEN k % 2 = 0 THEN 'before' ELSE 'after' END AS r, (k * 37) % 101 AS cloud FROM o QUALIFY row_number() OVER (PARTITION BY c % 40, k % 2 ORDER BY CASE WHEN k % 7 = 3 THEN 0 ELSE 1 END, (k * 37) % 101, 'S' || k) = 1)") + """
+SELECT area AS aoi, max(CASE r WHEN 'before' THEN 'S' || k END) AS before_item, max(CASE r WHEN 'after' THEN 'S' || k END) AS after_item, max(CASE r WHEN 'before' THEN CAST(cloud AS DOUBLE) END) AS before_cloud, max(CASE r WHEN 'after' THEN CAST(d AS VARCHAR) END) AS after_date,
+  CAST(10 + any_value(area) AS INTEGER) AS width, 'B02,B03' AS bands, CAST(max(CASE r WHEN 'after' THEN area + 1 END) AS BIGINT) AS after_min FROM best GROUP BY area""")
+def acquisition_documents(spark, sf_dir):
+    """Documents of the scenes that a catalogue search settled on, for both dates of each area."""
+    from pixelweft.operators import catalog, documents
+
+    chosen = catalog.pick(derived.scenes(spark, sf_dir), ["aoi", "role"], F.lit("T3"))
+    places = chosen.select("aoi", "role")
+    found = places.select("aoi", "role", F.explode(F.array(F.lit("B02"), F.lit("B03"))).alias("band")).withColumn("min_dn", F.col("aoi") + F.when(F.col("role") == "after", 1).otherwise(0))
+    windows = places.select("aoi", "role", F.lit(5).alias("row0"), F.lit(9).alias("row1"), F.lit(3).alias("col0"), (F.col("aoi") + 13).cast("int").alias("col1"))
+    x = documents.acquisition_documents(chosen, found, windows)
+    return x.select("aoi", F.col("before.item_id").alias("before_item"), F.col("after.item_id").alias("after_item"), F.col("before.cloud_cover_percent").alias("before_cloud"), F.col("after.acquisition_date").cast("string").alias("after_date"), "before.window.width", F.array_join("after.bands.band", ",").alias("bands"), F.col("after.bands")[0]["min_dn"].cast("long").alias("after_min"))
+
+
+@query(with_(PIXELS, SCORED, THREE, f"rows AS (SELECT *, {_ratios} FROM counts)", f"sums AS (SELECT {_sums}, count(*) AS n FROM counts)") + f"SELECT 'derived' AS name, n AS sample_count, 0.5::DOUBLE AS threshold, tp, {ratio('tp', 'tp + fp + fn')} AS iou, (SELECT min(iou) FROM rows) AS min_iou, (SELECT round(avg(f1), 6) FROM rows) AS mean_f1, (SELECT max(iou) FROM rows) AS max_iou FROM sums")
+def evaluation_documents(spark, sf_dir):
+    """The document of an evaluation."""
+    from pixelweft.operators import documents
+    from pixelweft.plans.prepared import _folder
+
+    path = _folder(spark, "evaluation")
+    sinks.document(documents.evaluation_document(evaluation.evaluate(*_three(spark, sf_dir)), "derived", "test", 0.5, "spectral"), path)
+    return spark.read.json(path).select("dataset.name", "dataset.sample_count", "threshold", "metrics.tp", "metrics.iou", "samples.min_iou", "samples.mean_f1", "samples.max_iou")
+
+
+@query(with_(PIXELS, READINGS) + f"""SELECT scene_id, role, 'I' || scene_id AS item_id, 100 AS width, 15 AS height, 'B02,B03,B04,B08' AS bands, round(avg(nullif(dn, 0) / 10000.0::DOUBLE) FILTER (band = 'B04'), 6) AS red_mean, role = 'before' AS class_band,
+CASE role WHEN 'before' THEN (SELECT round(count(*) FILTER (b.scl_before = 0) / count(*)::DOUBLE, 6) FROM base b WHERE b.scene_id = readings.scene_id) ELSE 1.0::DOUBLE END AS class_no_data FROM readings GROUP BY scene_id, role""")
+def observation_documents(spark, sf_dir):
+    """Observations with provenance (one JSON document each, of several lines) and dimensions; the after date has no class band."""
+    from pixelweft.operators import documents
+    from pixelweft.plans.prepared import _folder
+    from pixelweft.sources import readers
+
+    px = pixels.order_pixels(spark, sf_dir)
+    readings = pixels.long(px).withColumn("x", S.reflectance(S.clean_dn("dn"))).select("scene_id", "role", "band", "row", "col", "x")
+    scl = px.select("scene_id", F.lit("before").alias("role"), F.lit("SCL").alias("band"), "row", "col", F.col("scl_before").cast("double").alias("x"))
+    grids = _grids_of(spark, sf_dir)
+    meta = grids.withColumn("role", F.explode(F.array(F.lit("before"), F.lit("after")))).withColumn("band", F.explode(F.array(*(F.lit(b) for b in ("B02", "B03", "B04", "B08")))))
+    folder = _folder(spark, "provenance")
+    text = F.format_string('{\n  "scene_id": %d,\n  "role": "%s",\n  "item_id": "I%d",\n  "cloud_cover_percent": %d\n}\n', "scene_id", "role", "scene_id", F.col("scene_id") % 40)
+    both = grids.select("scene_id", F.explode(F.array(F.lit("before"), F.lit("after"))).alias("role"))
+    both.select("scene_id", "role", text.alias("value")).repartition("scene_id", "role").write.partitionBy("scene_id", "role").text(folder)  # a file for each
+    given = readers.provenance(spark, f"{folder}/*/*", "scene_id long, role string, item_id string, acquisition_date date, mgrs_tile string, cloud_cover_percent double")
+    x = documents.observation_summary(readings.unionByName(scl), meta, given)
+    red = F.filter("bands", lambda b: b["band"] == "B04")[0]["mean"]
+    return x.select("scene_id", "role", "provenance.item_id", "grid.width", "grid.height", F.array_join("bands.band", ",").alias("bands"), red.alias("red_mean"), "class_band", F.round("class_no_data_fraction", 6).alias("class_no_data"))
