@@ -25,9 +25,8 @@ from pixelweft.llm.common import durable
 
 #: Vectors that the forest is built on at most, its trees, vectors of the sample in a leaf, leaves that a search takes.
 SAMPLE, TREES, LEAF, PROBES = 40_000, 16, 1024, 56
-#: Vectors, and queries, that meet in one group, about.
-GROUP = 4096
-SLACK = 4
+#: Vectors, and queries, that meet in one group, about; pairs whose scores are worked out at a time.
+GROUP, PAIRS = 4096, 1 << 16
 
 
 class Tree:
@@ -99,8 +98,9 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
 
 
-def lifted(x: np.ndarray, top: float, query: bool = False) -> np.ndarray:
-    """One more component turns the largest inner product into the nearest direction."""
+def lifted(x: np.ndarray, peak: float, top: float, query: bool = False) -> np.ndarray:
+    """One more component turns the largest inner product into the nearest direction. ``peak`` is the largest component of all, so that squares neither vanish nor overflow; ``top`` the largest sum of squares of such shares."""
+    x = x / peak
     more = np.zeros(len(x)) if query else np.sqrt(np.maximum(0, top - (x * x).sum(1)))
     return np.concatenate([x, more[:, None]], 1).astype(np.float32)
 
@@ -108,10 +108,32 @@ def lifted(x: np.ndarray, top: float, query: bool = False) -> np.ndarray:
 def valid_vectors(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     """Rows (vec_id, e, k0, k1) that take part: no null, zero or non-finite component, and of the most frequent length."""
     e = F.col(embedding).cast("array<double>")
-    sums = F.aggregate(e, F.lit(0.0), lambda s, v: s + F.when(v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")), F.lit(float("nan"))).otherwise(v * v))
-    rows = vectors.select(F.col(vec_id).alias("vec_id"), F.col(embedding).alias("e"), sums.alias("s")).where("vec_id is not null and e is not null and not isnan(s) and s > 0")
+    whole = F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(e, lambda v: v != 0)
+    rows = vectors.select(F.col(vec_id).alias("vec_id"), F.col(embedding).alias("e"), whole.alias("ok")).where("vec_id is not null and ok")
     common = rows.groupBy(F.size("e").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.where(F.size("e") == (common["n"] if common else 0)).select("vec_id", "e", "s", F.xxhash64("e").alias("k0"), F.xxhash64(F.lit(1), "e").alias("k1"))
+    peak = F.array_max(F.transform(F.col("e").cast("array<double>"), lambda v: F.abs(v)))
+    return rows.where(F.size("e") == (common["n"] if common else 0)).select("vec_id", "e", peak.alias("peak"), F.xxhash64("e").alias("k0"), F.xxhash64(F.lit(1), "e").alias("k1"))
+
+
+def best_pairs(a: np.ndarray, b: np.ndarray, least: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of ``a``, row of ``b``, score): for each row of ``a`` its ``m`` largest inner products, ties to the smaller ``least``. However many are equal, these are the right ones."""
+    found = []
+    m = min(m, len(b))
+    size = np.sqrt((b * b).sum(1)).max()
+    step = max(1, PAIRS // len(b))
+    for first in range(0, len(a), step):
+        part = a[first : first + step]
+        rough = part @ b.T
+        edge = np.partition(rough, len(b) - m, axis=1)[:, len(b) - m]
+        # what rounding could lift over the edge stays in
+        slack = 1e-12 * b.shape[1] * np.sqrt((part * part).sum(1)) * size
+        i, j = np.nonzero(~(rough < (edge - slack)[:, None]))
+        score = np.concatenate([np.multiply(part[i[k : k + PAIRS]], b[j[k : k + PAIRS]]).sum(1) for k in range(0, len(i), PAIRS)])
+        order = np.lexsort((least[j], -score, i))
+        i, j, score = i[order], j[order], score[order]
+        place = np.arange(len(i)) - np.searchsorted(i, i)
+        found.append((i[place < m] + first, j[place < m], score[place < m]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def nearest(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", sample: int = SAMPLE, trees: int = TREES, leaf: int = LEAF, probes: int = PROBES, seed: int = 11) -> DataFrame:
@@ -120,7 +142,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", e
 
     Candidates are all rows but those with the query's own id; ties go to the smaller vec_id. Vectors
     that are null, zero, of another length than most, or hold null or non-finite components take no
-    part, nor do rows without an id. A row that is there twice counts once. With fewer candidates than
+    part, nor do rows without an id; components of any size do. A row that is there twice counts once. With fewer candidates than
     ``k`` all are returned; an empty table gives an empty result.
     """
     spark = vectors.sparkSession
@@ -129,21 +151,24 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", e
     by_id = Window.partitionBy("k0", "k1").orderBy("vec_id")
     kept = ids.withColumn("at", F.row_number().over(by_id)).where(F.col("at") <= k + 1).groupBy("k0", "k1").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     kept = durable(kept, "smallest_ids")
-    distinct = rows.groupBy("k0", "k1").agg(F.min("e").alias("e"), F.min("vec_id").alias("least"), F.max("s").alias("s"), F.max(is_query).alias("asks"))
+    distinct = rows.groupBy("k0", "k1").agg(F.min("e").alias("e"), F.min("vec_id").alias("least"), F.max("peak").alias("peak"), F.max(is_query).alias("asks"))
     distinct = durable(distinct, "distinct_vectors")
 
-    facts = distinct.agg(F.count("*").alias("n"), F.max("s").alias("top"), F.sum(F.col("asks").cast("int")).alias("q")).first()
-    n, top, q = facts["n"], facts["top"], facts["q"] or 0
+    facts = distinct.agg(F.count("*").alias("n"), F.max("peak").alias("peak"), F.sum(F.col("asks").cast("int")).alias("q")).first()
+    n, peak, q = facts["n"], facts["peak"], facts["q"] or 0
+    if n and q:
+        share = F.aggregate(F.col("e").cast("array<double>"), F.lit(0.0), lambda s, v: s + (v / peak) * (v / peak))
+        top = distinct.agg(F.max(share)).first()[0]
     if not n or not q:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     part = distinct if n <= sample else distinct.where(F.pmod("k0", F.lit(1 << 30)) < int(sample / n * (1 << 30)))
-    drawn = lifted(_matrix(part.orderBy("k0", "k1").select("e").limit(sample).toArrow()["e"]), top)
+    drawn = lifted(_matrix(part.orderBy("k0", "k1").select("e").limit(sample).toArrow()["e"]), peak, top)
     rng = np.random.default_rng(seed)
     forest = [Tree(drawn, leaf, rng) for _ in range(trees)]
 
     def index(batches):
         for b in batches:
-            x = lifted(_matrix(b.column("e")), top)
+            x = lifted(_matrix(b.column("e")), peak, top)
             for t, tree in enumerate(forest):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(tree.leaf_of(x)), *(b.column(c) for c in ("k0", "k1", "least", "e"))], ["tree", "leaf", "k0", "k1", "least", "e"])
 
@@ -157,7 +182,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", e
 
     def ask(batches):
         for b in batches:
-            x = lifted(_matrix(b.column("e")), top, query=True)
+            x = lifted(_matrix(b.column("e")), peak, top, query=True)
             at, tree, leaf_, block = [], [], [], []
             for i in range(len(x)):
                 for t, one in search(forest, sizes, x[i], probes, 4 * (k + 1)):
@@ -175,11 +200,8 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", e
         if not len(left) or not len(right):
             return pd.DataFrame({c: pd.Series([], dtype="float64" if c == "score" else "int64") for c in names})
         a, b = np.stack(left["e"].to_numpy()).astype(np.float64), np.stack(right["e"].to_numpy()).astype(np.float64)
-        m = min(len(b), k + 1 + SLACK)
-        rough = a @ b.T
-        best = np.argpartition(-rough, m - 1, axis=1)[:, :m]
-        i, j = np.repeat(np.arange(len(a)), m), best.ravel()
-        score = np.multiply(a[i], b[j]).sum(1)
+        # as many distinct vectors as can be in an answer, besides the query's own
+        i, j, score = best_pairs(a, b, right["least"].to_numpy(), k + 1)
         return pd.DataFrame(dict(zip(names, (left["k0"].to_numpy()[i], left["k1"].to_numpy()[i], right["k0"].to_numpy()[j], right["k1"].to_numpy()[j], right["least"].to_numpy()[j], score), strict=True)))
 
     group = ["tree", "leaf", "block", "part"]

@@ -20,6 +20,7 @@ def tokenizer_file(name: str) -> bytes:
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of each document. Null and empty texts have fingerprint zero and are linked like any other."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -40,11 +41,13 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found for each twentieth vector, by inner product; ties to the smaller vec_id. Vectors that are null, zero or not finite take no part."""
     found = ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
     return found.select("query_id", "rank", "vec_id", "score")
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of each document, from its text alone. Null texts score like empty ones; documents without an id are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     machine = quality.fit(docs, table(spark, sf_dir, "labels"))
     scored = quality.score(docs, machine, keep=["doc_id"])
@@ -52,23 +55,27 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight shards of nearly equal bytes. A null text has size 1 and the checksum of nothing; repeated rows are placed each for itself."""
     placed = sharding.histogram_shards(table(spark, sf_dir, "documents"), shards=8)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each whole text, as the library counts them. A null text has none."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     counted = token_counts.token_counts(docs, tokenizer_file("piece_bpe_32k.model"), keep=["doc_id", "n_bytes"])
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document that lie in a benchmark window, and the items. Null texts have no words and are clean; items without words or id have no windows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
 def bpe_digest(docs: DataFrame) -> DataFrame:
+    """Counts and digests of the ids and of the decoded text of each row of ``docs`` (doc_id, text). Null texts are empty."""
     spec = tokenizer_file("byte_bpe_50k.json").decode()
     encoded = bpe.encode(docs, spec, keep=["doc_id"])
     encoded = encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), "ids")
@@ -77,6 +84,7 @@ def bpe_digest(docs: DataFrame) -> DataFrame:
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text encoded and decoded again, by digests. Null texts are empty; repeated rows are encoded each for itself."""
     return bpe_digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 

@@ -49,3 +49,25 @@ def test_awkward_vectors(spark):
     few = ann.nearest(v.where("vec_id in (0, 1, 100)"), F.col("vec_id") % 20 == 0).toPandas()
     assert len(few) == 4
     assert ann.nearest(v.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_many_ties(spark):
+    """All vectors of eight components +1 or -1, ids in random order: nearly all scores are shared by many, and the smaller ids are the answer."""
+    rng = np.random.default_rng(4)
+    x = np.array([[1.0 if i >> b & 1 else -1.0 for b in range(8)] for i in range(256)])
+    ids = rng.permutation(256)
+    v = spark.createDataFrame([(int(i), [float(f) for f in r]) for i, r in zip(ids, x, strict=True)], "vec_id long, embedding array<float>")
+    got = ann.nearest(v, F.col("vec_id") % 20 == 0).toPandas()
+    want = exact(ids, x, [int(np.flatnonzero(ids == q)[0]) for q in range(0, 256, 20)])
+    assert {q: list(g.sort_values("rank").vec_id) for q, g in got.groupby("query_id")} == {int(q): w for q, w in want.items()}
+
+
+def test_tiny_and_huge_components(spark):
+    """Squares that vanish or overflow don't drop a vector."""
+    rows = [(0, [1e-170, 0.0]), (1, [2e-170, 0.0]), (2, [0.0, 1e-300]), (3, [-1e-170, 1e-170])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.nearest(v, F.col("vec_id") == 0).toPandas()
+    assert sorted(got.vec_id) == [1, 2, 3]
+    big = spark.createDataFrame([(i, [1e160 * (1 + i % 7), 1e-200 * i, 3.0]) for i in range(300)], "vec_id long, embedding array<double>")
+    got = ann.nearest(big, F.col("vec_id") % 20 == 0, trees=4, leaf=16, probes=400).toPandas()
+    assert got.groupby("query_id").size().eq(20).all() and np.isfinite(got[["rank", "vec_id"]]).all().all()
