@@ -72,7 +72,7 @@ def first_mask(files: DataFrame, patterns: list[str]) -> DataFrame:
 def with_target(pixels: DataFrame, masks: DataFrame, keys: list[str]) -> DataFrame:
     """target and annotated: a region without a mask has target 0 everywhere, and is told apart."""
     have = masks.select("region").distinct().withColumn("annotated", F.lit(True))
-    x = pixels.join(masks.select(*keys, S.annotation("value").alias("target")), keys, "left").join(have.hint("merge"), "region", "left")
+    x = pixels.join(masks.select(*keys, S.annotation("value").alias("target")).hint("merge"), keys, "left").join(have.hint("merge"), "region", "left")
     return x.withColumn("target", F.coalesce("target", F.lit(0))).withColumn("annotated", F.coalesce("annotated", F.lit(False)))
 
 

@@ -280,3 +280,41 @@ def observation_documents(spark, sf_dir):
     x = documents.observation_summary(readings.unionByName(scl), meta, given)
     red = F.filter("bands", lambda b: b["band"] == "B04")[0]["mean"]
     return x.select("scene_id", "role", "provenance.item_id", "grid.width", "grid.height", F.array_join("bands.band", ",").alias("bands"), red.alias("red_mean"), "class_band", F.round("class_no_data_fraction", 6).alias("class_no_data"))
+
+
+# --- labelled regions from an index of files
+
+#: Regions are scenes; odd ones have the names of their files in lower case and a near infrared of half the resolution, every third has other folders, every fourth no mask.
+REGIONS = """
+half AS (SELECT scene_id, row // 2 AS row, col // 2 AS col, avg(dn_b_b08) AS b, avg(dn_a_b08) AS a FROM base WHERE row < 14 GROUP BY scene_id, row // 2, col // 2),
+taps AS (SELECT t.scene_id, t.row, t.col, sum(h.b * w) / sum(w) AS b, sum(h.a * w) / sum(w) AS a FROM (
+    SELECT scene_id, row, col, r AS hr, q AS hc, (1 - abs(r - (row / 2.0::DOUBLE - 0.25::DOUBLE))) * (1 - abs(q - (col / 2.0::DOUBLE - 0.25::DOUBLE))) AS w FROM base,
+      LATERAL (VALUES (CAST(floor(row / 2.0 - 0.25) AS BIGINT)), (CAST(floor(row / 2.0 - 0.25) AS BIGINT) + 1)) x(r), LATERAL (VALUES (CAST(floor(col / 2.0 - 0.25) AS BIGINT)), (CAST(floor(col / 2.0 - 0.25) AS BIGINT) + 1)) y(q)) t
+  JOIN half h ON h.scene_id = t.scene_id AND h.row = hr AND h.col = hc WHERE t.row < 14 GROUP BY t.scene_id, t.row, t.col)"""
+
+
+@query(with_(PIXELS, REGIONS) + """SELECT 'R' || scene_id AS region, row, col, dn_b_b02::DOUBLE AS before_b02, dn_a_b04::DOUBLE AS after_b04,
+  round(CASE WHEN scene_id % 2 = 0 THEN dn_b_b08 ELSE CASE WHEN row < 14 THEN taps.b END END::DOUBLE, 6) AS before_b08, round(CASE WHEN scene_id % 2 = 0 THEN dn_a_b08 ELSE CASE WHEN row < 14 THEN taps.a END END::DOUBLE, 6) AS after_b08,
+  CASE WHEN scene_id % 4 <> 0 THEN target ELSE 0 END AS target, scene_id % 4 <> 0 AS annotated FROM base LEFT JOIN taps USING (scene_id, row, col) WHERE scene_id % 5 <> 4""")
+def labelled_regions(spark, sf_dir):
+    """The regions of the training split, loaded from an index of files: names in any case, the first mask, 20 m bands on the 10 m grid."""
+    from pixelweft.sources import labelled
+
+    px = pixels.order_pixels(spark, sf_dir)
+    odd = F.col("scene_id") % 2 == 1
+    folders = lambda n: F.when(F.col("scene_id") % 3 == 0, f"imgs_{n}").otherwise(f"imgs_{n}_rect")
+    file = lambda b: F.when(odd, f"{b.lower()}.tif").otherwise(f"{b}.TIF")
+    name = F.concat(F.lit("R"), F.col("scene_id").cast("string")).alias("region")
+    parts = [F.struct(folders(n).alias("folder"), file(b).alias("filename"), F.col(f"dn_{r}_{b.lower()}").cast("double").alias("value")) for n, r in ((1, "b"), (2, "a")) for b in ("B02", "B03", "B04")]
+    nir = [F.struct(folders(n).alias("folder"), file("B08").alias("filename"), F.col(f"dn_{r}_b08").cast("double").alias("value")) for n, r in ((1, "b"), (2, "a"))]
+    mask = [F.struct(F.lit("cm").alias("folder"), F.lit("CM.png").alias("filename"), (F.col("target") * 255.0).alias("value"))]
+    rows = lambda x, structs: x.select(name, "scene_id", "row", "col", F.explode(F.array(*structs)).alias("p")).select("region", "scene_id", "p.folder", "p.filename", "row", "col", "p.value")
+    half = px.where(odd & (F.col("row") < 14)).groupBy("scene_id", F.expr("row div 2").alias("row"), F.expr("col div 2").alias("col")).agg(F.avg("dn_b_b08").alias("dn_b_b08"), F.avg("dn_a_b08").alias("dn_a_b08"))
+    found = rows(px, parts).unionByName(rows(px.where(~odd), nir)).unionByName(rows(half, nir)).unionByName(rows(px.where("scene_id % 4 != 0"), mask))
+    files = found.select("region", "scene_id", "folder", "filename").distinct()
+    coarse = odd & (F.lower("filename") == "b08.tif")
+    grids = files.select("region", "folder", "filename", F.when(coarse, 20.0).otherwise(10.0).alias("a"), F.lit(500000.0).alias("c"), F.when(coarse, -20.0).otherwise(-10.0).alias("e"), F.lit(2000000.0).alias("f"), F.when(coarse, 50).otherwise(100).alias("width"), F.when(coarse, 7).otherwise(15).alias("height"))
+    splits = files.select("region", "scene_id").distinct().select(F.when(F.col("scene_id") % 5 == 4, "test").otherwise("train").alias("split"), F.lower("region").alias("region")).unionByName(spark.createDataFrame([("test", "none")], "split string, region string"))
+    x = labelled.load(files.drop("scene_id"), found.drop("scene_id"), grids, splits, "train")
+    r6 = lambda c: F.round(F.col(c) * 10000, 6).alias(c)  # noqa: E731  (as readings again: their decimals end)
+    return x.select("region", "row", "col", *(r6(c) for c in ("before_b02", "after_b04", "before_b08", "after_b08")), "target", "annotated")

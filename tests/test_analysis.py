@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pixelweft.operators import analysis, change, features, ledger, priority
+from pixelweft.sources import labelled
 from tests.test_operators import block_pixels
 
 
@@ -119,3 +120,42 @@ def test_rows_of_a_crashed_finish_are_not_seen(spark, tmp_path, monkeypatch):
     assert ledger.read(spark, folder, "observations").count() == 0 and ledger.read(spark, folder, "runs").first()["status"] == "running"
     ledger.finish_runs(_results(spark, ["a"]), folder)
     assert ledger.read(spark, folder, "observations").count() == 1
+
+
+def test_labelled_regions(spark):
+    """Names in any case, a 20 m band, a missing mask; refused splits; missing files."""
+    n, rows, grids = 8, [], []
+
+    def raster(region, folder, filename, base, size=10.0):
+        m = int(n * 10 / size)
+        grids.append((region, folder, filename, size, 0.0, -size, 0.0, m, m))
+        rows.extend((region, folder, filename, r, c, float(base + 3 * r + 7 * c)) for r in range(m) for c in range(m))
+
+    for region, case, nir in (("alpha", str.lower, 10.0), ("Beta", str.upper, 20.0), ("gamma", str, 10.0)):
+        for folder, extra in (("imgs_1_rect", 0), ("imgs_2_rect", 100)):
+            for band, base in (("B02", 300), ("B03", 400), ("B04", 500)):
+                raster(region, folder, case(f"{band}.tif"), base + extra)
+            raster(region, folder, case("B08.tif"), 3000 + extra, nir)
+        raster(region, "imgs_1", "B02.tif", 9000)  # the other pair of folders is not whole
+    rows += [(r, "cm", "cm.PNG", i, j, 255.0 if 2 <= i < 4 and 2 <= j < 4 else 0.0) for r in ("alpha", "Beta") for i in range(n) for j in range(n)]
+    rows += [("alpha", "target/cm", "cm.png", i, j, 255.0 if i == 0 else 0.0) for i in range(n) for j in range(n)]  # comes before the other
+    px = spark.createDataFrame(rows, "region string, folder string, filename string, row int, col int, value double")
+    g = spark.createDataFrame(grids, "region string, folder string, filename string, a double, c double, e double, f double, width int, height int")
+    files = px.select("region", "folder", "filename").distinct()
+    splits = spark.createDataFrame([("train", "ALPHA"), ("train", "beta"), ("test", " gamma ")], "split string, region string")
+    got = {(r["region"], r["row"], r["col"]): r for r in labelled.load(files, px, g, splits, "train").collect()}
+    assert {k[0] for k in got} == {"alpha", "Beta"} and len(got) == 2 * n * n
+    assert got["alpha", 2, 3]["before_b02"] == pytest.approx(0.0327) and got["alpha", 2, 3]["after_b08"] == pytest.approx((3100 + 6 + 21) / 1e4)
+    assert got["Beta", 4, 4]["before_b08"] == pytest.approx((3000 + 10 * 1.75) / 1e4) and got["Beta", 7, 7]["before_b08"] is not None
+    assert sum(r["target"] for k, r in got.items() if k[0] == "alpha") == n and sum(r["target"] for k, r in got.items() if k[0] == "Beta") == 4
+    held = labelled.load(files, px, g, splits, "test").agg(F.sum("target").alias("t"), F.bool_or("annotated").alias("a"), F.count("*").alias("n")).first()
+    assert (held["t"], held["a"], held["n"]) == (0, False, n * n)
+    row = lambda *x: spark.createDataFrame(list(x), "split string, region string")
+    with pytest.raises(ValueError, match="splits without regions: test"):
+        labelled.checked_splits(row(("train", "a"), ("test", " ")))
+    with pytest.raises(ValueError, match="more than one split: a"):
+        labelled.checked_splits(row(("train", "A"), ("test", "a"), ("test", "b")))
+    with pytest.raises(ValueError, match="not there: delta"):
+        labelled.load(files, px, g, row(("train", "delta"), ("test", "alpha")), "train")
+    with pytest.raises(ValueError, match="gamma/after/B08"):
+        labelled.load(files.where("not (region = 'gamma' and folder = 'imgs_2_rect' and filename = 'B08.tif')"), px, g)
