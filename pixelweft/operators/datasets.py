@@ -85,20 +85,22 @@ def rgb_as_bands(rgb: DataFrame, keys: list[str], nir: bool = True) -> DataFrame
     return rgb.select(*keys, *cols, F.lit(flags).alias("channel_availability"))
 
 
-def crop(pixels: DataFrame, sizes: DataFrame, patch: int, seed: int = 42, key: str = "sample") -> DataFrame:
-    """A patch of each sample at an offset that seed and sample give; samples smaller than the patch go."""
+def crop(pixels: DataFrame, sizes: DataFrame, patch: int, seed: int = 42, key: str = "sample", offsets: tuple[Column, Column] | None = None) -> DataFrame:
+    """A patch of each sample at an offset that seed and sample give, or at ``offsets`` (row and column, of the sizes); samples smaller than the patch go."""
     s = sizes.where((F.col("height") >= patch) & (F.col("width") >= patch))
     at = lambda salt, size: F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), F.col(key)), F.col(size) - patch + 1)
-    s = s.select(key, at("r", "height").alias("_r0"), at("c", "width").alias("_c0"))
+    r0, c0 = offsets or (at("r", "height"), at("c", "width"))
+    s = s.select(key, r0.alias("_r0"), c0.alias("_c0"))
     x = pixels.join(s.hint("merge"), key).where(F.col("row").between(F.col("_r0"), F.col("_r0") + patch - 1) & F.col("col").between(F.col("_c0"), F.col("_c0") + patch - 1))
     return x.withColumn("row", (F.col("row") - F.col("_r0")).cast("int")).withColumn("col", (F.col("col") - F.col("_c0")).cast("int")).drop("_r0", "_c0")
 
 
-def flip(pixels: DataFrame, patch: int, seed: int = 42, key: str = "sample") -> DataFrame:
-    """Horizontal and vertical flips, each for about half of the samples, as seed and sample give."""
+def flip(pixels: DataFrame, patch: int, seed: int = 42, key: str = "sample", flips: tuple[Column, Column] | None = None) -> DataFrame:
+    """Horizontal and vertical flips, each for about half of the samples, as seed and sample give; or where ``flips`` (horizontal, vertical) say so."""
     bit = lambda salt: F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), F.col(key)), F.lit(2)) == 1
     back = lambda c, b: F.when(b, patch - 1 - F.col(c)).otherwise(F.col(c)).cast("int")
-    return pixels.withColumns({"col": back("col", bit("h")), "row": back("row", bit("v"))})
+    h, v = flips or (bit("h"), bit("v"))
+    return pixels.withColumns({"col": back("col", h), "row": back("row", v)})
 
 
 def concatenated(primary: DataFrame, secondary: DataFrame, names: tuple[str, str] = ("primary", "secondary")) -> DataFrame:
@@ -116,7 +118,9 @@ def summary(fractions: DataFrame, by: list[str]) -> DataFrame:
 
 
 def sample_problems(samples: DataFrame, key: str = "sample") -> DataFrame:
-    """Per sample: both dates and the mask cover the same cells, values are finite and within [0, 1]."""
+    """Per sample: both dates and the mask cover the same cells, values are finite and within [0, 1].
+
+    A date covers a cell if all its bands do; the mask, if it has a target. A sample's cells are the rows that it has, one for each cell of either date."""
     from pixelweft.operators.change import INPUTS
     from pixelweft.operators.validate import stacked
 
@@ -124,7 +128,7 @@ def sample_problems(samples: DataFrame, key: str = "sample") -> DataFrame:
     inside = F.lit(True)
     for c in INPUTS:
         inside = inside & F.coalesce(F.col(c).between(0, 1), F.lit(True))
-    per = {"same_shape": F.bool_and(there("b") == there("a")), "mask_matches": F.bool_and(F.col("target").isNotNull()), "in_range": F.bool_and(inside)}
+    per = {"same_shape": F.bool_and(there("b") == there("a")), "mask_matches": F.bool_and(F.col("target").isNotNull() == (there("b") | there("a"))), "in_range": F.bool_and(inside)}
     return stacked(samples.groupBy(key).agg(*(c.alias(n) for n, c in per.items())), [key], {n: F.col(n) for n in per})
 
 

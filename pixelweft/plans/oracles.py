@@ -226,8 +226,8 @@ def derived_oracles() -> dict[str, str]:
         "missing_bands": with_(PIXELS) + "SELECT DISTINCT scene_id, 'after' AS role, 'B08' AS band FROM base WHERE scene_id % 3 = 1",
         "request_checks": w + f"SELECT analysis_id, len(p) = 0 AS accepted, array_to_string(p, '; ') AS problems FROM (SELECT analysis_id, list_filter([{texts}], lambda x: x IS NOT NULL) AS p FROM requests)",
         "scene_search": w + "SELECT item_id, cloud_cover_percent, tile FROM scenes WHERE ts BETWEEN TIMESTAMP '1994-01-01' AND TIMESTAMP '1997-12-31' AND cloud_cover_percent < 40 AND k % 9 <> 0 AND x0 <= 40 AND x0 + 10 >= 20 AND y0 <= 30 AND y0 + 10 >= 10",
-        "scene_pick": w + """, b AS (SELECT * FROM scenes WHERE role = 'before' AND cloud_cover_percent < 60 QUALIFY row_number() OVER (PARTITION BY aoi ORDER BY tile <> 'T3', cloud_cover_percent, item_id) = 1),
-          a AS (SELECT s.* FROM scenes s JOIN b USING (aoi) WHERE s.role = 'after' AND s.cloud_cover_percent < 60 QUALIFY row_number() OVER (PARTITION BY s.aoi ORDER BY s.tile <> b.tile, s.cloud_cover_percent, s.item_id) = 1)
+        "scene_pick": w + """, b AS (SELECT * FROM scenes WHERE role = 'before' QUALIFY row_number() OVER (PARTITION BY aoi ORDER BY tile <> 'T3', cloud_cover_percent, item_id) = 1),
+          a AS (SELECT s.* FROM scenes s JOIN b USING (aoi) WHERE s.role = 'after' QUALIFY row_number() OVER (PARTITION BY s.aoi ORDER BY s.tile <> b.tile, s.cloud_cover_percent, s.item_id) = 1)
           SELECT aoi, role, item_id, tile, cloud_cover_percent FROM b UNION ALL SELECT aoi, role, item_id, tile, cloud_cover_percent FROM a""",
         "common_grid": with_(PIXELS) + """, s AS (SELECT DISTINCT scene_id FROM base), g AS (SELECT scene_id, greatest(500000 + 10 * (scene_id % 7), 500050) AS x0, least(501000 + 10 * (scene_id % 7), 501050) AS x1, least(2000000, 1999970 - 3 * (scene_id % 5)) AS y1, greatest(1999850, 1999820 - 3 * (scene_id % 5)) AS y0 FROM s),
           q AS (SELECT scene_id, floor(x0 / 10.0) * 10 AS x0, ceil(x1 / 10.0) * 10 AS x1, floor(y0 / 10.0) * 10 AS y0, ceil(y1 / 10.0) * 10 AS y1 FROM g)

@@ -66,26 +66,37 @@ def first_masks(spark, sf_dir):
     return datasets.first_mask(files, ["cm.*png$", "label", "mask"])
 
 
-@query(P + "SELECT DISTINCT scene_id, 1 AS offsets, true AS inside FROM base")
+@query(P + "SELECT scene_id, CAST(row - scene_id * 31 % 8 AS INTEGER) AS row, CAST(col - scene_id * 77 % 93 AS INTEGER) AS col, k FROM base WHERE row - scene_id * 31 % 8 BETWEEN 0 AND 7 AND col - scene_id * 77 % 93 BETWEEN 0 AND 7")
 def sample_crops(spark, sf_dir):
-    """Each sample's patch is cut at one offset and lies within its size."""
-    px = pixels.order_pixels(spark, sf_dir).selectExpr("scene_id", "row", "col", "row as row0", "col as col0")
+    """A patch of 8 by 8 of each scene, at a place that depends on the scene."""
+    px = pixels.order_pixels(spark, sf_dir).select("scene_id", "row", "col", "k")
     sizes = px.select("scene_id").distinct().selectExpr("scene_id", "15 as height", "100 as width")
-    x = datasets.crop(px, sizes, 15, key="scene_id")
-    at = F.struct(F.col("row0") - F.col("row"), F.col("col0") - F.col("col"))
-    return x.groupBy("scene_id").agg(F.count_distinct(at).cast("int").alias("offsets"), F.bool_and(F.col("row").between(0, 14) & F.col("col").between(0, 14)).alias("inside"))
+    return datasets.crop(px, sizes, 8, key="scene_id", offsets=(F.expr("scene_id * 31 % 8"), F.expr("scene_id * 77 % 93")))
+
+
+@query(P + "SELECT scene_id, CAST(CASE WHEN scene_id % 3 = 1 THEN 99 - row ELSE row END AS INTEGER) AS row, CAST(CASE WHEN scene_id % 2 = 1 THEN 99 - col ELSE col END AS INTEGER) AS col, k FROM base")
+def sample_flips(spark, sf_dir):
+    """Scenes with odd numbers are flipped left to right, every third upside down."""
+    px = pixels.order_pixels(spark, sf_dir).select("scene_id", "row", "col", "k")
+    return datasets.flip(px, 100, key="scene_id", flips=(F.expr("scene_id % 2 = 1"), F.expr("scene_id % 3 = 1")))
 
 
 @query(P + "SELECT scene_id, row, col, dn_b_b04 FROM base")
 def flipped_twice(spark, sf_dir):
-    """A flip is its own inverse."""
+    """A flip is its own inverse, whatever the seed makes of it."""
     px = pixels.order_pixels(spark, sf_dir).select("scene_id", "row", "col", "dn_b_b04")
     return datasets.flip(datasets.flip(px, 100, key="scene_id"), 100, key="scene_id")
 
 
-@query(P + "SELECT scene_id, c AS \"check\", passed FROM (SELECT scene_id, bool_and((b_b02 IS NOT NULL) = (a_b02 IS NOT NULL)) AS s FROM px GROUP BY scene_id), LATERAL (VALUES ('same_shape', s), ('mask_matches', true), ('in_range', true)) v(c, passed)")
+#: Every second scene has a target too few, every third a value above 1.
+FAULTY = "faulty AS (SELECT scene_id, CASE WHEN scene_id % 2 = 1 AND row = 3 AND col = 7 THEN NULL ELSE target END AS target, b_b02 IS NOT NULL AND b_b03 IS NOT NULL AND b_b04 IS NOT NULL AND b_b08 IS NOT NULL AS b, a_b02 IS NOT NULL AND a_b03 IS NOT NULL AND a_b04 IS NOT NULL AND a_b08 IS NOT NULL AS a, greatest(b_b02, b_b03, b_b04, b_b08, a_b02, a_b03, a_b04, a_b08, CASE WHEN scene_id % 3 = 1 AND row = 5 AND col = 50 THEN 1.5 END) <= 1 AS inside FROM px)"
+
+
+@query(with_(PIXELS, FAULTY) + "SELECT scene_id, c AS \"check\", passed FROM (SELECT scene_id, bool_and(a = b) AS s, bool_and((target IS NOT NULL) = (a OR b)) AS m, bool_and(coalesce(inside, true)) AS r FROM faulty GROUP BY scene_id), LATERAL (VALUES ('same_shape', s), ('mask_matches', m), ('in_range', r)) v(c, passed)")
 def sample_problems(spark, sf_dir):
-    return datasets.sample_problems(pixels.pairs(spark, sf_dir), "scene_id")
+    px = pixels.pairs(spark, sf_dir)
+    px = px.withColumn("target", F.when(F.expr("scene_id % 2 = 1 and row = 3 and col = 7"), None).otherwise(F.col("target"))).withColumn("a_b03", F.when(F.expr("scene_id % 3 = 1 and row = 5 and col = 50"), 1.5).otherwise(F.col("a_b03")))
+    return datasets.sample_problems(px, "scene_id")
 
 
 @query(P + "SELECT scene_id, row, col, CAST(greatest(0, least(255, round_even((k % 601 - 20) / 2.0::DOUBLE, 0))) AS INTEGER) AS scl FROM base")
@@ -252,12 +263,15 @@ def prepared_pairs(spark, sf_dir):
     return found.select("scene_id", "row", "col", "valid_before", "valid_after", F.round("ndvi_diff", 9).alias("ndvi_diff"))
 
 
-_means = " AND ".join(f"avg(coalesce({r}_{b}, 0)) > 0" for r in "ba" for b in ("b02", "b03", "b04", "b08"))
+#: Every second scene has a value above 1, every third no near infrared after.
+_bands = [f"{r}_{b}" for r in "ba" for b in ("b02", "b03", "b04", "b08")]
+INPUT = "input AS (SELECT scene_id, " + ", ".join(f"coalesce({'CASE WHEN scene_id % 2 = 1 AND col = 9 THEN 1.25 ELSE b_b03 END' if c == 'b_b03' else 'CASE WHEN scene_id % 3 <> 1 THEN a_b08 END' if c == 'a_b08' else c}, 0) AS {c}" for c in _bands) + " FROM px)"
 
 
-@query(P + f"""SELECT scene_id, c AS "check", passed FROM (SELECT scene_id, {_means} AS m FROM px GROUP BY scene_id), LATERAL (VALUES ('no_nulls', true), ('in_range', true), ('mean_positive', m)) v(c, passed)""")
+@query(with_(PIXELS, INPUT) + f"""SELECT scene_id, c AS "check", passed FROM (SELECT scene_id, bool_and({" AND ".join(f"{c} IS NOT NULL" for c in _bands)}) AS n, bool_and({" AND ".join(f"{c} BETWEEN 0 AND 1" for c in _bands)}) AS r, {" AND ".join(f"avg({c}) > 0" for c in _bands)} AS m FROM input GROUP BY scene_id), LATERAL (VALUES ('no_nulls', n), ('in_range', r), ('mean_positive', m)) v(c, passed)""")
 def model_input_checks(spark, sf_dir):
-    return validate.model_input_checks(pixels.pairs(spark, sf_dir))
+    px = pixels.pairs(spark, sf_dir).withColumns({"b_b03": F.when(F.expr("scene_id % 2 = 1 and col = 9"), 1.25).otherwise(F.col("b_b03")), "a_b08": F.when(F.expr("scene_id % 3 != 1"), F.col("a_b08"))})
+    return validate.model_input_checks(px)
 
 
 @query(with_(PIXELS, RUNS, recursive=True) + "SELECT scene_id, string_agg(CAST(pixels AS VARCHAR), ',' ORDER BY pixels DESC) AS sizes FROM sizes GROUP BY scene_id")
@@ -292,10 +306,10 @@ def stored_ndvi(spark, sf_dir):
     return spark.read.parquet(path).select(F.col("scene_id").cast("long").alias("scene_id"), "row", "col", F.round(F.col("ndvi_diff").cast("double"), 5).alias("ndvi_diff"))
 
 
-@query(P + "SELECT scene_id, row, col, CAST(CASE WHEN ndvi_diff IS NULL THEN 255 WHEN abs(ndvi_diff) > 0.2::DOUBLE THEN 1 ELSE 0 END AS INTEGER) AS change_mask FROM px WHERE ndvi_diff IS NULL OR abs(abs(ndvi_diff) - 0.2::DOUBLE) > 1e-9")
+@query(P + "SELECT scene_id, row, col, CAST(CASE WHEN ndvi_diff IS NULL THEN 255 WHEN abs(ndvi_diff) > 0.2::DOUBLE THEN 1 ELSE 0 END AS INTEGER) AS change_mask FROM px")
 def stored_change(spark, sf_dir):
     path = _folder(spark, "change")
-    px = change.with_mask(change.spectral_score(pixels.pairs(spark, sf_dir).where("ndvi_diff is null or abs(abs(ndvi_diff) - 0.2D) > 1e-9")))
+    px = change.with_mask(change.spectral_score(pixels.pairs(spark, sf_dir)))
     sinks.change_layers(px, path)
     return spark.read.parquet(path).select(F.col("scene_id").cast("long").alias("scene_id"), "row", "col", F.col("change_mask").cast("int").alias("change_mask"))
 
@@ -341,15 +355,15 @@ def stored_documents(spark, sf_dir):
     return x.select("analysis_id", F.round("parameters.min_lon", 1).alias("min_lon"), F.col("parameters.scl_policy").alias("policy"))
 
 
-@query("SELECT 1 AS files, count(*) + 9 AS bytes, true AS same FROM nation")
+@query("SELECT CAST(c_nationkey AS VARCHAR) AS folder, CAST(sum(octet_length(encode(c_name)) + 1) AS BIGINT) AS bytes, sha256(string_agg(c_name || chr(10), '' ORDER BY c_name)) AS sha256 FROM customer GROUP BY c_nationkey")
 def file_records(spark, sf_dir):
-    """A file of one line for each nation: its size, and whether its digest is that of its text."""
+    """A file of the customers of each nation: its size and digest."""
     path = _folder(spark, "files")
-    n = pixels.table(spark, sf_dir, "nation").count()
-    text = "x" * (n + 8)
-    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
-    x = sinks.file_records(spark, path).where("path like '%.txt'")
-    return x.agg(F.count("*").cast("int").alias("files"), F.sum("bytes").alias("bytes"), F.bool_and(F.col("sha256") == F.sha2(F.lit(text + "\n"), 256)).alias("same"))
+    x = pixels.table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), F.col("c_name").alias("value"))
+    # a nation's lines lie in one partition, and so in one file
+    x.repartition("nation").sortWithinPartitions("nation", "value").write.partitionBy("nation").text(path)
+    found = sinks.file_records(spark, path).where("path like '%.txt'")
+    return found.select(F.regexp_extract("path", "/nation=([^/]+)/", 1).alias("folder"), "bytes", "sha256")
 
 
 # --- models and explanations
@@ -381,7 +395,7 @@ def stored_model(spark, sf_dir):
 
 def _attributed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attributions of every feature to three classes, from integer arithmetic."""
-    o = derived.orders(spark, sf_dir).where("k % 5 = 0")
+    o = derived.orders(spark, sf_dir)
     names = F.array(*(F.struct(F.lit(j).alias("j"), F.lit(n).alias("feature")) for j, n in enumerate(FEATURE_NAMES)))
     x = o.select("k", (F.col("k") % 3).cast("int").alias("predicted_int"), F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("class_int")).select("*", F.explode(names).alias("p")).select("k", "predicted_int", "class_int", "p.*")
     return x.withColumn("shap_value", ((F.col("k") * 31 + F.col("j") * 17 + F.col("class_int") * 5) % 211 - 105) / 1000.0).withColumn("feature_value", F.col("j").cast("double"))
@@ -389,7 +403,7 @@ def _attributed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _names = ", ".join(f"({j}, '{n}', '{d}')" for j, (n, d) in enumerate(FEATURE_DESCRIPTIONS.items()))
 ATTRIBUTED = f"""attributed AS (SELECT k, k % 3 AS predicted_int, class_int, j, feature, description, ((k * 31 + j * 17 + class_int * 5) % 211 - 105) / 1000.0::DOUBLE AS v
-  FROM o CROSS JOIN (VALUES (0), (1), (2)) c(class_int) CROSS JOIN (VALUES {_names}) f(j, feature, description) WHERE k % 5 = 0)"""
+  FROM o CROSS JOIN (VALUES (0), (1), (2)) c(class_int) CROSS JOIN (VALUES {_names}) f(j, feature, description))"""
 _own = "SELECT k, CAST(row_number() OVER (PARTITION BY k ORDER BY {by}, feature) AS INTEGER) AS rank, feature, CAST(j AS DOUBLE) AS feature_value, v AS shap_value, CASE WHEN v >= 0 THEN 'increases' ELSE 'decreases' END AS direction, description FROM attributed WHERE class_int = predicted_int AND {test} QUALIFY rank <= 4"
 
 
@@ -426,7 +440,7 @@ def insights(spark, sf_dir):
 
 
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = derived.orders(spark, sf_dir).where("k % 4 = 0")
+    o = derived.orders(spark, sf_dir)
     summary = ", ".join(f"'{n}', cast(k % {j + 2} as double)" for j, n in enumerate(SUMMARY) if n != "feature_vector_length")
     return o.selectExpr(
         "concat('run-', k) as analysis_id", "if(k % 5 = 0, 'failed', 'complete') as status", "ts + interval 1 hour as finished_at", "if(k % 5 = 0, 'broken', null) as error",
@@ -439,7 +453,7 @@ def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-L = with_(DERIVED, "done AS (SELECT *, 'run-' || k AS analysis_id FROM o WHERE k % 4 = 0 AND k % 5 <> 0)", "given AS (SELECT *, 'run-' || k AS analysis_id, 70 + (k % 50) / 10.0::DOUBLE AS x0, 18 + (k % 30) / 10.0::DOUBLE AS y0 FROM o WHERE k % 4 = 0)")
+L = with_(DERIVED, "done AS (SELECT *, 'run-' || k AS analysis_id FROM o WHERE k % 5 <> 0)", "given AS (SELECT *, 'run-' || k AS analysis_id, 70 + (k % 50) / 10.0::DOUBLE AS x0, 18 + (k % 30) / 10.0::DOUBLE AS y0 FROM o)")
 
 
 def _ledger_query(name: str, sql: str, columns: list[str]) -> None:

@@ -224,7 +224,7 @@ def scene_search(spark, sf_dir):
 
 @query
 def scene_pick(spark, sf_dir):
-    found = catalog.pick_pair(derived.scenes(spark, sf_dir).where("cloud_cover_percent < 60"), ["aoi"], F.lit("T3"))
+    found = catalog.pick_pair(derived.scenes(spark, sf_dir), ["aoi"], F.lit("T3"))
     return found.select("aoi", "role", "item_id", "tile", "cloud_cover_percent")
 
 

@@ -11,6 +11,7 @@ from pixelweft.plans import derived
 from pixelweft.plans.oracles import DERIVED, PIXELS, READINGS, SCORED, ratio, with_
 from pixelweft.plans.prepared import query
 from pixelweft.sources import pixels, sinks
+from pixelweft.storage import durable
 
 _ratios = f"{ratio('tp', 'tp + fp')} AS precision, {ratio('tp', 'tp + fn')} AS recall, {ratio('2 * tp', '2 * tp + fp + fn')} AS f1, {ratio('tp', 'tp + fp + fn')} AS iou, {ratio('tp + tn', 'tp + fp + fn + tn')} AS accuracy"
 
@@ -311,7 +312,8 @@ def labelled_regions(spark, sf_dir):
     rows = lambda x, structs: x.select(name, "scene_id", "row", "col", F.explode(F.array(*structs)).alias("p")).select("region", "scene_id", "p.folder", "p.filename", "row", "col", "p.value")
     half = px.where(odd & (F.col("row") < 14)).groupBy("scene_id", F.expr("row div 2").alias("row"), F.expr("col div 2").alias("col")).agg(F.avg("dn_b_b08").alias("dn_b_b08"), F.avg("dn_a_b08").alias("dn_a_b08"))
     found = rows(px, parts).unionByName(rows(px.where(~odd), nir)).unionByName(rows(half, nir)).unionByName(rows(px.where("scene_id % 4 != 0"), mask))
-    files = found.select("region", "scene_id", "folder", "filename").distinct()
+    found = durable(found, "labelled_pixels")  # what the files of an archive would hold
+    files = durable(found.select("region", "scene_id", "folder", "filename").distinct(), "labelled_files")
     coarse = odd & (F.lower("filename") == "b08.tif")
     grids = files.select("region", "folder", "filename", F.when(coarse, 20.0).otherwise(10.0).alias("a"), F.lit(500000.0).alias("c"), F.when(coarse, -20.0).otherwise(-10.0).alias("e"), F.lit(2000000.0).alias("f"), F.when(coarse, 50).otherwise(100).alias("width"), F.when(coarse, 7).otherwise(15).alias("height"))
     splits = files.select("region", "scene_id").distinct().select(F.when(F.col("scene_id") % 5 == 4, "test").otherwise("train").alias("split"), F.lower("region").alias("region")).unionByName(spark.createDataFrame([("test", "none")], "split string, region string"))
