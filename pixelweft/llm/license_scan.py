@@ -1,8 +1,8 @@
 """Licence scan, with DataFrame functions only.
 
-Every line and every paragraph of a text is a possible header, and a whole text a possible licence file; they are
-compared with templates by the cosine of sparse TF-IDF vectors. Files without a header of their own
-inherit the licence of the nearest directory above them that holds a licence file, by joins on
+Every line and every paragraph of a text is a possible header, and a whole text a possible licence file, known by its
+title or by its body; they are compared with templates by the cosine of sparse TF-IDF vectors. Files without a title
+or header of their own inherit the licence of the nearest directory above them that holds a licence file, by joins on
 directory paths.
 """
 
@@ -14,7 +14,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelweft.llm.common import durable, row_key, table
+from pixelweft.llm.common import durable, table
+from pixelweft.llm.line_dedup import row_keys
 
 # Public notices, header paragraphs and licence texts.
 _PERMISSION = (
@@ -46,8 +47,8 @@ _ISC_AS_IS = (
     "PERFORMANCE OF THIS SOFTWARE."
 )
 _GPL = (
-    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version. "
-    "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."
+    "This {0} is free software: you can redistribute it and/or modify it under the terms of the {1} as published by the Free Software Foundation, either version {2} of the License, or (at your option) any later version. "
+    "This {0} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {1} for more details."
 )
 _APACHE = (
     "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 "
@@ -56,7 +57,9 @@ _APACHE = (
 )
 _MPL = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
 
-#: Licence and notice: what a line or a paragraph of a file is compared with. A whole text is compared with these too.
+_GNU, _LESSER, _AFFERO = "GNU General Public License", "GNU Lesser General Public License", "GNU Affero General Public License"
+
+#: Licence and notice: what a line or a paragraph of a file is compared with, and a whole text of one paragraph.
 TEMPLATES: list[tuple[str, str]] = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("MIT", "Released under the MIT License"),
@@ -73,8 +76,11 @@ TEMPLATES: list[tuple[str, str]] = [
     ("Proprietary", "All rights reserved"),
     ("MIT", _PERMISSION),
     ("Apache-2.0", _APACHE),
-    ("GPL-3.0", _GPL.format(3)),
-    ("GPL-2.0", _GPL.format(2)),
+    ("GPL-3.0", _GPL.format("program", _GNU, 3)),
+    ("GPL-2.0", _GPL.format("program", _GNU, 2)),
+    ("LGPL-3.0", _GPL.format("library", _LESSER, 3)),
+    ("LGPL-2.1", _GPL.format("library", _LESSER, 2.1)),
+    ("AGPL-3.0", _GPL.format("program", _AFFERO, 3)),
     ("MPL-2.0", _MPL),
     ("ISC", _ISC),
     *((x, f"SPDX-License-Identifier: {x}") for x in ("Apache-2.0", "MIT", "GPL-3.0-only", "GPL-2.0-only", "LGPL-2.1-only", "BSD-3-Clause", "BSD-2-Clause", "MPL-2.0", "ISC", "CC0-1.0")),
@@ -86,7 +92,34 @@ FILE_TEMPLATES: list[tuple[str, str]] = [
     ("BSD-3-Clause", f"BSD 3-Clause License Copyright (c) All rights reserved. {_BSD_START} {_BSD_TWO} {_BSD_THIRD} {_BSD_AS_IS}"),
     ("ISC", f"ISC License Copyright (c) {_ISC} {_ISC_AS_IS}"),
 ]
-SIMILARITY = 0.6
+#: Licence and title, which is what a licence file begins with: fixed values.
+TITLES: list[tuple[str, str]] = [
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("GPL-1.0", "GNU GENERAL PUBLIC LICENSE Version 1, February 1989"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-2.0", "GNU LIBRARY GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("GFDL-1.2", "GNU Free Documentation License Version 1.2, November 2002"),
+    ("GFDL-1.3", "GNU Free Documentation License Version 1.3, 3 November 2008"),
+    ("MPL-1.1", "Mozilla Public License Version 1.1"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("EPL-2.0", "Eclipse Public License - v 2.0"),
+    ("CC0-1.0", "CC0 1.0 Universal"),
+    ("CC-BY-4.0", "Attribution 4.0 International"),
+    ("CC-BY-SA-4.0", "Attribution-ShareAlike 4.0 International"),
+    ("CC-BY-NC-4.0", "Attribution-NonCommercial 4.0 International"),
+    ("MIT", "MIT License"),
+    ("ISC", "ISC License"),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+]
+#: Least cosines of headers, of titles and of bodies.
+SIMILARITY, TITLE_SIMILARITY, FILE_SIMILARITY = 0.6, 0.8, 0.85
+#: A title is one of the first paragraphs of a file (those with words), so many, and has at most so many characters.
+TITLE_PLACES, TITLE_LENGTH = 2, 400
 WORD = "[^a-z0-9]+"
 #: What stands between paragraphs: a line that is blank.
 PARAGRAPH = "\n[ \\t\\r]*\n"
@@ -129,68 +162,87 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), WORD), lambda w: w != "")
 
 
-def scan(files: DataFrame, path: str, text: str, templates: list[tuple[str, str]] | None = None, similarity: float = SIMILARITY, file_templates: list[tuple[str, str]] | None = None) -> DataFrame:
+def scan(
+    files: DataFrame, path: str, text: str, templates: list[tuple[str, str]] | None = None, similarity: float = SIMILARITY, file_templates: list[tuple[str, str]] | None = None,
+    titles: list[tuple[str, str]] | None = None, title_similarity: float = TITLE_SIMILARITY, file_similarity: float = FILE_SIMILARITY,
+) -> DataFrame:
     """Rows (row, path, header, header_score, file_licence, file_score, licence, basis, inherited_from) for
-    each row.
+    each row; ``row`` is a pair of hashes of path and text.
 
-    header is the licence of the line or paragraph that is most similar to a template, file_licence that of the whole text, to a template or file template, where the
-    cosine is at least ``similarity``; ties go to the first template. licence is the header, else that of
-    the nearest licence file in the file's directory or one above it (basis 'inherited'), else null
+    header is the licence of the line or paragraph that is most similar to a template, where the cosine is at least ``similarity``. file_licence is that of a licence
+    file: of the title, one of its first two paragraphs with words that has at most 400 characters, where one is at least ``title_similarity`` to a template of titles;
+    else of the whole text, where it is at least ``file_similarity`` to a file template, or, if it is one paragraph, to a template. Ties go to the first template. licence is that
+    of a title or file template (basis 'file'), else the header (basis 'header'), else that of the nearest licence file in the file's directory or one above it (basis 'inherited'), else null
     (basis 'none'). Among the licence files of a directory the most similar decides, then the first
     path. Document frequencies of all words are counted over all files. Null texts have no words; a null
-    path is in no directory.
+    path is in no directory. Rows that repeat both path and text are all returned, with the same result. An empty table gives an empty result. Other columns are not looked at.
     """
     spark = files.sparkSession
-    headers = len(TEMPLATES if templates is None else templates)
-    templates = [*(TEMPLATES if templates is None else templates), *((FILE_TEMPLATES if templates is None else []) if file_templates is None else file_templates)]
-    rows = files.select(F.col(path).alias("path"), F.col(text).alias("text")).withColumn("row", row_key("path", "text"))
+    own = templates is None
+    kinds = {
+        "notice": (TEMPLATES if own else templates, similarity),
+        "body": ((FILE_TEMPLATES if own else []) if file_templates is None else file_templates, file_similarity),
+        "title": ((TITLES if own else []) if titles is None else titles, title_similarity),
+    }
+    rows = files.select(F.col(path).alias("path"), F.col(text).alias("text")).withColumn("row", F.struct(*row_keys("path", "text")))
 
-    vocabulary = sorted({w for _, t in templates for w in template_words(t)})
+    vocabulary = sorted({w for known, _ in kinds.values() for _, t in known for w in template_words(t)})
     terms = F.array_append(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), WORD)), F.lit("*"))
     seen = rows.select(F.explode(terms).alias("term")).where("term != ''")
     frequencies = durable(seen.groupBy("term").agg(F.count("*").alias("df")), "document_frequencies")
     df = {r["term"]: r["df"] for r in frequencies.where(F.col("term").isin([*vocabulary, "*"])).collect()}  # a row for each template word
     n_docs = df.pop("*", 0)
-    weights = vectors(templates, df, n_docs)
+    weights = {kind: vectors(known, df, n_docs) for kind, (known, _) in kinds.items()}
 
-    marked = F.lower("text").rlike(f"(?:^|[^a-z0-9])(?:{'|'.join(markers(weights, similarity))})(?:[^a-z0-9]|$)")
+    needed = sorted({m for kind, (_, least) in kinds.items() for m in markers(weights[kind], least)})
+    marked = F.lower("text").rlike(f"(?:^|[^a-z0-9])(?:{'|'.join(needed)})(?:[^a-z0-9]|$)")
     hits = durable(rows.where(marked).dropDuplicates(["row"]), "marked_files")
-    lines = hits.select("row", F.posexplode(F.split("text", "\n")).alias("unit", "text")).where(marked)
+    paragraphs = F.split("text", PARAGRAPH)
+    lines = hits.select("row", F.lit("part").alias("kind"), F.posexplode(F.split("text", "\n")).alias("unit", "text"))
     # paragraphs of one line are lines
-    whole = hits.select("row", F.posexplode(F.split("text", PARAGRAPH)).alias("unit", "text")).where(F.col("text").contains("\n")).where(marked)
-    units = lines.unionByName(whole.withColumn("unit", -2 - F.col("unit"))).unionByName(hits.select("row", F.lit(-1).alias("unit"), "text"))
-    counts = units.select("row", "unit", F.explode(tokens(F.col("text"))).alias("term")).groupBy("row", "unit", "term").agg(F.count("*").alias("tf"))
+    several = hits.select("row", F.lit("part").alias("kind"), F.posexplode(paragraphs).alias("unit", "text")).where(F.col("text").contains("\n"))
+    heads = F.slice(F.filter(paragraphs, lambda p: F.lower(p).rlike("[a-z0-9]")), 1, TITLE_PLACES)
+    heads = hits.select("row", F.lit("title").alias("kind"), F.posexplode(heads).alias("unit", "text")).where(F.length("text") <= TITLE_LENGTH)
+    whole = hits.select("row", F.when(F.col("text").rlike(PARAGRAPH), "whole").otherwise("only").alias("kind"), F.lit(0).alias("unit"), "text")
+    units = lines.unionByName(several.withColumn("unit", -1 - F.col("unit"))).unionByName(heads).where(marked).unionByName(whole)
+    by = ["row", "kind", "unit"]
+    counts = units.select(*by, F.explode(tokens(F.col("text"))).alias("term")).groupBy(*by, "term").agg(F.count("*").alias("tf"))
     idfs = frequencies.select("term", (F.log((1 + F.lit(n_docs)) / (1 + F.col("df"))) + 1).alias("idf"))
-    weighed = counts.join(idfs.hint("merge"), "term").select("row", "unit", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    weighed = counts.join(idfs.hint("merge"), "term").select(*by, "term", (F.col("tf") * F.col("idf")).alias("w"))
     weighed = durable(weighed, "file_terms")
 
-    norms = weighed.groupBy("row", "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    table_ = spark.createDataFrame([(i, lic, t, x) for i, lic, w in weights for t, x in w.items()], "template int, licence string, term string, x double")
+    norms = weighed.groupBy(*by).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    table_ = spark.createDataFrame([(kind, i, lic, t, x) for kind, known in weights.items() for i, lic, w in known for t, x in w.items()], "of string, template int, licence string, term string, x double")
+    compared = F.expr("(kind = 'part' and of = 'notice') or (kind = 'title' and of = 'title') or (kind in ('whole', 'only') and of = 'body') or (kind = 'only' and of = 'notice')")
     # the templates' words: as many rows as the caller's templates have
-    dots = weighed.join(F.broadcast(table_), "term").groupBy("row", "unit", "template", "licence").agg(F.sum(F.col("w") * F.col("x")).alias("dot"))
-    near = dots.join(norms.hint("merge"), ["row", "unit"]).select("row", "unit", "template", "licence", (F.col("dot") / F.col("norm")).alias("cos")).where(F.col("cos") >= similarity).where((F.col("unit") == -1) | (F.col("template") < headers))
-    first = F.min(F.struct((-F.round("cos", 9)).alias("c"), "template", "licence"))
-    best = near.groupBy("row", (F.col("unit") == -1).alias("whole")).agg(first.alias("b"))
-    found = durable(best.groupBy("row").agg(F.max(F.when(~F.col("whole"), F.col("b"))).alias("h"), F.max(F.when(F.col("whole"), F.col("b"))).alias("f")), "licences")
+    dots = weighed.join(F.broadcast(table_), "term").where(compared).groupBy(*by, "of", "template", "licence").agg(F.sum(F.col("w") * F.col("x")).alias("dot"))
+    least = F.when(F.col("kind") == "part", similarity).when(F.col("kind") == "title", title_similarity).otherwise(file_similarity)
+    near = dots.join(norms.hint("merge"), by).select(*by, "of", "template", "licence", (F.col("dot") / F.col("norm")).alias("cos")).where(F.col("cos") >= least)
+    first = F.struct((-F.round("cos", 9)).alias("c"), "of", "template", "licence")
+    best = lambda *k: F.min(F.when(F.col("kind").isin(*k), first))
+    found = near.groupBy("row").agg(best("part").alias("h"), best("title").alias("t"), best("whole", "only").alias("b"))
+    found = durable(found.select("row", "h", F.coalesce("t", "b").alias("f")), "licences")
 
     directory = F.when(F.col("path").contains("/"), F.regexp_extract("path", "^(.*)/[^/]*$", 1)).otherwise("")
     named = rows.select("row", "path", directory.alias("dir")).join(found.hint("merge"), "row", "left")
-    own = hits.select("row", "path", directory.alias("dir")).join(found.where("f is not null").hint("merge"), "row")
-    of_dir = own.where("dir is not null").groupBy("dir").agg(F.min(F.struct(F.col("f.c"), "path", F.col("f.licence"))).alias("d"))
+    holders = hits.select("row", "path", directory.alias("dir")).join(found.where("f is not null").hint("merge"), "row")
+    of_dir = holders.where("dir is not null").groupBy("dir").agg(F.min(F.struct(F.col("f.c"), "path", F.col("f.licence"))).alias("d"))
     # each directory and those above it, nearest first; all end at the root, ''
     parts = F.split("dir", "/")
     above = F.when(F.col("dir") == "", F.array(F.lit(""))).otherwise(F.transform(F.sequence(F.size(parts), F.lit(0), F.lit(-1)), lambda n: F.array_join(F.slice(parts, 1, n), "/")))
     dirs = rows.select(directory.alias("dir")).where("dir is not null").distinct()
     nearest = dirs.select(F.col("dir").alias("start"), F.posexplode(above).alias("up", "dir")).join(of_dir.hint("merge"), "dir")
     nearest = nearest.groupBy("start").agg(F.min(F.struct("up", "d")).alias("n")).select(F.col("start").alias("dir"), F.col("n.d").alias("d"))
-    placed = named.join(nearest.hint("merge"), "dir", "left")
-    inherits = F.col("h").isNull() & F.col("d").isNotNull()
+    # a table, so that Spark can split a directory with very many files
+    placed = named.join(durable(nearest, "nearest_licences").hint("merge"), "dir", "left")
+    file = F.when(F.col("f.of") != "notice", F.col("f.licence"))
+    inherits = file.isNull() & F.col("h").isNull() & F.col("d").isNotNull()
     return placed.select(
         "row", "path",
         F.col("h.licence").alias("header"), (-F.col("h.c")).alias("header_score"),
         F.col("f.licence").alias("file_licence"), (-F.col("f.c")).alias("file_score"),
-        F.coalesce("h.licence", "d.licence").alias("licence"),
-        F.when(F.col("h").isNotNull(), "header").when(inherits, "inherited").otherwise("none").alias("basis"),
+        F.coalesce(file, "h.licence", "d.licence").alias("licence"),
+        F.when(file.isNotNull(), "file").when(F.col("h").isNotNull(), "header").when(inherits, "inherited").otherwise("none").alias("basis"),
         F.when(inherits, F.col("d.path")).alias("inherited_from"),
     )
 
@@ -206,6 +258,11 @@ def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence of every document, its basis and scores, where documents are laid out as a tree of files.
+
+    A null text has no words and can only inherit; a null id, source or language stands as 'none' in the path; repeated rows are all returned; an
+    empty table gives an empty result.
+    """
     files = document_files(spark, sf_dir)
     found = scan(files, "path", "text")
     ids = F.when(F.element_at(F.split("path", "/"), -1) != "none", F.element_at(F.split("path", "/"), -1)).cast("long")
@@ -217,7 +274,8 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def oracle() -> str:
     quoted = lambda t: t.replace("'", "''")
-    values = ", ".join(f"({i}, '{lic}', '{quoted(t)}')" for i, (lic, t) in enumerate([*TEMPLATES, *FILE_TEMPLATES]))
+    known = [("notice", TEMPLATES), ("body", FILE_TEMPLATES), ("title", TITLES)]
+    values = ", ".join(f"('{of}', {i}, '{lic}', '{quoted(t)}')" for of, templates in known for i, (lic, t) in enumerate(templates))
     return f"""
 WITH files AS (
   SELECT doc_id, coalesce(text, '') AS text,
@@ -225,34 +283,40 @@ WITH files AS (
               ELSE coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/' || CAST(doc_id // 100 AS VARCHAR) END AS dir
   FROM documents),
 f AS (SELECT *, dir || '/' || CAST(doc_id AS VARCHAR) AS path FROM files),
-t AS (SELECT * FROM (VALUES {values}) v(template, licence, notice)),
-tw AS (SELECT template, licence, unnest(regexp_split_to_array(lower(notice), '[^a-z0-9]+')) AS term FROM t),
-tc AS (SELECT template, licence, term, count(*) AS tf FROM tw WHERE term <> '' GROUP BY ALL),
+t AS (SELECT * FROM (VALUES {values}) v(of, template, licence, notice)),
+tw AS (SELECT of, template, licence, unnest(regexp_split_to_array(lower(notice), '[^a-z0-9]+')) AS term FROM t),
+tc AS (SELECT of, template, licence, term, count(*) AS tf FROM tw WHERE term <> '' GROUP BY ALL),
 vocab AS (SELECT DISTINCT term FROM tc),
+paragraphs AS (SELECT doc_id, unnest(range(len(ps))) AS i, unnest(ps) AS p FROM (SELECT doc_id, regexp_split_to_array(text, '\\n[ \\t\\r]*\\n') AS ps FROM f)),
+worded AS (SELECT doc_id, p, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS i FROM paragraphs WHERE regexp_matches(lower(p), '[a-z0-9]')),
 units AS (
-  SELECT doc_id, -1 AS unit, text FROM f
-  UNION ALL SELECT doc_id, -2 - i, p FROM (SELECT doc_id, unnest(range(len(ps))) AS i, unnest(ps) AS p FROM (SELECT doc_id, regexp_split_to_array(text, '\\n[ \\t\\r]*\\n') AS ps FROM f)) WHERE contains(p, chr(10))
-  UNION ALL SELECT doc_id, unnest(range(len(string_split(text, chr(10))))), unnest(string_split(text, chr(10))) FROM f),
-uw AS (SELECT doc_id, unit, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS term FROM units),
-uc AS (SELECT doc_id, unit, term, count(*) AS tf FROM uw WHERE term <> '' GROUP BY ALL),
+  SELECT doc_id, CASE WHEN regexp_matches(text, '\\n[ \\t\\r]*\\n') THEN 'whole' ELSE 'only' END AS kind, 0 AS unit, text FROM f
+  UNION ALL SELECT doc_id, 'title', i, p FROM worded WHERE i <= {TITLE_PLACES} AND length(p) <= {TITLE_LENGTH}
+  UNION ALL SELECT doc_id, 'part', -1 - i, p FROM paragraphs WHERE contains(p, chr(10))
+  UNION ALL SELECT doc_id, 'part', unnest(range(len(string_split(text, chr(10))))), unnest(string_split(text, chr(10))) FROM f),
+uw AS (SELECT doc_id, kind, unit, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS term FROM units),
+uc AS (SELECT doc_id, kind, unit, term, count(*) AS tf FROM uw WHERE term <> '' GROUP BY ALL),
 n AS (SELECT count(*) AS n FROM f),
 idf AS (SELECT term, ln((1 + (SELECT n FROM n)) / (1.0 + count(doc_id))) + 1 AS idf
-        FROM (SELECT term FROM vocab UNION SELECT term FROM uc) LEFT JOIN (SELECT DISTINCT doc_id, term FROM uc WHERE unit = -1) USING (term) GROUP BY term),
-tx AS (SELECT template, licence, term, tf * idf AS x FROM tc JOIN idf USING (term)),
-tn AS (SELECT template, licence, term, x / sqrt(sum(x * x) OVER (PARTITION BY template)) AS x FROM tx),
-ux AS (SELECT doc_id, unit, uc.term, tf * idf AS w FROM uc JOIN idf USING (term)),
-norm AS (SELECT doc_id, unit, sqrt(sum(w * w)) AS norm FROM ux GROUP BY ALL),
-dots AS (SELECT doc_id, unit, template, licence, sum(w * x) AS dot FROM ux JOIN tn USING (term) GROUP BY ALL),
-near AS (SELECT doc_id, unit, template, licence, round(dot / norm, 9) AS c FROM dots JOIN norm USING (doc_id, unit) WHERE dot / norm >= {SIMILARITY} AND (unit = -1 OR template < {len(TEMPLATES)})),
-h AS (SELECT doc_id, licence, c FROM near WHERE unit <> -1 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY c DESC, template) = 1),
-w AS (SELECT doc_id, licence, c FROM near WHERE unit = -1 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY c DESC, template) = 1),
+        FROM (SELECT term FROM vocab UNION SELECT term FROM uc) LEFT JOIN (SELECT DISTINCT doc_id, term FROM uc WHERE kind IN ('whole', 'only')) USING (term) GROUP BY term),
+tx AS (SELECT of, template, licence, term, tf * idf AS x FROM tc JOIN idf USING (term)),
+tn AS (SELECT of, template, licence, term, x / sqrt(sum(x * x) OVER (PARTITION BY of, template)) AS x FROM tx),
+ux AS (SELECT doc_id, kind, unit, uc.term, tf * idf AS w FROM uc JOIN idf USING (term)),
+norm AS (SELECT doc_id, kind, unit, sqrt(sum(w * w)) AS norm FROM ux GROUP BY ALL),
+dots AS (SELECT doc_id, kind, unit, of, template, licence, sum(w * x) AS dot FROM ux JOIN tn USING (term) GROUP BY ALL),
+near AS (SELECT doc_id, kind, of, template, licence, round(dot / norm, 9) AS c FROM dots JOIN norm USING (doc_id, kind, unit)
+         WHERE dot / norm >= CASE kind WHEN 'part' THEN {SIMILARITY} WHEN 'title' THEN {TITLE_SIMILARITY} ELSE {FILE_SIMILARITY} END
+           AND ((kind = 'part' AND of = 'notice') OR (kind = 'title' AND of = 'title') OR (kind IN ('whole', 'only') AND of = 'body') OR (kind = 'only' AND of = 'notice'))),
+h AS (SELECT doc_id, licence, c FROM near WHERE kind = 'part' QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY c DESC, template) = 1),
+w AS (SELECT doc_id, of, licence, c FROM near WHERE kind <> 'part' QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY kind <> 'title', c DESC, of, template) = 1),
+own AS (SELECT doc_id, licence FROM w WHERE of <> 'notice'),
 d AS (SELECT dir, w.licence, path FROM w JOIN f USING (doc_id) QUALIFY row_number() OVER (PARTITION BY dir ORDER BY c DESC, path) = 1),
 dirs AS (SELECT DISTINCT dir AS start FROM f),
 near_dir AS (SELECT start, licence, path FROM dirs JOIN d ON start = d.dir OR starts_with(start, d.dir || '/')
              QUALIFY row_number() OVER (PARTITION BY start ORDER BY length(d.dir) DESC) = 1)
-SELECT f.doc_id, f.path, coalesce(h.licence, nd.licence) AS licence,
-       CASE WHEN h.licence IS NOT NULL THEN 'header' WHEN nd.licence IS NOT NULL THEN 'inherited' ELSE 'none' END AS basis,
+SELECT f.doc_id, f.path, coalesce(own.licence, h.licence, nd.licence) AS licence,
+       CASE WHEN own.licence IS NOT NULL THEN 'file' WHEN h.licence IS NOT NULL THEN 'header' WHEN nd.licence IS NOT NULL THEN 'inherited' ELSE 'none' END AS basis,
        round(h.c, 6) AS header_score, round(w.c, 6) AS file_score,
-       CASE WHEN h.licence IS NULL THEN nd.path END AS inherited_from
-FROM f LEFT JOIN h USING (doc_id) LEFT JOIN w USING (doc_id) LEFT JOIN near_dir nd ON nd.start = f.dir
+       CASE WHEN own.licence IS NULL AND h.licence IS NULL THEN nd.path END AS inherited_from
+FROM f LEFT JOIN own USING (doc_id) LEFT JOIN h USING (doc_id) LEFT JOIN w USING (doc_id) LEFT JOIN near_dir nd ON nd.start = f.dir
 """

@@ -367,6 +367,40 @@ def test_license_files_are_inherited(spark):
     assert got["r/e.py"][:2] == got["top.py"][:2] == got[None][:2] == (None, "none")
 
 
+#: How licence files begin: fixed values. The words after them stand for the body.
+HEADS = {
+    "Apache-2.0": "\n                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n",
+    "GPL-2.0": "                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n",
+    "GPL-3.0": "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n",
+    "LGPL-2.1": "                  GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 2.1, February 1999\n",
+    "LGPL-3.0": "                   GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n",
+    "MPL-2.0": "Mozilla Public License Version 2.0\n==================================\n",
+    "CC0-1.0": "Creative Commons Legal Code\n\nCC0 1.0 Universal\n",
+}
+
+
+@pytest.mark.parametrize("others", [0, 200])
+def test_titles_of_license_files(spark, others):
+    """Each licence file is known by its title, whatever notices its body quotes, with and without other files; a title that isn't at the head is none."""
+    bodies = [(x, f"{head}\n All rights reserved.\n\n{' '.join(f'clause{i} of the licence' for i in range(400))}\n\n{license_scan._GPL.format('program', license_scan._GNU, 2)}\n") for x, head in HEADS.items()]
+    rows = [(f"{x}/LICENSE", t) for x, t in bodies] + [(f"{x}/src/a/b.c", "int main;") for x in HEADS]
+    rows += [("late.txt", "one\n\ntwo\n\n" + HEADS["MPL-2.0"]), ("lib.c", license_scan._GPL.format("library", license_scan._LESSER, 2.1) + "\n\nint x;"), *((f"o/{i}", f"word{i} and the of\n\nmore {i}") for i in range(others))]
+    got = {r["path"]: r for r in license_scan.scan(spark.createDataFrame(rows, "path string, text string"), "path", "text").collect()}
+    assert len(got) == len(rows)
+    for x in HEADS:
+        assert (got[f"{x}/LICENSE"]["licence"], got[f"{x}/LICENSE"]["basis"]) == (x, "file")
+        assert (got[f"{x}/src/a/b.c"]["licence"], got[f"{x}/src/a/b.c"]["inherited_from"]) == (x, f"{x}/LICENSE")
+    assert got["late.txt"]["file_licence"] is None and (got["lib.c"]["licence"], got["lib.c"]["basis"]) == ("LGPL-2.1", "header")
+
+
+def test_license_bodies_come_before_headers(spark):
+    """A body that holds a line like a notice keeps its own licence; rows that repeat are all returned."""
+    bsd = next(t for x, t in license_scan.FILE_TEMPLATES if x == "BSD-3-Clause").replace("All rights reserved.", "\nAll rights reserved.\n\n")
+    f = spark.createDataFrame([("d/L", bsd), ("d/L", bsd), ("d/x", "All rights reserved.\n\nown words")], "path string, text string")
+    got = [(r["path"], r["licence"], r["basis"]) for r in license_scan.scan(f, "path", "text").orderBy("path").collect()]
+    assert got == [("d/L", "BSD-3-Clause", "file")] * 2 + [("d/x", "Proprietary", "header")]
+
+
 def test_packed_words_and_numbers():
     """What is packed is what is unpacked, nothing and long words included."""
     for items in ([], [b""], [b"a", b"", b"x" * 300], [b"\0S<|endoftext|>"] * 3):
