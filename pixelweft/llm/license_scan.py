@@ -144,13 +144,13 @@ def idf(df: int, n_docs: int) -> float:
     return math.log((1 + n_docs) / (1 + df)) + 1
 
 
-def markers(unit_vectors: list[tuple[int, str, dict[str, float]]], similarity: float) -> list[str]:
+def markers(unit_vectors: list[tuple[int, str, dict[str, float]]], similarity: float, df: dict[str, int]) -> list[str]:
     """Words of which a text must hold one to reach the similarity: what is left of each template
-    without its heaviest words weighs less than that."""
+    without them weighs less than that. They are the template's rarest, so that few texts hold one."""
     found = set()
     for _, _, w in unit_vectors:
         rest = 1.0
-        for t, x in sorted(w.items(), key=lambda item: (-item[1], item[0])):
+        for t, x in sorted(w.items(), key=lambda item: (df.get(item[0], 0), -item[1], item[0])):
             if rest < similarity * similarity:
                 break
             found.add(t)
@@ -194,7 +194,7 @@ def scan(
     n_docs = df.pop("*", 0)
     weights = {kind: vectors(known, df, n_docs) for kind, (known, _) in kinds.items()}
 
-    needed = sorted({m for kind, (_, least) in kinds.items() for m in markers(weights[kind], least)})
+    needed = sorted({m for kind, (_, least) in kinds.items() for m in markers(weights[kind], least, df)})
     marked = F.lower("text").rlike(f"(?:^|[^a-z0-9])(?:{'|'.join(needed)})(?:[^a-z0-9]|$)")
     hits = durable(rows.where(marked).dropDuplicates(["row"]), "marked_files")
     paragraphs = F.split("text", PARAGRAPH)

@@ -393,6 +393,14 @@ def test_titles_of_license_files(spark, others):
     assert got["late.txt"]["file_licence"] is None and (got["lib.c"]["licence"], got["lib.c"]["basis"]) == ("LGPL-2.1", "header")
 
 
+def test_license_markers_are_rare():
+    """A template's frequent words mark no text where its rare ones weigh enough, even if they weigh more; without one of the markers the similarity isn't reached."""
+    df = {"the": 900, "software": 2}
+    for _, _, w in license_scan.vectors(license_scan.TEMPLATES, df, 1000):
+        m = license_scan.markers([(0, "", w)], 0.6, df)
+        assert "the" not in m and sum(x * x for t, x in w.items() if t not in m) < 0.36
+
+
 def test_license_bodies_come_before_headers(spark):
     """A body that holds a line like a notice keeps its own licence; rows that repeat are all returned."""
     bsd = next(t for x, t in license_scan.FILE_TEMPLATES if x == "BSD-3-Clause").replace("All rights reserved.", "\nAll rights reserved.\n\n")
