@@ -9,7 +9,7 @@ from pixelweft.functions import spectral as S
 from pixelweft.operators import analysis, change, datasets, evaluation, explain
 from pixelweft.plans import derived
 from pixelweft.plans.oracles import DERIVED, PIXELS, READINGS, SCORED, ratio, with_
-from pixelweft.plans.prepared import query
+from pixelweft.plans.prepared import SHARED, query
 from pixelweft.sources import pixels, sinks
 from pixelweft.storage import durable
 
@@ -221,6 +221,47 @@ def pair_documents(spark, sf_dir):
     )
 
 
+#: Scenes that 3 divides keep their gaps, of which they have too many; every fifth has its after date elsewhere. The gaps of others hold a 1.
+RAW = """
+raw AS (SELECT scene_id, role, band, CASE WHEN scene_id % 3 = 0 THEN dn ELSE greatest(dn, 1) END AS dn FROM readings),
+per_band AS (SELECT scene_id, role, band, count(*) FILTER (dn <> 0) AS usable, count(*) AS n, coalesce(round(stddev_pop(dn) FILTER (dn <> 0), 3) > 0, false) AS varies FROM raw GROUP BY ALL),
+sides AS (SELECT scene_id, 'before' AS role, scl_before AS scl FROM base UNION ALL SELECT scene_id, 'after', scl_after FROM base),
+problems AS (
+  SELECT scene_id, role || ': band_has_variation_' || band AS p FROM per_band WHERE NOT varies
+  UNION ALL SELECT scene_id, role || ': band_values_in_sensor_range_' || band FROM per_band WHERE usable = 0
+  UNION ALL SELECT scene_id, role || ': has_valid_pixels' FROM per_band GROUP BY scene_id, role HAVING min(usable) = 0
+  UNION ALL SELECT scene_id, role || ': mostly_valid_pixels' FROM per_band GROUP BY scene_id, role HAVING min(round(usable / n, 6)) < 0.99
+  UNION ALL SELECT scene_id, role || ': scl_has_usable_pixels' FROM sides GROUP BY scene_id, role HAVING count(*) FILTER (scl IN (4, 5, 6)) = 0
+  UNION ALL SELECT DISTINCT scene_id, 'bounds: ' || c FROM base, (VALUES ('bounds_overlap'), ('overlap_covers_smaller_footprint')) v(c) WHERE scene_id % 5 = 1),
+verdicts AS (SELECT scene_id, string_agg(p, ',' ORDER BY p) AS problems FROM (SELECT DISTINCT scene_id FROM base) LEFT JOIN problems USING (scene_id) GROUP BY scene_id),
+j AS (SELECT c.scene_id, b.scene_id IS NOT NULL AND b.scl_before IN (4, 5, 6) AND a.scene_id IS NOT NULL AND a.scl_after IN (4, 5, 6) AS ok,
+  CASE WHEN b.b_b08 IS NULL THEN 0 ELSE (b.b_b08 - b.b_b04) / (b.b_b08 + b.b_b04) END AS nb, CASE WHEN a.a_b08 IS NULL THEN 0 ELSE (a.a_b08 - a.a_b04) / (a.a_b08 + a.a_b04) END AS na
+  FROM cells c LEFT JOIN pw b ON b.scene_id = c.scene_id AND b.row = c.row + 3 AND b.col = c.col + 5 LEFT JOIN pw a ON a.scene_id = c.scene_id AND a.row = c.row AND a.col = c.col),
+shares AS (SELECT scene_id, count(*) FILTER (NOT coalesce(ok, false)) AS masked_pixels, round(avg(na - nb) FILTER (ok), 6) AS ndvi_mean FROM j GROUP BY scene_id)"""
+
+
+@query(with_(PIXELS, READINGS, SHARED, RAW) + """SELECT scene_id, problems IS NULL AS passed, coalesce(problems, '') AS problems, CASE WHEN problems IS NULL THEN 95 ELSE 0 END AS width, CASE WHEN problems IS NULL THEN masked_pixels ELSE 0 END AS masked_pixels,
+CASE WHEN problems IS NULL THEN ndvi_mean END AS ndvi_mean, CASE WHEN problems IS NULL THEN 2 ELSE 0 END AS observations, CASE WHEN problems IS NULL THEN 'after,before,ndvi_difference,scl_after,scl_before' ELSE '' END AS outputs FROM verdicts LEFT JOIN shares USING (scene_id)""")
+def preprocessed_scenes(spark, sf_dir):
+    """All scenes from raw readings to documents: those that fail a check have their problems instead."""
+    from pixelweft.operators import preprocess
+    from pixelweft.plans.prepared import _folder, _meta, _rasters
+
+    px = pixels.order_pixels(spark, sf_dir)
+    sides = F.array(*(F.struct(F.lit(r).alias("role"), F.col(f"scl_{r}").alias("scl")) for r in ("before", "after")))
+    classes = px.select("scene_id", "row", "col", F.explode(sides).alias("p")).select("scene_id", "p.role", "row", "col", "p.scl")
+    raw = pixels.long(px).withColumn("dn", F.expr("if(scene_id % 3 = 0, dn, greatest(dn, 1))"))
+    away = F.expr("if(scene_id % 5 = 1 and role = 'after', c + 100000, c)")
+    x = preprocess.preprocess(raw, _meta(spark, sf_dir).withColumn("c", away), _folder(spark, "preprocessed"), classes, _rasters(spark, sf_dir).withColumn("c", away))
+    d = lambda n: F.col(f"document.{n}")
+    outputs = F.array_join(F.array_distinct(F.transform(d("outputs"), lambda o: o["output"])), ",")
+    none = F.lit(0)
+    return x.select(
+        "scene_id", "passed", F.array_join("problems", ",").alias("problems"), F.coalesce(d("grid.width"), none).cast("int").alias("width"), F.coalesce(d("cloud_mask.masked_pixels"), none).alias("masked_pixels"),
+        d("ndvi.difference.mean").alias("ndvi_mean"), F.coalesce(F.array_size(d("observations")), none).alias("observations"), F.coalesce(outputs, F.lit("")).alias("outputs"),
+    )
+
+
 @query(with_(PIXELS, SCORED, BATCH) + f"SELECT scene_id, 'spectral' AS model, 0.7::DOUBLE AS threshold, '15,100' AS shape, count(*) FILTER (m = 1) AS change_pixels, {ratio('count(*) FILTER (m = 1)', 'count(*) FILTER (m <> 255)')} AS change_fraction, 1 AS outputs FROM m GROUP BY scene_id")
 def inference_documents(spark, sf_dir):
     """Documents of a batch inference."""
