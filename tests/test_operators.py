@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pixelweft.operators import align, catalog, change, datasets, explain, features, grid, ledger, masking, patches, priority, ranking, resample, stats, validate
+from pixelweft.operators import align, catalog, change, datasets, explain, features, grid, ledger, masking, patches, preprocess, priority, ranking, resample, stats, validate
 from pixelweft.schemas import FEATURE_NAMES
 from pixelweft.sources import pixels, readers, sinks
 
@@ -187,6 +187,26 @@ def test_systems_that_cannot_be_brought_together(spark):
     assert len(g) == 1 and g[0]["crs"] == "EPSG:32643" and g[0]["width"] > 0
 
 
+def test_preprocessing_refuses_scenes_one_by_one(spark, tmp_path):
+    """Of four scenes one is whole, one lacks a date, one has its dates apart, one has a class band without usable pixels; only the first is written, unless all are asked for."""
+    px, m = synthetic_pair(spark)
+    scenes = F.explode(F.expr("array(1L, 2L, 3L, 4L)")).alias("scene_id")
+    px, m = px.drop("scene_id").select("*", scenes), m.drop("scene_id").select("*", scenes)
+    px = px.where("not (scene_id = 2 and role = 'after')").select("scene_id", "role", "band", "row", "col", "dn")
+    m = m.withColumn("c", F.expr("if(scene_id = 3 and role = 'after', c + 1e6, c)"))
+    cells = px.where("band = 'B02' and scene_id = 4").select("scene_id", "role", "row", "col", F.lit(9).alias("scl"))
+    cm = m.where("band = 'B02' and scene_id = 4").drop("band", "nodata")
+    out = {r["scene_id"]: r for r in preprocess.preprocess(px, m, str(tmp_path / "a"), cells, cm).collect()}
+    assert out[1]["passed"] and out[1]["problems"] == [] and out[1]["document"]["grid"]["width"] == 64
+    assert {o["output"] for o in out[1]["document"]["outputs"]} == {"before", "after", "ndvi_difference", "scl_before", "scl_after"}
+    assert out[2]["problems"] == ["after: bands_present"] and out[3]["problems"] == ["bounds: bounds_overlap", "bounds: overlap_covers_smaller_footprint"]
+    assert out[4]["problems"] == ["after: scl_has_usable_pixels", "before: scl_has_usable_pixels"] and [out[k]["document"] for k in (2, 3, 4)] == [None] * 3
+    assert sorted(p.name for p in (tmp_path / "a" / "before").glob("scene_id=*")) == ["scene_id=1"]
+    forced = {r["scene_id"]: r for r in preprocess.preprocess(px, m, str(tmp_path / "b"), cells, cm, refuse=False).collect()}
+    assert [k for k, r in sorted(forced.items()) if r["document"] is not None] == [1, 2, 4] and forced[4]["document"]["cloud_mask"]["masked_pixels"] == 64 * 64 and not forced[2]["passed"]
+    assert preprocess.verdicts(preprocess.raw_checks(px, m.limit(0), cells)).count() == 0
+
+
 def test_clouds_are_not_change(spark):
     px, m = synthetic_pair(spark)
     cells = spark.range(32 * 32).select(F.lit(1).cast("long").alias("scene_id"), F.floor(F.col("id") / 32).cast("int").alias("row"), (F.col("id") % 32).cast("int").alias("col"))
