@@ -1,13 +1,17 @@
-"""Resampling: target cells meet the source pixels under their kernel in one equi-join."""
+"""Resampling: source pixels add to the target cells under their kernel; across reference systems target cells meet the pixels in one equi-join."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pixelweft.operators import grid
+from pixelweft.storage import durable, small_batches
 
 GRID = ("a", "c", "e", "f", "width", "height")
 
@@ -46,25 +50,30 @@ KERNELS: dict[str, tuple[int, Callable[[Column], Column]]] = {
 }
 
 
-def _places(source: DataFrame, target: DataFrame, keys: list[str], target_keys: list[str]) -> DataFrame:
+def _rasters(source: DataFrame, target: DataFrame, keys: list[str], target_keys: list[str]) -> DataFrame:
+    """One row for each raster: keys, its grid as s_a.., and the target's grid. ``crs`` is there if both sides have it."""
+    grid_ = (*GRID, "crs") if "crs" in source.columns and "crs" in target.columns else GRID
+    src = source.select(*keys, *(F.col(c).alias(f"s_{c}") for c in grid_))
+    return src.join(target.select(*target_keys, *grid_).hint("merge"), target_keys)
+
+
+def _cells(rasters: DataFrame) -> DataFrame:
+    return rasters.select("*", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("row")).select("*", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("col"))
+
+
+def _places(rasters: DataFrame, keys: list[str]) -> DataFrame:
     """Rows (keys, row, col, fc, fr, zc, zr) for each cell of each target grid: where its centre lies among the source's pixels, and how many of these a cell is wide and high.
 
-    With a column ``crs`` on both sides the centre is brought into the source's system, and with it the points half a cell around it, which give the size.
+    The centre is brought into the source's system, and with it the points half a cell around it, which give the size.
     """
-    warped = "crs" in source.columns and "crs" in target.columns
-    grid_ = (*GRID, "crs") if warped else GRID
-    src = source.select(*keys, *(F.col(c).alias(f"s_{c}") for c in grid_))
-    # one row a raster on both sides
-    both = src.join(target.select(*target_keys, *grid_).hint("merge"), target_keys)
-    at = both.select("*", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("row")).select("*", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("col"))
+    at = _cells(rasters)
     at = at.withColumns({"x": F.col("c") + F.col("a") * (F.col("col") + 0.5), "y": F.col("f") + F.col("e") * (F.col("row") + 0.5)})
     size = {"zc": F.col("a") / F.col("s_a"), "zr": F.col("e") / F.col("s_e")}
-    if warped:
-        at = at.withColumns({"x1": F.col("x") + F.col("a") / 2, "y1": F.col("y") + F.col("e") / 2})
-        at = grid.projected(at, "x1", "y1", "crs", "s_crs", ("x1", "y1"))
-        at = grid.projected(at, "x", "y", "crs", "s_crs", ("x", "y"))
-        other = ~F.col("crs").eqNullSafe(F.col("s_crs"))
-        size = {"zc": F.when(other, F.abs(2 * (F.col("x1") - F.col("x")) / F.col("s_a"))).otherwise(size["zc"]), "zr": F.when(other, F.abs(2 * (F.col("y1") - F.col("y")) / F.col("s_e"))).otherwise(size["zr"])}
+    at = at.withColumns({"x1": F.col("x") + F.col("a") / 2, "y1": F.col("y") + F.col("e") / 2})
+    at = grid.projected(at, "x1", "y1", "crs", "s_crs", ("x1", "y1"))
+    at = grid.projected(at, "x", "y", "crs", "s_crs", ("x", "y"))
+    other = ~F.col("crs").eqNullSafe(F.col("s_crs"))
+    size = {"zc": F.when(other, F.abs(2 * (F.col("x1") - F.col("x")) / F.col("s_a"))).otherwise(size["zc"]), "zr": F.when(other, F.abs(2 * (F.col("y1") - F.col("y")) / F.col("s_e"))).otherwise(size["zr"])}
     frac = {"fc": (F.col("x") - F.col("s_c")) / F.col("s_a") - 0.5, "fr": (F.col("y") - F.col("s_f")) / F.col("s_e") - 0.5}
     return at.select(*keys, "row", "col", *(c.alias(n) for n, c in frac.items()), *(F.greatest(F.lit(1.0), c).alias(n) for n, c in size.items()))
 
@@ -77,9 +86,116 @@ def resample(pixels: DataFrame, source: DataFrame, target: DataFrame, keys: list
     is valid where its nearest source pixel is. Kernels widen when the target is coarser. 'average'
     takes the mean of the source pixels whose centres lie in the cell. Grids with a column ``crs`` may be in different reference systems (lon/lat and UTM).
 
-    A cell's nearest pixel and the pixels under its kernel are looked up in one join, and brought together in one aggregation.
+    Within one system a pixel works out the cells that it counts for, and the sums of a task are all that moves (``_scattered``).
+    Rasters in another system have their cells look up the pixels (``_gathered``).
     """
-    at = _places(source, target, keys, target_keys)
+    rasters = _rasters(source, target, keys, target_keys)
+    if "crs" not in rasters.columns:
+        return _scattered(pixels, rasters, keys, kernel, value)
+    rasters = durable(rasters, "rasters")
+    same = F.col("crs").eqNullSafe(F.col("s_crs"))
+    if rasters.where(~same).isEmpty():
+        return _scattered(pixels, rasters, keys, kernel, value)
+    apart = _gathered(pixels, rasters.where(~same), keys, kernel, value)
+    if rasters.where(same).isEmpty():
+        return apart
+    return apart.unionByName(_scattered(pixels, rasters.where(same), keys, kernel, value))
+
+
+#: By how much of a pixel the cells of a pixel are sought more widely than the kernel reaches; the weights decide. Pairs of a pixel and a cell that a task holds at a time.
+SLACK, PAIRS = 1e-3, 1 << 20
+
+
+def _spread_cubic(t: np.ndarray, a: float = -0.5) -> np.ndarray:
+    t = np.abs(t)
+    return np.where(t <= 1, (a + 2) * t**3 - (a + 3) * t**2 + 1, np.where(t < 2, a * t**3 - 5 * a * t**2 + 8 * a * t - 4 * a, 0.0))
+
+
+def _spread_spline(t: np.ndarray) -> np.ndarray:
+    t = np.abs(t)
+    return np.where(t <= 1, 2 / 3 - t**2 + t**3 / 2, np.where(t < 2, (2 - t) ** 3 / 6, 0.0))
+
+
+#: The weights of ``KERNELS`` for arrays of distances.
+SPREAD: dict[str, Callable[[np.ndarray], np.ndarray]] = {
+    "bilinear": lambda t: np.maximum(0.0, 1 - np.abs(t)), "cubic": _spread_cubic, "cubic_spline": _spread_spline,
+    "lanczos": lambda t: np.where(np.abs(t) < 3, np.sinc(t) * np.sinc(t / 3), 0.0),
+}
+
+
+def _along(at: np.ndarray, step: np.ndarray, s_step: np.ndarray, first: np.ndarray, s_first: np.ndarray, n: np.ndarray, kernel: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For pixels ``at`` along one axis the cells that they may count for, one column each, with weight and whether the pixel is the cell's nearest. Cells outside the grid have neither."""
+    at, step, s_step, first, s_first, n = (x[:, None] for x in (at, step, s_step, first, s_first, n))
+    share, start = step / s_step, (first + step * 0.5 - s_first) / s_step - 0.5
+    z = np.maximum(1.0, share)
+    reach = (KERNELS[kernel][0] if kernel in KERNELS else 0.5) * z + SLACK
+    ends = (at - reach - start) / share, (at + reach - start) / share
+    low, high = np.ceil(np.minimum(*ends)).astype(np.int64), np.floor(np.maximum(*ends)).astype(np.int64)
+    low, high = np.maximum(low, 0), np.minimum(high, n - 1)
+    cell = low + np.arange(max(0, int((high - low).max()) + 1))
+    f = (first + step * (cell + 0.5) - s_first) / s_step - 0.5
+    if kernel == "nearest":
+        w = np.zeros(f.shape)
+    elif kernel == "average":
+        down, up = np.ceil(np.round(f - z / 2, 6)), np.ceil(np.round(f + z / 2, 6))
+        w = ((at >= down) & (at <= np.maximum(down, up - 1))).astype(float)
+    else:
+        w = SPREAD[kernel]((at - f) / z)
+    inside = cell <= high
+    # the nearest pixel: halves go to the right and down
+    return cell, np.where(inside, w, 0.0), inside & (np.floor(f + 0.5) == at)
+
+
+def _spread(batch: pa.RecordBatch, keys: list[str], kernel: str) -> Iterator[pa.RecordBatch]:
+    """Rows (keys, row, col, wv, w, n) of a batch of pixels with their rasters: what it adds to each cell."""
+    x = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names if c not in keys}
+    cells, wc, nc = _along(x["sc"], x["a"], x["s_a"], x["c"], x["s_c"], x["width"], kernel)
+    rows, wr, nr = _along(x["sr"], x["e"], x["s_e"], x["f"], x["s_f"], x["height"], kernel)
+    size = cells.shape[1] * rows.shape[1]
+    take = max(1, PAIRS // max(1, size))
+    for i in range(0, batch.num_rows if size else 0, take):
+        p = slice(i, i + take)
+        w, near = wr[p, :, None] * wc[p, None, :], nr[p, :, None] & nc[p, None, :]
+        k, r, c = np.nonzero((w != 0) | near)
+        if not len(k):
+            continue
+        at, w, near = k + i, w[k, r, c], near[k, r, c]
+        row, col, v = rows[at, r], cells[at, c], x["v"][at]
+        order = np.lexsort((col, row, x["raster"][at]))
+        at, row, col, w, near, v = (y[order] for y in (at, row, col, w, near, v))
+        g = x["raster"][at]
+        head = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (row[1:] != row[:-1]) | (col[1:] != col[:-1])]))
+        n = np.fmax.reduceat(np.where(near, v, np.nan), head)
+        found = np.logical_or.reduceat(near, head)
+        owner = pa.array(at[head])
+        own = [batch.column(key).take(owner) for key in keys]
+        sums = [pa.array(np.add.reduceat(y, head)) for y in (w * v, w)]
+        yield pa.RecordBatch.from_arrays([*own, pa.array(row[head].astype(np.int32)), pa.array(col[head].astype(np.int32)), *sums, pa.array(n, mask=~found)], [*keys, "row", "col", "wv", "w", "n"])
+
+
+def _scattered(pixels: DataFrame, rasters: DataFrame, keys: list[str], kernel: str, value: str) -> DataFrame:
+    """Pixels spread their values over the cells that they count for. A raster's pixels come together for its grids, and what a batch of them adds to a cell is summed up before it moves."""
+    small_batches(pixels.sparkSession)
+    px = pixels.where(F.col(value).isNotNull()).select(*keys, F.col("row").alias("sr"), F.col("col").alias("sc"), F.col(value).cast("double").alias("v"))
+    grids = rasters.select(*keys, F.xxhash64(*keys).alias("raster"), "width", "height", *(F.col(c).cast("double").alias(c) for n in ("a", "c", "e", "f") for c in (n, f"s_{n}")))
+    schema = T.StructType([px.schema[k] for k in keys] + [T.StructField(n, t) for n, t in (("row", T.IntegerType()), ("col", T.IntegerType()), ("wv", T.DoubleType()), ("w", T.DoubleType()), ("n", T.DoubleType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield from _spread(batch, keys, kernel)
+
+    taps = px.join(grids.hint("merge"), keys).mapInArrow(run, schema)
+    # every cell has a row, whatever counts for it
+    none = _cells(rasters).select(*keys, "row", "col", *(F.lit(None).cast("double").alias(n) for n in ("wv", "w", "n")))
+    sums = taps.unionByName(none).groupBy(*keys, "row", "col").agg(F.max("n").alias("n"), F.sum("wv").alias("wv"), F.sum("w").alias("w"))
+    mean = F.col("n") if kernel == "nearest" else F.col("wv") / F.col("w")
+    return sums.select(*keys, "row", "col", F.when(F.col("n").isNotNull(), mean).alias(value))
+
+
+def _gathered(pixels: DataFrame, rasters: DataFrame, keys: list[str], kernel: str, value: str) -> DataFrame:
+    """A cell's nearest pixel and the pixels under its kernel are looked up in one join, and brought together in one aggregation."""
+    at = _places(rasters, keys)
     px = pixels.select(*keys, F.col("row").alias("sr"), F.col("col").alias("sc"), F.col(value).cast("double").alias("v"))
     # the nearest pixel: halves go to the right and down
     near = F.struct(F.floor(F.col("fr") + 0.5).cast("int").alias("sr"), F.floor(F.col("fc") + 0.5).cast("int").alias("sc"))
