@@ -6,21 +6,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelweft.functions import spectral as S
-from pixelweft.operators import grid, masking, resample
-from pixelweft.schemas import BAND_ORDER, STRICT
+from pixelweft.operators import grid, resample
+from pixelweft.schemas import BAND_ORDER, ROLES, STRICT
 from pixelweft.sources.pixels import with_indexes
+from pixelweft.storage import durable
 
 RASTER = ["scene_id", "role", "band"]
 CELL = ["scene_id", "row", "col"]
+#: The name by which class codes go as a band.
+CLASSES = "SCL"
 
 
 def on_grid(pixels: DataFrame, meta: DataFrame, target: DataFrame, kernel: str = "bilinear") -> DataFrame:
     """Readings on the target grid of their scene. Rasters that are on it already are not resampled."""
     m, t = meta.alias("m"), target.alias("t")
-    same = m.join(t.hint("merge"), F.col("m.scene_id") == F.col("t.scene_id")).where(grid.same_grid("m", "t")).select("m.scene_id", "m.role", "m.band")
-    as_is = pixels.join(same.hint("merge"), RASTER, "left_semi").select(*RASTER, "row", "col", F.col("dn").cast("double").alias("dn"))
-    moved = meta.join(same.hint("merge"), RASTER, "left_anti")
-    others = resample.resample(pixels.join(moved.select(*RASTER).hint("merge"), RASTER, "left_semi"), moved, target, RASTER, ["scene_id"], kernel)
+    both = m.join(t.hint("merge"), F.col("m.scene_id") == F.col("t.scene_id")).select("m.scene_id", "m.role", "m.band", grid.same_grid("m", "t").alias("same"))
+    both = durable(both, "rasters_on_grid")
+    same, moved = both.where("same"), both.where("not same")
+    if same.isEmpty():
+        return resample.resample(pixels, meta, target, RASTER, ["scene_id"], kernel).select(*RASTER, "row", "col", "dn")
+    as_is = pixels.join(same.select(*RASTER).hint("merge"), RASTER, "left_semi").select(*RASTER, "row", "col", F.col("dn").cast("double").alias("dn"))
+    if moved.isEmpty():
+        return as_is
+    others = resample.resample(pixels, meta.join(moved.select(*RASTER).hint("merge"), RASTER, "left_semi"), target, RASTER, ["scene_id"], kernel)
     return as_is.unionByName(others.select(*RASTER, "row", "col", "dn"))
 
 
@@ -31,21 +39,22 @@ def prepare_pairs(pixels: DataFrame, meta: DataFrame, classes: DataFrame | None
     ``classes`` (scene_id, role, row, col, scl) and their grids are optional: without them all
     pixels are usable.
     """
-    grids = grid.common_grid(meta, ["scene_id"], resolution)
+    grids = durable(grid.common_grid(meta, ["scene_id"], resolution), "common_grids")
     cleaned = pixels.join(meta.select(*RASTER, "nodata").hint("merge"), RASTER).withColumn("dn", S.clean_dn("dn", F.col("nodata"))).drop("nodata")
-    aligned = on_grid(cleaned, meta, grids, kernel)
+    rows = on_grid(cleaned, meta, grids, kernel)
+    if classes is not None:
+        # beside the bands, so that one aggregation brings all layers of a cell together
+        found = resample.resample_classes(classes, class_meta, grids, ["scene_id", "role"], ["scene_id"])
+        rows = rows.unionByName(found.select("scene_id", "role", F.lit(CLASSES).alias("band"), "row", "col", F.col("scl").cast("double").alias("dn")))
+    layer = lambda r, b: (F.col("role") == r) & (F.col("band") == b)
     x = S.reflectance("dn")
-    cells = [F.max(F.when((F.col("role") == r) & (F.col("band") == b), x)).alias(f"{r[0]}_{b.lower()}") for r in ("before", "after") for b in BAND_ORDER]
-    px = aligned.groupBy(*CELL).agg(*cells)
-    for role in ("before", "after"):
-        side = None
-        if classes is not None:
-            keys = ["scene_id", "role"]
-            found = resample.resample_classes(classes.where(F.col("role") == role), class_meta.where(F.col("role") == role), grids, keys, ["scene_id"])
-            side = found.drop("role")
-        px = masking.observation_mask(px, side, CELL, ["scene_id"], usable)
+    cells = [F.max(F.when(layer(r, b), x)).alias(f"{r[0]}_{b.lower()}") for r in ROLES for b in BAND_ORDER]
+    # a date's classes have a row for every cell, if they are there at all
+    cells += [F.max(F.when(layer(r, CLASSES), F.col("dn"))).cast("int").alias(f"scl_{r}") for r in ROLES] + [(F.count_if(layer(r, CLASSES)) > 0).alias(f"scl_{r}_available") for r in ROLES]
+    px = rows.groupBy(*CELL).agg(*cells, F.count_if(F.col("band") != CLASSES).alias("_bands")).where("_bands > 0").drop("_bands")
+    for role in ROLES:
         # absent class data counts as usable: any usable code says so
-        px = px.withColumn(f"scl_{role}", F.when(F.col("scl_available"), F.col("scl")).otherwise(F.lit(usable[0]))).withColumn(f"scl_{role}_available", F.col("scl_available")).drop("scl", "scl_available", "scl_valid")
+        px = px.withColumn(f"scl_{role}", F.when(F.col(f"scl_{role}_available"), F.coalesce(f"scl_{role}", F.lit(0))).otherwise(F.lit(usable[0])))
     return with_indexes(px, usable), grids
 
 

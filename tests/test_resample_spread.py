@@ -5,8 +5,9 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from pixelweft.operators import resample
+from pixelweft.operators import align, resample
 
 
 def _grid(spark, a, c, e, f, width, height):
@@ -59,3 +60,18 @@ def test_small_pieces(spark, monkeypatch):
     monkeypatch.setattr(resample, "PAIRS", 1000)
     parts = list(resample._spread(wide, ["k"], "cubic"))
     assert len(parts) > 10 and sum(r["wv"] for b in parts for r in b.to_pylist()) == pytest.approx(sum(r["wv"] for r in whole))
+
+
+def test_classes_come_with_the_bands(spark):
+    """One aggregation brings bands and classes of a cell together: no join on cells."""
+    rasters = spark.createDataFrame([(1, r, "EPSG:32643", 10.0, 0.0, c, 0.0, -10.0, 200.0, 30, 20) for r, c in (("before", 0.0), ("after", 20.0))], "scene_id long, role string, crs string, a double, b double, c double, d double, e double, f double, width int, height int")
+    meta = rasters.withColumn("band", F.explode(F.array(*(F.lit(b) for b in ("B02", "B03", "B04", "B08"))))).withColumn("nodata", F.lit(0))
+    cells = _pixels(spark).drop("k", "dn").crossJoin(rasters.select("scene_id", "role"))
+    px = cells.crossJoin(meta.select("band").distinct()).withColumn("dn", F.expr("1000 + row * 10 + col"))
+    classes = cells.where("role = 'after'").withColumn("scl", F.expr("if(col = 9, 9, 4)"))
+    out, _ = align.prepare_pairs(px, meta, classes, rasters.where("role = 'after'"))
+    assert not re.search(r"Join \[[^\]]*row#", out._jdf.queryExecution().executedPlan().toString())
+    rows = out.collect()
+    assert len(rows) == 28 * 20 and not any(r["scl_before_available"] for r in rows) and all(r["scl_after_available"] for r in rows)
+    at = {(r["row"], r["col"]): r for r in rows}
+    assert at[3, 9]["scl_after"] == 9 and at[3, 8]["scl_after"] == 4 and at[7, 2]["scl_after"] == 0 and at[3, 8]["scl_before"] == 4 and at[3, 8]["b_b02"] == pytest.approx(0.104)
