@@ -10,6 +10,7 @@ from pixelweft.operators import analysis, change, datasets, evaluation, explain
 from pixelweft.plans import derived
 from pixelweft.plans.oracles import DERIVED, PIXELS, READINGS, SCORED, ratio, with_
 from pixelweft.plans.prepared import SHARED, query
+from pixelweft.schemas import BAND_ORDER, ROLES
 from pixelweft.sources import pixels, sinks
 from pixelweft.storage import durable
 
@@ -195,7 +196,7 @@ def analysed_requests(spark, sf_dir):
 
 
 def _grids_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pixels.order_pixels(spark, sf_dir).select("scene_id").distinct().selectExpr("scene_id", "'EPSG:32643' as crs", "10.0D as a", "0.0D as b", "500000.0D as c", "0.0D as d", "-10.0D as e", "2000000.0D as f", "100 as width", "15 as height")
+    return pixels.pixel_store(spark, sf_dir).select("scene_id").distinct().selectExpr("scene_id", "'EPSG:32643' as crs", "10.0D as a", "0.0D as b", "500000.0D as c", "0.0D as d", "-10.0D as e", "2000000.0D as f", "100 as width", "15 as height")
 
 
 _files = "string_agg(output, ',' ORDER BY output) AS outputs"
@@ -309,16 +310,17 @@ def observation_documents(spark, sf_dir):
     from pixelweft.plans.prepared import _folder
     from pixelweft.sources import readers
 
-    px = pixels.order_pixels(spark, sf_dir)
-    readings = pixels.long(px).withColumn("x", S.reflectance(S.clean_dn("dn"))).select("scene_id", "role", "band", "row", "col", "x")
+    px = pixels.pixel_store(spark, sf_dir)
+    parts = [F.struct(F.lit(r).alias("role"), F.lit(b).alias("band"), F.col(f"{r[0]}_{b.lower()}").alias("x")) for r in ROLES for b in BAND_ORDER]
+    readings = px.select("scene_id", "row", "col", F.explode(F.array(*parts)).alias("p")).select("scene_id", "p.role", "p.band", "row", "col", "p.x")
     scl = px.select("scene_id", F.lit("before").alias("role"), F.lit("SCL").alias("band"), "row", "col", F.col("scl_before").cast("double").alias("x"))
     grids = _grids_of(spark, sf_dir)
     meta = grids.withColumn("role", F.explode(F.array(F.lit("before"), F.lit("after")))).withColumn("band", F.explode(F.array(*(F.lit(b) for b in ("B02", "B03", "B04", "B08")))))
     folder = _folder(spark, "provenance")
     text = F.format_string('{\n  "scene_id": %d,\n  "role": "%s",\n  "item_id": "I%d",\n  "cloud_cover_percent": %d\n}\n', "scene_id", "role", "scene_id", F.col("scene_id") % 40)
     both = grids.select("scene_id", F.explode(F.array(F.lit("before"), F.lit("after"))).alias("role"))
-    both.select("scene_id", "role", text.alias("value")).repartition("scene_id", "role").write.partitionBy("scene_id", "role").text(folder)  # a file for each
-    given = readers.provenance(spark, f"{folder}/*/*", "scene_id long, role string, item_id string, acquisition_date date, mgrs_tile string, cloud_cover_percent double")
+    sinks.texts(both.select(text.alias("value")), folder)
+    given = readers.provenance(spark, folder, "scene_id long, role string, item_id string, acquisition_date date, mgrs_tile string, cloud_cover_percent double")
     x = documents.observation_summary(readings.unionByName(scl), meta, given)
     red = F.filter("bands", lambda b: b["band"] == "B04")[0]["mean"]
     return x.select("scene_id", "role", "provenance.item_id", "grid.width", "grid.height", F.array_join("bands.band", ",").alias("bands"), red.alias("red_mean"), "class_band", F.round("class_no_data_fraction", 6).alias("class_no_data"))
