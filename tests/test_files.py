@@ -11,3 +11,14 @@ def test_texts_a_file_each(spark, tmp_path):
     assert len({f.split("-")[1] for f in files}) > 1  # not all by one task
     found = readers.provenance(spark, str(tmp_path / "t"), "id long, role string").collect()
     assert sorted(r["id"] for r in found) == list(range(40)) and {r["role"] for r in found} == {"x"}
+
+
+def test_layer_by_many_tasks(spark, tmp_path):
+    px = spark.range(0, 4000, 1, 1).selectExpr("id div 100 as scene_id", "cast(id % 100 div 10 as int) as row", "cast(id % 10 as int) as col", "id as x")
+    sinks.layer(px, str(tmp_path / "l"))
+    files = [f.name for f in (tmp_path / "l").glob("scene_id=*/part-*.parquet")]
+    assert len(files) == 40
+    assert len({f.split("-")[1] for f in files}) > 1
+    before = spark.conf.get(sinks._LISTING)
+    assert sinks.file_records(spark, str(tmp_path / "l")).where("length(sha256) = 64 and bytes > 0").count() == 40
+    assert spark.conf.get(sinks._LISTING) == before
