@@ -10,6 +10,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pixelweft.functions import spectral as S
 from pixelweft.operators import features
@@ -28,6 +29,11 @@ SCHEMAS = {
 STATUSES, DIRECTIONS = ("pending", "running", "complete", "failed", "no_data"), ("increases", "decreases")
 
 
+def _empty(spark: SparkSession, schema: str) -> DataFrame:
+    """No rows, and no Python workers to find that out."""
+    return spark.range(0).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(schema)))
+
+
 def _stored(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table with the batch that each row came in; one that was never written is empty."""
     from pyspark.errors import AnalysisException
@@ -38,7 +44,7 @@ def _stored(spark: SparkSession, folder: str, name: str) -> DataFrame:
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        return spark.createDataFrame([], schema)
+        return _empty(spark, schema)
 
 
 def _log(spark: SparkSession, folder: str) -> DataFrame:
@@ -50,7 +56,7 @@ def _log(spark: SparkSession, folder: str) -> DataFrame:
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        return spark.createDataFrame([], "batch string, version long")
+        return _empty(spark, "batch string, version long")
     return x.select(F.col("value").alias("batch"), F.regexp_extract(F.col("_metadata.file_name"), "^v([0-9]+)$", 1).cast("long").alias("version"))
 
 
@@ -89,7 +95,11 @@ def append(rows: DataFrame, folder: str, name: str, batch: str) -> None:
 
 
 def latest(runs: DataFrame) -> DataFrame:
-    """The last state of each run: a finished one over a running one."""
+    """The last state of each run: a finished one over a running one.
+
+    Strings are picked by sorting, so rows are dealt by run first: a task sorts its share of the runs, not all that it read. Nearly all rows are of different runs.
+    """
+    runs = runs.repartition(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "analysis_id")
     order = F.struct(F.col("finished_at").isNotNull().cast("int"), F.coalesce("finished_at", "created_at"))
     return runs.groupBy("analysis_id").agg(F.max_by(F.struct(*(c for c in runs.columns if c != "analysis_id")), order).alias("r")).select("analysis_id", "r.*")
 
