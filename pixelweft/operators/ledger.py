@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from pixelweft.functions import spectral as S
 from pixelweft.operators import features
 from pixelweft.operators.validate import stacked
+from pixelweft.storage import durable, scratch
 
 SCHEMAS = {
     "runs": "analysis_id string, created_at timestamp, status string, parameters string, started_at timestamp, finished_at timestamp, error string",
@@ -26,6 +27,7 @@ SCHEMAS = {
     "shap_drivers": "analysis_id string, rank int, feature string, shap_value double, feature_value double, direction string, description string",
     "artifacts": "analysis_id string, artifact_type string, filename string, relative_path string, url string",
 }
+RESULT = ("analysis_id", "status", "finished_at", "error", "aoi", "observations", "change", "summary", "priority", "artifacts")
 STATUSES, DIRECTIONS = ("pending", "running", "complete", "failed", "no_data"), ("increases", "decreases")
 
 
@@ -147,16 +149,19 @@ def finish_runs(results: DataFrame, folder: str) -> None:
     ``results``: analysis_id, status, finished_at, error, aoi, observations, change, summary, priority, artifacts.
     """
     spark = results.sparkSession
-    state = _refuse(results, folder)
-    seen = _log(spark, folder).agg(F.max("version")).first()[0] or 0
-    batch = f"b{uuid.uuid4().hex}"
-    for name, rows in results_tables(results).items():
-        append(rows, folder, name, batch)
-    rows = results.select("analysis_id", "status", "finished_at", "error").join(state.drop("status", "finished_at", "error").hint("merge"), "analysis_id")
-    append(rows, folder, "runs", batch)
-    while not _take(spark, folder, seen + 1, batch):
-        seen += 1
-        _refuse(results, folder)  # another finish came first: it may have had one of these runs
+    with scratch():
+        # results may be a long way from their tables, and nine jobs read them
+        results = durable(results.select(*RESULT).withColumn("error", F.col("error").cast("string")), "results")
+        state = _refuse(results, folder)
+        seen = _log(spark, folder).agg(F.max("version")).first()[0] or 0
+        batch = f"b{uuid.uuid4().hex}"
+        for name, rows in results_tables(results).items():
+            append(rows, folder, name, batch)
+        rows = results.select("analysis_id", "status", "finished_at", "error").join(state.drop("status", "finished_at", "error").hint("merge"), "analysis_id")
+        append(rows, folder, "runs", batch)
+        while not _take(spark, folder, seen + 1, batch):
+            seen += 1
+            _refuse(results, folder)  # another finish came first: it may have had one of these runs
 
 
 def violations(tables: dict[str, DataFrame]) -> DataFrame:

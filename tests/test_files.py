@@ -1,5 +1,8 @@
 """Files of a scene are written by many tasks."""
 
+from pyspark.sql import functions as F
+
+from pixelweft.plans.oracles import SUMMARY
 from pixelweft.sources import readers, sinks
 
 
@@ -22,3 +25,31 @@ def test_layer_by_many_tasks(spark, tmp_path):
     before = spark.conf.get(sinks._LISTING)
     assert sinks.file_records(spark, str(tmp_path / "l")).where("length(sha256) = 64 and bytes > 0").count() == 40
     assert spark.conf.get(sinks._LISTING) == before
+
+
+def test_finish_reads_results_once(spark, tmp_path):
+    """What makes results runs once, however many tables a finish writes; runs are dealt before they are sorted."""
+    import datetime as dt
+
+    from pixelweft.operators import analysis, ledger
+
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(name):
+        made.add(1)
+        return name
+
+    box = "named_struct('min_lon', 70D, 'min_lat', 18D, 'max_lon', 70.1D, 'max_lat', 18.1D) as aoi"
+    nothing = spark.createDataFrame([], f"observations array<struct<{', '.join(f'{k} {t}' for k, t in analysis.OBSERVED.items())}>>, change struct<total_pixels long>, summary struct<{', '.join(f'{n} double' for n in SUMMARY if n != 'feature_vector_length')}>, priority {analysis.PRIORITY}, artifacts struct<change_probability string, change_mask string, inference_summary string, change_geojson string>").schema
+    when = dt.datetime(2024, 6, 1)
+    ids = spark.createDataFrame([(f"r{i}", when) for i in range(6)], "analysis_id string, created_at timestamp")
+    folder = str(tmp_path / "ledger")
+    ledger.create_runs(ids.selectExpr("analysis_id", "created_at", "named_struct('a', 1) as parameters"), folder)
+    mark = F.udf(seen).asNondeterministic()
+    results = ids.select(mark("analysis_id").alias("analysis_id"), F.lit("failed").alias("status"), F.lit(when).alias("finished_at"), F.lit(None).alias("error"), F.expr(box), *(F.lit(None).cast(f.dataType).alias(f.name) for f in nothing))
+    ledger.finish_runs(results, folder)
+    assert made.value == 6
+    state = ledger.latest(ledger.read(spark, folder, "runs"))
+    assert [(r["analysis_id"], r["status"]) for r in state.orderBy("analysis_id").collect()] == [(f"r{i}", "failed") for i in range(6)]
+    plan = state._jdf.queryExecution().executedPlan().toString()
+    assert plan.rindex("Exchange") > plan.rindex("SortAggregate")  # no sort before the exchange
