@@ -344,7 +344,7 @@ def labelled_regions(spark, sf_dir):
     """The regions of the training split, loaded from an index of files: names in any case, the first mask, 20 m bands on the 10 m grid."""
     from pixelweft.sources import labelled
 
-    px = pixels.order_pixels(spark, sf_dir)
+    px = durable(pixels.order_pixels(spark, sf_dir), "region_orders")  # four selections read it
     odd = F.col("scene_id") % 2 == 1
     folders = lambda n: F.when(F.col("scene_id") % 3 == 0, f"imgs_{n}").otherwise(f"imgs_{n}_rect")
     file = lambda b: F.when(odd, f"{b.lower()}.tif").otherwise(f"{b}.TIF")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pixelweft.functions import spectral as S
 from pixelweft.operators import datasets, resample
 from pixelweft.schemas import BAND_ORDER, ROLES
+from pixelweft.storage import durable
 
 # The folders of the two dates, the first pair that a region has counts; and where its mask may lie, in order.
 DATE_FOLDERS = (("imgs_1_rect", "imgs_2_rect"), ("imgs_1", "imgs_2"))
@@ -85,17 +86,20 @@ def load(files: DataFrame, pixels: DataFrame, grids: DataFrame, splits: DataFram
         raise ValueError(f"no file for: {', '.join(lost)}")
     chosen = band_files(files, bands)
     keys = ["region", "role", "band"]
-    rows = pixels.join(chosen.hint("merge"), FILE).select(*keys, "row", "col", F.col("value").cast("double").alias("dn"))
-    own = grids.join(chosen.hint("merge"), FILE).select(*keys, *resample.GRID)
+    own = grids.join(chosen.hint("merge"), FILE).select(*FILE, *keys[1:], *resample.GRID)
     target = own.where((F.col("role") == ROLES[0]) & (F.col("band") == bands[0])).select("region", *resample.GRID)
-    same = own.alias("o").join(target.alias("t").hint("merge"), F.col("o.region") == F.col("t.region"))
+    same = F.lit(True)
     for c in resample.GRID:
-        same = same.where(F.col(f"o.{c}") == F.col(f"t.{c}"))
-    same = same.select(*(f"o.{k}" for k in keys))
-    moved = own.join(same.hint("merge"), keys, "left_anti")
-    brought = resample.resample(rows.join(moved.select(*keys).hint("merge"), keys, "left_semi"), moved, target, keys, ["region"])
-    x = rows.join(same.hint("merge"), keys, "left_semi").unionByName(brought)
+        same = same & (F.col(f"o.{c}") == F.col(f"t.{c}"))
+    placed = own.alias("o").join(target.alias("t").hint("merge"), F.col("o.region") == F.col("t.region"), "left").groupBy(*(F.col(f"o.{c}").alias(c) for c in dict.fromkeys([*FILE, *keys]))).agg(F.max(F.coalesce(same, F.lit(False))).alias("same"))
+    # what a file is for comes to its pixels in one join; they are a table, as bands and masks go different ways
+    uses = placed.select(*FILE, "role", "band", "same").unionByName(mask_files(files).select(*FILE, *(F.lit(None).cast(t).alias(n) for n, t in (("role", "string"), ("band", "string"), ("same", "boolean")))))
+    rows = durable(pixels.join(durable(uses, "used_files").hint("merge"), FILE).select(*keys, "same", "row", "col", "value"), "region_pixels")
+    values = [*keys, "row", "col", F.col("value").cast("double").alias("dn")]
+    moved = own.join(placed.where("not same").select(*keys).hint("merge"), keys, "left_semi").select(*keys, *resample.GRID)
+    brought = resample.resample(rows.where("not same").select(*values), moved, target, keys, ["region"])
+    x = rows.where("same").select(*values).unionByName(brought)
     cells = [F.max(F.when((F.col("role") == r) & (F.col("band") == b), S.reflectance("dn"))).alias(f"{r}_{b.lower()}") for r in ROLES for b in bands]
     wide = x.groupBy("region", "row", "col").agg(*cells)
-    masks = pixels.join(mask_files(files).hint("merge"), FILE).select("region", "row", "col", "value")
+    masks = rows.where("same is null").select("region", "row", "col", "value")
     return datasets.with_target(wide, masks, ["region", "row", "col"])

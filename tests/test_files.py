@@ -53,3 +53,28 @@ def test_finish_reads_results_once(spark, tmp_path):
     assert [(r["analysis_id"], r["status"]) for r in state.orderBy("analysis_id").collect()] == [(f"r{i}", "failed") for i in range(6)]
     plan = state._jdf.queryExecution().executedPlan().toString()
     assert plan.rindex("Exchange") > plan.rindex("SortAggregate")  # no sort before the exchange
+
+
+def test_region_pixels_are_read_once(spark):
+    """Bands on the grid, bands that are brought onto it and masks come from one pass over the pixels."""
+    from pixelweft.sources import labelled
+
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(v):
+        read.add(1)
+        return v
+
+    rows, grids = [], []
+    for folder in ("imgs_1", "imgs_2"):
+        for band, size in (("B02", 10.0), ("B03", 10.0), ("B04", 10.0), ("B08", 20.0)):
+            m = int(40 / size)
+            grids.append(("a", folder, f"{band}.tif", size, 0.0, -size, 0.0, m, m))
+            rows += [("a", folder, f"{band}.tif", i, j, 1000.0) for i in range(m) for j in range(m)]
+    rows += [("a", "cm", "cm.png", i, j, 255.0) for i in range(4) for j in range(4)]
+    plain = spark.createDataFrame(rows, "region string, folder string, filename string, row int, col int, value double")
+    g = spark.createDataFrame(grids, "region string, folder string, filename string, a double, c double, e double, f double, width int, height int")
+    px = plain.withColumn("value", F.udf(seen, "double").asNondeterministic()("value"))
+    got = labelled.load(plain.select("region", "folder", "filename").distinct(), px, g).collect()
+    assert len(got) == 16 and {(r["before_b02"], r["after_b08"], r["target"], r["annotated"]) for r in got} == {(0.1, 0.1, 1, True)}
+    assert read.value == len(rows)
