@@ -28,6 +28,8 @@ SCHEMAS = {
     "artifacts": "analysis_id string, artifact_type string, filename string, relative_path string, url string",
 }
 RESULT = ("analysis_id", "status", "finished_at", "error", "aoi", "observations", "change", "summary", "priority", "artifacts")
+#: Entries of the log that are named in a filter on folders; a longer log is joined.
+ENTRIES = 10_000
 STATUSES, DIRECTIONS = ("pending", "running", "complete", "failed", "no_data"), ("increases", "decreases")
 
 
@@ -87,8 +89,13 @@ def _take(spark: SparkSession, folder: str, version: int, batch: str) -> bool:
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A ledger table. Rows of a finish count once the log has it: what a crashed finish left behind, or one that lost to another, is never seen."""
     x = _stored(spark, folder, name)
-    finished = x.join(_log(spark, folder).select("batch").hint("merge"), "batch", "left_semi")
-    return (finished.unionByName(x.where(F.col("batch").startswith("created"))) if name == "runs" else finished).drop("batch")
+    log = _log(spark, folder).select("batch")
+    created = F.col("batch").startswith("created") if name == "runs" else F.lit(False)
+    entries = [r["batch"] for r in log.limit(ENTRIES + 1).collect()]
+    if len(entries) <= ENTRIES:
+        # a batch may be a whole table, and in a join its rows would meet in one task: so the log picks folders
+        return x.where(F.col("batch").isin(entries) | created).drop("batch")
+    return x.join(log.hint("merge"), "batch", "left_semi").unionByName(x.where(created)).drop("batch")
 
 
 def append(rows: DataFrame, folder: str, name: str, batch: str) -> None:
