@@ -6,7 +6,9 @@ The affine is x = a * col + b * row + c, y = d * col + e * row + f, with e < 0 f
 from __future__ import annotations
 
 import math
+from types import ModuleType
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,13 +39,26 @@ def is_south(crs: Column | str) -> Column:
     return F.substring(col(crs), 1, 8) == "EPSG:327"
 
 
-def utm_from_lonlat(lon: Column | str, lat: Column | str, zone: Column, south: Column | bool = False) -> tuple[Column, Column]:
-    phi, lam = F.radians(col(lat)), F.radians(col(lon) - (zone * 6 - 183))
+def _series(m: ModuleType, phi, lam):
+    """Easting and northing over ``K0 * RADIUS`` of a latitude and a longitude from the central meridian, in radians. ``m``: pyspark's functions for columns, numpy for arrays."""
     k = 2 * math.sqrt(N) / (1 + N)
-    t = F.sinh(F.atanh(F.sin(phi)) - k * F.atanh(k * F.sin(phi)))
-    xi, eta = F.atan2(t, F.cos(lam)), F.atanh(F.sin(lam) / F.sqrt(1 + t * t))
-    e = eta + sum(a * F.cos(2 * j * xi) * F.sinh(2 * j * eta) for j, a in enumerate(ALPHA, 1))
-    n = xi + sum(a * F.sin(2 * j * xi) * F.cosh(2 * j * eta) for j, a in enumerate(ALPHA, 1))
+    t = m.sinh(m.atanh(m.sin(phi)) - k * m.atanh(k * m.sin(phi)))
+    xi, eta = m.atan2(t, m.cos(lam)), m.atanh(m.sin(lam) / m.sqrt(1 + t * t))
+    e = eta + sum(a * m.cos(2 * j * xi) * m.sinh(2 * j * eta) for j, a in enumerate(ALPHA, 1))
+    n = xi + sum(a * m.sin(2 * j * xi) * m.cosh(2 * j * eta) for j, a in enumerate(ALPHA, 1))
+    return e, n
+
+
+def _inverse_series(m: ModuleType, eta, xi):
+    """Latitude and longitude from the central meridian, in radians, of an easting and a northing over ``K0 * RADIUS``."""
+    xi1 = xi - sum(b * m.sin(2 * j * xi) * m.cosh(2 * j * eta) for j, b in enumerate(BETA, 1))
+    eta1 = eta - sum(b * m.cos(2 * j * xi) * m.sinh(2 * j * eta) for j, b in enumerate(BETA, 1))
+    chi = m.asin(m.sin(xi1) / m.cosh(eta1))
+    return chi + sum(d * m.sin(2 * j * chi) for j, d in enumerate(DELTA, 1)), m.atan2(m.sinh(eta1), m.cos(xi1))
+
+
+def utm_from_lonlat(lon: Column | str, lat: Column | str, zone: Column, south: Column | bool = False) -> tuple[Column, Column]:
+    e, n = _series(F, F.radians(col(lat)), F.radians(col(lon) - (zone * 6 - 183)))
     south = F.lit(south) if isinstance(south, bool) else south
     return FALSE_EASTING + K0 * RADIUS * e, K0 * RADIUS * n + F.when(south, 1e7).otherwise(0.0)
 
@@ -52,11 +67,30 @@ def lonlat_from_utm(x: Column | str, y: Column | str, zone: Column, south: Colum
     south = F.lit(south) if isinstance(south, bool) else south
     xi = (col(y) - F.when(south, 1e7).otherwise(0.0)) / (K0 * RADIUS)
     eta = (col(x) - FALSE_EASTING) / (K0 * RADIUS)
-    xi1 = xi - sum(b * F.sin(2 * j * xi) * F.cosh(2 * j * eta) for j, b in enumerate(BETA, 1))
-    eta1 = eta - sum(b * F.cos(2 * j * xi) * F.sinh(2 * j * eta) for j, b in enumerate(BETA, 1))
-    chi = F.asin(F.sin(xi1) / F.cosh(eta1))
-    phi = chi + sum(d * F.sin(2 * j * chi) for j, d in enumerate(DELTA, 1))
-    return F.degrees(F.atan2(F.sinh(eta1), F.cos(xi1))) + (zone * 6 - 183), F.degrees(phi)
+    phi, lam = _inverse_series(F, eta, xi)
+    return F.degrees(lam) + (zone * 6 - 183), F.degrees(phi)
+
+
+def system(crs: str, prefix: str = "") -> dict[str, Column]:
+    """What ``projected_arrays`` has to know of the system in column ``crs``: whether it is lon/lat, its UTM zone (NULL for any other) and its false northing."""
+    return {f"{prefix}lonlat": F.coalesce(is_lonlat(crs), F.lit(False)), f"{prefix}zone": utm_zone(crs).cast("double"), f"{prefix}north": F.when(is_south(crs), 1e7).otherwise(0.0)}
+
+
+def projected_arrays(x: np.ndarray, y: np.ndarray, source: tuple[np.ndarray, ...], target: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """``projected`` for arrays: (x, y) of the systems ``source``, each (lonlat, zone, north) of ``system``, in those of ``target``; NaN where a system is neither lon/lat nor UTM."""
+    with np.errstate(all="ignore"):
+        lon, lat = x.copy(), y.copy()
+        (lonlat, zone, north), scale = source, K0 * RADIUS
+        if not lonlat.all():
+            i = np.flatnonzero(~lonlat)
+            phi, lam = _inverse_series(np, (x[i] - FALSE_EASTING) / scale, (y[i] - north[i]) / scale)
+            lon[i], lat[i] = np.degrees(lam) + (zone[i] * 6 - 183), np.where(np.isnan(zone[i]), np.nan, np.degrees(phi))
+        lonlat, zone, north = target
+        if not lonlat.all():
+            i = np.flatnonzero(~lonlat)
+            e, n = _series(np, np.radians(lat[i]), np.radians(lon[i] - (zone[i] * 6 - 183)))
+            lon[i], lat[i] = FALSE_EASTING + scale * e, scale * n + north[i]
+    return lon, lat
 
 
 def is_lonlat(crs: Column | str) -> Column:

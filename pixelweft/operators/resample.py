@@ -57,25 +57,60 @@ def _rasters(source: DataFrame, target: DataFrame, keys: list[str], target_keys:
     return src.join(target.select(*target_keys, *grid_).hint("merge"), target_keys)
 
 
+def _rows(rasters: DataFrame) -> DataFrame:
+    return rasters.select("*", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("row"))
+
+
 def _cells(rasters: DataFrame) -> DataFrame:
-    return rasters.select("*", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("row")).select("*", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("col"))
+    return _rows(rasters).select("*", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("col"))
+
 
+#: Cells whose places a task works out at a time, and the farthest row or column of a pixel: beyond it a cell's place isn't known.
+CELLS, FAR = 1 << 17, 2.0**30
 
-def _places(rasters: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows (keys, row, col, fc, fr, zc, zr) for each cell of each target grid: where its centre lies among the source's pixels, and how many of these a cell is wide and high.
 
-    The centre is brought into the source's system, and with it the points half a cell around it, which give the size.
+def _placed(batch: pa.RecordBatch, keys: list[str], sized: bool) -> Iterator[pa.RecordBatch]:
+    """Rows (keys, row, col, fc, fr, and zc, zr if ``sized``) of the cells of a batch of raster rows."""
+    x = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names if c not in keys}
+    ends = np.cumsum(x["width"], dtype=np.int64)
+    for i in range(0, int(ends[-1]), CELLS):
+        cell = np.arange(i, min(i + CELLS, int(ends[-1])))
+        at = np.searchsorted(ends, cell, side="right")
+        col = cell - (ends[at] - x["width"][at])
+        y = {c: v[at] for c, v in x.items()}
+        systems = [tuple(y[f"{p}{c}"] for c in ("lonlat", "zone", "north")) for p in ("", "s_")]
+        px, py = y["c"] + y["a"] * (col + 0.5), y["f"] + y["e"] * (y["row"] + 0.5)
+        there = grid.projected_arrays(px, py, *systems)
+        fc, fr = (there[0] - y["s_c"]) / y["s_a"] - 0.5, (there[1] - y["s_f"]) / y["s_e"] - 0.5
+        known = (np.abs(fc) < FAR) & (np.abs(fr) < FAR)
+        out = [pa.array(f, mask=~known) for f in (fc, fr)]
+        if sized:
+            half = grid.projected_arrays(px + y["a"] / 2, py + y["e"] / 2, *systems)
+            out += [pa.array(np.fmax(1.0, np.abs(2 * (h - t) / s))) for h, t, s in ((half[0], there[0], y["s_a"]), (half[1], there[1], y["s_e"]))]
+        owner = pa.array(at)
+        yield pa.RecordBatch.from_arrays([*(batch.column(k).take(owner) for k in keys), pa.array(y["row"].astype(np.int32)), pa.array(col.astype(np.int32)), *out], [*keys, "row", "col", "fc", "fr", *(["zc", "zr"] if sized else [])])
+
+
+def _places(rasters: DataFrame, keys: list[str], sized: bool = True) -> DataFrame:
+    """Rows (keys, row, col, fc, fr, zc, zr) for each cell of each target grid in another system: where its centre lies among the source's pixels, and how many of these a cell is wide and high.
+
+    The centre is brought into the source's system, and with it the points half a cell around it, which give the size (if ``sized``).
+    A table of rasters is small, and Spark would read it in one task: the rows of all rasters are dealt out before they become cells.
     """
-    at = _cells(rasters)
-    at = at.withColumns({"x": F.col("c") + F.col("a") * (F.col("col") + 0.5), "y": F.col("f") + F.col("e") * (F.col("row") + 0.5)})
-    size = {"zc": F.col("a") / F.col("s_a"), "zr": F.col("e") / F.col("s_e")}
-    at = at.withColumns({"x1": F.col("x") + F.col("a") / 2, "y1": F.col("y") + F.col("e") / 2})
-    at = grid.projected(at, "x1", "y1", "crs", "s_crs", ("x1", "y1"))
-    at = grid.projected(at, "x", "y", "crs", "s_crs", ("x", "y"))
-    other = ~F.col("crs").eqNullSafe(F.col("s_crs"))
-    size = {"zc": F.when(other, F.abs(2 * (F.col("x1") - F.col("x")) / F.col("s_a"))).otherwise(size["zc"]), "zr": F.when(other, F.abs(2 * (F.col("y1") - F.col("y")) / F.col("s_e"))).otherwise(size["zr"])}
-    frac = {"fc": (F.col("x") - F.col("s_c")) / F.col("s_a") - 0.5, "fr": (F.col("y") - F.col("s_f")) / F.col("s_e") - 0.5}
-    return at.select(*keys, "row", "col", *(c.alias(n) for n, c in frac.items()), *(F.greatest(F.lit(1.0), c).alias(n) for n, c in size.items()))
+    small_batches(rasters.sparkSession)
+    n = int(rasters.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    numbers = [F.col(c).cast("double").alias(c) for g in ("a", "c", "e", "f") for c in (g, f"s_{g}")]
+    systems = [v.alias(k) for p in ("", "s_") for k, v in grid.system(f"{p}crs", p).items()]
+    rows = _rows(rasters.where("width > 0 and height > 0")).select(*keys, "row", "width", *numbers, *systems).repartition(n, *keys, "row")
+    names = ["fc", "fr", *(["zc", "zr"] if sized else [])]
+    schema = T.StructType([rows.schema[k] for k in keys] + [T.StructField(c, T.IntegerType()) for c in ("row", "col")] + [T.StructField(c, T.DoubleType()) for c in names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield from _placed(batch, keys, sized)
+
+    return rows.mapInArrow(run, schema)
 
 
 def resample(pixels: DataFrame, source: DataFrame, target: DataFrame, keys: list[str], target_keys: list[str], kernel: str = "bilinear", value: str = "dn") -> DataFrame:
