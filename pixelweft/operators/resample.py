@@ -230,7 +230,7 @@ def _scattered(pixels: DataFrame, rasters: DataFrame, keys: list[str], kernel: s
 
 def _gathered(pixels: DataFrame, rasters: DataFrame, keys: list[str], kernel: str, value: str) -> DataFrame:
     """A cell's nearest pixel and the pixels under its kernel are looked up in one join, and brought together in one aggregation."""
-    at = _places(rasters, keys)
+    at = _places(rasters, keys, sized=kernel != "nearest")
     px = pixels.select(*keys, F.col("row").alias("sr"), F.col("col").alias("sc"), F.col(value).cast("double").alias("v"))
     # the nearest pixel: halves go to the right and down
     near = F.struct(F.floor(F.col("fr") + 0.5).cast("int").alias("sr"), F.floor(F.col("fc") + 0.5).cast("int").alias("sc"))

@@ -17,7 +17,7 @@ def _rasters(spark, crs="EPSG:32643", s_crs="EPSG:4326", width=70, height=50):
     return x.withColumns(source)
 
 
-@pytest.mark.parametrize("kernel, sized", [("bilinear", True)])
+@pytest.mark.parametrize("kernel, sized", [("nearest", False), ("bilinear", True)])
 def test_cells_are_dealt_to_many_tasks(spark, kernel, sized):
     """Before, the small table of rasters was read by one task, which worked out the cells of all of them."""
     rasters = durable(_rasters(spark).coalesce(1), "rasters")
